@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
-from .shared import input_table
+from .packing import pack, token_pieces
+from .shared import input_table, written
+from .token_counts import token_counts
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(input_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+    return pack(written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), capacity=2048)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +29,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts(input_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {f.__name__: f for f in (op4_best_fit_packing, op9_exact_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
