@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from .shared import drop_path, new_path, text_or_empty, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore"
+#: State on disk; each commit writes its changes only, and files take the room of their content (many partitions have little).
+SETTINGS = {
+    f"{STATE_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{STATE_STORE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -39,8 +44,9 @@ def keyed_state(arrivals: DataFrame, batches: int = 4) -> DataFrame:
     log, updates, checkpoint = (new_path(spark, x) for x in ("arrivals", "digests", "stream"))
     arrivals.write.parquet(log)
     files = max(1, len(spark.read.schema(arrivals.schema).parquet(log).inputFiles()))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(arrivals.schema)
@@ -62,7 +68,8 @@ def keyed_state(arrivals: DataFrame, batches: int = 4) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # A digest appears once for each micro-batch that changed it; its count only grows and its identifier only falls.
     schema = "digest string, first struct<id: bigint, locator: string>, group_size bigint"
     spark.createDataFrame([], schema).write.parquet(f"{updates}/batch=-1")  # so that there is a table without arrivals, too
