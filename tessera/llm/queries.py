@@ -12,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .language_id import held_out, identified
 from .minhash import near_duplicates
 from .packing import pack, token_pieces
+from .quality import quality_verdicts
 from .shared import input_table, written
 from .token_counts import token_counts
 
@@ -42,6 +43,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word", "n_words")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_verdicts(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "log_weight", F.col("key").alias("gumbel_key"), "kept")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(input_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -53,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op6_decontamination, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op6_decontamination, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
