@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .compaction import sharded
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
 from .language_id import held_out, identified
 from .minhash import near_duplicates
 from .packing import pack, token_pieces
 from .quality import quality_verdicts
-from .shared import input_table, written
+from .shared import input_table, new_path, written
 from .token_counts import token_counts
 
 
@@ -43,6 +44,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word", "n_words")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document ended up: shard (its number in the manifest), tier, and the rows and text bytes of the shard."""
+    docs = input_table(spark, sf_dir, "documents")
+    store = sharded(docs, new_path(spark, "shards"))
+    manifest = store.manifest()
+    files = [(x.path.rsplit("/", 2)[-2] + "/" + x.path.rsplit("/", 1)[-1], k, x.tier, manifest["version"]) for k, x in enumerate(manifest["shards"])]
+    if not files:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("tier"), F.lit(0).alias("version"), F.lit(0).cast("long").alias("n_bytes"))
+    known = spark.createDataFrame(files, "file string, shard bigint, tier int, version int")
+    rows = store.read().select("doc_id", F.substring_index("__shard", "/", -2).alias("file"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return rows.join(known, "file").select("doc_id", "shard", "tier", "version", "n_bytes")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_verdicts(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), "log_weight", F.col("key").alias("gumbel_key"), "kept")
@@ -65,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op6_decontamination, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
