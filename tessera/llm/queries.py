@@ -11,6 +11,7 @@ from .compaction import sharded
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
 from .language_id import held_out, identified
+from .license_scan import license_scan
 from .minhash import near_duplicates
 from .packing import pack, token_pieces
 from .quality import quality_verdicts
@@ -39,6 +40,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), capacity=2048)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(input_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word", "n_words")
@@ -79,7 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
