@@ -14,6 +14,7 @@ from .language_id import held_out, identified
 from .license_scan import license_scan
 from .minhash import near_duplicates
 from .packing import pack, token_pieces
+from .pii import KINDS, personal_data
 from .quality import quality_verdicts
 from .shared import input_table, new_path, written
 from .token_counts import token_counts
@@ -25,6 +26,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(input_table(spark, sf_dir, "documents"))
+    kinds = F.array(*map(F.lit, KINDS))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identified(input_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
@@ -84,7 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
