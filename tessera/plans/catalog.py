@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from . import domain, relational  # noqa: F401
+from . import attribution, domain, relational, shares  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
