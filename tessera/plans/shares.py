@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import columns as C
 from ..functions import windows as W
@@ -11,12 +12,15 @@ from ..sources.tables import ANCHOR, Tables
 from .registry import query
 
 DOUBLE = "double"
-BY_LABEL = Window.partitionBy("label", "year").orderBy("week_end")
 #: Half width of the forecast's band in points of share; floor and gate of injected titles.
 BAND, INJECTION_FLOOR, INJECTION_GATE = 0.82, 20_000, 75_000
 FORECAST_FROM = "2001-01-01"
 
 
+def by_label() -> WindowSpec:
+    return Window.partitionBy("label", "year").orderBy("week_end")
+
+
 def panel(t: Tables) -> DataFrame:
     return t.panel.withColumn("ae", F.col("ae").cast(DOUBLE))
 
@@ -31,7 +35,7 @@ ANCHOR_SQL = "mk AS (SELECT week_end, CAST(ae AS DOUBLE) / share AS market FROM
 @query(f"WITH {ANCHOR_SQL} SELECT label, week_end, round(CAST(sum(ae) OVER w AS DOUBLE) / sum(market) OVER w * 100, 4) AS ytd_share FROM panel JOIN mk USING (week_end) WINDOW w AS (PARTITION BY label, year ORDER BY week_end)")
 def share_ytd_anchor(t: Tables) -> DataFrame:
     x = t.panel.join(anchor_market(t), "week_end")
-    return x.select("label", "week_end", F.round(W.running_sum(F.col("ae"), BY_LABEL).cast(DOUBLE) / W.running_sum(F.col("market"), BY_LABEL) * 100, 4).alias("ytd_share"))
+    return x.select("label", "week_end", F.round(W.running_sum(F.col("ae"), by_label()).cast(DOUBLE) / W.running_sum(F.col("market"), by_label()) * 100, 4).alias("ytd_share"))
 
 
 @query("""WITH m AS (SELECT week_end, median(CAST(ae AS DOUBLE) / share) AS market FROM panel WHERE share > 0 GROUP BY 1)
@@ -40,7 +44,7 @@ def share_ytd_median(t: Tables) -> DataFrame:
     """The older report: market as the median over all labels, the share cut to two decimals."""
     m = panel(t).filter("share > 0").groupBy("week_end").agg(F.median(F.col("ae") / F.col("share")).alias("market"))
     x = t.panel.join(m, "week_end")
-    return x.select("label", "week_end", C.trunc2(W.running_sum(F.col("ae"), BY_LABEL).cast(DOUBLE) / W.running_sum(F.col("market"), BY_LABEL) * 100).alias("ytd_share"))
+    return x.select("label", "week_end", C.trunc2(W.running_sum(F.col("ae"), by_label()).cast(DOUBLE) / W.running_sum(F.col("market"), by_label()) * 100).alias("ytd_share"))
 
 
 def forecast_rows(t: Tables) -> DataFrame:
