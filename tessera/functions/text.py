@@ -9,11 +9,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import jaccard
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def search_text_exact(x: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, lower case, other than words and digits as one space."""
 
@@ -26,7 +27,7 @@ def search_text_exact(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters, by longest matching blocks."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.windows import top_n_per_group
@@ -72,7 +73,6 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
     from uuid import uuid4
 
     root = f"{base}/stream-{uuid4().hex}" if base else own
-    schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/{number:09d}")
@@ -80,7 +80,7 @@ def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     try:
-        rows = spark.read.schema(schema.add("__batch", "int")).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+        rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{root}/out")
     except Exception:
         if own:
             shutil.rmtree(own, ignore_errors=True)
