@@ -5,12 +5,13 @@ evaluations, in 32 bands of 4 values of different permutations (mins and maxes a
 shares no band with probability 6e-6.
 
 1. Texts with the same shingle set form a class; one document stands for it.
-2. Star round: in each band bucket every class is compared by signature with the bucket's first and last; its best
-   candidate is confirmed on the full sets, and components are formed.
+2. Star and ring round: in each band bucket every class is compared by signature with the bucket's first and last (star)
+   and with its neighbours in an order by hash (ring). Its best candidate among the former and its two best among the
+   latter are confirmed on the full sets, and components are formed.
 3. Cross round: in each bucket that still holds several components, all pairs from different ones are compared by
    signature; pairs within four standard deviations of the threshold are confirmed on the full sets. So a large group of
-   near copies costs one star, and pairs are only formed between what it left apart. Buckets of more than
-   ``bucket_rows`` rows are first dealt out by further bands within the bucket.
+   near copies costs a few pairs for each of its texts, and pairs are only formed between what that left apart. Buckets of
+   more than ``bucket_rows`` rows are first dealt out by further bands within the bucket.
 
 Null or empty texts have an empty set and link with nothing. Rows given twice are one class. An identifier that is on
 several texts is one document, linked by any of them. Rows without identifier link with nothing; their component is null.
@@ -23,9 +24,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import top_n_per_group
 from .components import components
 from .shared import written
 from .words import U, mixed, shingle_set, stream
@@ -174,21 +176,47 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def _refined(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    """Rows of buckets with several components; large ones dealt out by 24 further bands of three values, twice at most."""
-    counts = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket", "rows"), "mixed-buckets")
-    mixed_rows = rows.join(counts, "bucket")
+def _mixed_buckets(rows: DataFrame) -> DataFrame:
+    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return written(counted.filter("low <> high").select("bucket", "rows"), "mixed-buckets")
+
+
+def _refined(rows: DataFrame, signatures: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows of buckets with several components, with their signatures; large ones dealt out by 24 further bands of three values, twice at most."""
+    counts = _mixed_buckets(rows)
+    mixed_rows = rows.join(counts, "bucket").join(signatures, "node")
     for level in (1, 2):
         if counts.filter(F.col("rows") > bucket_rows).isEmpty():
             break
         large = mixed_rows.filter(F.col("rows") > bucket_rows).drop("rows")
         band = F.explode(F.array(*[F.xxhash64("bucket", F.lit(j), F.expr(f"substring(signature, {5 * j + level}, 3)")) for j in range(24)]))
         dealt = large.withColumn("bucket", band)
-        counts = written(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket", "rows"), "mixed-buckets")
+        counts = _mixed_buckets(dealt)
         mixed_rows = mixed_rows.filter(F.col("rows") <= bucket_rows).unionByName(dealt.join(counts, "bucket"))
     return mixed_rows.drop("rows")
 
 
+def _signed(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    left, right = (signatures.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
+    return _agreeing(pairs.join(left, "a").join(right, "b"))
+
+
+def _first_pairs(members: DataFrame, signatures: DataFrame, bucket_rows: int) -> DataFrame:
+    """Distinct pairs (a, b) of the star and ring round. members: bucket, node, size, and the bucket's rows, low and high (node, size)."""
+    alike = lambda x, y: 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+    star = members.select("node", "size", F.explode(F.array("low", "high")).alias("hub")).filter((F.col("node") != F.col("hub.node")) & alike(F.col("size"), F.col("hub.size")))
+    star = _signed(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), signatures)
+    to_hub = star.groupBy("b").agg(F.max_by("a", F.struct("agreeing", "a")).alias("a")).select("a", "b")
+    place = F.xxhash64("node", "bucket")
+    around = Window.partitionBy("bucket", F.pmod(place, F.ceil(F.col("rows") / bucket_rows))).orderBy(place, "node")
+    ring = members.select("node", "size", F.lead(F.struct("node", "size")).over(around).alias("next")).filter(alike(F.col("size"), F.col("next.size")) & (F.col("node") != F.col("next.node")))
+    ring = _signed(ring.select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")).distinct(), signatures)
+    ends = ring.select("a", "b", "agreeing", F.explode(F.array("a", "b")).alias("end"))
+    to_neighbours = top_n_per_group(ends, ["end"], [F.col("agreeing").desc(), F.col("a"), F.col("b")], 2).select("a", "b")
+    both = to_hub.unionByName(to_neighbours).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket_rows: int = 4096) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest identifier linked, itself included), kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -198,31 +226,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets.groupBy("set_key").agg(F.min_by(F.struct("id", F.col("n_shingles").alias("size"), "bands", "signature"), "id").alias("r")).select("set_key", F.col("r.id").alias("node"), "r.size", "r.bands", "r.signature"),
         "classes",
     )
-    # Star round.
-    members = classes.select("node", "size", F.explode("bands").alias("bucket"))
-    buckets = written(
-        members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).filter("low.node <> high.node").select("bucket", "low", "high"),
-        "buckets",
-    )
-    joined = members.join(buckets, "bucket")
-    star = joined.select("node", "size", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub.node and 4 * least(size, hub.size) >= 3 * greatest(size, hub.size)")
-    star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    signed = classes.select("node", "signature")
-    with_both = star.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a").join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
-    best = written(_agreeing(with_both).groupBy("b").agg(F.max_by("a", F.struct("agreeing", "a")).alias("a")).select("a", "b"), "star-pairs")
+    signatures = classes.select("node", "signature")
+    in_bands = classes.select("node", "size", F.explode("bands").alias("bucket"))
+    buckets = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).filter("low.node <> high.node")
+    members = written(in_bands.join(buckets, "bucket"), "bucket-members")  # of buckets with at least two classes
+    texts = written(rows.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "candidate-texts")
+    # Star and ring round.
+    first = written(_first_pairs(members, signatures, bucket_rows), "first-pairs")
     same_id = sets.join(classes.select("set_key", "node"), "set_key").groupBy("id").agg(F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")
     same_id = same_id.select(F.array_min("nodes").alias("u"), F.explode("nodes").alias("v")).filter("u <> v")
-    links = written(_confirmed(best, rows, size, percent).unionByName(same_id), "links")
+    links = written(_confirmed(first, texts, size, percent).unionByName(same_id), "links")
     found = written(components(links), "components")
     # Cross round.
-    component = F.coalesce("component", "node")
-    marked = classes.select("node", "size", "signature", "bands").join(found, "node", "left").select("node", "size", "signature", "bands", component.alias("component"))
-    in_buckets = marked.select("node", "size", "signature", "component", F.explode("bands").alias("bucket")).join(buckets.select("bucket"), "bucket", "left_semi")
-    crossing = written(_cross_pairs(_refined(in_buckets, bucket_rows)), "cross-pairs")
+    component = F.coalesce("component", "node").alias("component")
+    marked = members.select("bucket", "node", "size").join(found, "node", "left").select("bucket", "node", "size", component)
+    crossing = written(_cross_pairs(_refined(marked, signatures, bucket_rows)), "cross-pairs")
     if not crossing.isEmpty():
-        more = written(_confirmed(crossing, rows, size, percent), "links")
-        found = written(components(links.unionByName(more)), "components")
-    of_class = classes.select("set_key", "node").join(found, "node", "left").select("set_key", component.alias("component"))
+        more = written(_confirmed(crossing, texts, size, percent), "links")
+        if not more.isEmpty():
+            found = written(components(links.unionByName(more)), "components")
+    of_class = classes.select("set_key", "node").join(found, "node", "left").select("set_key", component)
     out = sketched.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
     return out.select("id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
