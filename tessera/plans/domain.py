@@ -328,7 +328,7 @@ def q_29_discography(t: Tables) -> DataFrame:
     return rows.orderBy(F.col("first_sale_date").desc_nulls_last(), "title_id").limit(50)
 
 
-@query("SELECT title_id, title, level_2, TRUE AS has_more, CAST(50 AS BIGINT) AS next_offset FROM titles JOIN owners USING (title_id) WHERE level_1 = 'ASIA' ORDER BY first_sale_date DESC NULLS LAST, title_id LIMIT 50")
+@query("WITH n AS (SELECT count(*) AS n FROM titles JOIN owners USING (title_id) WHERE level_1 = 'ASIA') SELECT title_id, title, level_2, n > 50 AS has_more, CASE WHEN n > 50 THEN CAST(50 AS BIGINT) END AS next_offset FROM titles JOIN owners USING (title_id), n WHERE level_1 = 'ASIA' ORDER BY first_sale_date DESC NULLS LAST, title_id LIMIT 50")
 def q_29_by_distributor(t: Tables) -> DataFrame:
     rows = t.titles.join(t.owners.filter("level_1 = 'ASIA'"), "title_id").select("title_id", "title", "level_2", "first_sale_date")
     return R.page(rows, [F.col("first_sale_date").desc_nulls_last(), F.col("title_id")], 50).drop("first_sale_date")
@@ -370,7 +370,7 @@ def q_36_panel_pull(t: Tables) -> DataFrame:
     return t.panel.filter("week_end > date'2000-06-01'").select("week_end", "year", "label", "share")
 
 
-@query("""SELECT level_1, level_2, level_3, CAST(year(report_date) + CASE WHEN month(report_date) >= 9 THEN 1 ELSE 0 END AS BIGINT) AS fy, CAST(sum(quantity) AS BIGINT) AS streams, round(sum(quantity) * 0.004, 4) AS proxy_revenue
+@query("""SELECT level_1, level_2, level_3, CAST(year(report_date) + CASE WHEN month(report_date) >= 9 THEN 1 ELSE 0 END AS BIGINT) AS fy, CAST(sum(quantity) AS BIGINT) AS streams, round(CAST(sum(quantity) AS DOUBLE) * 0.004::DOUBLE, 4) AS proxy_revenue
     FROM daily_fact JOIN suppliers USING (product_id) WHERE category = 'Streams' GROUP BY ALL""")
 def q_37_proxy_revenue(t: Tables) -> DataFrame:
     rows = t.daily_fact.filter("category = 'Streams'").join(t.suppliers, "product_id").groupBy("level_1", "level_2", "level_3", C.fiscal_year("report_date").alias("fy")).agg(F.sum("quantity").alias("streams"))

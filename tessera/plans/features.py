@@ -70,7 +70,7 @@ def release_shapes(t: Tables) -> DataFrame:
 
 @query(f"""WITH {LIFE_SQL}, f AS (SELECT *, lag(ae) OVER w AS l1, CASE WHEN count(*) OVER w4 = 4 THEN avg(ae) OVER w4 END AS m4, CASE WHEN count(*) OVER w12 = 12 THEN avg(ae) OVER w12 END AS m12 FROM life
     WINDOW w AS (PARTITION BY title_id ORDER BY k), w4 AS (PARTITION BY title_id ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), w12 AS (PARTITION BY title_id ORDER BY k ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
-    SELECT title_id, week_end, round(sin(2 * pi() * week(week_end) / 52), 8) AS season_sin, round(cos(2 * pi() * week(week_end) / 52), 8) AS season_cos, CAST(quarter(week_end) = 4 AS BIGINT) AS q4, CAST(release_type = 'PROMO' AS BIGINT) AS is_promo,
+    SELECT title_id, week_end, round(sin(2 * pi() * week(week_end) / 52), 8) + 0.0 AS season_sin, round(cos(2 * pi() * week(week_end) / 52), 8) + 0.0 AS season_cos, CAST(quarter(week_end) = 4 AS BIGINT) AS q4, CAST(release_type = 'PROMO' AS BIGINT) AS is_promo,
     round(CASE WHEN m4 > 0 THEN l1 / m4 ELSE 1.0 END, 6) AS short, round(CASE WHEN m12 > 0 THEN l1 / m12 ELSE 1.0 END, 6) AS long, CAST(CASE WHEN m4 > 0 THEN l1 / m4 ELSE 1.0 END > 1.5 AND CASE WHEN m12 > 0 THEN l1 / m12 ELSE 1.0 END > 2.0 AS BIGINT) AS anomaly, round(coalesce(m4, l1, ae), 6) AS level FROM f""")
 def catalog_features(t: Tables) -> DataFrame:
     """Season, kind, momentum against the last 4 and 12 weeks, anomaly, and the level with its fallbacks."""

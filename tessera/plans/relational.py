@@ -389,7 +389,7 @@ def win_tail(t: Tables) -> DataFrame:
 # Sorting and paging.
 
 
-@query("SELECT title_id, title, first_sale_date, TRUE AS has_more, CAST(60 AS BIGINT) AS next_offset FROM titles WHERE artist <= 'Brand#25' ORDER BY first_sale_date DESC NULLS LAST, title_id LIMIT 20 OFFSET 40")
+@query("WITH n AS (SELECT count(*) AS n FROM titles WHERE artist <= 'Brand#25') SELECT title_id, title, first_sale_date, n > 60 AS has_more, CASE WHEN n > 60 THEN CAST(60 AS BIGINT) END AS next_offset FROM titles, n WHERE artist <= 'Brand#25' ORDER BY first_sale_date DESC NULLS LAST, title_id LIMIT 20 OFFSET 40")
 def sort_nulls_last_page(t: Tables) -> DataFrame:
     rows = t.titles.filter("artist <= 'Brand#25'").select("title_id", "title", "first_sale_date")
     return R.page(rows, [F.col("first_sale_date").desc_nulls_last(), F.col("title_id")], 20, 40)
