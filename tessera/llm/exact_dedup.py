@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, new_path, text_or_empty, written
+from .shared import drop_path, filtered, fresh, new_path, text_or_empty, written
 
 STATE_STORE = "spark.sql.streaming.stateStore"
 #: State on disk; each commit writes its changes only, and files take the room of their content (many partitions have little).
@@ -53,7 +53,7 @@ def keyed_state(arrivals: DataFrame, batches: int = 4) -> DataFrame:
             .option("maxFilesPerTrigger", -(-files // batches))
             .parquet(log)
             .groupBy("digest")
-            .agg(F.min(F.struct("id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+            .agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "locator"))).alias("first"), F.count(F.lit(1)).alias("group_size"))
         )
 
         def keep(changed: DataFrame, batch: int) -> None:
@@ -114,17 +114,19 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` that stay, with all their columns; of rows given twice, one."""
     found = written(exact_duplicates(docs, id_col, text_col), "dedup-verdicts")
     kept = found.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
-    key = F.col(id_col).cast("long").eqNullSafe(F.col("id"))
-    single, repeated = kept.filter("times = 1").select("id"), kept.filter("times > 1").select("id")
-    dropped = found.filter("not kept").select("id", "digest").distinct()
-    out = docs.join(single, key, "left_semi")
+    out = filtered(docs, id_col, kept.filter("times = 1"), "left_semi")
+    repeated = kept.filter("times > 1")
+    digest = fresh(docs, "__digest")
+    own = sha256(normalised(text_or_empty(text_col)))
     if not repeated.isEmpty():
         # one identifier on several staying rows: the same text twice, or different texts
-        marked = docs.join(repeated, key, "left_semi").withColumn("__digest", sha256(normalised(text_or_empty(text_col))))
-        out = out.unionByName(marked.dropDuplicates([id_col, "__digest"]).drop("__digest"))
-    mixed = kept.join(dropped.select("id").distinct(), "id", "left_semi")
+        marked = filtered(docs, id_col, repeated, "left_semi").withColumn(digest, own)
+        out = out.unionByName(marked.dropDuplicates([id_col, digest]).drop(digest))
+    dropped = found.filter("not kept").select("id", "digest").distinct()
+    mixed = dropped.join(kept, "id", "left_semi")
     if not mixed.isEmpty():
         # an identifier of which one text stays and another goes
-        gone = F.col(id_col).cast("long").eqNullSafe(F.col("id")) & (sha256(normalised(text_or_empty(text_col))) == F.col("digest"))
-        out = out.join(dropped, gone, "left_anti")
+        name = fresh(docs, "__id")
+        gone = mixed.select(F.col("id").alias(name), F.col("digest").alias(digest))
+        out = out.join(gone, (F.col(id_col).cast("long") == F.col(name)) & (own == F.col(digest)), "left_anti")
     return out

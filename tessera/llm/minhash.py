@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import top_n_per_group
 from .components import components
-from .shared import written
+from .shared import filtered, written
 from .words import U, mixed, shingle_set, stream
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -254,4 +254,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the smallest identifier of each component."""
     dropped = written(near_duplicates(docs, id_col, text_col).filter("not kept").select("id").distinct(), "near-dropped")
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("id"), "left_anti")
+    return filtered(docs, id_col, dropped, "left_anti")

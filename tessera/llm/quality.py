@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh, written
 from .words import NOT_SPACE, U, mixed, word_hashes, word_spans
 
 BUCKETS = 1 << 14
@@ -184,4 +184,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of ``docs`` that are drawn, with all their columns."""
     _, model, least = resampled(docs, labels, id_col, text_col, sample_rows)
     key = gumbel_key(log_weight(model, F.col(text_col).cast("string")), F.col(id_col).cast("long"))
-    return docs.withColumn("__key", key).filter(F.col("__key") >= least).drop("__key")
+    name = fresh(docs, "__key")
+    return docs.withColumn(name, key).filter(F.col(name) >= least).drop(name)

@@ -43,6 +43,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def filtered(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join of ``docs`` with a table (id), whatever columns ``docs`` has; null equals null."""
+    name = fresh(docs, "__id")
+    return docs.join(ids.select(F.col("id").alias(name)), F.col(id_col).cast("long").eqNullSafe(F.col(name)), how)
+
+
 def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
