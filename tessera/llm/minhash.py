@@ -9,9 +9,10 @@ shares no band with probability 6e-6.
    and with its neighbours in an order by hash (ring). Its best candidate among the former and its two best among the
    latter are confirmed on the full sets, and components are formed.
 3. Cross round: in each bucket that still holds several components, all pairs from different ones are compared by
-   signature; pairs within four standard deviations of the threshold are confirmed on the full sets. So a large group of
-   near copies costs a few pairs for each of its texts, and pairs are only formed between what that left apart. Buckets of
-   more than ``bucket_rows`` rows are first dealt out by further bands within the bucket.
+   signature. Where a pair is within four standard deviations of the threshold, the text of the smaller component is
+   compared with the whole larger one, dealt out in blocks of its members: full sets decide, and only links leave a task.
+   So a large group of near copies costs a few pairs for each of its texts, and what that left apart costs its text
+   once for each block. Buckets of more than ``bucket_rows`` rows are first dealt out by further bands within the bucket.
 
 Null or empty texts have an empty set and link with nothing. Rows given twice are one class. An identifier that is on
 several texts is one document, linked by any of them. Rows without identifier link with nothing; their component is null.
@@ -128,22 +129,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return rows.mapInArrow(confirm, "u bigint, v bigint")
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) from different components of one bucket that agree enough. rows: bucket, node, component, size, signature."""
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Distinct (node, other): a text and a larger component that has a text near it in one bucket. rows: bucket, node, component, members, size, signature."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("bucket", "node", "component", "size", "signature").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("bucket", "node", "component", "members", "size", "signature").repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    def compare(node: np.ndarray, component: np.ndarray, size: np.ndarray, signature: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(node: np.ndarray, component: np.ndarray, members: np.ndarray, size: np.ndarray, signature: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         names, counts = np.unique(component, return_counts=True)
         if len(names) < 2:
             return
-        # the largest component is only compared with the rest
-        rest = np.flatnonzero(component != names[counts.argmax()])
-        for i in rest:
-            near = (component != component[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i]))
-            js = np.flatnonzero(near)
+        # the bucket's largest component is only compared with the rest
+        for i in np.flatnonzero(component != names[counts.argmax()]):
+            js = np.flatnonzero((component != component[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])))
             js = js[(signature[js] == signature[i]).sum(1) >= LEAST_AGREEING]
-            yield np.minimum(node[js], node[i]), np.maximum(node[js], node[i])
+            larger = (members[js] > members[i]) | (members[js] == members[i]) & (component[js] < component[i])
+            yield np.full(int(larger.sum()), node[i]), component[js[larger]]
+            yield node[js[~larger]], np.full(int((~larger).sum()), component[i])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -151,20 +152,17 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
         def groups(last: bool) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            if not table.num_rows:
-                return
             bucket = table.column("bucket").to_numpy()
-            edges = np.flatnonzero(np.diff(bucket)) + 1
-            bounds = np.concatenate([[0], edges, [len(bucket)]])
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             if not last:  # the last bucket may go on in the next batch
                 held.extend(table.slice(bounds[-2]).to_batches())
                 bounds = bounds[:-1]
-            node, component, size = (table.column(c).to_numpy() for c in ("node", "component", "size"))
-            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-            made = [p for lo, hi in zip(bounds, bounds[1:], strict=False) for p in compare(node[lo:hi], component[lo:hi], size[lo:hi], signature[lo:hi])]
+            columns = [table.column(c).to_numpy() for c in ("node", "component", "members", "size")]
+            columns.append(np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS))
+            made = [p for lo, hi in zip(bounds, bounds[1:], strict=False) for p in compare(*(c[lo:hi] for c in columns)) if len(p[0])]
             if made:
                 both = np.unique(np.stack([np.concatenate([p[k] for p in made]) for k in (0, 1)]), axis=1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["node", "other"])
 
         for batch in batches:
             if batch.num_rows:
@@ -173,7 +171,54 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from groups(True)
 
-    return dealt.mapInArrow(pairs, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(pairs, "node bigint, other bigint").distinct()
+
+
+def _links_across(crossing: DataFrame, placed: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 256) -> DataFrame:
+    """For each (node, other) of ``crossing`` a link (u, v) with a member of the component in each of its blocks, if there is one.
+
+    placed: node, component, members, signature of all candidates. Blocks have about ``block`` members; every member's text
+    goes to one task, and the node's text to one task for each block.
+    """
+    blocks = F.ceil(F.col("members") / block)
+    asked = crossing.select(F.col("other").alias("component")).distinct()
+    sizes = placed.select("component", "members").distinct().join(asked, "component")
+    inside = placed.join(asked, "component", "left_semi").select("component", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "signature", F.lit(0).alias("kind"))
+    outside = crossing.join(sizes.select(F.col("component").alias("other"), "members"), "other").select("other", "node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    outside = outside.join(placed.select("node", "signature"), "node").select(F.col("other").alias("component"), "block", "node", "signature", F.lit(1).alias("kind"))
+    both = inside.unionByName(outside).join(texts.select(F.col("id").alias("node"), "text"), "node")
+    parts = int(crossing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = both.select("component", "block", "kind", "node", "signature", "text").repartition(parts, "component", "block").sortWithinPartitions("component", "block", "kind")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members, sets, matrix = None, [], {}, np.zeros((0, 2 * PERMUTATIONS), np.uint8)
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for component, number, kind, node, signature, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (component, number) != at:
+                    at, members, sets, matrix = (component, number), [], {}, None
+                if kind == 0:
+                    members.append((node, signature, text))
+                    continue
+                if matrix is None:
+                    matrix = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+                agreeing = (matrix == np.frombuffer(signature, np.uint8)).sum(1)
+                own = None
+                for k in sorted(np.flatnonzero(agreeing >= LEAST_AGREEING), key=lambda k: -agreeing[k]):
+                    own = shingle_set(text, size) if own is None else own
+                    if k not in sets:
+                        sets[k] = shingle_set(members[k][2], size)
+                    other = sets[k]
+                    if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
+                        continue
+                    shared = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * shared >= percent * (len(own) + len(other) - shared):
+                        found[0].append(node)
+                        found[1].append(members[k][0])
+                        break  # the component needs no second link to this node
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
+
+    return rows.mapInArrow(confirm, "u bigint, v bigint")
 
 
 def _mixed_buckets(rows: DataFrame) -> DataFrame:
@@ -241,10 +286,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(components(links), "components")
     # Cross round.
     component = F.coalesce("component", "node").alias("component")
-    marked = members.select("bucket", "node", "size").join(found, "node", "left").select("bucket", "node", "size", component)
-    crossing = written(_cross_pairs(_refined(marked, signatures, bucket_rows)), "cross-pairs")
+    placed = signatures.join(members.select("node").distinct(), "node", "left_semi").join(found, "node", "left").select("node", "signature", component)
+    placed = written(placed.join(placed.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component"), "placed")
+    marked = members.select("bucket", "node", "size").join(placed.select("node", "component", "members"), "node")
+    crossing = written(_crossing(_refined(marked, signatures, bucket_rows)), "crossing")
     if not crossing.isEmpty():
-        more = written(_confirmed(crossing, texts, size, percent), "links")
+        more = written(_links_across(crossing, placed, texts, size, percent), "links")
         if not more.isEmpty():
             found = written(components(links.unionByName(more)), "components")
     for path in at.values():

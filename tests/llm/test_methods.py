@@ -69,8 +69,14 @@ def test_plan_gives_every_piece_one_place_without_gaps(counts):
     assert all(n == 1 and k < 64 for (_, k), n in used.items()) and len(used) == sum(k * v for k, v in counts.items())
     filled = Counter(s for s, _ in used)
     assert all((s, k) in used for s, n in filled.items() for k in range(n))
-    least = -(-len(used) // 64)
-    assert len(filled) <= 11 / 9 * max(least, sum(v for k, v in counts.items() if k > 32)) + 1
+    rooms = []  # best-fit decreasing, piece by piece
+    for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+        fitting = [r for r in rooms if r >= length]
+        room = min(fitting) if fitting else 64
+        if fitting:
+            rooms.remove(room)
+        rooms.append(room - length)
+    assert len(filled) == len(rooms)
 
 
 PATTERNS = [re.compile(x) for x in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
