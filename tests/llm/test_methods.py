@@ -102,7 +102,7 @@ def test_base_spans_equal_the_patterns(text):
 
 
 def test_the_field_adds_what_its_twin_says(spark, sf):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     own = spark.createDataFrame([(-1, "call +1 (988) 555-2485 now, or later (988) 555-2485 again"), (-2, "version 12 of 34 things")], docs.schema)
     got = {r["id"]: r for r in pii.personal_data(docs.unionByName(own)).filter("id < 0").collect()}
     assert len(got[-1]["base"]) == 1 and [(s["start"], s["end"]) for s in got[-1]["spans"]] == [(5, 22), (37, 51)]
@@ -235,4 +235,4 @@ def test_digests_of_op1(spark, sf):
     for doc, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
         base = base_by_patterns(text)
         assert rows[doc]["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
-        assert rows[doc]["n_email"] == sum(k == 0 for _, k, _ in base)
+        assert [rows[doc][f"n_{x}"] for x in pii.KINDS] == [sum(k == i for _, k, _ in base) for i in range(4)]
