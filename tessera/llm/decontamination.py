@@ -1,22 +1,29 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by SimHash of windows along the items.
 
 Windows begin at anchors, words chosen by content (the least hash among some neighbours), so a copied passage is cut alike
-in a document and in a benchmark item, wherever it stands. From every anchor, windows of a ladder of sizes are
-fingerprinted: 64 bits, each the sign of a weighted vote of the window's words. Every item gives the fingerprints of its
-own windows of the largest size that fits. The fingerprints are cut into ``radius + 1`` blocks: two within ``radius`` of
-each other agree in at least one block, so joining on blocks finds all of them. Each candidate places the item in the
-document; the passage there is confirmed by the weighted similarity of word shingles (each counted as often as it occurs,
-the sum of the lesser counts over the sum of the greater) with shifts and lengths off by up to ``slack`` words.
+in a document and in a benchmark item, wherever it stands. Windows are fingerprinted: 64 bits, each the sign of a weighted
+vote of the window's words. The fingerprints are cut into ``radius + 1`` blocks: two within ``radius`` of each other agree
+in at least one block, so joining on blocks finds all of them.
+
+A passage as similar as asked shares with the item at least ``least_run`` words in a row, as each interior edit costs four
+shingles on both sides at least. So every item gives short windows all along it, of a size that such a run holds whole:
+``SHORT`` words from anchors if the run is long enough to hold an anchor and the window, else windows at every word of item
+and document. Besides, items give windows of the largest size of a ladder that fits them. Only passages that repeat words
+of the item next to themselves (so that an edit costs the item nothing) can have shorter runs and be missed.
+
+Each candidate pair is confirmed by the weighted similarity of word shingles (each counted as often as it occurs, the sum
+of the lesser counts over the sum of the greater) of the most similar of all passages that could hold the window.
 
 The benchmark is a fixed, small table next to the corpus; its fingerprints go to every task if there are at most
 ``broadcast_items`` of them, and are joined by a shuffle on the blocks beyond.
 
-Null or empty texts and items match nothing; items of fewer words than the least window are compared as one window of
-their own length. Rows given twice are both found. Rows without identifier are found under a null identifier.
+Null or empty texts and items match nothing; items of fewer words than a shingle are compared as one window of their own
+length. Rows given twice are both found. Rows without identifier are found under a null identifier.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +36,9 @@ from .words import ALNUM, U, mixed, shingles, text_words
 
 NEIGHBOURS = 6
 LADDER = (4, 6, 9, 13, 19, 28, 42, 63, 94, 141, 211, 316, 474, 711, 1066, 1599)
+#: Words of the windows along an item; of its shorter runs, those of the largest of these that fits.
+SHORT, SHORTER = 9, (1, 2, 3, 4, 5, 6, 9)
+SHINGLE = 5
 BIT = U(1) << np.arange(64, dtype=U)
 
 
@@ -63,10 +73,33 @@ def fingerprints(sums: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(sums[first + size] - sums[first] > 0, axis=1).view(">u8").astype(U).ravel()
 
 
-def item_size(n: int) -> int:
-    """The largest window of the ladder that fits an item of n words from at least one anchor."""
-    fitting = [s for s in LADDER if s + NEIGHBOURS - 1 <= n]
-    return max(fitting, default=n)
+def least_run(n: int, similarity: float) -> int:
+    """Words in a row that an item of n words has in common with any passage of at least this similarity.
+
+    With ``breaks`` between the runs, the item lacks 4 shingles for each and the passage has 4 others for each.
+    """
+    total = n - SHINGLE + 1
+    if total < 1:
+        return n
+    run = total
+    for breaks in range(total // 4 + 1):
+        shared = max(1, math.ceil(similarity * (total + 4 * breaks) - 1e-9))
+        if shared > total - 4 * breaks:
+            break
+        run = min(run, -(-shared // (breaks + 1)))
+    return run + SHINGLE - 1
+
+
+def item_kinds(n: int, similarity: float) -> set[tuple[int, bool]]:
+    """(size, whether at every word instead of at anchors) of the windows of an item of n words."""
+    run = least_run(n, similarity)
+    anchored = run >= SHORT + NEIGHBOURS - 1
+    out = {(SHORT, False) if anchored else (max(s for s in SHORTER if s <= run), True)}
+    return out | {(s, False) for s in [s for s in LADDER if SHORT <= s <= n - NEIGHBOURS + 1][-1:]}
+
+
+def starts(n: int, at: np.ndarray, everywhere: bool) -> np.ndarray:
+    return np.arange(n) if everywhere else at
 
 
 def blocks(prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -76,16 +109,17 @@ def blocks(prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         yield k, (prints >> U(lo)) & U((1 << (hi - lo)) - 1)
 
 
-def item_windows(text: str | None) -> Iterator[tuple[int, int, int]]:
-    """(size, fingerprint, words before the window) of an item."""
+def item_windows(text: str | None, similarity: float) -> Iterator[tuple[int, bool, int, int]]:
+    """(size, whether at every word, fingerprint, words before the window) of an item."""
     words = text_words(text, ALNUM)
     n = len(words)
     if n:
-        size = item_size(n)
-        at = anchors(words)
-        at = at[at + size <= n] if size < n else np.zeros(1, np.intp)
-        for p, before in zip(fingerprints(votes(words), at, size).tolist(), at.tolist(), strict=True):
-            yield size, p, before
+        at, sums = anchors(words), votes(words)
+        for size, everywhere in sorted(item_kinds(n, similarity)):
+            first = starts(n, at, everywhere)
+            first = first[first + size <= n]
+            for p, before in zip(fingerprints(sums, first, size).tolist(), first.tolist(), strict=True):
+                yield size, everywhere, p, before
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -95,24 +129,70 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(1, np.maximum(x, y).sum()))
 
 
-def best_passage(words: np.ndarray, item: np.ndarray, start: int, slack: int) -> tuple[float, int, int]:
-    """Similarity, first word and number of words of the most similar passage near ``start``."""
-    wanted = shingles(item)
-    best = (0.0, start, len(item))
-    order = sorted(((abs(d) + abs(g), d, g) for d in range(-slack, slack + 1) for g in range(-slack, slack + 1)))
-    for _, d, g in order:
-        lo, hi = max(0, start + d), min(len(words), start + d + len(item) + g)
-        if hi > lo:
-            found = weighted_similarity(shingles(words[lo:hi]), wanted)
-            if found > best[0]:
-                best = (found, lo, hi - lo)
-            if found == 1:
-                break
-    return best
+class Item:
+    """An item's words and its distinct shingles with their counts."""
+
+    def __init__(self, text: str | None):
+        self.words = text_words(text, ALNUM)
+        self.shingles = shingles(self.words)
+        self.names, self.counts = np.unique(self.shingles, return_counts=True)
+
+
+def best_passage(words: np.ndarray, own: np.ndarray, item: Item, begins: list[int], similarity: float) -> tuple[float, int, int]:
+    """Similarity, first word and number of words of the most similar passage (of equals, the first) around ``begins``.
+
+    ``own``: the shingles of ``words``. Similarity is 0 where no passage is as similar as asked. A most similar passage begins
+    and ends with shingles of the item, as leaving out others at its ends makes it more similar.
+    """
+    n, total = len(item.words), len(item.shingles)
+    for start in sorted(begins):
+        if 0 <= start <= len(words) - n and np.array_equal(words[start : start + n], item.words):
+            return 1.0, start, n
+    if n < SHINGLE or len(words) < SHINGLE:
+        return 0.0, 0, 0
+    most = max(total, int(total / similarity + 1e-9))  # shingles of a passage
+    regions: list[list[int]] = []
+    for start in sorted(begins):
+        lo, hi = max(0, start - most), min(len(own), start + n + most)
+        if regions and lo <= regions[-1][1]:
+            regions[-1][1] = max(regions[-1][1], hi)
+        else:
+            regions.append([lo, hi])
+    best = (0.0, 0, 0)
+    for lo, hi in regions:
+        name = np.minimum(np.searchsorted(item.names, own[lo:hi]), len(item.names) - 1)
+        at = np.flatnonzero(item.names[name] == own[lo:hi])
+        name = name[at]
+        m = len(at)
+        if np.minimum(np.bincount(name, minlength=len(item.names)), item.counts).sum() < similarity * total:
+            continue
+        # an occurrence counts in passages that begin after the one as many occurrences before as the item has
+        order = np.argsort(name, kind="stable")
+        j = np.arange(m) - item.counts[name[order]]
+        spent = np.full(m, -1)
+        spent[order] = np.where((j >= 0) & (name[order][np.maximum(j, 0)] == name[order]), order[np.maximum(j, 0)], -1)
+        end = np.searchsorted(at, at + most, "left")
+        begin = np.flatnonzero(end - np.arange(m) >= similarity * total)
+        if not len(begin):
+            continue
+        width = int((end[begin] - begin).max())
+        step = max(1, (1 << 20) // width)
+        for k in range(0, len(begin), step):
+            a = begin[k : k + step, None]
+            b = a + np.arange(width)
+            inside = b < end[a]
+            b = np.minimum(b, m - 1)
+            shared = np.cumsum((spent[b] < a) & inside, axis=1)
+            length = at[b] - at[a] + 1
+            found = np.where(inside, shared / (total + length - shared), 0.0)
+            i = int(found.argmax())
+            if found.flat[i] > best[0]:
+                best = (float(found.flat[i]), lo + int(at[a[i // width, 0]]), int(length.flat[i]) + SHINGLE - 1)
+    return best if best[0] >= similarity else (0.0, 0, 0)
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radius: int = 3, slack: int = 2,
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radius: int = 3,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_items: int = 20_000,
 ) -> DataFrame:
     """(id, item, similarity, first_word, n_words): for each document and item found in it, the most similar passage."""
@@ -121,21 +201,21 @@ def contaminated(
         for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).filter(F.col(item_text_col).isNotNull()).limit(broadcast_items + 1).collect()
     ]
     if len(items) > broadcast_items:
-        return _by_shuffle(docs, benchmark, similarity, radius, slack, id_col, text_col, item_col, item_text_col)
-    return _matches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), items, similarity, radius, slack)
+        return _by_shuffle(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text_col)
+    return _matches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), items, similarity, radius)
 
 
 class Index:
-    """Fingerprints of item windows by size and block."""
+    """Fingerprints of item windows by (size, whether at every word) and block."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int):
-        self.radius, self.items = radius, [(i, text_words(t, ALNUM)) for i, t in items]
-        by_size: dict[int, list[tuple[int, int, int]]] = {}
+    def __init__(self, items: list[tuple[int, str]], radius: int, similarity: float = 0.75):
+        self.radius, self.items = radius, [(i, Item(t)) for i, t in items]
+        by_kind: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
         for k, (_, text) in enumerate(items):
-            for size, p, before in item_windows(text):
-                by_size.setdefault(size, []).append((p, k, before))
+            for size, everywhere, p, before in item_windows(text, similarity):
+                by_kind.setdefault((size, everywhere), []).append((p, k, before))
         self.tables = {}
-        for size, found in by_size.items():
+        for kind, found in by_kind.items():
             prints = np.array([x[0] for x in found], U)
             tables = []
             for _, values in blocks(prints, radius):
@@ -143,7 +223,7 @@ class Index:
                 there = np.zeros(1 << 16, bool)  # which values occur, by their last 16 bits
                 there[(values & U(0xFFFF)).astype(np.intp)] = True
                 tables.append((values[order], order, there))
-            self.tables[size] = (prints, np.array([x[1] for x in found]), np.array([x[2] for x in found]), tables)
+            self.tables[kind] = (prints, np.array([x[1] for x in found]), np.array([x[2] for x in found]), tables)
 
     def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int, int]]:
         """(number of the text, number of the item, word at which it would begin) for the words of some texts."""
@@ -156,9 +236,8 @@ class Index:
         ends = np.cumsum(lengths)
         begins = ends - lengths
         of = np.repeat(np.arange(len(texts)), lengths)
-        for size, (prints, item, before, tables) in self.tables.items():
-            # an item shorter than any window is one window of its own, which may begin anywhere
-            first = at if size in LADDER else np.arange(len(words))
+        for (size, everywhere), (prints, item, before, tables) in self.tables.items():
+            first = starts(len(words), at, everywhere)
             first = first[first + size <= ends[of[first]]]
             if not len(first):
                 continue
@@ -176,74 +255,83 @@ class Index:
                 out.update(zip(text.tolist(), item[k[near]].tolist(), (first[w[near]] - begins[text] - before[k[near]]).tolist(), strict=True))
         return out
 
+    def matches(self, texts: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int, tuple[float, int, int]]]:
+        """Number of the text, number of the item and the most similar passage, for each pair that is as similar as asked."""
+        begins: dict[int, dict[int, list[int]]] = {}
+        for text, k, start in self.candidates(texts):
+            begins.setdefault(text, {}).setdefault(k, []).append(start)
+        for text, by_item in sorted(begins.items()):
+            own = shingles(texts[text])
+            for k, at in sorted(by_item.items()):
+                found = best_passage(texts[text], own, self.items[k][1], at, similarity)
+                if found[0]:
+                    yield text, k, found
+
 
 FOUND = "id bigint, item bigint, similarity double, first_word bigint, n_words bigint"
 
 
-def _matches(rows: DataFrame, items: list[tuple[int, str]], similarity: float, radius: int, slack: int) -> DataFrame:
+def _matches(rows: DataFrame, items: list[tuple[int, str]], similarity: float, radius: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, radius)
+        index = Index(items, radius, similarity)
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
             for lo in range(0, batch.num_rows, 100):
                 words = [text_words(x, ALNUM) for x in batch.column(1).slice(lo, 100).to_pylist()]
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for text, k, start in sorted(index.candidates(words)):
-                    found = best_passage(words[text], index.items[k][1], start, slack)
-                    if found[0] >= similarity and found[0] > best.get((text, k), (0.0,))[0]:
-                        best[text, k] = found
-                out += [(ids[lo + text], index.items[k][0], *x) for (text, k), x in best.items()]
+                out += [(ids[lo + text], index.items[k][0], *found) for text, k, found in index.matches(words, similarity)]
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["id", "item", "similarity", "first_word", "n_words"])
 
     return rows.mapInArrow(search, FOUND)
 
 
-def _by_shuffle(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, slack: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """The same search for a large benchmark: windows of both sides are joined on (size, block number, block)."""
+def _by_shuffle(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The same search for a large benchmark: windows of both sides are joined on (kind, block number, block)."""
     spark = docs.sparkSession
 
-    def windows(of_items: bool, sizes: list[int]):
+    def windows(of_items: bool, kinds: list[tuple[int, bool]]):
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: list[tuple] = []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if of_items:
-                        found = list(item_windows(text))
+                        found = list(item_windows(text, similarity))
                     else:
                         words = text_words(text, ALNUM)
                         at, sums = anchors(words), votes(words)
                         found = []
-                        for size in sizes:
-                            first = at if size in LADDER else np.arange(len(words))
+                        for size, everywhere in kinds:
+                            first = starts(len(words), at, everywhere)
                             first = first[first + size <= len(words)]
-                            found += [(size, p, f) for p, f in zip(fingerprints(sums, first, size).tolist(), first.tolist(), strict=True)]
-                    for size, p, where in found:
-                        out += [(key, size, k, int(v[0]), p - (1 << 63), where) for k, v in blocks(np.array([p], U), radius)]
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["key", "size", "block", "value", "print", "at"])
+                            found += [(size, everywhere, p, f) for p, f in zip(fingerprints(sums, first, size).tolist(), first.tolist(), strict=True)]
+                    for size, everywhere, p, where in found:
+                        out += [(key, size, everywhere, k, int(v[0]), p - (1 << 63), where) for k, v in blocks(np.array([p], U), radius)]
+                types = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["key", "size", "everywhere", "block", "value", "print", "at"])
 
         return make
 
-    schema = "key bigint, size int, block int, value bigint, print bigint, at bigint"
+    schema = "key bigint, size int, everywhere boolean, block int, value bigint, print bigint, at bigint"
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("item_text"))
     known = written(asked.mapInArrow(windows(True, []), schema), "item-windows")
-    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # a size of the ladder, or below its least with the neighbours
-    own = texts.mapInArrow(windows(False, sizes), schema)
+    kinds = [(r["size"], r["everywhere"]) for r in known.select("size", "everywhere").distinct().collect()]  # few: sizes of the ladder and below
+    own = texts.mapInArrow(windows(False, kinds), schema)
     a, b = own.alias("a"), known.alias("b")
-    near = (F.col("a.size") == F.col("b.size")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
+    near = (F.col("a.size") == F.col("b.size")) & (F.col("a.everywhere") == F.col("b.everywhere")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
     pairs = a.join(b, near).filter(F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))) <= radius)
-    pairs = pairs.select(F.col("a.key").alias("id"), F.col("b.key").alias("item"), (F.col("a.at") - F.col("b.at")).alias("start")).distinct()
-    full = pairs.join(asked, "item").join(texts, "id").select("id", "text", "item", "item_text", "start")
+    pairs = pairs.select(F.col("a.key").alias("id"), F.col("b.key").alias("item"), (F.col("a.at") - F.col("b.at")).alias("start"))
+    pairs = pairs.groupBy("id", "item").agg(F.collect_set("start").alias("begins"))
+    full = pairs.join(asked, "item").join(texts, "id").select("id", "text", "item", "item_text", "begins")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, item, item_text, start in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                found = best_passage(text_words(text, ALNUM), text_words(item_text, ALNUM), start, slack)
-                if found[0] >= similarity:
+            for doc, text, item, item_text, begins in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                words = text_words(text, ALNUM)
+                found = best_passage(words, shingles(words), Item(item_text), begins, similarity)
+                if found[0]:
                     out.append((doc, item, *found))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["id", "item", "similarity", "first_word", "n_words"])
