@@ -17,7 +17,8 @@ of the lesser counts over the sum of the greater) of the most similar of all pas
 The benchmark is a fixed, small table next to the corpus; its fingerprints go to every task if there are at most
 ``broadcast_items`` of them, and are joined by a shuffle on the blocks beyond.
 
-Null or empty texts and items match nothing; items of fewer words than a shingle are compared as one window of their own
+What is found depends on the texts alone, so texts and items are known by their SHA-256 where rows must be joined, never by
+their identifiers. Null or empty texts and items match nothing; items of fewer words than a shingle are compared as one window of their own
 length. Rows given twice are both found. Rows without identifier are found under a null identifier.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filtered, written
+from .shared import fresh, written
 from .words import ALNUM, U, mixed, shingles, text_words
 
 NEIGHBOURS = 6
@@ -196,15 +197,19 @@ def contaminated(
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_items: int = 20_000,
 ) -> DataFrame:
     """(id, item, similarity, first_word, n_words): for each document and item found in it, the most similar passage."""
-    items = [
-        (r[0], r[1])
-        for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).filter(F.col(item_text_col).isNotNull()).limit(broadcast_items + 1).collect()
-    ]
-    if len(items) > broadcast_items:
+    items = _few_items(benchmark, item_col, item_text_col, broadcast_items)
+    if items is None:
         return _by_shuffle(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text_col)
     return _matches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), items, similarity, radius)
 
 
+def _few_items(benchmark: DataFrame, item_col: str, item_text_col: str, most: int) -> list[tuple[int, str]] | None:
+    """The items with a text; None if there are more than ``most``."""
+    rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).filter(F.col(item_text_col).isNotNull())
+    items = [(r[0], r[1]) for r in rows.limit(most + 1).collect()]
+    return items if len(items) <= most else None
+
+
 class Index:
     """Fingerprints of item windows by (size, whether at every word) and block."""
 
@@ -287,8 +292,15 @@ def _matches(rows: DataFrame, items: list[tuple[int, str]], similarity: float, r
 
 
 def _by_shuffle(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """The same search for a large benchmark: windows of both sides are joined on (kind, block number, block)."""
-    spark = docs.sparkSession
+    """The same search for a large benchmark: what is found in each text, for all rows of the text and of the item."""
+    found = _found_keys(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text_col)
+    texts, asked = _keyed(docs, id_col, text_col), _keyed(benchmark, item_col, item_text_col)
+    rows = found.join(texts.select("key", "id"), "key").join(asked.select(F.col("key").alias("item_key"), F.col("id").alias("item")), "item_key")
+    return rows.select("id", "item", "similarity", "first_word", "n_words")
+
+
+def _found_keys(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(key, item_key, similarity, first_word, n_words): windows of both sides are joined on (kind, block number, block)."""
 
     def windows(of_items: bool, kinds: list[tuple[int, bool]]):
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,23 +319,24 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, similarity: float, radius
                             found += [(size, everywhere, p, f) for p, f in zip(fingerprints(sums, first, size).tolist(), first.tolist(), strict=True)]
                     for size, everywhere, p, where in found:
                         out += [(key, size, everywhere, k, int(v[0]), p - (1 << 63), where) for k, v in blocks(np.array([p], U), radius)]
-                types = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                types = (pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["key", "size", "everywhere", "block", "value", "print", "at"])
 
         return make
 
-    schema = "key bigint, size int, everywhere boolean, block int, value bigint, print bigint, at bigint"
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("item_text"))
-    known = written(asked.mapInArrow(windows(True, []), schema), "item-windows")
+    schema = "key binary, size int, everywhere boolean, block int, value bigint, print bigint, at bigint"
+    texts, asked = (_keyed(*x) for x in ((docs, id_col, text_col), (benchmark, item_col, item_text_col)))
+    asked_texts = asked.select("key", "text").dropDuplicates(["key"])
+    known = written(asked_texts.mapInArrow(windows(True, []), schema), "item-windows")
     kinds = [(r["size"], r["everywhere"]) for r in known.select("size", "everywhere").distinct().collect()]  # few: sizes of the ladder and below
-    own = texts.mapInArrow(windows(False, kinds), schema)
+    own = texts.select("key", "text").mapInArrow(windows(False, kinds), schema)
     a, b = own.alias("a"), known.alias("b")
     near = (F.col("a.size") == F.col("b.size")) & (F.col("a.everywhere") == F.col("b.everywhere")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.value") == F.col("b.value"))
     pairs = a.join(b, near).filter(F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))) <= radius)
-    pairs = pairs.select(F.col("a.key").alias("id"), F.col("b.key").alias("item"), (F.col("a.at") - F.col("b.at")).alias("start"))
-    pairs = pairs.groupBy("id", "item").agg(F.collect_set("start").alias("begins"))
-    full = pairs.join(asked, "item").join(texts, "id").select("id", "text", "item", "item_text", "begins")
+    pairs = pairs.select(F.col("a.key").alias("key"), F.col("b.key").alias("item_key"), (F.col("a.at") - F.col("b.at")).alias("start"))
+    pairs = written(pairs.groupBy("key", "item_key").agg(F.collect_set("start").alias("begins")), "candidates")
+    of_docs = texts.select("key", "text").join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    full = pairs.join(asked_texts.select(F.col("key").alias("item_key"), F.col("text").alias("item_text")), "item_key").join(of_docs, "key").select("key", "text", "item_key", "item_text", "begins")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,14 +346,39 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, similarity: float, radius
                 found = best_passage(words, shingles(words), Item(item_text), begins, similarity)
                 if found[0]:
                     out.append((doc, item, *found))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["id", "item", "similarity", "first_word", "n_words"])
+            types = (pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["key", "item_key", "similarity", "first_word", "n_words"])
+
+    return full.mapInArrow(confirm, "key binary, item_key binary, similarity double, first_word bigint, n_words bigint")
+
 
-    best = F.max_by(F.struct("similarity", "first_word", "n_words"), F.struct("similarity", -F.col("first_word")))
-    return spark.createDataFrame([], FOUND).unionByName(full.mapInArrow(confirm, FOUND).groupBy("id", "item").agg(best.alias("r")).select("id", "item", "r.*"))
+def _key(text_col: str):
+    return F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, text) of the rows with a text."""
+    return rows.filter(F.col(text_col).isNotNull()).select(_key(text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, radius: int = 3,
+    item_col: str = "item_id", item_text_col: str = "text", broadcast_items: int = 20_000,
+) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns."""
-    found = written(contaminated(docs, benchmark, id_col=id_col, text_col=text_col).select("id").distinct(), "contaminated")
-    return filtered(docs, id_col, found, "left_anti")
+    items = _few_items(benchmark, item_col, item_text_col, broadcast_items)
+    if items is None:
+        keys = _found_keys(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text_col).select("key").distinct()
+        name = fresh(docs, "__key")
+        return docs.join(written(keys.select(F.col("key").alias(name)), "contaminated"), _key(text_col) == F.col(name), "left_anti")
+
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(items, radius, similarity)
+        for batch in batches:
+            out = np.ones(len(batch), bool)
+            for lo in range(0, len(batch), 100):
+                words = [text_words(x, ALNUM) for x in batch.slice(lo, 100).to_pylist()]
+                out[[lo + text for text, *_ in index.matches(words, similarity)]] = False
+            yield pa.array(out)
+
+    return docs.filter(F.arrow_udf(clean, "boolean")(F.col(text_col).cast("string")))

@@ -2,10 +2,9 @@
 
 import random
 
-import numpy as np
 import pytest
 
-from tessera.llm.decontamination import Index, Item, best_passage, contaminated, weighted_similarity
+from tessera.llm.decontamination import Index, Item, best_passage, contaminated, decontaminated, weighted_similarity
 from tessera.llm.words import ALNUM, shingles, text_words
 
 
@@ -69,3 +68,23 @@ def test_edited_passages_are_found_on_both_paths(spark, most):
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     assert {(r["id"], r["item"]) for r in contaminated(d, b, broadcast_items=most).collect()} == {(i, i) for i in range(4)}
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 8, 11, 13, 14])
+def test_verbatim_copies_of_short_items_are_found(n):
+    rng = random.Random(n)
+    for _ in range(60):
+        item, before, after = ([f"w{rng.randrange(10**6)}" for _ in range(k)] for k in (n, rng.randrange(30), 30))
+        found = list(Index([(1, " ".join(item))], 3).matches([text_words(" ".join(before + item + after), ALNUM)], 0.75))
+        assert found == [(0, 0, (1.0, len(before), n))]
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_rows_without_or_with_shared_identifiers(spark, most):
+    item = "the lazy dog while seven grey cats watch from an old stone wall"
+    docs = [(None, f"well {item} so"), (None, "quite another text of many words that nobody knows at all"), (None, None), (5, item), (5, "clean"), (6, item)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(None, item), (2, item)], "item_id bigint, text string")
+    got = [(r["id"], r["item"], r["first_word"]) for r in contaminated(d, b, broadcast_items=most).collect()]
+    assert sorted(got, key=repr) == sorted([(i, k, int(i is None)) for i in (None, 5, 6) for k in (None, 2)], key=repr)
+    left = [tuple(r) for r in decontaminated(d, b, broadcast_items=most).collect()]
+    assert sorted(left, key=repr) == sorted([docs[1], docs[2], docs[4]], key=repr)
