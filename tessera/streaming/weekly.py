@@ -23,16 +23,17 @@ def event_stream(spark: SparkSession, directory: str, table: str = "events", fil
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def weekly(events: DataFrame, late: str = "3 days") -> DataFrame:
-    """Counts and sums by chart week (Friday to Thursday) and type; rows later than ``late`` are dropped."""
+def weekly(events: DataFrame, late: str | None = "3 days") -> DataFrame:
+    """Counts and sums by chart week (Friday to Thursday) and type; rows later than ``late`` are dropped, none if it is None."""
     week = F.window("ts", "7 days", startTime="1 day")
-    grouped = events.withWatermark("ts", late).groupBy(week, "event_type")
+    grouped = (events.withWatermark("ts", late) if late else events).groupBy(week, "event_type")
     sums = grouped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
     return sums.select(F.date_sub(F.col("window.end").cast("date"), 1).alias("week_end"), "event_type", "n", "total")
 
 
-def deduplicated(events: DataFrame, keys: list[str], late: str = "3 days") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def deduplicated(events: DataFrame, keys: list[str], late: str | None = "3 days") -> DataFrame:
+    """The first row of each key; without ``late`` no row is too late and all keys are kept to the end."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if late else events.dropDuplicates(keys)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
