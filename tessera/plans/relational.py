@@ -450,6 +450,12 @@ def str_normalize(t: Tables) -> DataFrame:
     return d.select("doc_id", F.left(C.search_text("text"), F.lit(80)).alias("search"))
 
 
+@query()
+def str_normalize_whole(t: Tables) -> DataFrame:
+    """The whole normalised text of every document (``str_normalize`` and its SQL take only the beginning of shorter ones)."""
+    return t.raw("documents").select("doc_id", C.search_text("text").alias("search"))
+
+
 @query(r"""WITH k AS (SELECT title_id, artist, list_distinct(list_filter(string_split(title, ' '), lambda x: length(x) >= 2)) AS words FROM titles)
     SELECT a.title_id, round(len(list_intersect(a.words, ['small', 'red', 'ring'])) / len(list_distinct(list_concat(a.words, ['small', 'red', 'ring']))), 8) AS overlap FROM k a""")
 def str_jaccard(t: Tables) -> DataFrame:
