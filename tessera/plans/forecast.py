@@ -113,7 +113,7 @@ def archetype_fit(pdf: pd.DataFrame) -> pd.DataFrame:
 @query()
 def archetype_forecast(t: Tables) -> DataFrame:
     """78 weeks of titles with a long history, each fitted on its own (a group holds a title's weeks, at most a few hundred)."""
-    rows = life(t).filter("title_id % 20 = 0")
+    rows = life(t)
     long = rows.groupBy("title_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 12").select("title_id")
     return rows.join(long, "title_id", "left_semi").groupBy("title_id").applyInPandas(archetype_fit, "title_id bigint, step bigint, forecast double")
 
@@ -200,8 +200,19 @@ def gbt_catalog_decay(t: Tables) -> DataFrame:
     e AS (SELECT title_id, max(week_end) AS d, arg_max(ae, week_end) AS y, min(ae) * 0.25 AS f FROM h GROUP BY 1), p AS (SELECT title_id, CAST(d + CAST(7 * n AS INTEGER) AS DATE) AS week_end, f + greatest(y - f, 0) * pow(0.98, n) AS ae, 'forecast' AS kind FROM e, range(1, 27) g(n))
     SELECT title_id, week_end, round(ae, 4) AS ae, kind FROM (SELECT title_id, week_end, ae, kind FROM h UNION ALL SELECT title_id, week_end, ae, kind FROM p)""")
 def stitched_series(t: Tables) -> DataFrame:
+    """History followed by its decay for the titles that the SQL takes, one of fifty."""
+    return stitched(life(t).filter("title_id % 50 = 0"))
+
+
+@query()
+def stitched_series_all(t: Tables) -> DataFrame:
+    """The same for every title."""
+    return stitched(life(t))
+
+
+def stitched(weeks: DataFrame) -> DataFrame:
     """History followed by its decay; where two sources have a week, the earlier source wins."""
-    h = life(t).filter("title_id % 50 = 0").select("title_id", "week_end", "ae", F.lit("history").alias("kind"), F.lit(0).alias("pri"))
+    h = weeks.select("title_id", "week_end", "ae", F.lit("history").alias("kind"), F.lit(0).alias("pri"))
     e = h.groupBy("title_id").agg(F.max("week_end").alias("d"), F.max_by("ae", "week_end").alias("y"), (F.min("ae") * 0.25).alias("f"))
     steps = e.select("*", F.explode(F.sequence(F.lit(1), F.lit(26))).alias("n"))
     p = steps.select("title_id", F.date_add("d", F.col("n") * 7).alias("week_end"), (F.col("f") + F.greatest(F.col("y") - F.col("f"), F.lit(0.0)) * F.pow(F.lit(0.98), F.col("n"))).alias("ae"), F.lit("forecast").alias("kind"), F.lit(1).alias("pri"))

@@ -162,12 +162,33 @@ def join_horizon_grid(t: Tables) -> DataFrame:
 @query("""WITH tot AS (SELECT title_id, sum(ae) AS ae FROM daily_fact GROUP BY 1), c AS (SELECT title_id, ae, floor(log10(CAST(ae AS DOUBLE)) / 0.05) AS b FROM tot WHERE title_id % 97 = 0)
     SELECT a.title_id, CAST(count(b.title_id) AS BIGINT) AS near FROM c a JOIN tot b ON b.title_id <> a.title_id AND b.ae BETWEEN CAST(a.ae AS DOUBLE) / 1.05 AND CAST(a.ae AS DOUBLE) * 1.05 GROUP BY 1""")
 def join_range_band(t: Tables) -> DataFrame:
-    """Titles with a volume within a factor: an equi-join on logarithmic bands and their neighbours, then the exact range."""
-    tot = t.daily_fact.groupBy("title_id").agg(F.sum("ae").cast(DOUBLE).alias("ae"))
+    """Titles with a volume within a factor, asked for the few titles that the SQL asks for."""
+    tot = title_volumes(t)
+    return within_factor(tot.filter("title_id % 97 = 0"), tot)
+
+
+@query()
+def join_range_band_all(t: Tables) -> DataFrame:
+    """The same for every title that has others within the factor."""
+    tot = title_volumes(t)
+    return within_factor(tot, tot)
+
+
+def title_volumes(t: Tables) -> DataFrame:
+    return t.daily_fact.groupBy("title_id").agg(F.sum("ae").cast(DOUBLE).alias("ae"))
+
+
+def within_factor(asked: DataFrame, tot: DataFrame, salts: int = 16) -> DataFrame:
+    """Other titles within a factor of 1.05: an equi-join on logarithmic bands and their neighbours, then the exact range.
+
+    A band's titles are dealt over ``salts`` blocks, each of which meets every title asked for, so that no task has a dense band.
+    """
     width = 0.0211893  # log10(1.05), so that a range touches its own band and the two beside it
     band = F.floor(F.log10("ae") / width)
-    asked = tot.filter("title_id % 97 = 0").select(F.col("title_id").alias("asked_id"), F.col("ae").alias("asked"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    hits = asked.join(tot.withColumn("band", band), "band").filter((F.col("title_id") != F.col("asked_id")) & F.col("ae").between(F.col("asked") / 1.05, F.col("asked") * 1.05))
+    asked = asked.select(F.col("title_id").alias("asked_id"), F.col("ae").alias("asked"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    asked = asked.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    dealt = tot.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("title_id"), F.lit(salts)).cast("int"))
+    hits = asked.join(dealt, ["band", "salt"]).filter((F.col("title_id") != F.col("asked_id")) & F.col("ae").between(F.col("asked") / 1.05, F.col("asked") * 1.05))
     return hits.groupBy(F.col("asked_id").alias("title_id")).agg(F.count(F.lit(1)).alias("near"))
 
 

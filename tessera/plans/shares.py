@@ -78,6 +78,13 @@ def first_week_resolver(t: Tables) -> DataFrame:
     return first_weeks(t.title_weeks.select("title_id", "week_end", F.col("ae").cast(DOUBLE).alias("ae")), streets)
 
 
+@query()
+def first_week_resolver_all(t: Tables) -> DataFrame:
+    """The same for every title; ``first_week_resolver`` and its SQL take one of ten."""
+    streets = t.titles.select("title_id", F.col("first_sale_date").alias("street"))
+    return first_weeks(t.title_weeks.select("title_id", "week_end", F.col("ae").cast(DOUBLE).alias("ae")), streets)
+
+
 def first_weeks(weeks: DataFrame, streets: DataFrame, stub: float = 0.1) -> DataFrame:
     w = Window.partitionBy("title_id").orderBy("week_end")
     x = weeks.join(streets, "title_id").filter("week_end >= street").withColumn("w1", F.lead("week_end").over(w)).withColumn("ae1", F.lead("ae").over(w))
