@@ -160,7 +160,7 @@ def ar_share_forecast(t: Tables) -> DataFrame:
     return t.panel.select("label", "week_end", "share").groupBy("label").applyInPandas(recurrence, "label string, step bigint, share double")
 
 
-def shape_vectors(t: Tables, weeks: int = 12) -> DataFrame:
+def shape_vectors(t: Tables, weeks: int = 52) -> DataFrame:
     x = life(t).filter(F.col("k") <= weeks).groupBy("title_id").pivot("k", list(range(1, weeks + 1))).agg(F.sum("ae"))
     names = [str(k) for k in range(1, weeks + 1)]
     x = x.na.fill(0, names)

@@ -33,3 +33,12 @@ def test_whole_texts_are_normalised(spark, tmp_path):
     want = {i: None if x is None else re.sub(r"[\W_]+", " ", x.lower().translate(table)).strip() for i, x in docs}
     assert {r["doc_id"]: r["search"] for r in QUERIES["str_normalize_whole"](spark, str(tmp_path)).collect()} == want
     assert want[1].endswith(" end") and len(want[1]) > 4000
+
+
+def test_shapes_hold_a_year(spark, sf):
+    from tessera.plans.forecast import shape_vectors
+    from tessera.sources.tables import Tables
+
+    x = shape_vectors(Tables(spark, sf))
+    assert [c for c in x.columns if c != "title_id"] == [f"w{k}" for k in range(1, 53)]
+    assert x.filter(" + ".join(f"w{k}" for k in range(13, 53)) + " > 0").count() > 0
