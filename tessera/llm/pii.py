@@ -6,7 +6,7 @@ whose distant twins say what they are (a phone number that is later given withou
 address before the at sign). Neighbouring tokens are linked in a chain. Tokens with the same digits, the same spelling or
 an address with its local part are linked through one hub for each such key, however many they are, so the graph grows
 with the document; loopy message passing runs over both kinds of links. The potentials are learned piecewise from the
-base spans of a bounded sample of documents: token features by multinomial logistic regression, links by how often labels
+base spans of a bounded sample of documents, with and without such spans: token features by multinomial logistic regression, links by how often labels
 meet along them.
 
 Null and empty texts have no spans. Rows given twice are searched twice. If the sample has no spans, only base spans are
@@ -30,6 +30,8 @@ Span = tuple[int, int, int]  # start, kind, end
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGIT = re.compile(r"[0-9]")
+#: Documents with tokens of the field.
+LIKELY = re.compile(r"[0-9@]")
 #: Matches begin with a run of digits; runs are never given back, as what follows is no digit.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -196,11 +198,11 @@ class FieldModel(NamedTuple):
 
     def added(self, text: str, base: list[Span], sure: float = 0.9) -> list[Span]:
         """Spans of tokens that the field is sure of and no base span overlaps; neighbours of one kind become one span."""
-        if self.weights is None or not base:
+        if self.weights is None or not LIKELY.search(text):
             return []
         t = tokens(text, {text[s:e].partition("@")[0] for s, k, e in base if k == 0})
         known = token_labels(t.spans, base)
-        if known.all():
+        if known.all():  # also if there are none
             return []
         p = self.marginals(t, known)
         label = np.where(p.max(1) >= sure, p.argmax(1), 0)
@@ -216,12 +218,15 @@ class FieldModel(NamedTuple):
 
 def _documents(texts: Iterator[str | None]) -> Iterator[tuple[str, list[Span]]]:
     for text in texts:
-        if text and (base := base_spans(text)):
-            yield text, base
+        if text and LIKELY.search(text):
+            yield text, base_spans(text)
 
 
 def train(texts: DataFrame, sample_rows: int = 4000) -> FieldModel:
-    """Learn from about ``sample_rows`` of the documents (id, text) that have base spans, drawn by a hash of the identifier."""
+    """Learn from about ``sample_rows`` of the documents (id, text) with a digit or an at sign, drawn by a hash of the identifier.
+
+    Those without base spans are examples of tokens that are no personal data.
+    """
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +242,8 @@ def train(texts: DataFrame, sample_rows: int = 4000) -> FieldModel:
                 twins += counts.T @ counts - np.diag(counts.sum(0))
             yield pa.record_batch([pa.array([rows], pa.list_(pa.list_(pa.float64()))), pa.array([labels], pa.list_(pa.int64())), pa.array([near.ravel()], pa.list_(pa.int64())), pa.array([twins.ravel()], pa.list_(pa.int64()))], names=["features", "labels", "near", "twins"])
 
-    # a document counts as likely to have spans if it has a digit: cheap to see before anything is drawn
-    likely = texts.filter(F.col("text").rlike("[0-9@]"))
+    # only these have tokens: cheap to see before anything is drawn
+    likely = texts.filter(F.col("text").rlike(LIKELY.pattern))
     n = likely.count()
     drawn = likely.filter(F.pmod(F.xxhash64("id", F.lit("pii sample")), F.lit(1_000_003)) < min(1.0, sample_rows / max(1, n)) * 1_000_003)
     found = drawn.select("text").mapInArrow(examples, "features array<array<double>>, labels array<bigint>, near array<bigint>, twins array<bigint>").toArrow().to_pylist()
@@ -280,7 +285,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for text in batch.column(1).to_pylist():
                 found = base_spans(text) if text else []
                 base.append(row(found))
-                spans.append(row(sorted(found + model.added(text, found))) if found else [])
+                spans.append(row(sorted(found + model.added(text, found))) if text else [])
             yield pa.record_batch([batch.column(0), pa.array(base, kind), pa.array(spans, kind)], names=["id", "base", "spans"])
 
     return rows.select("id", "text").mapInArrow(search, SEARCHED)
