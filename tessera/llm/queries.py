@@ -65,16 +65,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document ended up: shard (its number in the manifest), tier, and the rows and text bytes of the shard."""
+    """Where each document ended up: shard (run/file), tier of the run, version of the manifest, and the document's bytes."""
     docs = input_table(spark, sf_dir, "documents")
     store = sharded(docs, new_path(spark, "shards"))
     manifest = store.manifest()
-    files = [(x.path.rsplit("/", 2)[-2] + "/" + x.path.rsplit("/", 1)[-1], k, x.tier, manifest["version"]) for k, x in enumerate(manifest["shards"])]
-    if not files:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("tier"), F.lit(0).alias("version"), F.lit(0).cast("long").alias("n_bytes"))
-    known = spark.createDataFrame(files, "file string, shard bigint, tier int, version int")
-    rows = store.read().select("doc_id", F.substring_index("__shard", "/", -2).alias("file"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.join(known, "file").select("doc_id", "shard", "tier", "version", "n_bytes")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    version = F.lit(manifest["version"]).alias("version")
+    if not manifest["runs"]:
+        return docs.select("doc_id", F.lit("").alias("shard"), F.lit(0).alias("tier"), version, n_bytes)
+    # few: each tier has less than fanout runs, and tiers grow by that factor
+    tiers = F.create_map(*(F.lit(x) for run in manifest["runs"] for x in (run.name, run.tier)))
+    return store.read().select("doc_id", F.col("__shard").alias("shard"), tiers[F.substring_index("__shard", "/", 1)].alias("tier"), version, n_bytes)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

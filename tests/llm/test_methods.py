@@ -212,10 +212,54 @@ def test_manifest_versions_and_conflicts(spark, tmp_path):
     first = store.append(spark.range(10).withColumnRenamed("id", "doc_id"))
     store.append(spark.range(10, 20).withColumnRenamed("id", "doc_id"))
     with pytest.raises(compaction.Conflict):
-        store.commit(first, [], 9)
+        store.commit(first, [])
     assert store.read(1).count() == 10
     store.compact()
-    assert store.read().count() == 20 and len({x.run for x in store.manifest()["shards"]}) == 1 and store.read(2).count() == 20
+    assert store.read().count() == 20 and len(store.manifest()["runs"]) == 1 and store.read(2).count() == 20
+    assert store.manifest()["runs"][0].rows == 20
+    store.vacuum(keep=1)
+    assert store.versions() == [3] and store.read().count() == 20
+
+
+@pytest.mark.parametrize("rival", ["append", "compact"])
+def test_of_two_writers_from_one_base_none_loses_rows(spark, tmp_path, rival):
+    """While one store writes its run, another commits; both changes hold."""
+
+    class Interrupted(compaction.ShardStore):
+        pending = None
+
+        def commit(self, base, runs):
+            act, self.pending = self.pending, None
+            if act:
+                act()
+            return super().commit(base, runs)
+
+    at, ids = str(tmp_path / "s"), lambda lo, hi: spark.range(lo, hi).withColumnRenamed("id", "doc_id")
+    one, two = Interrupted(spark, at, fanout=2), compaction.ShardStore(spark, at, fanout=2)
+    one.append(ids(0, 5)), one.append(ids(5, 10))
+    if rival == "append":
+        one.pending = lambda: two.append(ids(10, 15))
+        one.append(ids(15, 20))
+        assert sorted(r[0] for r in two.read().select("doc_id").collect()) == list(range(20)) and len(two.manifest()["runs"]) == 4
+    else:
+        one.pending = two.compact
+        one.compact()
+        assert sorted(r[0] for r in two.read().select("doc_id").collect()) == list(range(10)) and len(two.manifest()["runs"]) == 1
+    names = {x.name for x in two.manifest()["runs"]} | {x.name for v in two.versions() for x in two.manifest(v)["runs"]}
+    assert {p.name for p in (tmp_path / "s" / "runs").iterdir() if p.is_dir()} == names
+
+
+def test_a_column_named_shard_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        compaction.ShardStore(spark, str(tmp_path / "s")).append(spark.range(1).withColumnRenamed("id", "__SHARD"))
+
+
+def test_op7_against_a_recount(spark, sf):
+    rows = queries()["op7_sharding"](spark, sf).collect()
+    docs = {r["doc_id"]: len((r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(rows) == len(docs) and {r["doc_id"]: r["n_bytes"] for r in rows} == docs
+    assert len({r["version"] for r in rows}) == 1 and rows[0]["version"] == 5  # four appends, one merge of four runs
+    assert {r["tier"] for r in rows} == {1} and all(r["shard"].endswith(".parquet") for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

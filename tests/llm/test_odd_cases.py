@@ -81,7 +81,7 @@ def test_sharding(spark, tmp_path):
     store = compaction.sharded(odd(spark), str(tmp_path / "s"), arrivals=2, fanout=2)
     back = store.read().drop("__shard")
     assert back.exceptAll(odd(spark)).isEmpty() and back.count() == len(ODD)
-    assert compaction.sharded(empty(spark), str(tmp_path / "e")).manifest()["shards"] == []
+    assert compaction.sharded(empty(spark), str(tmp_path / "e")).manifest()["runs"] == []
 
 
 def test_a_text_is_only_its_own_language(spark):
