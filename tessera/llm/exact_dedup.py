@@ -1,7 +1,9 @@
 """Stateful streaming deduplication.
 
-Arrivals are streamed through a keyed state without expiry, held on disk by RocksDB: for each digest it retains the
-smallest identifier, the locator of that row's content and the number of rows. Full contents are compared on hits.
+Arrivals land in a log with their contents and are streamed through a keyed state without expiry, held on disk by RocksDB. For
+each digest it retains the smallest identifier, the locator of the content that came first (part of the log and identifier) and
+the number of rows. The state lives as long as its folder: every ``feed`` goes on from the last one. Full contents are compared on hits:
+those of the feed's rows whose digest was seen more than once, and what the locator names in earlier parts of the log.
 
 Null texts count as empty, so they equal empty texts. Texts are equal when identical after each run of ASCII white
 space became one space. A row given twice (same identifier and text) is one group of two rows with one identifier; both
@@ -13,10 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_path, filtered, fresh, new_path, text_or_empty, written
+from .shared import drop_path, filtered, fresh, joined_by_weight, list_names, move, new_path, text_or_empty, written
 
 STATE_STORE = "spark.sql.streaming.stateStore"
 #: State on disk; each commit writes its changes only, and files take the room of their content (many partitions have little).
@@ -25,6 +27,9 @@ SETTINGS = {
     f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{STATE_STORE}.rocksdb.allowFAllocate": "false",
 }
+LOG = "id bigint, content string, digest string"
+#: ``origin``: the content that came first, found by the part of the log it is in and its identifier.
+UPDATES = "digest string, keep_id bigint, origin struct<part: string, id: bigint>, group_size bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -35,84 +40,104 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def keyed_state(arrivals: DataFrame, batches: int = 4) -> DataFrame:
-    """Stream a table (id, digest, locator) in ``batches`` micro-batches; returns digest, keep_id, locator, group_size.
-
-    Each micro-batch is aggregated before the shuffle, so a digest with very many copies costs the state one row a task.
-    """
-    spark = arrivals.sparkSession
-    log, updates, checkpoint = (new_path(spark, x) for x in ("arrivals", "digests", "stream"))
-    arrivals.write.parquet(log)
-    files = max(1, len(spark.read.schema(arrivals.schema).parquet(log).inputFiles()))
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
-        state = (
-            spark.readStream.schema(arrivals.schema)
-            .option("maxFilesPerTrigger", -(-files // batches))
-            .parquet(log)
-            .groupBy("digest")
-            .agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "locator"))).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        )
-
-        def keep(changed: DataFrame, batch: int) -> None:
-            changed.write.mode("overwrite").parquet(f"{updates}/batch={batch}")
-
-        query = (
-            state.writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .foreachBatch(keep)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    # A digest appears once for each micro-batch that changed it; its count only grows and its identifier only falls.
-    schema = "digest string, first struct<id: bigint, locator: string>, group_size bigint"
-    spark.createDataFrame([], schema).write.parquet(f"{updates}/batch=-1")  # so that there is a table without arrivals, too
-    latest = (
-        spark.read.schema(schema)
-        .parquet(updates)
-        .groupBy("digest")
-        .agg(F.min("first").alias("first"), F.max("group_size").alias("group_size"))
-        .select("digest", F.col("first.id").alias("keep_id"), F.col("first.locator").alias("locator"), "group_size")
-    )
-    found = written(latest, "dedup-state")
-    for path in (updates, checkpoint, log):
-        drop_path(spark, path)
-    return found
+class DedupState:
+    """The state in a folder that the driver and all executors share, opened or made; one feed at a time."""
+
+    def __init__(self, spark: SparkSession, root: str, digest: Callable[[Column], Column] = sha256, batches: int = 4):
+        self.spark, self.root, self.digest, self.batches = spark, root.rstrip("/"), digest, batches
+        self.log, self.updates, self.checkpoint = (f"{self.root}/{x}" for x in ("log", "updates", "checkpoint"))
+
+    def _batches(self) -> list[int]:
+        return [int(x[6:]) for x in list_names(self.spark, self.updates) if x.startswith("batch=")]
+
+    def feed(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Take in rows; one row for each of them: id, keep_id and group_size among all rows so far, kept, digest."""
+        number = len(list_names(self.spark, self.log))
+        part = f"part={number:09d}"
+        content = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_or_empty(text_col)).alias("content"))
+        aside = f"{self.root}/aside-{part}"
+        content.withColumn("digest", self.digest(F.col("content"))).write.mode("overwrite").parquet(aside)
+        move(self.spark, aside, f"{self.log}/{part}")  # all or nothing enters the log
+        since = max(self._batches(), default=-1) + 1
+        self._stream(number + 1)
+        return self._verdicts(part, since)
+
+    def _stream(self, parts: int) -> None:
+        """Run what is new in the log through the state; a digest with very many copies costs it one row a task and batch."""
+        spark = self.spark
+        before = {k: spark.conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
+        newest = spark.read.schema(LOG).parquet(f"{self.log}/part={parts - 1:09d}")
+        files = max(1, len(newest.inputFiles()))
+        try:
+            arrived = spark.readStream.schema(LOG).option("maxFilesPerTrigger", -(-files // self.batches)).parquet(f"{self.log}/part=*")
+            place = F.struct(F.regexp_extract(F.input_file_name(), "(part=[0-9]+)/[^/]*$", 1).alias("part"), "id")
+            state = (
+                arrived.select("digest", "id", place.alias("place"))
+                .groupBy("digest")
+                .agg(F.min("id").alias("keep_id"), F.min("place").alias("origin"), F.count(F.lit(1)).alias("group_size"))
+            )
+
+            def keep(changed: DataFrame, batch: int) -> None:
+                changed.write.mode("overwrite").parquet(f"{self.updates}/batch={batch}")
+
+            query = state.writeStream.outputMode("update").option("checkpointLocation", self.checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
+            query.awaitTermination()
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def digests(self, since: int = 0) -> DataFrame:
+        """The state of the digests that batches from ``since`` on have changed: digest, keep_id, origin, group_size.
+
+        A digest appears once for each micro-batch that changed it; its count only grows, and the rest only falls.
+        """
+        paths = [f"{self.updates}/batch={b}" for b in self._batches() if b >= since]
+        rows = self.spark.read.schema(UPDATES).parquet(*paths) if paths else self.spark.createDataFrame([], UPDATES)
+        return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.min("origin").alias("origin"), F.max("group_size").alias("group_size"))
+
+    def _verdicts(self, part: str, since: int) -> DataFrame:
+        spark = self.spark
+        fed = spark.read.schema(LOG).parquet(f"{self.log}/{part}")
+        state = written(self.digests(since), "dedup-state")
+        # On hits the full bytes decide.
+        hits = state.filter("group_size > 1")
+        own = joined_by_weight(fed.select("digest", "id", "content"), hits.select("digest", "group_size"), "digest", "group_size")
+        own = own.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        earlier = hits.filter(F.col("origin.part") < part)
+        # Equal contents are merged by task before they are compared, so the copies of one text cost a row for each task.
+        classes = own
+        if not earlier.isEmpty():
+            past = spark.read.schema(f"{LOG}, part string").option("basePath", self.log).parquet(self.log).withColumn("part", F.concat(F.lit("part="), F.lpad("part", 9, "0")))
+            there = earlier.select("digest", "origin.part", F.col("origin.id").alias("first"))
+            kept = past.filter(F.col("part") < part).join(there, ["digest", "part"]).filter(F.col("id").eqNullSafe(F.col("first"))).select("digest", "content")
+            classes = own.select("digest", "content").unionByName(kept).distinct()
+        clashing = written(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest"), "dedup-clashes")
+        verdicts = joined_by_weight(fed.select("id", "digest"), state.select("digest", "keep_id", "group_size"), "digest", "group_size")
+        if not clashing.isEmpty():  # different contents with one digest: their rows are grouped by content alone, over the whole log
+            whole = spark.read.schema(LOG).parquet(f"{self.log}/part=*").join(clashing, "digest", "left_semi")
+            apart = whole.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+            verdicts = verdicts.join(clashing, "digest", "left_anti").unionByName(
+                fed.join(clashing, "digest", "left_semi").join(apart, ["digest", "content"]).select("digest", "id", "keep_id", "group_size")
+            )
+        return verdicts.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, batches: int = 4
 ) -> DataFrame:
-    """One row per input row: id, keep_id (smallest id among equal texts), group_size, kept, digest."""
-    content = docs.select(F.col(id_col).cast("long").alias("id"), normalised(text_or_empty(text_col)).alias("content"))
-    arrivals = content.select("id", digest(F.col("content")).alias("digest"), F.concat(F.input_file_name(), F.lit("#"), F.col("id").cast("string")).alias("locator"))
-    state = keyed_state(arrivals, batches)
-    # On hits the full bytes decide: contents of a digest that was seen more than once are grouped by the bytes themselves.
-    hits = state.filter("group_size > 1").select("digest")
-    keyed = content.withColumn("digest", digest(F.col("content")))
-    classes = keyed.join(hits, "digest", "left_semi").groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    clashing = written(
-        classes.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest"),
-        "dedup-clashes",
-    )
-    verdicts = arrivals.select("id", "digest").join(state.select("digest", "keep_id", "group_size"), "digest")
-    if not clashing.isEmpty():  # different contents with one digest: their rows are grouped by content alone
-        apart = classes.join(clashing, "digest", "left_semi")
-        verdicts = verdicts.join(clashing, "digest", "left_anti").unionByName(
-            keyed.join(clashing, "digest", "left_semi").join(apart, ["digest", "content"]).select("digest", "id", "keep_id", "group_size")
-        )
-    return verdicts.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    """One row per input row: id, keep_id (smallest id among equal texts), group_size, kept, digest. The state is not kept."""
+    spark = docs.sparkSession
+    root = new_path(spark, "dedup")
+    found = written(DedupState(spark, root, digest, batches).feed(docs, id_col, text_col), "dedup-verdicts")
+    drop_path(spark, root)
+    return found
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows given twice, one."""
-    found = written(exact_duplicates(docs, id_col, text_col), "dedup-verdicts")
+    found = exact_duplicates(docs, id_col, text_col)
     kept = found.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
     out = filtered(docs, id_col, kept.filter("times = 1"), "left_semi")
     repeated = kept.filter("times > 1")

@@ -38,11 +38,41 @@ def written_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``new_path``."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, fs = _fs(spark, path)
+    fs.delete(target, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    target, fs = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to one that must not exist."""
+    (a, fs), (b, _) = _fs(spark, source), _fs(spark, target)
+    fs.mkdirs(b.getParent())
+    if fs.exists(b) or not fs.rename(a, b):
+        raise FileExistsError(target)
+
+
+def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key; ``weight``: at least how many of the rows have the key.
+
+    Keys with more than a 4P-th of all weight (P: shuffle partitions) are at most 4P: these rows are joined where they are, by
+    a broadcast of that size. The others are joined by a shuffle, in which no key fills a task. No key is null.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = (table.agg(F.sum(weight)).first()[0] or 0) / (4 * parts)
+    hot = F.broadcast(table.filter(F.col(weight) > least))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(weight) <= least), key))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -147,6 +147,22 @@ def test_exact_dedup_checks_full_contents_when_digests_clash(spark):
     assert {r["id"]: r["keep_id"] for r in got} == {i: i % 5 for i in range(40)} and {r["group_size"] for r in got} == {8}
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_the_dedup_state_goes_on_from_feed_to_feed(spark, tmp_path, weak):
+    """Three feeds, the state opened anew for each; with ``weak`` all digests clash and the contents that locators name decide."""
+    digest = (lambda content: F.substring(exact_dedup.sha256(content), 1, 0)) if weak else exact_dedup.sha256
+    feeds = [[(10, "a  b"), (11, "c"), (12, "a b"), (None, "z")], [(5, "a\tb"), (6, "d"), (11, "c")], [(20, "a b"), (21, "e"), (22, None), (23, "")]]
+    seen = []
+    for rows in feeds:
+        got = exact_dedup.DedupState(spark, str(tmp_path / "state"), digest).feed(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        seen += [(i, re.sub("[\\x20\\x09-\\x0D]+", " ", t or "")) for i, t in rows]
+        groups = {}
+        for i, t in seen:
+            groups.setdefault(t, []).append(i)
+        want = [(i, min((x for x in groups[t] if x is not None), default=None), len(groups[t])) for i, t in seen[-len(rows) :]]
+        assert sorted(((r["id"], r["keep_id"], r["group_size"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_decontamination_equals_a_scan(spark):
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(300)]
