@@ -1,15 +1,17 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are estimated: of the raw text, counted over all documents, and of the target,
-counted over those of a bounded sample of labelled rows that are labelled good. An n-gram is of one to three words, a
-word being described by its letter case, marks, digits, length and whether it repeats one shortly before, so that the models tell
-prose from junk in any language. A document's importance weight is the mean log ratio of both models over its n-grams,
-calibrated to log odds on the labelled sample. Gumbel noise, fixed by the identifier, is added, and the k largest are
-drawn without replacement; k is the number of good documents that the weights predict (the sum of the probabilities).
+counted over those of a bounded sample of labelled rows that are labelled good. The n-grams are the words of the text as they
+stand, its pairs of words (a word that repeats the one before it counts as the token of repetition), and its runs of three bytes. A
+document's log importance weight is the sum of log(target / raw) over its n-grams; of a document with more than ``evidence``
+n-grams, their mean times ``evidence``, as the n-grams of a long text are far from independent. Gumbel noise, fixed by the identifier, is added, and the k largest
+are drawn without replacement. Unless k is given, it is the number of documents whose weight is beyond the cut that parts
+the good and bad labelled rows with the least errors (good ones weighed by a target model without their own n-grams).
 
 The k-th largest is found by counting in ever finer bins, so nothing is ranked in one task. Rows that tie with it stay, and
 so do both of two equal rows with one identifier. Null, empty and blank texts have no n-grams and are rejected. Without
-labelled rows of both kinds nothing can be learned and every document stays with weight 0.
+labelled rows of both kinds nothing can be learned and every document stays with weight 0. Of several labels of one
+identifier the lowest counts; labels without identifier or other than 0 and 1 are left out.
 """
 
 from __future__ import annotations
@@ -26,75 +28,64 @@ from pyspark.sql import functions as F
 from .shared import fresh, written
 from .words import NOT_SPACE, U, mixed, word_hashes, word_spans
 
-BUCKETS = 1 << 14
+BITS = 14
+BUCKETS = 1 << BITS
 #: The weight of a text without words.
-LEAST = -50.0
-
-
-def _flags(chars: str) -> np.ndarray:
-    table = np.zeros(256, np.int32)
-    table[list(chars.encode())] = 1
-    return table
-
-
-UPPER, DIGIT = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flags("0123456789")
-LOWER = _flags("abcdefghijklmnopqrstuvwxyz")
-LOWER[128:] = 1
-MARK = _flags("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+LEAST = -1e6
+AGAIN, FACTOR = U(7), U(0x9E3779B97F4A7C15)
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """Bucket numbers of all n-grams of the text's word descriptions."""
+    """Bucket numbers of all n-grams of the text: words, pairs of words, runs of three bytes."""
     data = np.frombuffer((text or "").encode(), np.uint8)
     first, end = word_spans(data, NOT_SPACE)
     if not len(first):
         return np.zeros(0, np.intp)
-    upper, lower, digit, mark = (np.add.reduceat(t[data], first) for t in (UPPER, LOWER, DIGIT, MARK))
-    case = np.select([(upper > 1) & (lower == 0), upper > 0, lower > 0], [3, 2, 1], 0)
     words = word_hashes(data, first, end)
-    again = np.zeros(len(words), np.intp)
-    for lag in range(8, 0, -1):
-        again[lag:][words[lag:] == words[:-lag]] = 2 if lag == 1 else 1
-    size = np.searchsorted([2, 4, 8, 13, 21], end - first, "right")
-    kind = (((case * 3 + np.minimum(mark, 2)) * 2 + (digit > 0)) * 6 + size) * 3 + again
-    one = kind.astype(U) + U(1)
-    two = one[1:] * U(1009) + one[:-1]
-    three = two[1:] * U(1009) + one[:-2]
-    return np.concatenate([(mixed(x) >> U(50)).astype(np.intp) for x in (one, two, three)])
+    words[1:][words[1:] == words[:-1]] = AGAIN
+    padded = np.full(len(data) + 2, 32, U)
+    padded[1:-1] = data
+    runs = padded[:-2] << U(16) | padded[1:-1] << U(8) | padded[2:]
+    return np.concatenate([(mixed(x) >> U(64 - BITS)).astype(np.intp) for x in (words, words[1:] * FACTOR + words[:-1], runs + U(1 << 32))])
+
+
+def log_share(counts: np.ndarray, total: float) -> np.ndarray:
+    """Logs of the smoothed shares of buckets with these counts."""
+    return np.log((counts + 0.5) / (total + 0.5 * BUCKETS))
+
+
+def of_sum(total: float, n: float, evidence: float) -> float:
+    return total * min(1.0, evidence / n)
 
 
 class QualityModel(NamedTuple):
     ratio: np.ndarray | None  # log ratio of each bucket; None: nothing could be learned
-    slope: float
-    shift: float
+    cut: float
+    evidence: float
 
     def weight(self, text: str | None) -> float:
         if self.ratio is None:
             return 0.0
         found = ngrams(text)
-        return float(np.clip(self.slope * self.ratio[found].mean() + self.shift, LEAST, -LEAST)) if len(found) else LEAST
-
-
-def calibrated(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the log odds of ``good``, by Newton's method with a slight ridge."""
-    scale = x.std() or 1.0
-    a = np.stack([(x - x.mean()) / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2), a.T @ (good - p) - 0.01 * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0] / scale), float(w[1] - w[0] * x.mean() / scale)
+        return of_sum(float(self.ratio[found].sum()), len(found), self.evidence) if len(found) else LEAST
+
+
+def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
+    """The middle of the range of cuts with the least number of good weights below plus bad ones from it on."""
+    values = np.unique(np.concatenate([good, bad]))
+    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
+    errors = np.searchsorted(np.sort(good), cuts) + len(bad) - np.searchsorted(np.sort(bad), cuts)
+    best = np.flatnonzero(errors == errors.min())
+    return float(cuts[best[len(best) // 2]])
 
 
 COUNTS = "bucket bigint, n bigint, quality int, found array<bigint>, counts array<bigint>"
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, evidence: float = 200) -> QualityModel:
     """``docs`` (id, text), ``labels`` (id, quality: 1 good, 0 bad). Raw counts are over all documents; labelled are at most ``sample_rows``."""
-    drawn = labels.filter("id is not null and quality in (0, 1)").orderBy(F.xxhash64("id", F.lit("quality")), "id", "quality").limit(sample_rows)
+    known = labels.filter("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
+    drawn = known.orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -118,16 +109,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> Qualit
     for bucket, n in counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
         raw[bucket] = n
     table = counted.filter("quality is not null").select("quality", "found", "counts").toArrow()
-    quality = np.array(table.column("quality").to_pylist(), int)
-    rows = [(np.array(f, np.intp), np.array(c, float)) for f, c in zip(table.column("found").to_pylist(), table.column("counts").to_pylist(), strict=True)]
-    quality, rows = np.array([q for q, (f, _) in zip(quality, rows, strict=True) if len(f)], int), [r for r in rows if len(r[0])]
-    if len(set(quality.tolist())) < 2:
-        return QualityModel(None, 0.0, 0.0)
-    for q, (found, counts) in zip(quality, rows, strict=True):
+    rows = [(q, np.array(f, np.intp), np.array(c, float)) for q, f, c in zip(*(table.column(x).to_pylist() for x in ("quality", "found", "counts")), strict=True) if f]
+    if {q for q, _, _ in rows} != {0, 1}:
+        return QualityModel(None, 0.0, evidence)
+    for q, found, counts in rows:
         if q:
             target[found] += counts
-    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
-    return QualityModel(ratio, *calibrated(np.array([ratio[f] @ c / c.sum() for f, c in rows]), quality))
+    base, n_target = log_share(raw, raw.sum()), target.sum()
+    weights: tuple[list, list] = ([], [])
+    for q, found, counts in rows:
+        n = counts.sum()
+        own = log_share(target[found] - q * counts, n_target - q * n)
+        weights[q].append(of_sum(float((own - base[found]) @ counts), n, evidence))
+    return QualityModel(log_share(target, n_target) - base, best_cut(np.array(weights[1]), np.array(weights[0])), evidence)
 
 
 def log_weight(model: QualityModel, text: Column) -> Column:
@@ -162,27 +156,28 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> float
     return low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000) -> tuple[DataFrame, QualityModel, float]:
-    """The stored weights (id, log_weight, key), the model and the least key drawn."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    model = train(rows, labels.select(F.col("doc_id").cast("long").alias("id"), "quality"), sample_rows)
-    weights = written(rows.select("id", log_weight(model, F.col("text")).alias("log_weight")).withColumn("key", gumbel_key(F.col("log_weight"), F.col("id"))), "weights")
-    n, expected = weights.agg(F.count(F.lit(1)), F.sum(1 / (1 + F.exp(-F.col("log_weight"))))).first()
-    if model.ratio is None or not n:
-        return weights, model, float("-inf")
-    k = min(n, round(expected))
-    return weights, model, kth_largest(weights, "key", k) if k else float("inf")
+def resampled(docs: DataFrame, columns: list[str], labels: DataFrame, id_col: str, text_col: str, label_id_col: str, sample_rows: int, k: int | None) -> tuple[DataFrame, str, str, float]:
+    """The stored ``columns`` of ``docs`` with their weights and keys, the names of both, and the least key drawn."""
+    identifier, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    model = train(docs.select(identifier.alias("id"), text.alias("text")), labels.select(F.col(label_id_col).cast("long").alias("id"), "quality"), sample_rows)
+    weight, key = fresh(docs, "__weight"), fresh(docs, "__key")
+    scored = docs.withColumn(weight, log_weight(model, text)).withColumn(key, gumbel_key(F.col(weight), identifier))
+    scored = written(scored.select(*columns, weight, key), "weights")
+    if k is None:
+        k = scored.filter(F.col(weight) >= model.cut).count()
+    if model.ratio is None or scored.isEmpty():
+        return scored, weight, key, float("-inf")
+    least = kth_largest(scored, key, min(k, scored.count())) if k else float("inf")
+    return scored, weight, key, least
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", sample_rows: int = 8000, k: int | None = None) -> DataFrame:
     """One row per input row: id, log_weight, key, kept."""
-    weights, _, least = resampled(docs, labels, id_col, text_col, sample_rows)
-    return weights.withColumn("kept", F.col("key") >= least)
+    rows, weight, key, least = resampled(docs, [id_col], labels, id_col, text_col, label_id_col, sample_rows, k)
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(weight).alias("log_weight"), F.col(key).alias("key"), ((F.col(key) >= least) & (F.col(weight) > LEAST)).alias("kept"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with all their columns."""
-    _, model, least = resampled(docs, labels, id_col, text_col, sample_rows)
-    key = gumbel_key(log_weight(model, F.col(text_col).cast("string")), F.col(id_col).cast("long"))
-    name = fresh(docs, "__key")
-    return docs.withColumn(name, key).filter(F.col(name) >= least).drop(name)
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", sample_rows: int = 8000, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns; they are stored once with their keys, as the draw needs all keys."""
+    rows, weight, key, least = resampled(docs, docs.columns, labels, id_col, text_col, label_id_col, sample_rows, k)
+    return rows.filter((F.col(key) >= least) & (F.col(weight) > LEAST)).drop(weight, key)

@@ -223,6 +223,38 @@ def test_quality_keeps_good_and_rejects_bad_held_out_rows(spark):
     assert good.filter("not kept").count() <= 0.01 * good.count() and bad.filter("kept").count() <= 0.05 * bad.count()
 
 
+def test_quality_weights_and_draw_equal_a_direct_count(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "text", "here"] if i % 3 else ["%%", "!!", "here"]) for _ in range(rng.randint(0, 30)))) for i in range(90)] + [(90, None), (91, "here here here")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 60)] + [(3, 0, 0), (4, 1, 0)]
+    got = {r["id"]: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), k=40).collect()}
+
+    def grams(text):  # as a list of their names
+        w = (text or "").split()
+        w = ["<again>" if k and w[k] == w[k - 1] else w[k] for k in range(len(w))] if w else []
+        padded = f" {text} "
+        return w + [" ".join(p) for p in zip(w, w[1:])] + ([f"3:{padded[k : k + 3]}" for k in range(len(padded) - 2)] if w else [])
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i < 60 and i % 3:
+            target.update(grams(t))
+    assert len({int(b) for i, t in rows for b in quality.ngrams(t)}) == len(raw)  # no two of them share a bucket
+    share = lambda c, g: (c[g] + 0.5) / (c.total() + 0.5 * quality.BUCKETS)
+    for i, t in rows:
+        g = grams(t)
+        want = sum(np.log(share(target, x) / share(raw, x)) for x in g) * min(1, 200 / len(g)) if g else quality.LEAST
+        assert got[i]["log_weight"] == pytest.approx(want, abs=1e-9)
+    drawn = sorted((r["key"] for r in got.values()), reverse=True)[:40]
+    assert {i for i, r in got.items() if r["kept"]} == {i for i, r in got.items() if r["key"] in drawn}
+
+
+def test_best_cut():
+    assert quality.best_cut(np.array([1.0, 2, 3]), np.array([-3.0, -2, 1.5])) in (-0.5, 1.25, 1.75)
+    assert quality.best_cut(np.array([5.0]), np.array([1.0])) == 3.0
+
+
 def test_manifest_versions_and_conflicts(spark, tmp_path):
     store = compaction.ShardStore(spark, str(tmp_path / "s"), fanout=2)
     first = store.append(spark.range(10).withColumnRenamed("id", "doc_id"))
