@@ -9,10 +9,12 @@ shares no band with probability 6e-6.
    and with its neighbours in an order by hash (ring). Its best candidate among the former and its two best among the
    latter are confirmed on the full sets, and components are formed.
 3. Cross round: in each bucket that still holds several components, all pairs from different ones are compared by
-   signature. Where a pair is within four standard deviations of the threshold, the text of the smaller component is
-   compared with the whole larger one, dealt out in blocks of its members: full sets decide, and only links leave a task.
-   So a large group of near copies costs a few pairs for each of its texts, and what that left apart costs its text
-   once for each block. Buckets of more than ``bucket_rows`` rows are first dealt out by further bands within the bucket.
+   signature. For each text and larger component with a member within four standard deviations of the threshold, the full
+   sets of the text and of the best such member decide; where they do not link, the text goes to the blocks of the
+   component that hold such members, and all of those are tried. Only links leave a task.
+   Buckets of more than ``bucket_rows`` rows are dealt out. If half of that is enough for the rows outside the bucket's largest
+   component, these go to blocks of its rows. Else rows are first dealt out by 24 further bands of three values within the bucket (a
+   pair at the threshold shares none with probability 2e-6), twice at most; what is large still is cut in tiles, and each pair of tiles is one task's.
 
 Null or empty texts have an empty set and link with nothing. Rows given twice are one class. An identifier that is on
 several texts is one document, linked by any of them. Rows without identifier link with nothing; their component is null.
@@ -129,22 +131,40 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return rows.mapInArrow(confirm, "u bigint, v bigint")
 
 
+CROSSING = "node bigint, other bigint, block bigint, member bigint, agreeing bigint"
+
+
 def _crossing(rows: DataFrame) -> DataFrame:
-    """Distinct (node, other): a text and a larger component that has a text near it in one bucket. rows: bucket, node, component, members, size, signature."""
+    """(node, other, block): a text, a larger component, and a block of it with a member near the text; the best such member.
+
+    rows: bucket, node, component, members, block, size, signature.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("bucket", "node", "component", "members", "size", "signature").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    columns = ("node", "component", "members", "block", "size")
+    dealt = rows.select("bucket", *columns, "signature").repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    def compare(node: np.ndarray, component: np.ndarray, members: np.ndarray, size: np.ndarray, signature: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(node: np.ndarray, component: np.ndarray, members: np.ndarray, block: np.ndarray, size: np.ndarray, signature: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         names, counts = np.unique(component, return_counts=True)
         if len(names) < 2:
             return
         # the bucket's largest component is only compared with the rest
         for i in np.flatnonzero(component != names[counts.argmax()]):
             js = np.flatnonzero((component != component[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])))
-            js = js[(signature[js] == signature[i]).sum(1) >= LEAST_AGREEING]
+            agreeing = (signature[js] == signature[i]).sum(1)
+            js, agreeing = js[agreeing >= LEAST_AGREEING], agreeing[agreeing >= LEAST_AGREEING]
             larger = (members[js] > members[i]) | (members[js] == members[i]) & (component[js] < component[i])
-            yield np.full(int(larger.sum()), node[i]), component[js[larger]]
-            yield node[js[~larger]], np.full(int((~larger).sum()), component[i])
+            up, down = js[larger], js[~larger]
+            yield np.full(len(up), node[i]), component[up], block[up], node[up], agreeing[larger]
+            yield node[down], np.full(len(down), component[i]), np.full(len(down), block[i]), np.full(len(down), node[i]), agreeing[~larger]
+
+    def best(made: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Of each (node, other, block) the member that agrees most."""
+        all_ = [np.concatenate([x[k] for x in made]) for k in range(5)]
+        order = np.lexsort((all_[3], -all_[4], all_[2], all_[1], all_[0]))
+        node, other, block, member, agreeing = (x[order] for x in all_)
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (other[1:] != other[:-1]) | (block[1:] != block[:-1])
+        return pa.record_batch([pa.array(x[new].astype(np.int64)) for x in (node, other, block, member, agreeing)], names=["node", "other", "block", "member", "agreeing"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -157,12 +177,12 @@ def _crossing(rows: DataFrame) -> DataFrame:
             if not last:  # the last bucket may go on in the next batch
                 held.extend(table.slice(bounds[-2]).to_batches())
                 bounds = bounds[:-1]
-            columns = [table.column(c).to_numpy() for c in ("node", "component", "members", "size")]
-            columns.append(np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS))
-            made = [p for lo, hi in zip(bounds, bounds[1:], strict=False) for p in compare(*(c[lo:hi] for c in columns)) if len(p[0])]
-            if made:
-                both = np.unique(np.stack([np.concatenate([p[k] for p in made]) for k in (0, 1)]), axis=1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["node", "other"])
+            arrays = [table.column(c).to_numpy() for c in columns]
+            arrays.append(np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS))
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                made = [p for p in compare(*(c[lo:hi] for c in arrays)) if len(p[0])]
+                if made:
+                    yield best(made)
 
         for batch in batches:
             if batch.num_rows:
@@ -171,32 +191,32 @@ def _crossing(rows: DataFrame) -> DataFrame:
         if held:
             yield from groups(True)
 
-    return dealt.mapInArrow(pairs, "node bigint, other bigint").distinct()
+    found = dealt.mapInArrow(pairs, CROSSING)
+    return found.groupBy("node", "other", "block").agg(F.max_by(F.struct("member", "agreeing"), F.struct("agreeing", "member")).alias("m")).select("node", "other", "block", "m.*")
 
 
-def _links_across(crossing: DataFrame, placed: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 256) -> DataFrame:
-    """For each (node, other) of ``crossing`` a link (u, v) with a member of the component in each of its blocks, if there is one.
+def _links_across(asked: DataFrame, placed: DataFrame, texts: DataFrame, size: int, percent: int, group: int = 256) -> DataFrame:
+    """For each (node, other, block) of ``asked`` a link (u, v) with a member of the component in that block, if there is one.
 
-    placed: node, component, members, signature of all candidates. Blocks have about ``block`` members; every member's text
-    goes to one task, and the node's text to one task for each block.
+    placed: node, component, block, signature of all candidates. A task takes one block of a component (some 256 members) and at most
+    about ``group`` of the texts that are compared with it.
     """
-    blocks = F.ceil(F.col("members") / block)
-    asked = crossing.select(F.col("other").alias("component")).distinct()
-    sizes = placed.select("component", "members").distinct().join(asked, "component")
-    inside = placed.join(asked, "component", "left_semi").select("component", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", "signature", F.lit(0).alias("kind"))
-    outside = crossing.join(sizes.select(F.col("component").alias("other"), "members"), "other").select("other", "node", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    outside = outside.join(placed.select("node", "signature"), "node").select(F.col("other").alias("component"), "block", "node", "signature", F.lit(1).alias("kind"))
+    per_block = asked.groupBy("other", "block").agg(F.count(F.lit(1)).alias("n")).select(F.col("other").alias("component"), "block", F.ceil(F.col("n") / group).alias("parts"))
+    inside = placed.join(per_block, ["component", "block"]).select("component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "node", "signature", F.lit(0).alias("kind"))
+    outside = asked.select(F.col("other").alias("component"), "block", "node").join(per_block, ["component", "block"])
+    outside = outside.join(placed.select("node", "signature"), "node").select("component", "block", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "signature", F.lit(1).alias("kind"))
     both = inside.unionByName(outside).join(texts.select(F.col("id").alias("node"), "text"), "node")
-    parts = int(crossing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = both.select("component", "block", "kind", "node", "signature", "text").repartition(parts, "component", "block").sortWithinPartitions("component", "block", "kind")
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ("component", "block", "part")
+    rows = both.select(*place, "kind", "node", "signature", "text").repartition(parts, *place).sortWithinPartitions(*place, "kind")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, sets, matrix = None, [], {}, np.zeros((0, 2 * PERMUTATIONS), np.uint8)
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            for component, number, kind, node, signature, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (component, number) != at:
-                    at, members, sets, matrix = (component, number), [], {}, None
+            for component, block, part, kind, node, signature, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (component, block, part) != at:
+                    at, members, sets, matrix = (component, block, part), [], {}, None
                 if kind == 0:
                     members.append((node, signature, text))
                     continue
@@ -221,24 +241,46 @@ def _links_across(crossing: DataFrame, placed: DataFrame, texts: DataFrame, size
     return rows.mapInArrow(confirm, "u bigint, v bigint")
 
 
+def _across(crossing: DataFrame, placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) of texts with larger components: by the best member, else by any that is near."""
+    best = crossing.groupBy("node", "other").agg(F.max_by("member", F.struct("agreeing", "member")).alias("member"))
+    best = written(best, "best-members")
+    links = written(_confirmed(best.select(F.col("member").alias("a"), F.col("node").alias("b")), texts, size, percent), "links")
+    left = best.join(links.select(F.col("u").alias("member"), F.col("v").alias("node")), ["member", "node"], "left_anti")
+    asked = written(crossing.join(left, ["node", "other"], "left_semi").select("node", "other", "block"), "asked-blocks")
+    return links if asked.isEmpty() else links.unionByName(_links_across(asked, placed, texts, size, percent))
+
+
 def _mixed_buckets(rows: DataFrame) -> DataFrame:
-    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return written(counted.filter("low <> high").select("bucket", "rows"), "mixed-buckets")
+    """Of buckets with several components: rows, the largest component, and its rows (``most``)."""
+    per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    found = per.groupBy("bucket").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"))
+    return written(found.filter("components > 1").drop("components"), "mixed-buckets")
 
 
 def _refined(rows: DataFrame, signatures: DataFrame, bucket_rows: int) -> DataFrame:
-    """Rows of buckets with several components, with their signatures; large ones dealt out by 24 further bands of three values, twice at most."""
+    """Rows of buckets with several components, with their signatures; buckets of more than ``bucket_rows`` rows are dealt out."""
     counts = _mixed_buckets(rows)
     mixed_rows = rows.join(counts, "bucket").join(signatures, "node")
+    half = max(1, bucket_rows // 2)
+    scattered = (F.col("rows") > bucket_rows) & (F.col("rows") - F.col("most") > half)
     for level in (1, 2):
-        if counts.filter(F.col("rows") > bucket_rows).isEmpty():
+        if counts.filter(scattered).isEmpty():
             break
-        large = mixed_rows.filter(F.col("rows") > bucket_rows).drop("rows")
         band = F.explode(F.array(*[F.xxhash64("bucket", F.lit(j), F.expr(f"substring(signature, {5 * j + level}, 3)")) for j in range(24)]))
-        dealt = large.withColumn("bucket", band)
+        dealt = mixed_rows.filter(scattered).drop("rows", "largest", "most").withColumn("bucket", band)
         counts = _mixed_buckets(dealt)
-        mixed_rows = mixed_rows.filter(F.col("rows") <= bucket_rows).unionByName(dealt.join(counts, "bucket"))
-    return mixed_rows.drop("rows")
+        mixed_rows = mixed_rows.filter(~scattered).unionByName(dealt.join(counts, "bucket"))
+    # Tiles 0 to strays - 1 are of rows outside the largest component, the others of its rows: no two of these are compared.
+    strays, bigs = F.ceil((F.col("rows") - F.col("most")) / half), F.ceil(F.col("most") / half)
+    own = F.xxhash64("node", F.lit("tile"))
+    large = mixed_rows.filter(F.col("rows") > bucket_rows).withColumns({"strays": strays, "bigs": bigs})
+    large = large.withColumn("tile", F.when(F.col("component") == F.col("largest"), F.col("strays") + F.pmod(own, F.col("bigs"))).otherwise(F.pmod(own, F.col("strays"))))
+    with_strays = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("tile"), F.col("strays") - 1)), lambda i: F.struct(i.alias("i"), F.col("tile").alias("j")))
+    after = F.transform(F.sequence(F.col("tile"), F.col("strays") + F.col("bigs") - 1), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j")))
+    pairs = F.when(F.col("tile") < F.col("strays"), F.array_distinct(F.concat(with_strays, after))).otherwise(with_strays)
+    large = large.withColumn("pair", F.explode(pairs)).withColumn("bucket", F.xxhash64("bucket", "pair.i", "pair.j")).drop("strays", "bigs", "tile", "pair")
+    return mixed_rows.filter(F.col("rows") <= bucket_rows).unionByName(large)
 
 
 def _signed(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -262,7 +304,7 @@ def _first_pairs(members: DataFrame, signatures: DataFrame, bucket_rows: int) ->
     return both.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket_rows: int = 1024) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest identifier linked, itself included), kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = written(sketches(rows, size), "sketches")
@@ -287,11 +329,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Cross round.
     component = F.coalesce("component", "node").alias("component")
     placed = signatures.join(members.select("node").distinct(), "node", "left_semi").join(found, "node", "left").select("node", "signature", component)
-    placed = written(placed.join(placed.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component"), "placed")
-    marked = members.select("bucket", "node", "size").join(placed.select("node", "component", "members"), "node")
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    placed = written(placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))), "placed")
+    marked = members.select("bucket", "node", "size").join(placed.select("node", "component", "members", "block"), "node")
     crossing = written(_crossing(_refined(marked, signatures, bucket_rows)), "crossing")
     if not crossing.isEmpty():
-        more = written(_links_across(crossing, placed, texts, size, percent), "links")
+        more = written(_across(crossing, placed, texts, size, percent), "links")
         if not more.isEmpty():
             found = written(components(links.unionByName(more)), "components")
     for path in at.values():

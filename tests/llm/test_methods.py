@@ -123,12 +123,26 @@ def test_near_duplicates_equal_brute_force(spark):
             rows.append((k, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = cases.components(rows)
-    for bucket_rows in (4096, 3):
+    for bucket_rows in (1024, 3):
         got = minhash.near_duplicates(docs, bucket_rows=bucket_rows).collect()
         assert {r["id"]: r["component_id"] for r in got} == want
         assert {r["id"]: r["n_shingles"] for r in got} == {i: len(cases.shingle_set(t)) for i, t in rows}
 
 
+def test_tiles_bring_every_two_rows_of_different_components_together(spark):
+    rng = random.Random(2)
+    rows = [(7, i, 0 if i < 40 else (i if i < 60 else 100 + i % 3)) for i in range(80)] + [(8, i, i % 2) for i in range(3)]
+    signatures = spark.createDataFrame([(i, bytes(rng.randrange(256) for _ in range(2 * minhash.PERMUTATIONS)) if i >= 60 else b"x" * (2 * minhash.PERMUTATIONS)) for i in range(80)], "node bigint, signature binary")
+    dealt = minhash._refined(spark.createDataFrame(rows, "bucket bigint, node bigint, component bigint"), signatures, 10).select("bucket", "node", "component").collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault(r["bucket"], []).append((r["node"], r["component"]))
+    met = {(a, b) for t in tasks.values() for a, x in t for b, y in t if x != y}
+    alike = [(i, c) for b, i, c in rows if b == 7 and i < 60]  # the others have random signatures: no band parts these
+    assert all((a, b) in met for a, x in alike for b, y in alike if x != y) and (0, 1) in met
+    assert max(len(t) for t in tasks.values()) <= 40
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u bigint, v bigint")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
