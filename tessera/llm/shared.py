@@ -67,12 +67,12 @@ def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -
     """Inner join of ``rows`` with ``table``, which has one row a key; ``weight``: at least how many of the rows have the key.
 
     Keys with more than a 4P-th of all weight (P: shuffle partitions) are at most 4P: these rows are joined where they are, by
-    a broadcast of that size. The others are joined by a shuffle, in which no key fills a task. No key is null.
+    a broadcast of that size. The others are joined by a shuffle at every size, in which no key fills a task. No key is null.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = (table.agg(F.sum(weight)).first()[0] or 0) / (4 * parts)
     hot = F.broadcast(table.filter(F.col(weight) > least))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(weight) <= least), key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(weight) <= least).hint("merge"), key))
 
 
 def fresh(df: DataFrame, name: str) -> str:
