@@ -3,10 +3,11 @@
 Tokens are ordered by their frequency over the whole corpus, rare ones first. A template of n distinct tokens that a block
 contains to the threshold t shares one of its first n - ceil(t n) + 1 tokens with it (prefix filter), the block has at
 least ceil(t n) distinct tokens (length filter), and behind the first shared token enough of the template is left
-(positional filter); what passes is counted exactly. So only blocks with a rare license word are looked at closely, and
-every block that reaches the threshold is found. Templates are few and fixed, so they go to every task.
+(positional filter); what passes is counted exactly. An index from prefix tokens to templates gives each block its candidates, so only
+blocks with a rare license word are looked at closely, and every block that reaches the threshold is found. Templates are
+few and fixed, so they go to every task.
 
-Blocks are lines and paragraphs, longer ones cut into windows of ``WINDOW`` words that overlap by half. Words are runs of
+Blocks are whole lines and whole paragraphs, of any length; templates are paragraphs of license texts and notices. Words are runs of
 ASCII letters and digits (A-Z as a-z) and of characters beyond ASCII. Null texts count as empty: no words, no labels,
 score 0. Rows given twice are scanned twice.
 """
@@ -25,17 +26,45 @@ from .words import ALNUM, lowered, text_words, word_hashes, word_spans
 
 #: Labels by phrase: places where these words stand consecutively.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices by label.
+#: Paragraphs of license texts and of notices, by label. The wording of the licenses.
 TEMPLATES = {
-    "mit-notice": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
-    "apache-notice": ["Licensed under the Apache License, Version 2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "gpl-notice": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "mit-notice": [
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "isc-notice": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "apache-notice": [
+        "Licensed under the Apache License, Version 2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "gpl-notice": [
+        "This work is licensed under the GNU General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
     "cc-by-nc-notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-notice": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "bsd-notice": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "mpl-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License"],
+    "bsd-notice": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "mpl-notice": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "unlicense-notice": ["This is free and unencumbered software released into the public domain."],
 }
-WINDOW = 128
 THRESHOLD = 0.85
 
 
@@ -75,22 +104,38 @@ def token_frequencies(texts: DataFrame) -> dict[str, int]:
     return {r[0]: r[1] for r in texts.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n")).collect()}
 
 
-class Template:
-    def __init__(self, label: str, text: str, known: Vocabulary, frequency: dict[str, int], threshold: float):
-        words = sorted(set(split(text)), key=lambda w: (frequency.get(w, 0), w))
-        self.label, self.tokens = label, [known.number[w] for w in words]
-        self.need = math.ceil(threshold * len(words) - 1e-9)
-        self.prefix = self.tokens[: len(words) - self.need + 1]
-
-    def containment(self, block: frozenset[int] | set[int], size: int) -> float:
-        """The share of the template's tokens in a block of ``size`` distinct tokens, 0 below the threshold. block: its vocabulary words."""
-        if size < self.need:
-            return 0.0
-        first = next((k for k, t in enumerate(self.prefix) if t in block), None)
-        if first is None or len(self.tokens) - first < self.need:
-            return 0.0
-        both = sum(t in block for t in self.tokens[first:])
-        return both / len(self.tokens) if both >= self.need else 0.0
+class Templates:
+    """The templates with an index from each prefix token to (template, its place in the global order of the template's tokens)."""
+
+    def __init__(self, known: Vocabulary, frequency: dict[str, int], threshold: float):
+        self.labels: list[str] = []
+        self.tokens: list[list[int]] = []
+        self.needs: list[int] = []
+        self.index: dict[int, list[tuple[int, int]]] = {}
+        for label, texts in TEMPLATES.items():
+            for text in texts:
+                words = sorted(set(split(text)), key=lambda w: (frequency.get(w, 0), w))
+                need = math.ceil(threshold * len(words) - 1e-9)
+                tokens = [known.number[w] for w in words]
+                for place, token in enumerate(tokens[: len(words) - need + 1]):
+                    self.index.setdefault(token, []).append((len(self.tokens), place))
+                self.labels.append(label)
+                self.tokens.append(tokens)
+                self.needs.append(need)
+
+    def contained(self, block: set[int], size: int) -> Iterator[tuple[str, float]]:
+        """Label and share of the tokens of each template that a block holds to the threshold. block: its vocabulary words of ``size`` distinct words."""
+        first: dict[int, int] = {}  # the first prefix token of each candidate
+        for token in block & self.index.keys():
+            for x, place in self.index[token]:
+                first[x] = min(place, first.get(x, place))
+        for x, place in first.items():
+            tokens, need = self.tokens[x], self.needs[x]
+            if size < need or len(tokens) - place < need:
+                continue
+            both = sum(t in block for t in tokens[place:])
+            if both >= need:
+                yield self.labels[x], both / len(tokens)
 
 
 def blocks(data: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -105,8 +150,7 @@ def blocks(data: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if hi > lo and (lo, hi) not in seen:
                 seen.add((lo, hi))
-                for at in range(lo, max(lo + 1, hi - WINDOW // 2), WINDOW // 2):
-                    yield at, min(hi, at + WINDOW)
+                yield lo, hi
 
 
 SCANNED = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
@@ -120,9 +164,9 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary()
         phrases = [(label, np.array([known.number[w] for w in phrase.split(" ")])) for phrase, label in PHRASES.items()]
-        templates = [Template(label, text, known, frequency, threshold) for label, texts in TEMPLATES.items() for text in texts]
+        templates = Templates(known, frequency, threshold)
         rare = np.zeros(len(known.words) + 1, bool)  # the last entry is for other words, number -1
-        rare[[t for x in templates for t in x.prefix]] = True
+        rare[list(templates.index)] = True
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -146,11 +190,9 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
                         if np.searchsorted(hits, hi) > np.searchsorted(hits, lo):
                             inside = set(numbers[lo:hi].tolist()) - {-1}
                             size = len(np.unique(hashes[lo:hi]))
-                            for x in templates:
-                                share = x.containment(inside, size)
-                                if share:
-                                    labels.add(x.label)
-                                    score = max(score, share)
+                            for label, share in templates.contained(inside, size):
+                                labels.add(label)
+                                score = max(score, share)
                 ends = (min(places), max(places)) if places else (None, None)
                 out.append((doc, len(first), len(places), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), score))
             types = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.float64())

@@ -207,19 +207,55 @@ def test_every_fingerprint_within_the_radius_is_a_candidate():
     assert weighted_similarity(text_words("a b a", ALNUM), text_words("a b", ALNUM)) == pytest.approx(2 / 3)
 
 
-def test_license_templates_are_found_by_the_join_as_by_a_scan(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300)
-    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in license_scan.license_scan(docs).collect()}
-    templates = [(label, set(license_scan.split(x))) for label, xs in license_scan.TEMPLATES.items() for x in xs]
-    for doc, text in docs.collect():
-        want = set()
-        data = license_scan.lowered(text)
-        first, end = license_scan.word_spans(data, ALNUM)
-        own = [data[a:b].tobytes().decode() for a, b in zip(first, end, strict=True)]
-        for lo, hi in license_scan.blocks(data, first):
-            block = set(own[lo:hi])
-            want |= {label for label, t in templates if len(t & block) >= license_scan.THRESHOLD * len(t) - 1e-9}
-        assert {x for x in got[doc] if x.endswith("-notice")} == want
+def own_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+
+
+def license_by_scan(text, score):
+    """Words, places and labels of phrases, and labels and the greatest containment of templates, by plain scans."""
+    words = own_words(text)
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    places = [(i, label) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p)] == p]
+    lines = text.split("\n")
+    paragraphs, current = [], []
+    for line in lines:
+        if own_words(line):
+            current += own_words(line)
+        else:
+            paragraphs, current = [*paragraphs, current], []
+    found = {}
+    for block in [*map(own_words, lines), *paragraphs, current]:
+        for label, texts in license_scan.TEMPLATES.items():
+            for t in map(set, map(own_words, texts)):
+                if len(t & set(block)) >= license_scan.THRESHOLD * len(t) - 1e-9:
+                    found[label] = max(found.get(label, 0), len(t & set(block)) / len(t))
+    at = [i for i, _ in places]
+    base = {label for _, label in places}
+    row = (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found.keys())))
+    return (*row, 1.0 if base else max(found.values(), default=0.0)) if score else row
+
+
+def test_licenses_equal_a_scan(spark, sf):
+    got = {r["doc_id"]: r for r in queries()["op5_license_scan"](spark, sf).collect()}
+    for doc, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        assert tuple(got[doc])[1:7] == license_by_scan(text, False)[:6] and got[doc]["score"] == pytest.approx(license_by_scan(text, True)[-1])
+
+
+def test_license_texts_are_found_in_blocks_of_any_length(spark):
+    rng = random.Random(4)
+    filler = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    rows = []
+    for label, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            w = t.split()
+            for drop in (0, len(w) // 10, len(w) // 4):
+                cut = sorted(rng.sample(range(len(w)), len(w) - drop))
+                rows += [(len(rows), f"{filler(300)} {' '.join(w[i] for i in cut)} {filler(400)}\n{filler(20)}"), (len(rows) + 1, f"{filler(9)}\n\n" + " ".join(w[i] + ("\n" if i % 7 == 6 else "") for i in cut) + f"\n\n{filler(9)}")]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "the Apache, LICENSE; mit\nlicense général public License")]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for doc, text in rows:
+        want = license_by_scan(text or "", True)
+        assert tuple(got[doc])[1:7] == want[:6] and got[doc]["score"] == pytest.approx(want[6])
 
 
 def test_kth_largest(spark):
