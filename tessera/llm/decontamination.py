@@ -14,8 +14,8 @@ of the item next to themselves (so that an edit costs the item nothing) can have
 Each candidate pair is confirmed by the weighted similarity of word shingles (each counted as often as it occurs, the sum
 of the lesser counts over the sum of the greater) of the most similar of all passages that could hold the window.
 
-The benchmark is a fixed, small table next to the corpus; its fingerprints go to every task if there are at most
-``broadcast_items`` of them, and are joined by a shuffle on the blocks beyond.
+The benchmark is a small table next to the corpus: its items go to every worker, which indexes them once, if they are at most
+``broadcast_items`` with at most ``broadcast_bytes`` of text; beyond, windows are joined by a shuffle on the blocks. Both ways find the same.
 
 What is found depends on the texts alone, so texts and items are known by their SHA-256 where rows must be joined, never by
 their identifiers. Null or empty texts and items match nothing; items of fewer words than a shingle are compared as one window of their own
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -194,20 +195,31 @@ def best_passage(words: np.ndarray, own: np.ndarray, item: Item, begins: list[in
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radius: int = 3,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_items: int = 20_000,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_items: int = 20_000, broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(id, item, similarity, first_word, n_words): for each document and item found in it, the most similar passage."""
-    items = _few_items(benchmark, item_col, item_text_col, broadcast_items)
+    items = _few_items(benchmark, item_col, item_text_col, broadcast_items, broadcast_bytes)
     if items is None:
         return _by_shuffle(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text_col)
     return _matches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), items, similarity, radius)
 
 
-def _few_items(benchmark: DataFrame, item_col: str, item_text_col: str, most: int) -> list[tuple[int, str]] | None:
-    """The items with a text; None if there are more than ``most``."""
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).filter(F.col(item_text_col).isNotNull())
-    items = [(r[0], r[1]) for r in rows.limit(most + 1).collect()]
-    return items if len(items) <= most else None
+def _few_items(benchmark: DataFrame, item_col: str, item_text_col: str, most: int, most_bytes: int) -> list[tuple[int, str]] | None:
+    """The items with a text; None if there are more than ``most`` or their texts have more than ``most_bytes`` bytes."""
+    rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return [(r[0], r[1]) for r in rows.collect()] if n <= most and size <= most_bytes else None
+
+
+#: The index that this worker has built last, by the key of its search.
+_INDEXES: dict[str, Index] = {}
+
+
+def _index(key: str, items: list[tuple[int, str]], radius: int, similarity: float) -> Index:
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Index(items, radius, similarity)
+    return _INDEXES[key]
 
 
 class Index:
@@ -277,8 +289,10 @@ FOUND = "id bigint, item bigint, similarity double, first_word bigint, n_words b
 
 
 def _matches(rows: DataFrame, items: list[tuple[int, str]], similarity: float, radius: int) -> DataFrame:
+    key = uuid4().hex
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, radius, similarity)
+        index = _index(key, items, radius, similarity)
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
@@ -363,17 +377,19 @@ def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, radius: int = 3,
-    item_col: str = "item_id", item_text_col: str = "text", broadcast_items: int = 20_000,
+    item_col: str = "item_id", item_text_col: str = "text", broadcast_items: int = 20_000, broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns."""
-    items = _few_items(benchmark, item_col, item_text_col, broadcast_items)
+    items = _few_items(benchmark, item_col, item_text_col, broadcast_items, broadcast_bytes)
     if items is None:
         keys = _found_keys(docs, benchmark, similarity, radius, id_col, text_col, item_col, item_text_col).select("key").distinct()
         name = fresh(docs, "__key")
         return docs.join(written(keys.select(F.col("key").alias(name)), "contaminated"), _key(text_col) == F.col(name), "left_anti")
 
+    search = uuid4().hex
+
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(items, radius, similarity)
+        index = _index(search, items, radius, similarity)
         for batch in batches:
             out = np.ones(len(batch), bool)
             for lo in range(0, len(batch), 100):

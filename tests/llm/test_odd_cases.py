@@ -62,10 +62,13 @@ def test_near_stage(spark):
     assert 2 not in ids and 3 not in ids and 7 not in ids and 1 in ids and 6 in ids and ids.count(None) == 2
 
 
-def test_decontamination_finds_the_item_in_every_copy(spark):
-    found = decontamination.contaminated(odd(spark), benchmark(spark)).collect()
+@pytest.mark.parametrize("most", [{}, {"broadcast_items": 0}, {"broadcast_bytes": 1}])
+def test_decontamination_finds_the_item_in_every_copy(spark, most):
+    found = decontamination.contaminated(odd(spark), benchmark(spark), **most).collect()
     assert sorted(((r["id"] is not None, r["id"] or 0), r["item"]) for r in found) == [((False, 0), 1), ((True, 1), 1), ((True, 2), 1), ((True, 2), 1), ((True, 3), 1)]
-    assert decontamination.contaminated(empty(spark), benchmark(spark)).count() == 0
+    clean = decontamination.decontaminated(odd(spark), benchmark(spark), **most).select("doc_id").collect()
+    assert len(clean) == len(ODD) - 5 and sum(r["doc_id"] is None for r in clean) == sum(r[0] is None for r in ODD) - 1
+    assert decontamination.contaminated(empty(spark), benchmark(spark), **most).count() == 0
     assert decontamination.contaminated(odd(spark), benchmark(spark).limit(0)).count() == 0
 
 
