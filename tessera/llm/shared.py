@@ -1,66 +1,13 @@
-"""Tables and folders that the driver and all executors can reach."""
+"""What the operators share: stored tables, joins by identifier, hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: what follows neither repeats nor loses its work."""
-    return written_at(df, new_path(df.sparkSession, name))
-
-
-def written_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _fs(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by ``new_path``."""
-    target, fs = _fs(spark, path)
-    fs.delete(target, True)
-
-
-def list_names(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none if it does not exist."""
-    target, fs = _fs(spark, path)
-    return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
-
+from ..sources.stored import drop_path, list_names, move, new_path, shared_dir, written, written_at
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a folder to one that must not exist."""
-    (a, fs), (b, _) = _fs(spark, source), _fs(spark, target)
-    fs.mkdirs(b.getParent())
-    if fs.exists(b) or not fs.rename(a, b):
-        raise FileExistsError(target)
+__all__ = ["drop_path", "filtered", "fresh", "input_table", "joined_by_weight", "list_names", "move", "new_path", "shared_dir", "text_or_empty", "written", "written_at"]
 
 
 def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
