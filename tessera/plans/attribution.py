@@ -1,4 +1,7 @@
-"""Why the anchor's market share moved: market by inversion, drivers, gated titles, coverage, and the week's pack."""
+"""Why the anchor's market share moved: market by inversion, drivers, gated titles, coverage, facets and the packs of week and owners.
+
+What several parts of a report read (a row for each week, the titles' changes) is stored once for each report.
+"""
 
 from __future__ import annotations
 
@@ -15,11 +18,31 @@ PANEL = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
 #: Basis points of the market from which a title counts as a mover or as an anchor, by owner.
 TAU_DELTA, TAU_LEVEL = 25, 75
 TAU_LEVEL_BY_OWNER = {"ASIA": 40, "EUROPE": 60}
-#: The owner whose share is explained.
-SUBJECT = "ASIA"
+#: The owner whose share is explained, and the owners that are reported one by one.
+SUBJECT, OWNERS = "ASIA", ("AMERICA", "ASIA", "EUROPE")
+#: The label of an owner in the panel.
+OWNER_OF_LABEL = {"AUTOMOBILE": "AMERICA", "BUILDING": "ASIA", "FURNITURE": "EUROPE", "HOUSEHOLD": "AFRICA", "MACHINERY": "MIDDLE EAST"}
+#: Fixed value: titles first sold more months ago are no longer current.
+CURRENT_MONTHS = 18
+#: Headlines by driver.
+HEADLINES = {
+    "outgrown": "{} volume is up; share is down because the pie grew faster",
+    "held": "{} held while the market faded — share up on anchors",
+    "other_up": "{} share fell because Other (outside the eight) grew the market",
+    "own_up": "{} share rose on {} title gains",
+    "own_down": "{} share fell on {} title losses",
+    "market_up": "Market expanded faster than {}",
+    "market_down": "Market contracted; {} share moved with the fade",
+    "na": "Not enough lag to classify this week",
+    "mix": "Mixed own vs market effects for {}",
+}
 
 
 def week_market(t: Tables) -> DataFrame:
+    return t.stored("week-market", lambda: _week_market(t))
+
+
+def _week_market(t: Tables) -> DataFrame:
     """One row a week: the market is the anchor's volume over its share, never a sum of the panel."""
     p = t.panel.withColumn("ae", F.col("ae").cast(DOUBLE))
     anchor = p.filter(F.col("label") == ANCHOR).select("week_end", F.col("ae").alias("own_ae"), (F.col("ae") / F.col("share")).alias("market"))
@@ -103,14 +126,16 @@ def attr_owner_weeks(t: Tables) -> DataFrame:
 def title_deltas(t: Tables) -> DataFrame:
     """Weeks of titles above the floor with the volume seven days before (by date, not by row), current titles only.
 
-    A week without the one before counts in full, except the first week of all, of which nothing is known.
+    New titles, and weeks without the one before, count in full. The first week of all, of which nothing is known, is left out.
     """
+    w = Window.partitionBy("title_id").orderBy("week_end")
     x = title_floor(t).withColumn("ae", F.col("ae").cast(DOUBLE))
-    before = x.select("title_id", F.date_add("week_end", 7).alias("week_end"), F.col("ae").alias("prev_ae"))
-    x = x.join(before, ["title_id", "week_end"], "left").withColumn("delta", F.col("ae") - F.coalesce("prev_ae", F.lit(0.0)))
-    x = x.withColumn("is_new", (F.col("first_sale_date") > F.date_sub("week_end", 7)) & (F.col("first_sale_date") <= F.col("week_end")))
+    x = x.withColumn("prev_ae", F.when(F.lag("week_end").over(w) == F.date_sub("week_end", 7), F.lag("ae").over(w)))
+    x = x.withColumn("is_new", F.coalesce((F.col("first_sale_date") > F.date_sub("week_end", 7)) & (F.col("first_sale_date") <= F.col("week_end")), F.lit(False)))
+    x = x.withColumn("delta", F.when(F.col("is_new") | F.col("prev_ae").isNull(), F.col("ae")).otherwise(F.col("ae") - F.col("prev_ae"))).drop("prev_ae")
+    x = t.stored("title-deltas", lambda: x)
     first = x.agg(F.min("week_end").alias("first_week"))
-    current = F.col("first_sale_date").isNull() | (F.col("first_sale_date") >= F.add_months("week_end", -78))
+    current = F.col("first_sale_date").isNull() | (F.col("first_sale_date") >= F.add_months("week_end", -CURRENT_MONTHS))
     return x.join(F.broadcast(first), F.col("week_end") > F.col("first_week")).filter(current).drop("first_week")  # one row
 
 
@@ -125,9 +150,11 @@ def gated(t: Tables, tau_delta: float = TAU_DELTA, tau_level: float = TAU_LEVEL,
     return x.withColumn("sort_key", F.greatest(F.abs("share_bps"), F.abs("d_market_bps")))
 
 
-GATED_SQL = f"""{MARKET_SQL}, {FLOOR_SQL}, f0 AS (SELECT a.week_end, a.title_id, a.title, a.owner, a.first_sale_date, CAST(a.ae AS DOUBLE) AS ae, CAST(a.ae AS DOUBLE) - coalesce(CAST(b.ae AS DOUBLE), 0.0) AS delta,
-    a.first_sale_date > a.week_end - 7 AND a.first_sale_date <= a.week_end AS is_new FROM title_floor a LEFT JOIN title_floor b ON a.title_id = b.title_id AND b.week_end = a.week_end - 7
-    WHERE a.week_end > (SELECT min(week_end) FROM title_floor) AND (a.first_sale_date IS NULL OR a.first_sale_date >= a.week_end - INTERVAL 78 MONTH)),
+NEW_SQL = "coalesce(a.first_sale_date > a.week_end - 7 AND a.first_sale_date <= a.week_end, FALSE)"
+DELTA_SQL = f"CASE WHEN {NEW_SQL} OR b.ae IS NULL THEN CAST(a.ae AS DOUBLE) ELSE CAST(a.ae AS DOUBLE) - CAST(b.ae AS DOUBLE) END"
+GATED_SQL = f"""{MARKET_SQL}, {FLOOR_SQL}, f0 AS (SELECT a.week_end, a.title_id, a.title, a.owner, a.first_sale_date, CAST(a.ae AS DOUBLE) AS ae, {DELTA_SQL} AS delta,
+    {NEW_SQL} AS is_new FROM title_floor a LEFT JOIN title_floor b ON a.title_id = b.title_id AND b.week_end = a.week_end - 7
+    WHERE a.week_end > (SELECT min(week_end) FROM title_floor) AND (a.first_sale_date IS NULL OR a.first_sale_date >= a.week_end - INTERVAL {CURRENT_MONTHS} MONTH)),
     g0 AS (SELECT f0.*, market, market - prev_market AS d_market, driver, ae / market * 10000 AS share_bps, delta / market * 10000 AS d_market_bps FROM f0 JOIN weeks USING (week_end) WHERE market > 0),
     g1 AS (SELECT *, abs(d_market_bps) >= 25 AS mover, share_bps >= CASE owner WHEN 'ASIA' THEN 40 WHEN 'EUROPE' THEN 60 ELSE 75 END AS anchor FROM g0),
     gated AS (SELECT *, CASE WHEN mover AND anchor THEN 'both' WHEN mover THEN 'mover' ELSE 'anchor' END AS gate, greatest(abs(share_bps), abs(d_market_bps)) AS sort_key FROM g1 WHERE mover OR anchor)"""
@@ -184,38 +211,128 @@ def attr_labels(t: Tables) -> DataFrame:
     return t.panel.join(week_market(t).select("week_end"), "week_end", "left_semi").select("week_end", "label", F.row_number().over(w).cast("long").alias("pos"))
 
 
-def pack(t: Tables) -> DataFrame:
-    """Titles of each week with lead or also, in the order in which the week's driver is explained."""
-    x = gated(t)
-    mover, anchor, subject = F.col("gate").isin("mover", "both"), F.col("gate").isin("anchor", "both"), F.col("owner") == SUBJECT
-    grew, up, down = mover & (F.col("d_market_bps") > 0), F.col("driver").isin("outgrown", "market_up"), F.col("d_market_bps") < 0
-    own, abs_d = F.col("driver").isin("own_up", "own_down"), -F.abs("d_market_bps")
+def in_order(x: DataFrame, subject: Column, driver: Column, keys: tuple[str, ...] = ("week_end",)) -> DataFrame:
+    """Titles with lead or also and their place in the order in which the driver is explained. subject: whether the title is the owner's."""
+    mover, anchor = F.col("gate").isin("mover", "both"), F.col("gate").isin("anchor", "both")
+    grew, up, down = mover & (F.col("d_market_bps") > 0), driver.isin("outgrown", "market_up"), F.col("d_market_bps") < 0
+    own, abs_d = driver.isin("own_up", "own_down"), -F.abs("d_market_bps")
     pri = (
         F.when(up, F.when(~subject & grew, 0).when(subject & mover, 1).otherwise(2))
-        .when(F.col("driver") == "held", F.when(subject & anchor, 0).when(down, 1).otherwise(2))
-        .when(F.col("driver") == "other_up", F.when(grew, 0).otherwise(1))
+        .when(driver == "held", F.when(subject & anchor, 0).when(down, 1).otherwise(2))
+        .when(driver == "other_up", F.when(grew, 0).otherwise(1))
         .when(own, F.when(subject & mover, 0).when(mover, 1).otherwise(2))
-        .when(F.col("driver") == "market_down", F.when(down, 0).otherwise(1))
+        .when(driver == "market_down", F.when(down, 0).otherwise(1))
         .otherwise(0)
     )
-    x = x.withColumn("pri", pri).withColumn("lead", F.when(F.col("driver") == "held", F.col("pri") <= 1).otherwise(F.col("pri") == 0))
-    x = x.withColumn("sec", F.when((F.col("driver") == "held") & (F.col("pri") == 0), -F.col("share_bps")).otherwise(abs_d))
-    w = Window.partitionBy("week_end").orderBy("pri", "sec", F.desc("sort_key"), "title_id")
+    x = x.withColumn("pri", pri).withColumn("lead", F.when(driver == "held", F.col("pri") <= 1).otherwise(F.col("pri") == 0))
+    x = x.withColumn("sec", F.when((driver == "held") & (F.col("pri") == 0), -F.col("share_bps")).otherwise(abs_d))
+    w = Window.partitionBy(*keys).orderBy("pri", "sec", F.desc("sort_key"), "title_id")
     return x.withColumn("pos", F.row_number().over(w).cast("long")).withColumn("section", F.when(F.col("lead"), "lead").otherwise("also"))
 
 
-@query(f"""WITH {GATED_SQL}, p0 AS (SELECT *, gate IN ('mover', 'both') AS mv, gate IN ('anchor', 'both') AS an, owner = 'ASIA' AS subj FROM gated),
-    p1 AS (SELECT *, CASE WHEN driver IN ('outgrown', 'market_up') THEN CASE WHEN NOT subj AND mv AND d_market_bps > 0 THEN 0 WHEN subj AND mv THEN 1 ELSE 2 END WHEN driver = 'held' THEN CASE WHEN subj AND an THEN 0 WHEN d_market_bps < 0 THEN 1 ELSE 2 END
-    WHEN driver = 'other_up' THEN CASE WHEN mv AND d_market_bps > 0 THEN 0 ELSE 1 END WHEN driver IN ('own_up', 'own_down') THEN CASE WHEN subj AND mv THEN 0 WHEN mv THEN 1 ELSE 2 END WHEN driver = 'market_down' THEN CASE WHEN d_market_bps < 0 THEN 0 ELSE 1 END ELSE 0 END AS pri FROM p0),
-    p2 AS (SELECT *, CASE WHEN driver = 'held' THEN pri <= 1 ELSE pri = 0 END AS lead, CASE WHEN driver = 'held' AND pri = 0 THEN -share_bps ELSE -abs(d_market_bps) END AS sec FROM p1)
+def pack(t: Tables) -> DataFrame:
+    return in_order(gated(t), F.col("owner") == SUBJECT, F.col("driver"))
+
+
+PRIORITY_SQL = """CASE WHEN driver IN ('outgrown', 'market_up') THEN CASE WHEN NOT subj AND mv AND d_market_bps > 0 THEN 0 WHEN subj AND mv THEN 1 ELSE 2 END WHEN driver = 'held' THEN CASE WHEN subj AND an THEN 0 WHEN d_market_bps < 0 THEN 1 ELSE 2 END
+    WHEN driver = 'other_up' THEN CASE WHEN mv AND d_market_bps > 0 THEN 0 ELSE 1 END WHEN driver IN ('own_up', 'own_down') THEN CASE WHEN subj AND mv THEN 0 WHEN mv THEN 1 ELSE 2 END WHEN driver = 'market_down' THEN CASE WHEN d_market_bps < 0 THEN 0 ELSE 1 END ELSE 0 END"""
+ORDER_SQL = f"""p1 AS (SELECT *, {PRIORITY_SQL} AS pri FROM p0),
+    p2 AS (SELECT *, CASE WHEN driver = 'held' THEN pri <= 1 ELSE pri = 0 END AS lead, CASE WHEN driver = 'held' AND pri = 0 THEN -share_bps ELSE -abs(d_market_bps) END AS sec FROM p1)"""
+
+
+@query(f"""WITH {GATED_SQL}, p0 AS (SELECT *, gate IN ('mover', 'both') AS mv, gate IN ('anchor', 'both') AS an, owner = 'ASIA' AS subj FROM gated), {ORDER_SQL}
     SELECT week_end, title_id, driver, CASE WHEN lead THEN 'lead' ELSE 'also' END AS section, CAST(row_number() OVER (PARTITION BY week_end ORDER BY pri, sec, sort_key DESC, title_id) AS BIGINT) AS pos FROM p2""")
 def attr_week_pack(t: Tables) -> DataFrame:
     return pack(t).select("week_end", "title_id", "driver", "section", "pos")
 
 
+def tagged(x: DataFrame) -> DataFrame:
+    """Whether the title is the subject's, whether its owner is reported by itself, and the tag that says so."""
+    x = x.withColumn("is_subject", F.col("owner") == SUBJECT).withColumn("in_panel", F.col("owner").isin(*OWNERS))
+    return x.withColumn("tag", F.when(F.col("is_subject"), "subject").when(F.col("in_panel"), "panel").otherwise("other"))
+
+
+def title_facets(x: DataFrame, owner: str | None = None, in_panel: bool | None = None, is_subject: bool | None = None, gate: str | None = None, tag: str | None = None) -> DataFrame:
+    """Titles that fit the facets that are given; ballast is an older name of the gate anchor."""
+    gate = "anchor" if gate == "ballast" else gate
+    for name, value in {"owner": owner, "in_panel": in_panel, "is_subject": is_subject, "gate": gate, "tag": tag}.items():
+        if value is not None:
+            x = x.filter(F.col(name) == F.lit(value))
+    return x
+
+
+@query(f"""WITH {GATED_SQL}, f AS (SELECT *, CASE WHEN owner = 'ASIA' THEN 'subject' WHEN owner IN ('AMERICA', 'ASIA', 'EUROPE') THEN 'panel' ELSE 'other' END AS tag FROM gated)
+    SELECT 'ballast' AS facet, week_end, title_id, owner, gate, tag FROM f WHERE gate = 'anchor' UNION ALL SELECT 'panel movers', week_end, title_id, owner, gate, tag FROM f WHERE gate = 'mover' AND tag <> 'other'
+    UNION ALL SELECT 'owner', week_end, title_id, owner, gate, tag FROM f WHERE owner = 'EUROPE' AND tag = 'panel' UNION ALL SELECT 'others', week_end, title_id, owner, gate, tag FROM f WHERE tag = 'other'""")
+def attr_facets(t: Tables) -> DataFrame:
+    """The titles of four choices of facets, side by side."""
+    x = t.stored("gated", lambda: tagged(gated(t)))
+    chosen = {"ballast": {"gate": "ballast"}, "panel movers": {"gate": "mover", "in_panel": True}, "owner": {"owner": "EUROPE", "is_subject": False, "tag": "panel"}, "others": {"tag": "other"}}
+    parts = [title_facets(x, **facets).select(F.lit(name).alias("facet"), "week_end", "title_id", "owner", "gate", "tag") for name, facets in chosen.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def headline(driver: Column, owner: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, text in HEADLINES.items():
+        out = F.when(driver == name, F.replace(F.lit(text), F.lit("{}"), owner)).otherwise(out)
+    return out
+
+
+HEADLINE_SQL = "CASE driver " + " ".join(f"WHEN '{d}' THEN replace('{x}', '{{}}', owner)" for d, x in HEADLINES.items()) + " END"
+OWNER_SQL = "CASE label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in OWNER_OF_LABEL.items()) + " END"
+
+
+@query(f"""WITH {GATED_SQL}, o1 AS (SELECT week_end, {OWNER_SQL} AS owner, CAST(p.ae AS DOUBLE) AS own_ae, w.market, w.panel_ae, w.other_ae, CAST(p.ae AS DOUBLE) / w.market AS share FROM panel p JOIN weeks w USING (week_end)),
+    o2 AS (SELECT *, lag(own_ae) OVER w AS prev_own, lag(market) OVER w AS prev_market, lag(panel_ae) OVER w AS prev_panel, lag(other_ae) OVER w AS prev_other, lag(share) OVER w AS prev_share FROM o1 WINDOW w AS (PARTITION BY owner ORDER BY week_end)),
+    o3 AS (SELECT *, (share - prev_share) * 10000 AS d_share_bps, (own_ae - prev_own) / market * 10000 AS own_effect_bps, -prev_share * (market - prev_market) / market * 10000 AS market_effect_bps FROM o2),
+    o4 AS (SELECT week_end, owner, {DRIVER_SQL} FROM o3), p0 AS (SELECT g.* EXCLUDE (driver, owner), o.driver, o.owner AS subject_owner, gate IN ('mover', 'both') AS mv, gate IN ('anchor', 'both') AS an, g.owner = o.owner AS subj FROM gated g JOIN o4 o USING (week_end)), {ORDER_SQL},
+    ids AS (SELECT week_end, subject_owner AS owner, string_agg(CAST(title_id AS VARCHAR), ',' ORDER BY pri, sec, sort_key DESC, title_id) AS lead_ids FROM p2 WHERE lead GROUP BY ALL)
+    SELECT week_end, owner, driver, {HEADLINE_SQL} AS headline, CASE WHEN owner = 'ASIA' THEN 'subject' ELSE 'panel' END AS tag, coalesce(lead_ids, '') AS lead_ids FROM o4 LEFT JOIN ids USING (week_end, owner)""")
+def attr_owner_pack(t: Tables) -> DataFrame:
+    """By week and owner: the driver of its share, its headline, and the titles that explain it, in their order.
+
+    The titles of a week are those that pass its gate: a few dozen, as the market bounds them (at most 10000 / tau of them can hold tau).
+    """
+    owner = F.create_map(*[F.lit(x) for kv in OWNER_OF_LABEL.items() for x in kv])[F.col("label")]
+    o = owner_weeks(t).select("week_end", owner.alias("subject_owner"), "driver")
+    titles = t.stored("gated", lambda: tagged(gated(t))).drop("driver").join(o, "week_end")
+    ordered = in_order(titles, F.col("owner") == F.col("subject_owner"), F.col("driver"), ("week_end", "subject_owner"))
+    ids = ordered.filter("lead").groupBy("week_end", "subject_owner").agg(F.array_sort(F.collect_list(F.struct("pos", "title_id"))).alias("ids"))
+    x = o.join(ids.select("week_end", "subject_owner", F.array_join(F.transform("ids", lambda i: i["title_id"].cast("string")), ",").alias("lead_ids")), ["week_end", "subject_owner"], "left")
+    return x.select(
+        "week_end", F.col("subject_owner").alias("owner"), "driver", headline(F.col("driver"), F.col("subject_owner")).alias("headline"),
+        F.when(F.col("subject_owner") == SUBJECT, "subject").otherwise("panel").alias("tag"), F.coalesce("lead_ids", F.lit("")).alias("lead_ids"),
+    )
+
+
+#: Thresholds tried for an owner, coarsest first, and the one that is taken if none is enough.
+TAU_GRID, TAU_FALLBACK = (100, 75, 60, 50, 40, 25), 25
+
+
+@query(f"""WITH {GATED_SQL}, o1 AS (SELECT week_end, {OWNER_SQL} AS owner, CAST(p.ae AS DOUBLE) AS own_ae, w.market, w.panel_ae, w.other_ae, CAST(p.ae AS DOUBLE) / w.market AS share FROM panel p JOIN weeks w USING (week_end)),
+    o2 AS (SELECT *, lag(own_ae) OVER w AS prev_own, lag(market) OVER w AS prev_market, lag(panel_ae) OVER w AS prev_panel, lag(other_ae) OVER w AS prev_other, lag(share) OVER w AS prev_share FROM o1 WINDOW w AS (PARTITION BY owner ORDER BY week_end)),
+    o3 AS (SELECT *, (share - prev_share) * 10000 AS d_share_bps, (own_ae - prev_own) / market * 10000 AS own_effect_bps, -prev_share * (market - prev_market) / market * 10000 AS market_effect_bps FROM o2),
+    held AS (SELECT week_end, owner FROM (SELECT week_end, owner, {DRIVER_SQL} FROM o3) JOIN (SELECT DISTINCT week_end FROM f0) USING (week_end) WHERE driver = 'held'),
+    top AS (SELECT owner, week_end, max(share_bps) AS best FROM g0 GROUP BY ALL), x AS (SELECT owner, CAST(tau AS BIGINT) AS tau, count(*) AS held, count(*) FILTER (WHERE best >= tau) AS ok FROM held LEFT JOIN top USING (owner, week_end), (VALUES (100), (75), (60), (50), (40), (25)) g(tau) GROUP BY ALL),
+    o AS (SELECT DISTINCT owner FROM o1) SELECT owner, CAST(coalesce(any_value(held), 0) AS BIGINT) AS held_weeks, CAST(coalesce(max(tau) FILTER (WHERE ok = held), CASE WHEN any_value(held) IS NULL THEN 100 ELSE {TAU_FALLBACK} END) AS BIGINT) AS tau_level FROM o LEFT JOIN x USING (owner) GROUP BY 1""")
+def attr_tau_by_owner(t: Tables) -> DataFrame:
+    """For each owner the coarsest threshold at which every week in which it held its share names a title of its own."""
+    owner = F.create_map(*[F.lit(x) for kv in OWNER_OF_LABEL.items() for x in kv])[F.col("label")]
+    deltas = title_deltas(t)
+    o = owner_weeks(t).select("week_end", owner.alias("owner"), "driver")
+    held = o.filter("driver = 'held'").join(deltas.select("week_end").distinct(), "week_end").select("owner", "week_end")
+    m = week_market(t).filter("market > 0").select("week_end", "market")
+    top = deltas.join(m, "week_end").groupBy("owner", "week_end").agg(F.max(F.col("ae") / F.col("market") * 10000).alias("best"))
+    ok = [F.count(F.when(F.col("best") >= tau, 1)).alias(f"ok_{tau}") for tau in TAU_GRID]  # the grid is a few columns, not rows
+    x = held.join(top, ["owner", "week_end"], "left").groupBy("owner").agg(F.count(F.lit(1)).alias("held"), *ok)
+    level = F.coalesce(*[F.when(F.col(f"ok_{tau}") == F.col("held"), tau) for tau in TAU_GRID], F.when(F.col("held").isNull(), TAU_GRID[0]), F.lit(TAU_FALLBACK))
+    return o.select("owner").distinct().join(x, "owner", "left").select("owner", F.coalesce("held", F.lit(0)).cast("long").alias("held_weeks"), level.cast("long").alias("tau_level"))
+
+
 @query(f"""WITH {MARKET_SQL}, {FLOOR_SQL}, grid AS (SELECT d, l FROM (VALUES (15), (25), (40)) a(d), (VALUES (50), (75), (100)) b(l)),
-    f0 AS (SELECT a.week_end, CAST(a.ae AS DOUBLE) AS ae, CAST(a.ae AS DOUBLE) - coalesce(CAST(b.ae AS DOUBLE), 0.0) AS delta FROM title_floor a LEFT JOIN title_floor b ON a.title_id = b.title_id AND b.week_end = a.week_end - 7
-    WHERE a.week_end > (SELECT min(week_end) FROM title_floor) AND (a.first_sale_date IS NULL OR a.first_sale_date >= a.week_end - INTERVAL 78 MONTH)),
+    f0 AS (SELECT a.week_end, CAST(a.ae AS DOUBLE) AS ae, {DELTA_SQL} AS delta FROM title_floor a LEFT JOIN title_floor b ON a.title_id = b.title_id AND b.week_end = a.week_end - 7
+    WHERE a.week_end > (SELECT min(week_end) FROM title_floor) AND (a.first_sale_date IS NULL OR a.first_sale_date >= a.week_end - INTERVAL {CURRENT_MONTHS} MONTH)),
     x AS (SELECT d, l, week_end, count(*) AS n FROM f0 JOIN weeks USING (week_end), grid WHERE abs(delta / market * 10000) >= d OR ae / market * 10000 >= l GROUP BY ALL)
     SELECT CAST(d AS BIGINT) AS tau_delta, CAST(l AS BIGINT) AS tau_level, CAST(sum(n) AS BIGINT) AS named, round(quantile_cont(n, 0.9), 4) AS p90 FROM x GROUP BY ALL""")
 def attr_tau_grid(t: Tables) -> DataFrame:

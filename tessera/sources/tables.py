@@ -7,6 +7,7 @@ decimal, so that sums do not depend on their order. Every time window takes its
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import week_end
 from ..functions.windows import top_n_per_group
+from .stored import written
 
 ANCHOR = "BUILDING"
 LABELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -26,6 +28,13 @@ def money(x):
 class Tables:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several parts of a report read: made once and kept as Parquet in the shared folder."""
+        if name not in self._stored:
+            self._stored[name] = written(make(), name)
+        return self._stored[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
