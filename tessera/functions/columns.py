@@ -111,6 +111,55 @@ def fiscal_month_label(last_day: ColumnOrName) -> Column:
     return F.when(d < F.last_day(d), F.concat(name, F.lit(" - (END "), F.date_format(d, "MMM dd"), F.lit(")"))).otherwise(name)
 
 
+#: Fiscal quarters by their last fiscal month.
+QUARTERS = {1: "Q1 (Sep-Nov)", 2: "Q2 (Dec-Feb)", 3: "Q3 (Mar-May)", 4: "Q4 (Jun-Aug)"}
+
+
+def fiscal_quarter_name(quarter: ColumnOrName) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in QUARTERS.items() for x in kv]), _c(quarter).cast("int"))
+
+
+def fiscal_quarter_last_day(d: ColumnOrName) -> Column:
+    """The day on which the quarter of a date is complete; days of December name the February before, so take the greatest of a quarter."""
+    d = _c(d)
+    month = F.element_at(F.create_map(*[F.lit(x) for kv in {1: 11, 2: 2, 3: 5, 4: 8}.items() for x in kv]), fiscal_quarter(d).cast("int"))
+    return F.last_day(F.make_date(F.year(d), month, F.lit(1)))
+
+
+def fiscal_quarter_label(quarter: ColumnOrName, max_day: ColumnOrName, last_day: ColumnOrName) -> Column:
+    """The quarter's name, marked with the last day that there is as long as the quarter is not over."""
+    name, d = fiscal_quarter_name(quarter), _c(max_day)
+    return F.when(d < _c(last_day), F.concat(name, F.lit(" - (END "), F.date_format(d, "MMM dd"), F.lit(")"))).otherwise(name)
+
+
+def period_end_in_label(fy: ColumnOrName, label: ColumnOrName) -> Column:
+    """The day in "(END Mon DD)" of a label, in the calendar year that the month has in the fiscal year; null if there is none."""
+    found = F.regexp_extract(_c(label), r"(?i)\(?END\s+([A-Za-z]{3})[a-z]*\.?\s+([0-9]{1,2})", 0)
+    part = lambda k: F.regexp_extract(_c(label), r"(?i)\(?END\s+([A-Za-z]{3})[a-z]*\.?\s+([0-9]{1,2})", k)
+    month = F.nullif(F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(part(1))) + 2) / 3), F.lit(0)).cast("int")
+    year = _c(fy).cast("int") - F.when(month >= 9, 1).otherwise(0)
+    return F.when(found != "", F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, part(2).try_cast("int")), "yyyy-MM-dd"))
+
+
+def fiscal_window(fy: ColumnOrName, label: ColumnOrName) -> tuple[Column, Column]:
+    """First and last day of the fiscal quarter that a label names; a day named in the label ends it. Null where nothing is named.
+
+    Fixed value: without a day in the label, the second quarter ends on the 28th of February in leap years, too.
+    """
+    fy, q = _c(fy).cast("int"), F.regexp_extract(_c(label), r"(?i)Q\s*([1-4])", 1).try_cast("int")
+    year_before = F.when(q <= 2, 1).otherwise(0)
+    start = F.make_date(fy - year_before, F.element_at(F.array(*map(F.lit, (9, 12, 3, 6))), q), F.lit(1))
+    plain = F.make_date(fy - F.when(q == 1, 1).otherwise(0), F.element_at(F.array(*map(F.lit, (11, 2, 5, 8))), q), F.element_at(F.array(*map(F.lit, (30, 28, 31, 31))), q))
+    named = F.regexp_like(_c(label), F.lit(r"(?i)\(?END\s+[A-Za-z]{3}[a-z]*\.?\s+[0-9]{1,2}"))
+    return F.when(q.isNotNull(), start), F.when(named, period_end_in_label(fy, label)).when(q.isNotNull(), plain)
+
+
+def number_or_null(x: ColumnOrName) -> Column:
+    """A number written as text; null for what is none, for NaN and for infinities."""
+    v = _c(x).cast("string").try_cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def effective_release_date(street: ColumnOrName, first_sale: ColumnOrName, since: str = "2014-01-05") -> Column:
     """Street date up to ``since``; later the first sale where known. Fixed value: data on first sales begin then."""
     return F.when(_c(street) <= F.lit(since).cast("date"), _c(street)).otherwise(F.coalesce(_c(first_sale), _c(street)))

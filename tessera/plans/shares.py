@@ -68,19 +68,19 @@ def share_overlay(t: Tables) -> DataFrame:
     return x.select("label", "week_end", "kind", "ytd", F.round(F.col("ytd") + band, 4).alias("upper"), F.round(F.col("ytd") - band, 4).alias("lower"))
 
 
-@query(f"""WITH f AS (SELECT week_end AS w0, title_id, CAST(ae AS DOUBLE) AS ae FROM title_weeks), s AS (SELECT title_id, first_sale_date AS street FROM titles WHERE title_id % 10 = 0),
+@query(f"""WITH f AS (SELECT week_end AS w0, title_id, CAST(ae AS DOUBLE) AS ae FROM title_weeks), s AS (SELECT title_id, first_sale_date AS street FROM titles),
     c AS (SELECT title_id, street, w0, ae, lead(w0) OVER w AS w1, lead(ae) OVER w AS ae1 FROM s JOIN f USING (title_id) WHERE w0 >= street WINDOW w AS (PARTITION BY title_id ORDER BY w0)),
     k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY w0) = 1)
     SELECT title_id, CASE WHEN w1 = w0 + 7 AND ae1 > 0 AND ae <= 0.1 * ae1 THEN w1 ELSE w0 END AS week_end, CASE WHEN w1 = w0 + 7 AND ae1 > 0 AND ae <= 0.1 * ae1 THEN ae1 ELSE ae END AS first_week, coalesce(w1 = w0 + 7 AND ae1 > 0 AND ae <= 0.1 * ae1, FALSE) AS skipped_stub FROM k""")
 def first_week_resolver(t: Tables) -> DataFrame:
     """The chart week of the street date; the next one if it follows at once and this is a stub of at most a tenth of it."""
-    streets = t.titles.filter("title_id % 10 = 0").select("title_id", F.col("first_sale_date").alias("street"))
+    streets = t.titles.select("title_id", F.col("first_sale_date").alias("street"))
     return first_weeks(t.title_weeks.select("title_id", "week_end", F.col("ae").cast(DOUBLE).alias("ae")), streets)
 
 
 @query()
 def first_week_resolver_all(t: Tables) -> DataFrame:
-    """The same for every title; ``first_week_resolver`` and its SQL take one of ten."""
+    """The same as ``first_week_resolver``, kept under its older name."""
     streets = t.titles.select("title_id", F.col("first_sale_date").alias("street"))
     return first_weeks(t.title_weeks.select("title_id", "week_end", F.col("ae").cast(DOUBLE).alias("ae")), streets)
 
