@@ -79,49 +79,56 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cuts[best[len(best) // 2]])
 
 
-COUNTS = "bucket bigint, n bigint, quality int, found array<bigint>, counts array<bigint>"
+COUNTS = "bucket bigint, n bigint, n_good bigint, quality int, found array<bigint>, counts array<bigint>"
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, evidence: float = 200) -> QualityModel:
-    """``docs`` (id, text), ``labels`` (id, quality: 1 good, 0 bad). Raw counts are over all documents; labelled are at most ``sample_rows``."""
+    """``docs`` (id, text), ``labels`` (id, quality: 1 good, 0 bad). Raw counts are over all documents; labelled are at most ``sample_rows``.
+
+    The n-grams of labelled rows stay in a stored table; the driver gets counts by bucket and one weight for each labelled row.
+    """
     known = labels.filter("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        names = ["bucket", "n", "quality", "found", "counts"]
+        total, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        names = ["bucket", "n", "n_good", "quality", "found", "counts"]
         for batch in batches:
             rows = []
             for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = np.bincount(ngrams(text), minlength=BUCKETS)
                 total += counts
                 if quality is not None:
+                    good += quality * counts
                     found = np.flatnonzero(counts)
-                    rows.append((None, None, quality, found, counts[found]))
+                    rows.append((None, None, None, quality, found, counts[found]))
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
         found = np.flatnonzero(total)
         none = [None] * len(found)
-        yield pa.record_batch([pa.array(x, t) for x, t in zip((found, total[found], none, none, none), types, strict=True)], names=names)
+        yield pa.record_batch([pa.array(x, t) for x, t in zip((found, total[found], good[found], none, none, none), types, strict=True)], names=names)
 
     counted = written(docs.join(F.broadcast(drawn.withColumnRenamed("id", "labelled")), F.col("id") == F.col("labelled"), "left").select("text", F.col("quality").cast("int")).mapInArrow(count, COUNTS), "ngram-counts")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, n in counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
-        raw[bucket] = n
-    table = counted.filter("quality is not null").select("quality", "found", "counts").toArrow()
-    rows = [(q, np.array(f, np.intp), np.array(c, float)) for q, f, c in zip(*(table.column(x).to_pylist() for x in ("quality", "found", "counts")), strict=True) if f]
-    if {q for q, _, _ in rows} != {0, 1}:
-        return QualityModel(None, 0.0, evidence)
-    for q, found, counts in rows:
-        if q:
-            target[found] += counts
+    for bucket, n, n_good in counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("n"), F.sum("n_good")).collect():  # at most BUCKETS rows
+        raw[bucket], target[bucket] = n, n_good
     base, n_target = log_share(raw, raw.sum()), target.sum()
-    weights: tuple[list, list] = ([], [])
-    for q, found, counts in rows:
-        n = counts.sum()
-        own = log_share(target[found] - q * counts, n_target - q * n)
-        weights[q].append(of_sum(float((own - base[found]) @ counts), n, evidence))
-    return QualityModel(log_share(target, n_target) - base, best_cut(np.array(weights[1]), np.array(weights[0])), evidence)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights = []
+            for q, found, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found, counts = np.array(found, np.intp), np.array(counts, float)
+                own = log_share(target[found] - q * counts, n_target - q * counts.sum())
+                weights.append(of_sum(float((own - base[found]) @ counts), counts.sum(), evidence))
+            yield pa.record_batch([batch.column(0), pa.array(weights, pa.float64())], names=["quality", "weight"])
+
+    labelled = counted.filter("quality is not null and size(found) > 0").select("quality", "found", "counts")
+    weights = labelled.mapInArrow(weigh, "quality int, weight double").collect()  # at most sample_rows rows, more where identifiers are repeated
+    good, bad = (np.array([w for q, w in weights if q == k]) for k in (1, 0))
+    if not len(good) or not len(bad):
+        return QualityModel(None, 0.0, evidence)
+    return QualityModel(log_share(target, n_target) - base, best_cut(good, bad), evidence)
 
 
 def log_weight(model: QualityModel, text: Column) -> Column:
