@@ -23,6 +23,7 @@ several texts is one document, linked by any of them. Rows without identifier li
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -260,17 +261,19 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
 
 def _refined(rows: DataFrame, signatures: DataFrame, bucket_rows: int) -> DataFrame:
     """Rows of buckets with several components, with their signatures; buckets of more than ``bucket_rows`` rows are dealt out."""
-    counts = _mixed_buckets(rows)
-    mixed_rows = rows.join(counts, "bucket").join(signatures, "node")
     half = max(1, bucket_rows // 2)
     scattered = (F.col("rows") > bucket_rows) & (F.col("rows") - F.col("most") > half)
+    mixed_rows = written(rows.join(_mixed_buckets(rows), "bucket"), "mixed-rows")
+    ready = [mixed_rows.filter(~scattered)]
     for level in (1, 2):
-        if counts.filter(scattered).isEmpty():
+        wide = mixed_rows.filter(scattered).drop("rows", "largest", "most")
+        if wide.isEmpty():
             break
         band = F.explode(F.array(*[F.xxhash64("bucket", F.lit(j), F.expr(f"substring(signature, {5 * j + level}, 3)")) for j in range(24)]))
-        dealt = mixed_rows.filter(scattered).drop("rows", "largest", "most").withColumn("bucket", band)
-        counts = _mixed_buckets(dealt)
-        mixed_rows = mixed_rows.filter(~scattered).unionByName(dealt.join(counts, "bucket"))
+        dealt = written(wide.join(signatures, "node").withColumn("bucket", band).drop("signature"), "dealt-rows")
+        mixed_rows = written(dealt.join(_mixed_buckets(dealt), "bucket"), "mixed-rows")
+        ready.append(mixed_rows.filter(~scattered))
+    mixed_rows = reduce(DataFrame.unionByName, [*ready, mixed_rows.filter(scattered)])
     # Tiles 0 to strays - 1 are of rows outside the largest component, the others of its rows: no two of these are compared.
     strays, bigs = F.ceil((F.col("rows") - F.col("most")) / half), F.ceil(F.col("most") / half)
     own = F.xxhash64("node", F.lit("tile"))
@@ -280,7 +283,7 @@ def _refined(rows: DataFrame, signatures: DataFrame, bucket_rows: int) -> DataFr
     after = F.transform(F.sequence(F.col("tile"), F.col("strays") + F.col("bigs") - 1), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j")))
     pairs = F.when(F.col("tile") < F.col("strays"), F.array_distinct(F.concat(with_strays, after))).otherwise(with_strays)
     large = large.withColumn("pair", F.explode(pairs)).withColumn("bucket", F.xxhash64("bucket", "pair.i", "pair.j")).drop("strays", "bigs", "tile", "pair")
-    return mixed_rows.filter(F.col("rows") <= bucket_rows).unionByName(large)
+    return mixed_rows.filter(F.col("rows") <= bucket_rows).unionByName(large).join(signatures, "node")
 
 
 def _signed(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
