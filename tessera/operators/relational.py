@@ -57,15 +57,14 @@ def union_padded(*parts: DataFrame) -> DataFrame:
 
 
 def crosstab_association(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square and Cramer's V of two columns, from their counts."""
+    """Chi-square and Cramer's V of two columns from the counts of the cells that occur: n (sum of o^2 / (row * column) - 1)."""
     cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     rows, cols = cells.groupBy(a).agg(F.sum("n").alias("row_n")), cells.groupBy(b).agg(F.sum("n").alias("col_n"))
-    total = cells.agg(F.sum("n").alias("total"))
-    full = rows.crossJoin(F.broadcast(cols)).crossJoin(F.broadcast(total)).join(cells, [a, b], "left")  # cells of a contingency table
-    expected = F.col("row_n") * F.col("col_n") / F.col("total")
-    chi = F.sum((F.coalesce("n", F.lit(0)) - expected) ** 2 / expected)
+    full = cells.join(rows, a).join(cols, b)
+    total = F.sum("n")
+    chi = total * (F.sum(F.col("n") * F.col("n") / (F.col("row_n") * F.col("col_n"))) - 1)
     least = F.least(F.countDistinct(a), F.countDistinct(b)) - 1
-    return full.agg(chi.alias("chi_square"), F.sqrt(chi / F.max("total") / least).alias("cramers_v"), F.max("total").alias("n"))
+    return full.agg(chi.alias("chi_square"), F.sqrt(chi / total / least).alias("cramers_v"), total.alias("n"))
 
 
 def weighted_sample(df: DataFrame, weight: Column, n: int, key: str, seed: int = 7) -> DataFrame:

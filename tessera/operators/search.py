@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import like_literal, search_text
-from ..functions.text import similarity
+from ..functions.text import sequence_ratio, similarity
 
 #: Least score, least length of a word, most candidates that are scored.
 LEAST_SCORE, LEAST_LENGTH, CANDIDATES = 0.30, 2, 500
 
 
-def typeahead(df: DataFrame, column: str, asked: str, rank: str, limit: int = 20) -> DataFrame:
-    """Rows whose ``column`` matches, by similarity, then ``rank`` descending, then the column. A top-k report."""
+def typeahead(df: DataFrame, column: str, asked: str, rank: str, limit: int = 20, candidates: int = CANDIDATES) -> DataFrame:
+    """Rows whose ``column`` matches, by similarity, then ``rank`` descending, then the column. A top-k report: the ``candidates`` of the highest rank are scored."""
     spark = df.sparkSession
     normal = spark.range(1).select(search_text(F.lit(asked))).first()[0]
     words = list(dict.fromkeys(w for w in normal.split(" ") if len(w) >= LEAST_LENGTH))
@@ -24,18 +24,26 @@ def typeahead(df: DataFrame, column: str, asked: str, rank: str, limit: int = 20
     text = df.withColumn("__text", search_text(column))
     begins = reduce(lambda a, b: a & b, [F.concat(F.lit(" "), F.col("__text")).like(f"% {like_literal(w)}%") for w in words])
     order = [F.col(rank).desc_nulls_last(), F.col(column)]
-    hits = text.filter(begins).orderBy(*order).limit(CANDIDATES)
+    hits = text.filter(begins).orderBy(*order).limit(candidates)
     if hits.isEmpty():
-        hits = text.filter(F.col("__text").contains(normal)).orderBy(*order).limit(CANDIDATES)
+        hits = text.filter(F.col("__text").contains(normal)).orderBy(*order).limit(candidates)
     scored = hits.withColumn("score", similarity(F.col("__text"), F.lit(normal))).filter(F.col("score") >= LEAST_SCORE)
     return scored.orderBy(F.col("score").desc(), *order).limit(limit).drop("__text")
 
 
-def closest_name(names: DataFrame, asked: DataFrame, cutoff: float = 0.8) -> DataFrame:
-    """For each asked name the most similar known one, among those that share a word with it. names, asked: (name)."""
+def closest_name(names: DataFrame, asked: DataFrame, cutoff: float = 0.8, salts: int = 16) -> DataFrame:
+    """For each asked name the most similar known one, if it reaches the cutoff. names, asked: (name).
+
+    All names that can reach it are compared: similarity is at most 2 min / (sum) of both lengths, so the join is on the length of the
+    known name, with each asked name at all lengths that it allows; known names of one length are dealt over ``salts`` blocks.
+    """
     from ..functions.windows import top_n_per_group
 
-    words = lambda df, as_: df.select(F.col("name").alias(as_), F.explode(F.array_distinct(F.split(search_text("name"), " "))).alias("word"))
-    pairs = words(asked, "asked").join(words(names, "known"), "word").select("asked", "known").distinct()
-    scored = pairs.withColumn("score", similarity(search_text("asked"), search_text("known"))).filter(F.col("score") >= cutoff)
-    return top_n_per_group(scored, ["asked"], [F.col("score").desc(), F.col("known")])
+    known = names.select(F.col("name").alias("known"), search_text("name").alias("text")).distinct()
+    known = known.withColumn("length", F.length("text")).withColumn("block", F.pmod(F.xxhash64("known"), F.lit(salts)).cast("int"))
+    mine = asked.select(F.col("name").alias("asked"), search_text("name").alias("asked_text")).distinct().filter("asked_text <> ''")
+    size = F.length("asked_text")
+    lengths = F.sequence(F.ceil(size * cutoff / (2 - cutoff) - 1e-9).cast("int"), F.floor(size * (2 - cutoff) / cutoff + 1e-9).cast("int"))
+    mine = mine.withColumn("length", F.explode(lengths)).withColumn("block", F.explode(F.array(*map(F.lit, range(salts)))))
+    scored = known.join(mine, ["length", "block"]).withColumn("score", sequence_ratio(F.col("text"), F.col("asked_text"))).filter(F.col("score") >= cutoff)
+    return top_n_per_group(scored, ["asked"], [F.col("score").desc(), F.col("known")]).select("asked", "known", "score")

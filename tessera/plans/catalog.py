@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from . import attribution, domain, features, forecast, refresh, relational, shares  # noqa: F401
+from . import attribution, domain, features, forecast, models, periods, refresh, relational, shares  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

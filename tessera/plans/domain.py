@@ -103,7 +103,7 @@ def q_07_universe(t: Tables) -> DataFrame:
 @query("""WITH r AS (SELECT product_id AS artist_id, title_id, sum(ae) AS revenue FROM daily_fact WHERE year(report_date) = 1999 GROUP BY ALL)
     SELECT artist_id, title_id, CAST(revenue AS DOUBLE) AS revenue, CAST(sum(revenue) OVER (PARTITION BY artist_id) AS DOUBLE) AS artist_total FROM r QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY revenue DESC, title_id) <= 10""")
 def q_08_artist_revenue(t: Tables) -> DataFrame:
-    r = t.daily_fact.filter(F.year("report_date") == 1999).groupBy(F.col("product_id").alias("artist_id"), "title_id").agg(F.sum("ae").alias("revenue"))
+    r = t.daily_fact.filter(F.col("report_date").between("1999-01-01", "1999-12-31")).groupBy(F.col("product_id").alias("artist_id"), "title_id").agg(F.sum("ae").alias("revenue"))
     with_total = r.withColumn("artist_total", F.sum("revenue").over(Window.partitionBy("artist_id")).cast(DOUBLE))
     return W.top_n_per_group(with_total, ["artist_id"], [F.col("revenue").desc(), F.col("title_id")], 10).withColumn("revenue", d("revenue"))
 
@@ -173,6 +173,27 @@ def q_14_snapshot_delta(t: Tables) -> DataFrame:
     return t.titles.join(F.broadcast(m), F.col("first_sale_date").between(F.date_sub("m", 21), F.col("m"))).select("title_id", "title", "artist", F.col("first_sale_date").alias("release_date"))  # one row
 
 
+def snapshot_delta(t: Tables, types: tuple[str, ...], days: int = 21, keyed: bool = False) -> DataFrame:
+    """The search snapshot, without streams, of titles released in the last days; ``keyed``: only those with a main artist."""
+    newest = t.titles.agg(F.date_sub(F.max("first_sale_date"), days).alias("since"))
+    x = search_snapshot(t, types).drop("daily_streams").join(F.broadcast(newest), F.col("release_date") >= F.col("since")).drop("since")  # one row
+    return x.filter("artist_id is not null") if keyed else x
+
+
+def delta_sql(types: str, more: str = "") -> str:
+    return f"SELECT * EXCLUDE (daily_streams) FROM ({snapshot_sql(types)}) WHERE release_date >= (SELECT max(first_sale_date) FROM titles) - 21{more}"
+
+
+@query(delta_sql("'ECONOMY', 'LARGE', 'STANDARD', 'MEDIUM', 'PROMO'"))
+def q_14_search_delta(t: Tables) -> DataFrame:
+    return snapshot_delta(t, ("ECONOMY", "LARGE", "STANDARD", "MEDIUM", "PROMO"))
+
+
+@query(delta_sql("'SMALL'", " AND artist_id IS NOT NULL"))
+def q_14_singles_delta(t: Tables) -> DataFrame:
+    return snapshot_delta(t, ("SMALL",), keyed=True)
+
+
 @query("""WITH s AS (SELECT artist_id, artist, count(*) AS n, sum(streams) AS streams FROM (SELECT o.product_id AS artist_id, t.artist, (SELECT 1) AS one, coalesce(w.q, 0) AS streams FROM titles t JOIN owners o USING (title_id) LEFT JOIN (SELECT title_id, sum(quantity) AS q FROM title_weeks GROUP BY 1) w USING (title_id)) GROUP BY ALL),
     r AS (SELECT artist_id, artist, row_number() OVER (PARTITION BY artist_id ORDER BY n DESC, streams DESC, artist) AS rn FROM s)
     SELECT artist_id, max(CASE WHEN rn = 1 THEN artist END) AS name, CAST(sum(n) AS BIGINT) AS releases, CAST(sum(streams) AS BIGINT) AS streams FROM s JOIN r USING (artist_id, artist) GROUP BY 1""")
@@ -349,6 +370,16 @@ def q_31_artwork_urls(t: Tables) -> DataFrame:
     return pages.join(known, "code", "left_semi").select("page_id", "host", "code")
 
 
+@query(f"""WITH {ARTISTS_SQL}, m AS (SELECT DISTINCT a.product_id AS artist_id FROM (SELECT title_id, unnest(artists) AS a FROM artists) WHERE a.role = 'main')
+    SELECT artist_id, s_name AS artist, url AS profile_image FROM m JOIN supplier ON s_suppkey = artist_id JOIN pages ON page_id % 1000 = artist_id WHERE trim(url) <> '' QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY url DESC) = 1""")
+def q_31_artist_artwork(t: Tables) -> DataFrame:
+    """The profile image of each main artist of a title: of several addresses that are not blank, the greatest."""
+    main = title_artists(t).select(F.explode("artists").alias("a")).filter("a.role = 'main'").select(F.col("a.product_id").alias("artist_id")).distinct()
+    names = t.raw("supplier").select(F.col("s_suppkey").alias("artist_id"), F.col("s_name").alias("artist"))
+    images = t.raw("pages").filter(F.trim("url") != "").groupBy(F.pmod("page_id", F.lit(1000)).alias("artist_id")).agg(F.max("url").alias("profile_image"))
+    return main.join(names, "artist_id").join(images, "artist_id").select("artist_id", "artist", "profile_image")
+
+
 @query(f"WITH {ARTISTS_SQL} SELECT title_id, a.product_id AS artist_id FROM (SELECT title_id, unnest(artists) AS a FROM artists WHERE title_id IN (2, 4, 8, 16, 32, 64)) WHERE a.role = 'main'")
 def q_32_main_artists(t: Tables) -> DataFrame:
     rows = R.with_ids(title_artists(t), "title_id", (2, 4, 8, 16, 32, 64)).select("title_id", F.posexplode("artists").alias("pos", "a")).filter("a.role = 'main'")

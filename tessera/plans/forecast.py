@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.curves import gamma_curve, nnls
 from ..sources.tables import Tables
 from .features import LIFE_SQL, life
 from .registry import query
@@ -74,25 +73,6 @@ def backtest_holdout(t: Tables) -> DataFrame:
     return d.filter("c_custkey % 2 = 1").crossJoin(F.broadcast(m)).agg(F.round(F.avg(e), 4).alias("mae"), F.round(F.sum(e) / F.sum("y"), 6).alias("wape"), F.count(F.lit(1)).alias("n"))  # one row
 
 
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Non-negative least squares with few columns: the best of the unconstrained fits on each subset of columns."""
-    best, out = float(b @ b), np.zeros(a.shape[1])
-    for r in range(1, a.shape[1] + 1):
-        for cols in combinations(range(a.shape[1]), r):
-            x, *_ = np.linalg.lstsq(a[:, cols], b, rcond=None)
-            if (x >= 0).all():
-                e = a[:, cols] @ x - b
-                if e @ e < best - 1e-9:
-                    best, out = float(e @ e), np.zeros(a.shape[1])
-                    out[list(cols)] = x
-    return out
-
-
-def gamma_curve(t: np.ndarray, peak: float, a: float) -> np.ndarray:
-    """1 at the peak, rising before and falling after it."""
-    return (t / peak) ** a * np.exp(-a * (t / peak - 1))
-
-
 #: Shapes that a release's weeks are composed of: peaks early and late, sharp and flat.
 SHAPES = ((1.0, 0.6), (2.0, 0.4), (6.0, 0.3), (26.0, 0.2))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import incremental as I
 from ..operators import search
-from ..sources.files import json_records
+from ..sources.files import csv_lines, json_records
+from ..sources.stored import new_path
 from ..sources.tables import Tables
 from ..streaming import weekly as S
 from .registry import query
@@ -84,6 +85,61 @@ def incr_partial_week(t: Tables) -> DataFrame:
     return x.filter(F.coalesce(~((F.col("back") == 1) & (F.col("ae") < 0.75 * F.col("prev"))), F.lit(True))).select("label", "week_end", "ae")
 
 
+def both_refreshes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return stored(t), t.panel.select("label", "week_end", F.col("ae").cast(DOUBLE).alias("ae"), F.lit("new").alias("source"))
+
+
+@query(f"WITH {STORED_SQL} SELECT 'advanced' AS run, label, week_end, CAST(ae AS DOUBLE) AS ae, 'new' AS source FROM panel UNION ALL SELECT 'no-op', label, week_end, ae, source FROM st")
+def incr_if_advanced(t: Tables) -> DataFrame:
+    """A refresh whose source is ahead of what is stored takes the source; one whose source is not changes nothing."""
+    old, new = both_refreshes(t)
+    same = old.withColumn("source", F.lit("new"))  # as far as what is stored
+    runs = I.refreshed_if_advanced(old, new, "week_end").withColumn("run", F.lit("advanced")), I.refreshed_if_advanced(old, same, "week_end").withColumn("run", F.lit("no-op"))
+    return runs[0].unionByName(runs[1])
+
+
+@query("SELECT label, week_end, CAST(ae AS DOUBLE) AS ae, 'new' AS source FROM panel")
+def incr_delete_reload(t: Tables) -> DataFrame:
+    """What is stored goes as a whole and the source comes, in one version."""
+    table = I.VersionedTable(t.spark, new_path(t.spark, "reload"))
+    for rows in both_refreshes(t):
+        table.reload(rows)
+    table.vacuum(keep=1)
+    return table.read()
+
+
+@query("""WITH l AS (SELECT label, max(week_end) AS last FROM panel GROUP BY 1), d AS (SELECT max(day) AS as_of FROM order_rows) SELECT label, week_end, CAST(ae AS DOUBLE) AS ae FROM panel JOIN l USING (label), d WHERE NOT (week_end = last AND last >= as_of - 3)""")
+def incr_strip_partial(t: Tables) -> DataFrame:
+    """Series without the week in progress: one that ends less than three days before the last day of the data."""
+    as_of = t.orders.agg(F.max("day").alias("as_of"))
+    x = t.panel.select("label", "week_end", F.col("ae").cast(DOUBLE).alias("ae")).crossJoin(F.broadcast(as_of))  # one row
+    return I.without_partial_week(x, ["label"], "week_end", F.col("as_of")).drop("as_of")
+
+
+@query(f"WITH {STORED_SQL}, {ARRIVED_SQL} SELECT label, week_end, ae, source FROM (SELECT *, 1 AS p FROM ar UNION ALL SELECT *, 0 FROM st) QUALIFY row_number() OVER (PARTITION BY label, week_end ORDER BY p DESC) = 1")
+def sink_csv_merge(t: Tables) -> DataFrame:
+    """A report kept as CSV: each run reads it, adds its rows, keeps the last of each key, and writes the next version."""
+    table = I.VersionedTable(t.spark, new_path(t.spark, "report"), "csv", header="true")
+    for rows in (stored(t), arrived(t)):
+        table.append_merge(rows, ["label", "week_end"])
+    return table.read()
+
+
+@query("SELECT label || ',' || strftime(week_end, '%Y-%m-%d') || ',' || CAST(round(share * 100, 2) AS VARCHAR) AS line FROM panel")
+def sink_csv_lines(t: Tables) -> DataFrame:
+    return csv_lines(t.panel.select("label", "week_end", (F.col("share") * 100).alias("percent")), ["percent"])
+
+
+@query("SELECT label, CAST(count(*) AS BIGINT) AS weeks, CAST(max(ae) AS DOUBLE) AS peak, CAST(0.82 AS DOUBLE) AS band FROM panel GROUP BY 1")
+def sink_artifacts(t: Tables) -> DataFrame:
+    """A model's tables and settings, saved and loaded again."""
+    root = new_path(t.spark, "model")
+    peaks = t.panel.groupBy("label").agg(F.count(F.lit(1)).alias("weeks"), F.max("ae").cast(DOUBLE).alias("peak"))
+    I.save_artifacts(t.spark, root, {"peaks": peaks}, {"band": 0.82})
+    tables, settings = I.load_artifacts(t.spark, root)
+    return tables["peaks"].withColumn("band", F.lit(settings["band"]))
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) + CAST((4 - isodow(ts) + 7) % 7 AS INTEGER) AS week_end, event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL")
 def stream_weekly(t: Tables) -> DataFrame:
     """The streaming aggregation run to the end of the input; equals the batch one, as a table's files come in any order of time."""
@@ -119,28 +175,37 @@ def typeahead_titles(t: Tables) -> DataFrame:
 @query()
 def fuzzy_names(t: Tables) -> DataFrame:
     asked = t.spark.createDataFrame([("Suplier 000000007",), ("supplier#000000012",)], "name string")
-    return search.closest_name(t.suppliers.select(F.col("level_3").alias("name")), asked, 0.5)
+    return search.closest_name(t.suppliers.select(F.col("level_3").alias("name")), asked)
+
+
+def blocks(t: Tables, *columns: str, size: int = 1000) -> DataFrame:
+    """Titles of each artist in arrays of about ``size``: key, block, rows."""
+    n = t.titles.groupBy(F.col("artist").alias("key")).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    x = t.titles.withColumnRenamed("artist", "key").join(n, "key").withColumn("block", F.pmod(F.xxhash64("title_id"), F.col("blocks")))
+    return x.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
 
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(titles) AS BIGINT) AS titles FROM (SELECT artist, count(*) AS titles FROM titles GROUP BY 1)""")
 def snapshot_counts(t: Tables) -> DataFrame:
     """Sections of the nested snapshot, counted after a round trip through JSON."""
-    doc = t.titles.groupBy("artist").agg(F.array_sort(F.collect_list(F.struct("title_id", "title"))).alias("releases"))
-    back = doc.select(F.from_json(F.to_json(F.struct("artist", "releases")), "artist string, releases array<struct<title_id: bigint, title: string>>").alias("d"))
-    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("d.releases")).alias("titles"))
+    doc = blocks(t, "title_id", "title").withColumnRenamed("key", "artist").withColumnRenamed("rows", "releases")
+    back = doc.select(F.from_json(F.to_json(F.struct("artist", "block", "releases")), "artist string, block bigint, releases array<struct<title_id: bigint, title: string>>").alias("d"))
+    back = back.groupBy("d.artist").agg(F.sum(F.size("d.releases")).alias("titles"))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum("titles").alias("titles"))
 
 
 @query()
 def boot_snapshot(t: Tables) -> DataFrame:
-    """One JSON text for each section and artist or label: releases, weekly volumes, current rates."""
+    """JSON texts for each section and artist or label: releases in numbered blocks, weekly volumes, current rates with their day."""
     from .domain import rates
 
-    releases = t.titles.groupBy(F.col("artist").alias("key")).agg(F.array_sort(F.collect_list(F.struct("title_id", "title", "first_sale_date"))).alias("rows"))
+    releases = blocks(t, "title_id", "title", "first_sale_date")
+    # at most a number for each week
     weeks = t.panel.groupBy(F.col("label").alias("key")).agg(F.array_sort(F.collect_list(F.struct("week_end", F.col("ae").cast(DOUBLE).alias("ae"), "share"))).alias("rows"))
-    current = rates(t).groupBy("artist_id").agg(F.max_by("rate", F.struct("calculated", "order_id")).alias("rate"))
-    r = current.select(F.lit("rates").alias("section"), F.col("artist_id").cast("string").alias("key"), F.to_json(F.struct("rate")).alias("value"))
-    a = releases.select(F.lit("releases").alias("section"), "key", F.to_json("rows").alias("value"))
-    return a.unionByName(weeks.select(F.lit("weekly").alias("section"), "key", F.to_json("rows").alias("value"))).unionByName(r)
+    current = rates(t).groupBy("artist_id").agg(F.max_by(F.struct("rate", "calculated"), F.struct("calculated", "order_id")).alias("r")).select("artist_id", "r.*")
+    r = current.select(F.lit("rates").alias("section"), F.col("artist_id").cast("string").alias("key"), F.lit(0).cast("long").alias("block"), F.to_json(F.struct("rate", F.col("calculated").alias("as_of"))).alias("value"))
+    a = releases.select(F.lit("releases").alias("section"), "key", "block", F.to_json("rows").alias("value"))
+    return a.unionByName(weeks.select(F.lit("weekly").alias("section"), "key", F.lit(0).cast("long").alias("block"), F.to_json("rows").alias("value"))).unionByName(r)
 
 
 @query("SELECT '{\"label\":\"' || label || '\",\"week_end\":\"' || strftime(week_end, '%Y-%m-%d') || '\",\"quantity\":' || CAST(CAST(round_even(CAST(ae AS DOUBLE), 0) AS BIGINT) AS VARCHAR) || '}' AS value FROM panel")
@@ -153,9 +218,9 @@ def json_wrap_genre(t: Tables) -> DataFrame:
     return t.titles.select("title_id", F.to_json(F.array(F.struct(F.lit("main").alias("domain"), F.lower("release_type").alias("genre")))).alias("genres"))
 
 
-@query("SELECT c_custkey, TRY_CAST(CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE CAST(c_acctbal AS VARCHAR) END AS DOUBLE) AS balance, lower(CASE WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'no' END) IN ('true', '1', 'yes', 't', 'y') AS flag FROM customer")
+@query("SELECT c_custkey, TRY_CAST(CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE CAST(c_acctbal AS VARCHAR) END AS DOUBLE) AS balance, lower(CASE WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'no' END) IN ('true', '1', 'yes', 't', 'y') AS flag, CASE WHEN c_custkey % 5 > 1 THEN CAST(c_custkey AS DOUBLE) / 4 END AS finite FROM customer")
 def cast_or_null(t: Tables) -> DataFrame:
     c = t.raw("customer")
     text = F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(F.col("c_acctbal").cast("string"))
     flag = F.when(F.col("c_custkey") % 2 == 0, "Yes").otherwise("no")
-    return c.select("c_custkey", text.try_cast(DOUBLE).alias("balance"), C.truthy(flag).alias("flag"))
+    return c.select("c_custkey", text.try_cast(DOUBLE).alias("balance"), C.truthy(flag).alias("flag"), C.number_or_null(F.when(F.col("c_custkey") % 5 == 0, "inf").when(F.col("c_custkey") % 5 == 1, "NaN").otherwise((F.col("c_custkey") / 4).cast("string"))).alias("finite"))

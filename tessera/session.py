@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC dates, adaptive plans with skew handling; sizes of partitions are left to AQE.
@@ -13,10 +17,20 @@ SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to workers that do not have it: a ZIP file of its modules, sent by the driver."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tessera-code-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tessera", "zip", os.path.dirname(root), os.path.basename(root)))
+
+
 def session(app: str = "tessera", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
+    return spark

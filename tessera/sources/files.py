@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stored import write_text
+
 
 class MissingColumns(ValueError):
     pass
 
 
-def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], aliases: Mapping[str, Sequence[str]] | None = None, **options: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], aliases: Mapping[str, Sequence[str]] | None = None, multi_line: bool = False, **options: str) -> DataFrame:
     """Columns of a CSV file by name, whatever the case, with white space and a byte order mark in the header ignored.
 
-    ``columns``: type by name; ``aliases``: older names by name. Values that do not fit their type become null.
+    ``columns``: type by name; ``aliases``: older names by name. Values that do not fit their type become null. ``multi_line``: values may
+    hold line breaks in quotes; then a file is one task, else it is split.
     """
-    raw = spark.read.options(header="true", multiLine="true", escape='"', **options).csv(path)
+    raw = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"', **options).csv(path)
     found = {c.replace("﻿", "").strip().lower(): c for c in raw.columns}
     out, missing = [], []
     for name, kind in columns.items():
@@ -32,9 +36,9 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], aliases
     return raw.select(*out)
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "snappy", schema: T.StructType | str | None = None) -> DataFrame:
-    """Quoted line breaks are kept; without a schema all columns are text."""
-    reader = spark.read.options(header="true", multiLine="true", escape='"')
+def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "snappy", schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Without a schema all columns are text. ``multi_line``: values may hold line breaks in quotes; then a file is one task, else it is split."""
+    reader = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"')
     (reader.schema(schema) if schema else reader).csv(source).write.mode("overwrite").option("compression", compression).parquet(target)
     return spark.read.parquet(target)
 
@@ -59,15 +63,25 @@ def json_records(df: DataFrame, shares: Sequence[str] = ()) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def csv_lines(df: DataFrame, two_decimals: Sequence[str] = ()) -> DataFrame:
+    """One CSV line a row, the header apart in ``csv_header``: what a download gives, with some columns to two decimals."""
+    cols = [(F.round(F.col(c).cast("double"), 2) if c in two_decimals else F.col(c)).alias(c) for c in df.columns]
+    return df.select(F.to_csv(F.struct(*cols)).alias("line"))
+
+
+def csv_header(df: DataFrame) -> str:
+    return ",".join(df.columns)
+
+
 def write_document(df: DataFrame, path: str) -> None:
-    """A table of one JSON text as one file, written aside and renamed."""
+    """A table of one JSON text as one file, written aside and renamed over what is there in one step."""
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = hadoop(path + ".tmp")
-    out = fs.create(aside, True)
-    out.write(bytearray(df.first()[0].encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(aside, target)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    aside = f"{path}.{uuid4().hex}.tmp"
+    write_text(spark, aside, df.first()[0])
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(jvm.org.apache.hadoop.fs.Path(aside), target, options)

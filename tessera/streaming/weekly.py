@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.windows import top_n_per_group
+from ..sources.stored import drop_path, list_names, new_path
 
 
 def event_stream(spark: SparkSession, directory: str, table: str = "events", files_per_trigger: int = 1) -> DataFrame:
@@ -53,14 +52,21 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint", "n bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_each_batch(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> None:
-    """Run a stream to its end, upserting each micro-batch into a versioned table: the last row of a key wins."""
+def upsert_each_batch(stream: DataFrame, target: str, keys: list[str], checkpoint: str, sequence: str) -> None:
+    """Run a stream to its end, upserting each micro-batch into a versioned table: of a key, the row with the greatest ``sequence`` wins.
+
+    A correction wins whatever its values, and a row that comes late with a lower sequence than the stored one does not.
+    """
     from ..operators.incremental import VersionedTable
 
     def put(batch: DataFrame, number: int) -> None:
         table = VersionedTable(batch.sparkSession, target)
-        last = top_n_per_group(batch, keys, [F.col(c).desc_nulls_last() for c in batch.columns if c not in keys])
-        table.upsert(last, keys)
+        stored = table.read()
+        rows = batch.withColumn("__batch", F.lit(number))
+        if stored is not None:
+            rows = rows.unionByName(stored.withColumn("__batch", F.lit(-1)))
+        table.write(top_n_per_group(rows, keys, [F.col(sequence).desc_nulls_last(), F.col("__batch").desc()]).drop("__batch"))
+        table.vacuum()
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -69,23 +75,18 @@ def upsert_each_batch(stream: DataFrame, target: str, keys: list[str], checkpoin
 def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """All rows that a stream gives until its input ends; of an updating stream, the last row of each key."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    own = None if base else tempfile.mkdtemp(prefix="tessera-stream-")
-    from uuid import uuid4
-
-    root = f"{base}/stream-{uuid4().hex}" if base else own
+    root = new_path(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/{number:09d}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    try:
-        rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{root}/out")
-    except Exception:
-        if own:
-            shutil.rmtree(own, ignore_errors=True)
-        raise
+    drop_path(spark, f"{root}/state")
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])
+    if not list_names(spark, f"{root}/out"):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
     if keys:
         rows = top_n_per_group(rows, keys, [F.col("__batch").desc()])
     return rows.drop("__batch")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import incremental as I
 from tessera.operators import relational as R
 from tessera.plans.attribution import week_market
-from tessera.plans.forecast import nnls
+from tessera.functions.curves import nnls
 from tessera.plans.shares import first_weeks
 from tessera.sources import files
 from tessera.sources.tables import Tables
@@ -37,6 +37,54 @@ def test_versioned_table_reads_itself_while_it_is_upserted(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [(1, "b"), (2, "c")]
 
 
+def test_versions_survive_crashes_and_two_writers(spark, tmp_path):
+    at, rows = str(tmp_path / "t"), lambda x: spark.createDataFrame([(1, x)], "k int, x string")
+    one, two = I.VersionedTable(spark, at), I.VersionedTable(spark, at)
+    one.write(rows("a")), one.write(rows("b"))
+    (tmp_path / "t" / "pointers" / ".left").mkdir()  # a writer that died before its rename
+    (tmp_path / "t" / "v3-left").mkdir()
+    assert two.current() == 2 and two.read().first()["x"] == "b" and two.read(1).first()["x"] == "a"
+    one.current = lambda: 2  # has looked before the other writes
+    assert two.write(rows("c")) == 3
+    with pytest.raises(I.Conflict):
+        one.write(rows("d"))
+    assert two.read().first()["x"] == "c"
+    two.vacuum(keep=1)
+    assert two.read().first()["x"] == "c" and two.current() == 3 and not (tmp_path / "t" / "pointers" / "000000001").exists()
+    assert two.write(rows("e")) == 4  # never again from v1
+
+
+def test_refresh_only_if_the_source_has_advanced(spark):
+    row = lambda d, x: spark.createDataFrame([(D(2024, 1, d), x)], "d date, x string")
+    assert [I.refreshed_if_advanced(row(4, "old"), row(d, "new"), "d").first()["x"] for d in (3, 4, 5)] == ["old", "old", "new"]
+    assert I.refreshed_if_advanced(row(4, "old").limit(0), row(5, "new"), "d").first()["x"] == "new"
+
+
+@pytest.mark.parametrize(("as_of", "weeks"), [(D(2024, 1, 12), 1), (D(2024, 1, 14), 1), (D(2024, 1, 15), 2)])
+def test_the_week_in_progress_is_left_out(spark, as_of, weeks):
+    series = spark.createDataFrame([(1, D(2024, 1, 4)), (1, D(2024, 1, 11))], "k int, week_end date")
+    assert I.without_partial_week(series, ["k"], "week_end", F.lit(as_of)).count() == weeks
+
+
+def test_closest_names_equal_a_scan(spark):
+    from difflib import SequenceMatcher
+
+    from tessera.operators.search import closest_name
+
+    known = ["Ann Lee", "Anne Leigh", "The Band", "Band, The", "Bjork", "Björk Ensemble", "x", "ab", "abc", "abcd"]
+    asked = ["ann lee", "anne lee", "the bands", "bjoerk", "y", "abcde", "", "abc"]
+    plain = lambda x: x.lower().replace("ö", "o").replace(",", "")
+    for cutoff in (0.5, 0.8):
+        want = {}
+        for a in filter(None, asked):
+            scores = [(SequenceMatcher(None, plain(k), plain(a)).ratio(), k) for k in known]
+            best = max(s for s, _ in scores)
+            if best >= cutoff:
+                want[a] = min(k for s, k in scores if s == best)
+        got = closest_name(spark.createDataFrame([(k,) for k in known], "name string"), spark.createDataFrame([(a,) for a in asked], "name string"), cutoff)
+        assert {r["asked"]: r["known"] for r in got.collect()} == want
+
+
 def test_fill_missing_takes_only_blank_values(spark):
     target = spark.createDataFrame([(1, " "), (2, "x"), (3, None)], "k int, v string")
     source = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
@@ -69,7 +117,7 @@ def test_effects_add_up_to_the_change_in_share(spark, sf):
 def test_csv_contract(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('﻿ Label , Old_Name,n\n"a\nb",x,1\nc,y,none\n', encoding="utf-8")
-    got = files.read_csv(spark, str(path), {"label": "string", "new_name": "string", "n": "int"}, {"new_name": ["old_name"]})
+    got = files.read_csv(spark, str(path), {"label": "string", "new_name": "string", "n": "int"}, {"new_name": ["old_name"]}, multi_line=True)
     assert sorted(map(tuple, got.collect())) == [("a\nb", "x", 1), ("c", "y", None)]
     with pytest.raises(files.MissingColumns):
         files.read_csv(spark, str(path), {"absent": "string"})
@@ -77,9 +125,11 @@ def test_csv_contract(spark, tmp_path):
 
 def test_csv_to_parquet_and_document(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,b\n"1\n2",x\n')
-    assert files.csv_to_parquet(spark, str(tmp_path / "x.csv"), str(tmp_path / "p")).first()["a"] == "1\n2"
+    assert files.csv_to_parquet(spark, str(tmp_path / "x.csv"), str(tmp_path / "p"), multi_line=True).first()["a"] == "1\n2"
     files.write_document(spark.createDataFrame([('{"a":1}',)], "value string"), str(tmp_path / "d.json"))
     assert (tmp_path / "d.json").read_text() == '{"a":1}'
+    files.write_document(spark.createDataFrame([('{"a":2}',)], "value string"), str(tmp_path / "d.json"))
+    assert (tmp_path / "d.json").read_text() == '{"a":2}' and not list(tmp_path.glob("*.tmp"))
 
 
 def test_json_records_round_half_to_even(spark):
