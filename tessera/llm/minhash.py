@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import top_n_per_group
 from .components import components
-from .shared import drop_path, filtered, new_path, written, written_at
+from .shared import drop_path, filtered, joined_by_weight, new_path, written, written_at
 from .words import U, mixed, shingle_set, stream
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("component", "node").alias("component")
     placed = signatures.join(members.select("node").distinct(), "node", "left_semi").join(found, "node", "left").select("node", "signature", component)
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    placed = written(placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))), "placed")
+    placed = written(joined_by_weight(placed, sizes, "component", "members").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / 256))), "placed")
     marked = members.select("bucket", "node", "size").join(placed.select("node", "component", "members", "block"), "node")
     crossing = written(_crossing(_refined(marked, signatures, bucket_rows)), "crossing")
     if not crossing.isEmpty():
