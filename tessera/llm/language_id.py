@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all training rows. The weights are learned by follow-the-regularised-leader
-(proximal, elastic net) on a bounded sample of them, drawn by a hash of the identifier, the same number for each
-language; a part of the sample sets the temperature by which probabilities are calibrated.
+(proximal, elastic net) on a bounded sample of them, drawn by a hash of the identifier, about the same number for each
+language (``sample_rows`` over their number, ``least_rows`` at least); a part of the sample sets the temperature by which probabilities are calibrated.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if there is nothing to learn from.
 Rows without a language or without an identifier are predicted, never learned from. Rows given twice are predicted twice.
@@ -118,15 +118,18 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out[:SIZE], int(out[SIZE])
 
 
-def train(rows: DataFrame, sample_rows: int = 6000) -> LanguageModel:
-    """Learn from a table (id, text, lang) without nulls; the weights from about ``sample_rows`` rows."""
-    per_language = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(rows: DataFrame, sample_rows: int = 6000, least_rows: int = 300, most_languages: int = 1000) -> LanguageModel:
+    """Learn from a table (id, text, lang) without nulls; the weights from about ``sample_rows`` rows. More languages than ``most_languages`` are refused."""
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    per_language = {r["lang"]: r["n"] for r in counts}
     languages = sorted(per_language)
     if not languages:
         return LanguageModel([], np.zeros(SIZE), np.zeros((SIZE, 0)), np.zeros(0), 1.0)
     frequency, total = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    share = {x: sample_rows / len(languages) / n for x, n in per_language.items()}
+    share = {x: max(sample_rows / len(languages), least_rows) / n for x, n in per_language.items()}
     wanted = F.element_at(F.create_map(*[F.lit(y) for x in share.items() for y in x]), F.col("lang"))
     draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
 

@@ -8,6 +8,7 @@ packed twice; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator, Mapping
@@ -22,13 +23,26 @@ from .shared import written
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
+def joins_no_words(spec: dict) -> bool:
+    """Whether a tokenizer file treats the words between white space apart: known normalisers, and a split that keeps no white space."""
+    normal = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    split = spec.get("pre_tokenizer") or {}
+    split = split["pretokenizers"][0] if split.get("type") == "Sequence" and split["pretokenizers"] else split
+    kept = split.get("pattern", {}).get("Regex", "")
+    return all(x["type"] in ("NFC", "Lowercase") or x == blank for x in steps) and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and kept.endswith("[^\\s\\p{L}\\p{N}]+")
+
+
 class WordEncoder:
-    """Token ids of texts by a tokenizer that never joins words over white space; the ids of up to ``limit`` words are remembered."""
+    """Token ids of texts. Where the tokenizer never joins words over white space, the ids of words are remembered, up to ``limit`` words and ``most_bytes``."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 600_000, most_bytes: int = 128 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        with open(path, encoding="utf-8") as f:
+            self.by_word = joins_no_words(json.load(f))
+        self.tokenizer, self.limit, self.most_bytes, self.known, self.size = Tokenizer.from_file(path), limit, most_bytes, {}, 0
 
     def words(self, text: str) -> list[str]:
         if text.isascii() and "<|" not in text:  # special tokens are matched before the tokenizer's own lower-casing
@@ -37,13 +51,17 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
+        if not self.by_word:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.words(x) for x in texts]
         new = list({w for x in split for w in x}.difference(self.known))
-        if len(self.known) + len(new) > self.limit:
+        if len(self.known) + len(new) > self.limit or self.size > self.most_bytes:
             self.known.clear()
+            self.size = 0
             new = list({w for x in split for w in x})
         for found, word in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
             self.known[word] = array("I", found.ids).tobytes()
+            self.size += 4 * len(word) + len(self.known[word])
         known = self.known
         return [b"".join([known[w] for w in x]) for x in split]
 
@@ -132,31 +150,34 @@ def plan(counts: Mapping[int, int], capacity: int) -> list[Slots]:
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, order: Iterable[str] = ("doc_id", "piece", "start"), rows_per_group: int = 100_000) -> DataFrame:
-    """``pieces`` (any table with a column length from 1 to ``capacity``) with sequence_id and offset. It is read more than once: pass a stored table."""
+    """``pieces`` (any table with a column length from 1 to ``capacity``) with sequence_id and offset. It is read more than once: pass a stored table.
+
+    Columns of these two names are replaced; all others stay, whatever they are called, but for names that begin with ``__pack``.
+    """
     spark = pieces.sparkSession
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     slots = plan(by_length, capacity)
-    table = spark.createDataFrame(slots or [Slots(0, 0, 0, 0, 1, 0)], "slot_length bigint, first bigint, end bigint, first_sequence bigint, per_sequence bigint, first_offset bigint")
+    table = spark.createDataFrame(slots or [Slots(0, 0, 0, 0, 1, 0)], ", ".join(f"__pack_{c} bigint" for c in ("slot_length", "first", "end", "first_sequence", "per_sequence", "first_offset")))
     # One length can hold most pieces: ranks are counted in groups of about rows_per_group rows and shifted by the groups before.
     groups = max(64, sum(by_length.values()) // rows_per_group)
-    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    keyed = pieces.withColumn("__pack_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
     before = (
-        keyed.groupBy("length", "__group")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__group")) - F.col("n"))
-        .drop("n")
+        keyed.groupBy("length", "__pack_group")
+        .agg(F.count(F.lit(1)).alias("__pack_n"))
+        .withColumn("__pack_before", F.sum("__pack_n").over(Window.partitionBy("length").orderBy("__pack_group")) - F.col("__pack_n"))
+        .drop("__pack_n")
     )
-    place = Window.partitionBy("length", "__group").orderBy(*order)
-    ranked = keyed.join(before, ["length", "__group"]).withColumn("__rank", F.col("__before") + F.row_number().over(place) - 1)
+    place = Window.partitionBy("length", "__pack_group").orderBy(*order)
+    ranked = keyed.join(before, ["length", "__pack_group"]).withColumn("__pack_rank", F.col("__pack_before") + F.row_number().over(place) - 1)
     if len(slots) <= 100_000:  # at most a few for each pair of a length and a room left, however many documents there are
         table = F.broadcast(table)
-    hit = (F.col("length") == F.col("slot_length")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("end"))
-    within = F.col("__rank") - F.col("first")
+    hit = (F.col("length") == F.col("__pack_slot_length")) & (F.col("__pack_rank") >= F.col("__pack_first")) & (F.col("__pack_rank") < F.col("__pack_end"))
+    within = F.col("__pack_rank") - F.col("__pack_first")
     return (
         ranked.join(table, hit)
-        .withColumn("sequence_id", F.col("first_sequence") + F.floor(within / F.col("per_sequence")))
-        .withColumn("offset", F.col("first_offset") + F.pmod(within, F.col("per_sequence")) * F.col("length"))
-        .drop("__group", "__before", "__rank", *table.columns)
+        .withColumn("sequence_id", F.col("__pack_first_sequence") + F.floor(within / F.col("__pack_per_sequence")))
+        .withColumn("offset", F.col("__pack_first_offset") + F.pmod(within, F.col("__pack_per_sequence")) * F.col("length"))
+        .select(*(c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")), "sequence_id", "offset")
     )
 
 

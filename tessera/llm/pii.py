@@ -16,6 +16,7 @@ returned.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -90,6 +91,10 @@ LABELS = len(KINDS) + 1
 CUES = {"email": ("mail", "contact"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "pay"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 
 
+#: Yes-or-no features of a token.
+FEATURES = 27
+
+
 class Tokens(NamedTuple):
     spans: list[tuple[int, int]]
     features: np.ndarray
@@ -148,7 +153,7 @@ def tokens(text: str, locals_: set[str]) -> Tokens:
         number.setdefault(key, []).append(k)
     shared = [v for v in number.values() if len(v) > 1]
     skips = [(k, h) for h, v in enumerate(shared) for k in v]
-    return Tokens(spans, np.array(rows, float), np.array(chain, int).reshape(-1, 2), np.array(skips, int).reshape(-1, 2), len(shared))
+    return Tokens(spans, np.array(rows, float).reshape(-1, FEATURES), np.array(chain, int).reshape(-1, 2), np.array(skips, int).reshape(-1, 2), len(shared))
 
 
 def token_labels(spans: list[tuple[int, int]], base: list[Span]) -> np.ndarray:
@@ -229,29 +234,42 @@ def train(texts: DataFrame, sample_rows: int = 4000) -> FieldModel:
     """
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # features are yes or no, so tokens are counted by the bits of their features and their label
+        seen: Counter[tuple[int, int]] = Counter()
+        near, twins = np.zeros((LABELS, LABELS), np.int64), np.zeros((LABELS, LABELS), np.int64)
         for batch in batches:
-            rows, labels, near, twins = [], [], np.zeros((LABELS, LABELS), np.int64), np.zeros((LABELS, LABELS), np.int64)
             for text, base in _documents(batch.column(0).to_pylist()):
                 t = tokens(text, {text[s:e].partition("@")[0] for s, k, e in base if k == 0})
                 known = token_labels(t.spans, base)
-                rows += t.features.tolist()
-                labels += known.tolist()
+                if len(known):
+                    bits = (t.features.astype(np.int64) << np.arange(t.features.shape[1])).sum(1)
+                    seen.update(zip(bits.tolist(), known.tolist(), strict=True))
                 np.add.at(near, (known[t.chain[:, 0]], known[t.chain[:, 1]]), 1)
                 counts = np.zeros((t.hubs, LABELS), np.int64)
                 np.add.at(counts, (t.skips[:, 1], known[t.skips[:, 0]]), 1)
                 twins += counts.T @ counts - np.diag(counts.sum(0))
-            yield pa.record_batch([pa.array([rows], pa.list_(pa.list_(pa.float64()))), pa.array([labels], pa.list_(pa.int64())), pa.array([near.ravel()], pa.list_(pa.int64())), pa.array([twins.ravel()], pa.list_(pa.int64()))], names=["features", "labels", "near", "twins"])
+        links = [(kind, i, int(x)) for kind, m in (("near", near), ("twins", twins)) for i, x in enumerate(m.ravel()) if x]
+        rows = [("token", bits, label, n) for (bits, label), n in seen.items()] + [(kind, i, 0, n) for kind, i, n in links]
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["what", "key", "label", "n"])
 
     # only these have tokens: cheap to see before anything is drawn
     likely = texts.filter(F.col("text").rlike(LIKELY.pattern))
     n = likely.count()
     drawn = likely.filter(F.pmod(F.xxhash64("id", F.lit("pii sample")), F.lit(1_000_003)) < min(1.0, sample_rows / max(1, n)) * 1_000_003)
-    found = drawn.select("text").mapInArrow(examples, "features array<array<double>>, labels array<bigint>, near array<bigint>, twins array<bigint>").toArrow().to_pylist()
-    features = np.array([x for r in found for x in r["features"]], float)
-    labels = np.array([x for r in found for x in r["labels"]], int)
-    if not labels.any():
-        return FieldModel(None, np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
-    near, twins = (sum((np.array(r[k], float).reshape(LABELS, LABELS) for r in found), np.zeros((LABELS, LABELS))) for k in ("near", "twins"))
+    counted = drawn.select("text").mapInArrow(examples, "what string, key bigint, label int, n bigint").groupBy("what", "key", "label").agg(F.sum("n").alias("n"))
+    # a row for each pattern of features that occurs, however many tokens there are
+    found = sorted((r["what"], r["key"], r["label"], r["n"]) for r in counted.collect())
+    patterns = [r for r in found if r[0] == "token"]
+    none = np.zeros((LABELS, LABELS))
+    if not any(label for _, _, label, _ in patterns):
+        return FieldModel(None, none, none)
+    features = (np.array([r[1] for r in patterns])[:, None] >> np.arange(FEATURES) & 1).astype(float)
+    labels, times = np.array([r[2] for r in patterns]), np.array([r[3] for r in patterns], float)
+    near, twins = none.copy(), none.copy()
+    for what, key, _, n in found:
+        if what != "token":
+            (near if what == "near" else twins).ravel()[key] = n
 
     def affinity(counts: np.ndarray) -> np.ndarray:
         """How much more often labels meet than by chance, in logs."""
@@ -261,11 +279,12 @@ def train(texts: DataFrame, sample_rows: int = 4000) -> FieldModel:
     # logistic regression by gradient steps of Newton size for the shared bound of the curvature
     target = np.eye(LABELS)[labels]
     weights = np.zeros((features.shape[1], LABELS))
-    bound = np.linalg.inv(0.5 * features.T @ features / len(features) + 1e-3 * np.eye(features.shape[1]))
+    share = (times / times.sum())[:, None]
+    bound = np.linalg.inv(0.5 * features.T @ (share * features) + 1e-3 * np.eye(FEATURES))
     for _ in range(200):
         z = features @ weights
         e = np.exp(z - z.max(1, keepdims=True))
-        weights += bound @ (features.T @ (target - e / e.sum(1, keepdims=True)) / len(features) - 1e-3 * weights)
+        weights += bound @ (features.T @ (share * (target - e / e.sum(1, keepdims=True))) - 1e-3 * weights)
     return FieldModel(weights, affinity(near), affinity(twins))
 
 

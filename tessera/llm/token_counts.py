@@ -209,12 +209,25 @@ class WordMachine:
         return out
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that the machines do not do."""
+    model, splitter = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    out = [] if spec.get("normalizer") is None else ["normalizer"]
+    out += [f"pre_tokenizer.{k}" for k, v in plain.items() if splitter.get(k) != v]
+    out += [] if model.get("type", "BPE") == "BPE" else ["model.type"]
+    out += [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    return out + [f"added token {x['content']}" for x in spec["added_tokens"] if not x["special"] or x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]]
+
+
 class TokenCounter:
-    """Counts by the tokenizer file ``path`` (byte-level BPE with the splitting rule of contractions, letters, numbers, marks and white space)."""
+    """Counts by the tokenizer file ``path`` (byte-level BPE with the splitting rule of contractions, letters, numbers, marks and white space); others are refused."""
 
     def __init__(self, path: str, batch: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if unsupported(spec):
+            raise ValueError(f"unsupported tokenizer settings: {', '.join(unsupported(spec))}")
         to_byte = _byte_alphabet()
         plain = lambda s: bytes(to_byte[c] for c in s)
         merges = [tuple(map(plain, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
