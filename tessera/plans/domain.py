@@ -56,7 +56,7 @@ def q_01_title_weeks(t: Tables) -> DataFrame:
 
 @query("SELECT week_end, label, CAST(ae AS DOUBLE) AS ae, share FROM panel WHERE label IN ('BUILDING', 'MACHINERY') AND week_end >= DATE '1996-01-01'")
 def q_02_panel(t: Tables) -> DataFrame:
-    return t.panel.filter(F.col("label").isin(ANCHOR, "MACHINERY") & (F.col("week_end") >= "1996-01-01")).select("week_end", "label", d("ae"), "share")
+    return t.panel_since("1996-01-01").filter(F.col("label").isin(ANCHOR, "MACHINERY")).select("week_end", "label", d("ae"), "share")
 
 
 @query("SELECT level_1, CASE WHEN level_2 IN ('NATION_1', 'NATION_2') THEN level_2 ELSE coalesce(level_1, 'Unknown') END AS owner, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT title_id) AS BIGINT) AS titles FROM ownership WHERE level_1 ILIKE '%a%' GROUP BY ALL")
@@ -113,7 +113,7 @@ def q_08_artist_revenue(t: Tables) -> DataFrame:
 def q_09_daily_streams(t: Tables) -> DataFrame:
     """Daily streams since twelve weeks before the year; the date comes from the data."""
     as_of = t.daily_fact.agg(F.date_sub(F.trunc(F.max("report_date"), "YEAR"), 84).alias("floor_day"))
-    rows = t.daily_fact.filter("category = 'Streams'").join(F.broadcast(as_of), F.col("report_date") >= F.col("floor_day"))  # one row
+    rows = t.facts("Streams").join(F.broadcast(as_of), F.col("report_date") >= F.col("floor_day"))  # one row
     return rows.groupBy("title_id", "report_date").agg(F.sum("quantity").alias("streams"))
 
 
@@ -121,7 +121,7 @@ def q_09_daily_streams(t: Tables) -> DataFrame:
     SELECT title_id, week_end, CAST(q AS BIGINT) AS streams FROM g WHERE NOT (rn = 1 AND coalesce(CAST(nxt AS DOUBLE) / nullif(q, 0), 0) > 100)""")
 def q_10_weekly_streams(t: Tables) -> DataFrame:
     w = Window.partitionBy("title_id").orderBy("week_end")
-    s = t.daily_fact.filter("category = 'Streams'").groupBy("title_id", "week_end").agg(F.sum("quantity").alias("streams"))
+    s = t.facts("Streams").groupBy("title_id", "week_end").agg(F.sum("quantity").alias("streams"))
     g = s.withColumn("nxt", F.lead("streams").over(w)).withColumn("rn", F.row_number().over(w))
     return g.filter(~((F.col("rn") == 1) & (C.ratio_or("nxt", "streams") > 100))).select("title_id", "week_end", "streams")
 
@@ -142,7 +142,7 @@ def q_12_release_metrics(t: Tables) -> DataFrame:
 
 def search_snapshot(t: Tables, types: tuple[str, ...]) -> DataFrame:
     as_of = t.daily_fact.agg(F.max("report_date").alias("as_of"))
-    recent = t.daily_fact.filter("category = 'Streams'").join(F.broadcast(as_of), F.col("report_date") >= F.date_sub("as_of", 28)).groupBy("title_id").agg(F.sum("quantity").alias("daily"))  # one row
+    recent = t.facts("Streams").join(F.broadcast(as_of), F.col("report_date") >= F.date_sub("as_of", 28)).groupBy("title_id").agg(F.sum("quantity").alias("daily"))  # one row
     owner = W.top_n_per_group(t.ownership, ["title_id"], [F.when(F.col("level_1").isin("ASIA", "EUROPE"), 0).otherwise(1), F.col("units").desc_nulls_last(), F.col("product_id")])
     main = title_artists(t).select("title_id", F.get(F.filter("artists", lambda x: x["role"] == "main"), 0)["product_id"].alias("artist_id"))
     rows = t.titles.filter(F.col("release_type").isin(*types)).join(owner.select("title_id", "level_1"), "title_id", "left").join(main, "title_id", "left").join(recent, "title_id", "left")
@@ -246,7 +246,7 @@ def q_19_large_titles_with_flags(t: Tables) -> DataFrame:
 
 @query("SELECT week_end, label, CAST(ae AS DOUBLE) AS ae, share FROM panel WHERE label IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') AND year >= 1998")
 def q_20_panel_all(t: Tables) -> DataFrame:
-    return t.panel.filter(F.col("label").isin(*LABELS) & (F.col("year") >= 1998)).select("week_end", "label", d("ae"), "share")
+    return t.panel_since("1998-01-01").filter(F.col("label").isin(*LABELS)).select("week_end", "label", d("ae"), "share")
 
 
 @query(f"""WITH q AS (SELECT DISTINCT w.title_id FROM title_weeks w JOIN titles t ON t.title_id = w.title_id AND t.first_sale_date BETWEEN w.week_end - 7 AND w.week_end)
@@ -320,7 +320,7 @@ def q_26_metadata_genre(t: Tables) -> DataFrame:
 @query("""WITH s AS (SELECT title_id, CAST(sum(quantity) AS BIGINT) AS streams FROM daily_fact WHERE category = 'Streams' GROUP BY 1)
     SELECT title_id, level_1, round(CAST(any_value(streams) * sum(units) AS DOUBLE) / CAST(any_value(tot) AS DOUBLE), 4) AS weighted FROM (SELECT *, sum(units) OVER (PARTITION BY title_id) AS tot FROM ownership) JOIN s USING (title_id) GROUP BY ALL""")
 def q_27_weighted_share(t: Tables) -> DataFrame:
-    s = t.daily_fact.filter("category = 'Streams'").groupBy("title_id").agg(F.sum("quantity").alias("streams"))
+    s = t.facts("Streams").groupBy("title_id").agg(F.sum("quantity").alias("streams"))
     total = F.sum("units").over(Window.partitionBy("title_id"))
     owned = t.ownership.withColumn("total", total).groupBy("title_id", "level_1", "total").agg(F.sum("units").alias("units"))
     return owned.join(s, "title_id").select("title_id", "level_1", F.round((F.col("streams") * F.col("units")).cast(DOUBLE) / F.col("total").cast(DOUBLE), 4).alias("weighted"))
@@ -398,13 +398,13 @@ def q_35_series_read(t: Tables) -> DataFrame:
 
 @query("SELECT week_end, year, label, share FROM panel WHERE week_end > DATE '2000-06-01'")
 def q_36_panel_pull(t: Tables) -> DataFrame:
-    return t.panel.filter("week_end > date'2000-06-01'").select("week_end", "year", "label", "share")
+    return t.panel_since("2000-06-02").select("week_end", "year", "label", "share")
 
 
 @query("""SELECT level_1, level_2, level_3, CAST(year(report_date) + CASE WHEN month(report_date) >= 9 THEN 1 ELSE 0 END AS BIGINT) AS fy, CAST(sum(quantity) AS BIGINT) AS streams, round(CAST(sum(quantity) AS DOUBLE) * 0.004::DOUBLE, 4) AS proxy_revenue
     FROM daily_fact JOIN suppliers USING (product_id) WHERE category = 'Streams' GROUP BY ALL""")
 def q_37_proxy_revenue(t: Tables) -> DataFrame:
-    rows = t.daily_fact.filter("category = 'Streams'").join(t.suppliers, "product_id").groupBy("level_1", "level_2", "level_3", C.fiscal_year("report_date").alias("fy")).agg(F.sum("quantity").alias("streams"))
+    rows = t.facts("Streams").join(t.suppliers, "product_id").groupBy("level_1", "level_2", "level_3", C.fiscal_year("report_date").alias("fy")).agg(F.sum("quantity").alias("streams"))
     return rows.withColumn("proxy_revenue", F.round(F.col("streams") * 0.004, 4))  # fixed value: money for a stream
 
 

@@ -178,7 +178,7 @@ def gbt_catalog_decay(t: Tables) -> DataFrame:
 
 @query(f"""WITH {LIFE_SQL}, h AS (SELECT title_id, week_end, ae, CAST('history' AS VARCHAR) AS kind, 0 AS pri FROM life),
     e AS (SELECT title_id, max(week_end) AS d, arg_max(ae, week_end) AS y, min(ae) * 0.25 AS f FROM h GROUP BY 1), p AS (SELECT title_id, CAST(d + CAST(7 * n AS INTEGER) AS DATE) AS week_end, f + greatest(y - f, 0) * pow(0.98, n) AS ae, 'forecast' AS kind FROM e, range(1, 27) g(n))
-    SELECT title_id, week_end, round(ae, 4) AS ae, kind FROM (SELECT title_id, week_end, ae, kind FROM h UNION ALL SELECT title_id, week_end, ae, kind FROM p)""")
+    SELECT title_id, week_end, round(ae + 1e-9, 4) AS ae, kind FROM (SELECT title_id, week_end, ae, kind FROM h UNION ALL SELECT title_id, week_end, ae, kind FROM p)""")
 def stitched_series(t: Tables) -> DataFrame:
     """History followed by its decay, for every title."""
     return stitched(life(t))
@@ -197,7 +197,7 @@ def stitched(weeks: DataFrame) -> DataFrame:
     steps = e.select("*", F.explode(F.sequence(F.lit(1), F.lit(26))).alias("n"))
     p = steps.select("title_id", F.date_add("d", F.col("n") * 7).alias("week_end"), (F.col("f") + F.greatest(F.col("y") - F.col("f"), F.lit(0.0)) * F.pow(F.lit(0.98), F.col("n"))).alias("ae"), F.lit("forecast").alias("kind"), F.lit(1).alias("pri"))
     both = W.top_n_per_group(h.unionByName(p), ["title_id", "week_end"], [F.col("pri")])
-    return both.select("title_id", "week_end", F.round("ae", 4).alias("ae"), "kind")
+    return both.select("title_id", "week_end", F.round(F.col("ae") + 1e-9, 4).alias("ae"), "kind")  # halves go up
 
 
 @query(f"""WITH {LIFE_SQL}, a AS (SELECT release_type, k, avg(ae) AS m FROM life WHERE k <= 26 GROUP BY ALL), m AS (SELECT release_type, k, m / max(m) OVER (PARTITION BY release_type) AS s FROM a), c AS (SELECT artist, release_type, count(*) AS n FROM titles GROUP BY ALL), mix AS (SELECT artist, release_type, n / sum(n) OVER (PARTITION BY artist) AS p FROM c)

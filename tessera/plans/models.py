@@ -363,7 +363,7 @@ def metric_archetypes(t: Tables) -> DataFrame:
     s AS (SELECT title_id, release_type, min(k) FILTER (WHERE ae = peak) AS peak_week FROM (SELECT *, max(ae) OVER (PARTITION BY title_id) AS peak FROM life) GROUP BY 1, 2),
     c AS (SELECT s.title_id, s.release_type, level_1, CASE WHEN peak_week <= 4 THEN 0 WHEN peak_week <= 12 THEN 1 WHEN peak_week <= 24 THEN 2 ELSE 3 END AS cluster FROM s LEFT JOIN owners USING (title_id)),
     g AS (SELECT release_type, cluster, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY release_type) AS p FROM c GROUP BY 1, 2), l AS (SELECT level_1, cluster, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY level_1) AS p FROM c WHERE level_1 IS NOT NULL GROUP BY 1, 2),
-    k AS (SELECT release_type, level_1, x.cluster, coalesce(g.p, 0.0) * coalesce(l.p, 0.0) AS p FROM (SELECT DISTINCT release_type, level_1 FROM c WHERE level_1 IS NOT NULL) p, (VALUES (0), (1), (2), (3)) x(cluster) LEFT JOIN g USING (release_type, cluster) LEFT JOIN l USING (level_1, cluster))
+    k AS (SELECT release_type, level_1, cluster, coalesce(g.p, 0.0) * coalesce(l.p, 0.0) AS p FROM (SELECT * FROM (SELECT DISTINCT release_type, level_1 FROM c WHERE level_1 IS NOT NULL), (VALUES (0), (1), (2), (3)) v(cluster)) x LEFT JOIN g USING (release_type, cluster) LEFT JOIN l USING (level_1, cluster))
     SELECT release_type, level_1, CAST(cluster AS BIGINT) AS cluster FROM k QUALIFY row_number() OVER (PARTITION BY release_type, level_1 ORDER BY round(p, 9) DESC, cluster) = 1""")
 def joint_clusters(t: Tables) -> DataFrame:
     """The archetype to expect of a kind at an owner: the greatest product of both shares of it; of equals, the first."""

@@ -16,8 +16,8 @@ DOUBLE = "double"
 
 @query("SELECT title_id, category, report_date, quantity FROM daily_fact WHERE category IN ('Streams', 'ProductSales') AND service = 'OnDemand' AND report_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'")
 def scan_filter_inlist(t: Tables) -> DataFrame:
-    f = t.daily_fact
-    return f.filter(f.category.isin("Streams", "ProductSales") & (f.service == "OnDemand") & f.report_date.between("1997-01-01", "1998-06-30")).select("title_id", "category", "report_date", "quantity")
+    f = t.facts(("Streams", "ProductSales"), "OnDemand")
+    return f.filter(f.report_date.between("1997-01-01", "1998-06-30")).select("title_id", "category", "report_date", "quantity")
 
 
 @query("SELECT title_id, title, release_type FROM titles WHERE title NOT LIKE '%bolt%' AND release_type NOT IN ('PROMO', 'SMALL') AND title ILIKE '%RED%'")
@@ -85,7 +85,7 @@ def join_inner_chain(t: Tables) -> DataFrame:
 
 @query("SELECT t.title_id, CAST(coalesce(sum(d.quantity), 0) AS BIGINT) AS quantity FROM titles t LEFT JOIN daily_fact d ON d.title_id = t.title_id AND d.category = 'Streams' AND d.report_date >= DATE '2001-06-01' GROUP BY t.title_id")
 def join_left_on_filter(t: Tables) -> DataFrame:
-    recent = t.daily_fact.filter("category = 'Streams' and report_date >= date'2001-06-01'").select("title_id", "quantity")
+    recent = t.facts("Streams").filter("report_date >= date'2001-06-01'").select("title_id", "quantity")
     return t.titles.select("title_id").join(recent, "title_id", "left").groupBy("title_id").agg(F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from ..functions.windows import top_n_per_group
 from .stored import written
 
 ANCHOR = "BUILDING"
+#: Codes of the source by category; all other rows, those without a code too, are of the last.
+CATEGORY_CODES, OTHER_CATEGORY = {"Streams": "A", "ProductSales": "N"}, "RecordingSales"
 LABELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -39,12 +42,19 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
-    @cached_property
-    def daily_fact(self) -> DataFrame:
-        """Sales of a title's product on a day."""
-        category = F.when(F.col("l_returnflag") == "A", "Streams").when(F.col("l_returnflag") == "N", "ProductSales").otherwise("RecordingSales")
+    def facts(self, categories: str | tuple[str, ...] | None = None, service: str | None = None) -> DataFrame:
+        """Sales of a title's product on a day; of some categories or one service, by the codes of the source, so that the scan filters."""
+        rows = self.raw("lineitem")
+        if categories is not None:
+            wanted = (categories,) if isinstance(categories, str) else categories
+            code = F.col("l_returnflag")
+            hit = code.isin(*(CATEGORY_CODES[c] for c in wanted if c in CATEGORY_CODES))
+            rows = rows.filter(hit | code.isNull() | ~code.isin(*CATEGORY_CODES.values()) if OTHER_CATEGORY in wanted else hit)
+        if service is not None:
+            rows = rows.filter(F.col("l_linestatus") == "F" if service == "OnDemand" else F.col("l_linestatus") != "F")
+        category = F.when(F.col("l_returnflag") == "A", "Streams").when(F.col("l_returnflag") == "N", "ProductSales").otherwise(OTHER_CATEGORY)
         day = F.col("l_shipdate").cast("date")
-        return self.raw("lineitem").select(
+        return rows.select(
             day.alias("report_date"),
             week_end(day).alias("week_end"),
             F.col("l_partkey").alias("title_id"),
@@ -55,6 +65,10 @@ class Tables:
             money(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("ae"),
         )
 
+    @cached_property
+    def daily_fact(self) -> DataFrame:
+        return self.facts()
+
     @cached_property
     def titles(self) -> DataFrame:
         first = self.daily_fact.groupBy("title_id").agg(F.min("report_date").alias("first_sale_date"))
@@ -98,8 +112,14 @@ class Tables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Weekly volume and share of each label; at most labels x weeks rows from here on."""
-        weekly = self.orders.groupBy("week_end", "label").agg(F.sum("ae").alias("ae"))
+        return self.panel_since(None)
+
+    def panel_since(self, first_week: str | None) -> DataFrame:
+        """Weekly volume and share of each label; at most labels x weeks rows from here on. ``first_week``: the scan takes the days from its first on."""
+        orders = self.orders
+        if first_week is not None:
+            orders = orders.filter((F.col("day") >= F.lit(str(date.fromisoformat(first_week) - timedelta(days=6))).cast("date")) & (F.col("week_end") >= F.lit(first_week).cast("date")))
+        weekly = orders.groupBy("week_end", "label").agg(F.sum("ae").alias("ae"))
         total = weekly.groupBy("week_end").agg(F.sum("ae").alias("total"))
         return weekly.join(total, "week_end").select("week_end", F.year("week_end").cast("long").alias("year"), "label", "ae", F.round(F.col("ae").cast("double") / F.col("total").cast("double"), 8).alias("share"))
 

@@ -79,3 +79,17 @@ def test_owner_case(spark):
 
 def test_first_part_takes_the_first_separator_of_the_list(spark):
     assert one(spark, C.first_part("x"), x="a; b, c") == "a; b"
+
+
+def test_categories_are_filtered_in_the_scan(spark, sf):
+    from tessera.sources.tables import Tables
+
+    t = Tables(spark, sf)
+    for wanted in ("Streams", "RecordingSales", ("ProductSales", "RecordingSales")):
+        names = [wanted] if isinstance(wanted, str) else list(wanted)
+        assert t.facts(wanted).exceptAll(t.daily_fact.filter(F.col("category").isin(names))).isEmpty() and t.facts(wanted).count() == t.daily_fact.filter(F.col("category").isin(names)).count()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = t.facts("Streams", "OnDemand").filter("report_date >= date'2001-06-01'")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(l_returnflag,A)" in plan and "EqualTo(l_linestatus,F)" in plan
+    assert t.panel_since("1998-01-01").exceptAll(t.panel.filter("week_end >= '1998-01-01'")).isEmpty() and t.panel_since("1998-01-01").count() == t.panel.filter("week_end >= '1998-01-01'").count()
