@@ -16,7 +16,7 @@ from ..functions import windows as W
 from ..sources.tables import Tables
 from .attribution import OWNER_OF_LABEL
 from .domain import LARGE
-from .features import PEAK_BINS, life
+from .features import LIFE_SQL, PEAK_BINS, life
 from .forecast import SCENARIOS, gamma_curves
 from .registry import query
 from .shares import BAND, FORECAST_FROM, forecast_rows, panel
@@ -310,6 +310,98 @@ def eoy_series(t: Tables) -> DataFrame:
     return W.top_n_per_group(actual.unionByName(bridge).unionByName(ahead), ["title_id", "week_end"], [F.col("pri")]).select("title_id", "week_end", F.round("ae", 4).alias("ae"), "source")
 
 
+@query(f"""WITH {LIFE_SQL}, r AS (SELECT *, lag(ae) OVER w AS l1, avg(ae) OVER w4 AS m4, avg(ae) OVER w12 AS m12, CASE WHEN count(*) OVER w52 >= 8 THEN median(ae) OVER w52 END AS base FROM life
+    WINDOW w AS (PARTITION BY title_id ORDER BY k), w4 AS (PARTITION BY title_id ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), w12 AS (PARTITION BY title_id ORDER BY k ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), w52 AS (PARTITION BY title_id ORDER BY k ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT *, (l1 / m4 > 1.5 AND l1 / m12 > 2.0) OR coalesce(l1 / base > 1.5, FALSE) AS spike FROM r WHERE l1 > 0), d AS (SELECT *, CASE WHEN spike OR base IS NULL THEN l1 ELSE base END AS level FROM s)
+    SELECT title_id, week_end, spike, round(level, 6) AS level, round(least(greatest(ae / l1, 0.0), 5.0), 8) AS multiplier, CASE WHEN base IS NOT NULL THEN round(least(greatest(ae / base - 1, -0.98), 5.0), 8) END AS residual, round(least(greatest(ae / level, 0.0), 5.0), 8) AS hybrid FROM d""")
+def catalog_targets(t: Tables) -> DataFrame:
+    """What a model of the catalogue learns, three ways: the week over the last, its distance from the yearly median, and over either, as the title spikes."""
+    x = targets(life(t))
+    return x.select("title_id", "week_end", "spike", F.round("level", 6).alias("level"), *[F.round(c, 8).alias(c) for c in TARGETS])
+
+
+TARGETS = ("multiplier", "residual", "hybrid")
+
+
+def targets(weeks: DataFrame) -> DataFrame:
+    w = Window.partitionBy("title_id").orderBy("k")
+    upto = lambda n: F.avg("ae").over(w.rowsBetween(-n, -1))
+    x = weeks.withColumns({"l1": F.lag("ae").over(w), "m4": upto(4), "m12": upto(12), "base": W.rolling_median(F.col("ae"), w, V.BASELINE_WEEKS, V.BASELINE_LEAST)}).filter("l1 > 0")
+    x = x.withColumn("spike", (F.col("l1") / F.col("m4") > 1.5) & (F.col("l1") / F.col("m12") > 2.0) | F.coalesce(F.col("l1") / F.col("base") > V.SPIKE_RATIO, F.lit(False)))
+    x = x.withColumn("level", F.when(F.col("spike") | F.col("base").isNull(), F.col("l1")).otherwise(F.col("base")))
+    clipped = lambda c, low: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(V.MOST)))
+    return x.withColumns({"multiplier": clipped(F.col("ae") / F.col("l1"), 0.0), "residual": clipped(F.col("ae") / F.col("base") - 1, -0.98), "hybrid": clipped(F.col("ae") / F.col("level"), 0.0)})
+
+
+@query()
+def catalog_decay_heads(t: Tables, trees: int = 20) -> DataFrame:
+    """Boosted trees for each of the three targets; predictions for the last known week of each title, turned into volumes."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    x = targets(t.stored("life", lambda: life(t))).select("title_id", "k", "ae", "l1", "base", "level", *TARGETS, F.log1p("l1").alias("a"), F.log1p("m4").alias("b"), F.log1p("m12").alias("c"), F.log(F.col("k").cast(DOUBLE)).alias("age"), F.sin(2 * np.pi * F.col("k") / 52).alias("season_sin"), F.cos(2 * np.pi * F.col("k") / 52).alias("season_cos"))
+    rows = VectorAssembler(inputCols=["a", "b", "c", "age", "season_sin", "season_cos"], outputCol="features").transform(t.stored("targets", lambda: x))
+    last = W.top_n_per_group(rows, ["title_id"], [F.col("k").desc()])
+    for target in TARGETS:
+        model = GBTRegressor(labelCol=target, predictionCol=f"{target}_hat", maxIter=trees, maxDepth=4, stepSize=0.1, lossType="absolute", seed=42).fit(rows.filter(F.col(target).isNotNull()))
+        last = model.transform(last)
+    base = F.coalesce("base", "l1")
+    volumes = {"multiplier": F.col("multiplier_hat") * F.col("l1"), "residual": base * (1 + F.col("residual_hat")), "hybrid": F.col("hybrid_hat") * F.col("level")}
+    return last.select("title_id", F.col("ae").alias("actual"), *[F.round(F.greatest(v, F.lit(0.0)), 4).alias(n) for n, v in volumes.items()])
+
+
+@query()
+def backtest_horizon(t: Tables) -> DataFrame:
+    """Errors of the autoregression by step: the last eight weeks of titles with 24 or more, forecast from those before."""
+    weights, steps = multiplier_head(t), 8
+    rows = t.stored("life", lambda: life(t))
+    enough = rows.groupBy("title_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 24").select("title_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("k")["ae"].to_numpy(float)
+        p = np.array(V.autoregression(y[:-steps].tolist(), len(y) - steps, steps, apply_head(weights)))
+        return pd.DataFrame({"step": np.arange(1, steps + 1), "actual": y[-steps:], "error": np.abs(y[-steps:] - p)})
+
+    errors = rows.select("title_id", "k", "ae").join(enough, "title_id", "left_semi").groupBy("title_id").applyInPandas(run, "step bigint, actual double, error double")
+    return errors.groupBy("step").agg(F.count(F.lit(1)).alias("titles"), F.round(F.avg("error"), 4).alias("mae"), F.round(F.sum("error") / F.sum("actual"), 6).alias("wape"), F.round(F.median(F.col("error") / F.col("actual")), 6).alias("median_ape"))
+
+
+@query()
+def backtest_certification(t: Tables, known: int = 8, level: float = 500_000) -> DataFrame:
+    """In which week titles reach a volume in all, as it was and as their first weeks say; null where it is not reached."""
+    names, sharpness = kinds(t)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, priors, floor = series_of(pdf, names)
+        week = lambda path: int(np.argmax(np.cumsum(path) >= level)) + 1 if np.sum(path) >= level else None
+        one = pd.DataFrame({"title_id": [pdf["title_id"].iloc[0]], "actual_week": [week(y)], "expected_week": [week(V.backfill(y[:known], priors, sharpness, floor, max(len(y), known)))]})
+        return one.astype({"actual_week": "Int64", "expected_week": "Int64"})
+
+    x = known_weeks(t, known + 4).groupBy("title_id").applyInPandas(run, "title_id bigint, actual_week bigint, expected_week bigint")
+    return x.withColumn("error", F.col("expected_week") - F.col("actual_week"))
+
+
+@query(f"""WITH {LIFE_SQL}, a AS (SELECT release_type, k, avg(ae) AS m FROM life WHERE k <= {AHEAD} GROUP BY ALL), m AS (SELECT release_type, k, m / max(m) OVER (PARTITION BY release_type) AS s FROM a),
+    r AS (SELECT title_id, release_type, avg(ae) FILTER (WHERE k > 8) / max(ae) AS kept FROM life GROUP BY ALL), f AS (SELECT release_type, median(kept) AS f FROM r WHERE kept <= 0.8 GROUP BY 1),
+    c AS (SELECT artist, release_type, count(*) AS n FROM titles GROUP BY ALL), mix AS (SELECT artist, release_type, n / sum(n) OVER (PARTITION BY artist) AS p FROM c),
+    x AS (SELECT artist, g.k, sum(p * coalesce(s, 0)) AS shape, sum(p * coalesce(f, 0)) AS fl FROM mix, range(1, {AHEAD + 1}) g(k) LEFT JOIN m ON m.release_type = mix.release_type AND m.k = g.k LEFT JOIN f ON f.release_type = mix.release_type GROUP BY ALL)
+    SELECT artist, CAST(k AS BIGINT) AS week, s AS scenario, round(100000 * (fl + greatest(shape - fl, 0) * CASE s WHEN 'Bear' THEN 0.9 WHEN 'Bull' THEN 1.1 ELSE 1.0 END), 3) AS expected FROM x, (VALUES ('Bear'), ('Base'), ('Bull')) v(s)""")
+def cold_start_scenarios(t: Tables, peak: float = 100_000) -> DataFrame:
+    """A new title of each artist, 78 weeks in three scenarios: its kinds' curves above the floor that they keep."""
+    rows = life(t)
+    mean = rows.filter(F.col("k") <= AHEAD).groupBy("release_type", "k").agg(F.avg("ae").alias("m"))
+    shape = mean.withColumn("s", F.col("m") / F.max("m").over(Window.partitionBy("release_type"))).drop("m")
+    kept = rows.groupBy("title_id", "release_type").agg((F.avg(F.when(F.col("k") > 8, F.col("ae"))) / F.max("ae")).alias("kept")).filter("kept <= 0.8")
+    floors = kept.groupBy("release_type").agg(F.median("kept").alias("f"))
+    n = t.titles.groupBy("artist", "release_type").agg(F.count(F.lit(1)).alias("n"))
+    mix = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("artist"))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(AHEAD))))
+    x = mix.join(shape, ["release_type", "k"], "left").join(floors, "release_type", "left")
+    x = x.groupBy("artist", "k").agg(F.sum(F.col("p") * F.coalesce("s", F.lit(0.0))).alias("shape"), F.sum(F.col("p") * F.coalesce("f", F.lit(0.0))).alias("fl"))
+    above = F.greatest(F.col("shape") - F.col("fl"), F.lit(0.0))
+    scenario = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(v).alias("by")) for k, v in SCENARIOS.items()]))
+    return x.withColumn("v", scenario).select("artist", F.col("k").cast("long").alias("week"), "v.scenario", F.round(peak * (F.col("fl") + above * F.col("v.by")), 3).alias("expected"))
+
+
 # Archetypes.
 
 ARCHETYPE_FEATURES = ("peak_week", "first", "last", "half_week", "log_slope", "area")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -564,3 +566,20 @@ def arr_tail_mean(t: Tables) -> DataFrame:
     xs = t.panel.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("week_end", "ae"))), lambda x: x["ae"].cast(DOUBLE)).alias("xs"))
     tail = F.slice("xs", -8, 8)
     return xs.select("label", F.round(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail), 4).alias("tail_mean"))
+
+
+@query(r"""SELECT title_id, json_extract_string(doc, '$.credits[0].roles[1].name') AS role, CAST(json_extract(doc, '$.credits[1].share') AS BIGINT) AS share FROM (SELECT title_id, '{"credits":[{"artist":"' || artist || '","roles":[{"name":"main"},{"name":"writer ' || (size % 3)::VARCHAR || '"}]}' ||
+    CASE WHEN title_id % 2 = 0 THEN ',{"artist":"other","share":' || size::VARCHAR || '}' ELSE '' END || ']}' AS doc FROM titles)""")
+def variant_nested_path(t: Tables) -> DataFrame:
+    """Values at paths through arrays of a document; null where the path ends early."""
+    more = F.when(F.col("title_id") % 2 == 0, F.concat(F.lit(',{"artist":"other","share":'), F.col("size").cast("string"), F.lit("}"))).otherwise("")
+    doc = F.concat(F.lit('{"credits":[{"artist":"'), "artist", F.lit('","roles":[{"name":"main"},{"name":"writer '), (F.col("size") % 3).cast("string"), F.lit('"}]}'), more, F.lit("]}"))
+    v = F.parse_json(doc)
+    return t.titles.select("title_id", F.variant_get(v, "$.credits[0].roles[1].name", "string").alias("role"), F.variant_get(v, "$.credits[1].share", "bigint").alias("share"))
+
+
+@query("SELECT title_id, week_end, CAST(ae AS DOUBLE) AS ae FROM title_weeks WHERE ae >= 50000 AND week_end BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND title_id IN (SELECT title_id FROM titles WHERE release_type = 'PROMO')")
+def sql_with_parameters(t: Tables) -> DataFrame:
+    """A template in SQL over the relations, its values bound as parameters, never put into the text."""
+    template = "SELECT title_id, week_end, CAST(ae AS DOUBLE) AS ae FROM {weeks} WHERE ae >= :least AND week_end BETWEEN :first AND :last AND title_id IN (SELECT title_id FROM {titles} WHERE release_type = :kind)"
+    return t.spark.sql(template, args={"least": 50_000, "first": date(1996, 1, 1), "last": date(1996, 12, 31), "kind": "PROMO"}, weeks=t.title_weeks, titles=t.titles)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -145,3 +147,42 @@ def share_platform_query(t: Tables) -> DataFrame:
 
     rows = facets(t.orders, {"label": " Building ", "status": None}, {"day": "1997-03-01"}, {"day": "1999-02-28"})
     return rows.groupBy("nation_id", "label", F.year("day").cast("long").alias("y")).agg(F.sum("ae").cast(DOUBLE).alias("ae"))
+
+
+#: Fixed value: revenue of a stream.
+REVENUE = 0.004
+#: Datasets of the platform report: the service, and the level at which labels are reported.
+PLATFORMS = {"on demand by owner": ("OnDemand", "level_1"), "on demand by label": ("OnDemand", "level_2"), "programmed by owner": ("Programmed", "level_1"), "programmed by label": ("Programmed", "level_2")}
+
+
+def platform_sql(name: str, service: str, level: str) -> str:
+    return f"""SELECT '{name}' AS dataset, date_trunc('month', report_date)::DATE AS period, {level} AS bucket, CAST(sum(quantity) AS DOUBLE) AS streams FROM daily_fact JOIN suppliers USING (product_id) WHERE category = 'Streams' AND service = '{service}' GROUP BY ALL"""
+
+
+@query(f"""WITH x AS ({' UNION ALL '.join(platform_sql(n, *v) for n, v in PLATFORMS.items())}), y AS (SELECT *, sum(streams) OVER (PARTITION BY dataset, period) AS total FROM x), z AS (SELECT *, streams / total * 100 AS share FROM y),
+    g AS (SELECT a.*, b.share AS prev_share, b.total AS prev_total FROM z a LEFT JOIN z b ON b.dataset = a.dataset AND b.bucket = a.bucket AND b.period = CAST(a.period - INTERVAL 1 YEAR AS DATE))
+    SELECT dataset, period, bucket, CAST(streams AS BIGINT) AS streams, CAST(total AS BIGINT) AS total, round(share, 6) AS share, round(streams * {REVENUE}, 4) AS revenue, round((share - prev_share) * 100, 4) AS share_change_bps,
+    round((share - prev_share) / prev_share * 100, 6) AS share_growth, round((total - prev_total) / prev_total * 100, 6) AS market_growth, round((share - prev_share) / prev_share * 100 + (total - prev_total) / prev_total * 100, 6) AS total_growth FROM g""")
+def share_platforms(t: Tables) -> DataFrame:
+    """The four datasets of the platform report by month: streams, share and revenue of each label, with growth over the same month a year before."""
+    month = F.trunc("report_date", "MM").alias("period")
+    parts = []
+    for name, (service, level) in PLATFORMS.items():
+        rows = t.facts("Streams", service).join(t.suppliers, "product_id")
+        parts.append(rows.groupBy(month, F.col(level).alias("bucket")).agg(F.sum("quantity").alias("streams")).select(F.lit(name).alias("dataset"), "*"))
+    x = reduce(DataFrame.unionByName, parts)
+    x = x.withColumn("total", F.sum("streams").over(Window.partitionBy("dataset", "period"))).withColumn("share", F.col("streams") / F.col("total") * 100)
+    before = x.select("dataset", "bucket", F.add_months("period", 12).alias("period"), F.col("share").alias("prev_share"), F.col("total").alias("prev_total"))
+    g = x.join(before, ["dataset", "bucket", "period"], "left")
+    share, market = (F.col("share") - F.col("prev_share")) / F.col("prev_share") * 100, (F.col("total") - F.col("prev_total")) / F.col("prev_total") * 100
+    return g.select(
+        "dataset", "period", "bucket", "streams", "total", F.round("share", 6).alias("share"), F.round(F.col("streams") * REVENUE, 4).alias("revenue"), F.round((F.col("share") - F.col("prev_share")) * 100, 4).alias("share_change_bps"),
+        F.round(share, 6).alias("share_growth"), F.round(market, 6).alias("market_growth"), F.round(share + market, 6).alias("total_growth"),
+    )
+
+
+def share_platform_dataset(t: Tables, dataset: str, bucket: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One dataset of the platform report, for a label in any case and a range of months."""
+    from ..operators.relational import facets
+
+    return facets(share_platforms(t).filter(F.col("dataset") == dataset), {"bucket": bucket}, {"period": since}, {"period": until})

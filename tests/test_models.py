@@ -100,3 +100,48 @@ def test_archetypes_do_not_depend_on_the_run(spark, sf):
 def test_scorecard_of_a_smooth_title_is_small(spark, sf):
     got = QUERIES["floor_scorecard"](spark, sf).toPandas()
     assert (got.boundary_jump.dropna() >= 0).all() and (got.mape_late4.dropna() >= 0).all() and len(got) > 50
+
+
+def test_typeahead_equals_a_scan(spark, sf):
+    from difflib import SequenceMatcher
+
+    names = {}
+    for r in Tables(spark, sf).titles.select("title").collect():
+        names[r["title"]] = names.get(r["title"], 0) + 1
+    asked = "red wid"
+    hits = [x for x in names if all(f" {w}" in f" {x.lower()}" for w in asked.split())] or [x for x in names if asked in x.lower()]
+    overlap = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    scores = {x: max(SequenceMatcher(None, x.lower(), asked).ratio(), overlap(x.lower(), asked)) for x in hits}
+    want = sorted((x for x in hits if scores[x] >= 0.3), key=lambda x: (-scores[x], -names[x], x))[:20]
+    assert [r["title"] for r in QUERIES["typeahead_titles"](spark, sf).collect()] == want and want
+
+
+def test_snapshot_holds_every_title_week_and_rate(spark, sf):
+    import json
+
+    t = Tables(spark, sf)
+    rows = QUERIES["boot_snapshot"](spark, sf).collect()
+    found = [x for r in rows if r["section"] == "releases" for x in json.loads(r["value"])]
+    titles = {r["title_id"]: (r["title"], r["first_sale_date"]) for r in t.titles.collect()}
+    assert {x["title_id"]: (x["title"], x.get("first_sale_date")) for x in found} == {k: (a, b and b.isoformat()) for k, (a, b) in titles.items()}
+    assert sum(len(json.loads(r["value"])) for r in rows if r["section"] == "weekly") == t.panel.count()
+    assert all({"rate", "as_of"} == set(json.loads(r["value"])) for r in rows if r["section"] == "rates")
+
+
+def test_share_recurrence_step_by_step(spark, sf):
+    got = {(r["label"], r["step"]): r["share"] for r in QUERIES["ar_share_forecast"](spark, sf).collect()}
+    weeks = Tables(spark, sf).panel.select("label", "week_end", "share").toPandas().sort_values("week_end")
+    for label, g in weeks.groupby("label"):
+        y = g["share"].to_numpy(float)
+        x = np.array([[y[i - 1], y[i - 2], y[i - 3], y[i - 4], 1.0] for i in range(4, len(y))])
+        w = np.linalg.solve(x.T @ x + 1e-6 * np.eye(5), x.T @ y[4:])
+        past = list(y)
+        for step in range(1, 53):
+            nxt = 0.5 * (w[:4] @ past[:-5:-1] + w[4]) + 0.5 * y[-8:].mean()
+            past.append(min(max(nxt, 0.0), 1.0))
+            assert got[label, step] == pytest.approx(past[-1], abs=1e-7)
+
+
+def test_heads_agree_with_what_they_learn(spark, sf):
+    got = QUERIES["catalog_decay_heads"](spark, sf).toPandas()
+    assert (got[["multiplier", "residual", "hybrid"]] >= 0).all().all() and len(got) > 100
