@@ -41,7 +41,8 @@ LADDER = (4, 6, 9, 13, 19, 28, 42, 63, 94, 141, 211, 316, 474, 711, 1066, 1599)
 #: Words of the windows along an item; of its shorter runs, those of the largest of these that fits.
 SHORT, SHORTER = 9, (1, 2, 3, 4, 5, 6, 9)
 SHINGLE = 5
-BIT = U(1) << np.arange(64, dtype=U)
+#: Votes are counted in 16 columns of four counts.
+COLUMNS, LANES = 16, U(0x0001000100010001)
 
 
 def anchors(words: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
@@ -62,17 +63,25 @@ def anchors(words: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
 
 
 def votes(words: np.ndarray) -> np.ndarray:
-    """Sums of the words' votes (1 or -1 for each bit) up to each position, modulo 2**16: windows are much shorter."""
-    bits = np.unpackbits(mixed(words ^ U(0x5851F42D4C957F2D)).view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
-    bits += bits
-    bits -= 1
-    out = np.zeros((len(words) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
+    """How many of the words up to each position vote for each of 64 bits: 16 rows of numbers with four counts of 16 bits each.
+
+    Counts run over from one to the next in long texts, but differences of two positions are right for windows of up to 32767 words.
+    """
+    hashes = mixed(words ^ U(0x5851F42D4C957F2D))
+    out = np.zeros((COLUMNS, len(words) + 1), U)
+    for c in range(COLUMNS):
+        np.cumsum((hashes >> U(c)) & LANES, out=out[c, 1:])
     return out
 
 
 def fingerprints(sums: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    return np.packbits(sums[first + size] - sums[first] > 0, axis=1).view(">u8").astype(U).ravel()
+    """64 bits for each window of ``size`` words: whether more than half of its words vote for the bit."""
+    every = 2 * len(first) > sums.shape[1] - size > 0  # then those of all positions come without gathering
+    out, more = np.zeros(sums.shape[1] - size if every else len(first), U), LANES * U(0x8000 - (size // 2 + 1))
+    for c, row in enumerate(sums):
+        counts = row[size:] - row[:-size] if every else row[first + size] - row[first]
+        out |= (((counts + more) >> U(15)) & LANES) << U(c)
+    return out[first] if every else out
 
 
 def least_run(n: int, similarity: float) -> int:
