@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: The paths made inside each open ``temporary``.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[str], str]]:
+    """What is stored inside is deleted at the end, but for paths given to the function that this yields: they belong to the context around."""
+    made: list[str] = []
+    kept: list[str] = []
+    _open.append(made)
+
+    def keep(path: str) -> str:
+        kept.append(path)
+        return path
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in made:
+            if path not in kept:
+                drop_path(spark, path)
+        if _open:
+            _open[-1].extend(kept)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

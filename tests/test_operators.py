@@ -148,3 +148,20 @@ def test_weighted_sample_prefers_heavy_rows(spark):
     rows = spark.range(2000).withColumn("w", F.when(F.col("id") < 1000, 1.0).otherwise(20.0))
     got = R.weighted_sample(rows, F.col("w"), 300, "id")
     assert got.count() == 300 and got.filter("id >= 1000").count() > 240
+
+
+def test_temporary_tables_go_and_kept_ones_stay(spark):
+    from tessera.sources.stored import list_names, new_path, shared_dir, temporary, written, written_at
+
+    before = set(list_names(spark, shared_dir(spark)))
+    with temporary(spark) as outer:
+        with temporary(spark) as keep:
+            one = written(spark.range(5), "one")
+            two = written_at(one, keep(new_path(spark, "two")))
+        assert two.count() == 5 and {x.split("-")[0] for x in set(list_names(spark, shared_dir(spark))) - before} == {"two"}
+        three = written_at(two, outer(new_path(spark, "three")))
+    assert three.count() == 5 and {x.split("-")[0] for x in set(list_names(spark, shared_dir(spark))) - before} == {"three"}
+    with pytest.raises(KeyError), temporary(spark):
+        written(spark.range(5), "four")
+        raise KeyError
+    assert not any(x.startswith("four") for x in list_names(spark, shared_dir(spark)))
