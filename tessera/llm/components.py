@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop_path, new_path, written_at
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long, u <> v) to (node, component): the smallest node of each component, for every node of an edge."""
-    current = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    known = None
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    current, known = written_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), path), None
     while True:
-        current = written(_small_star(_large_star(current)), "edges")
+        before, path = path, new_path(spark, "edges")
+        current = written_at(_small_star(_large_star(current)), path)
+        drop_path(spark, before)
         # sums over all edges: the same edges again mean that every component is a star
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if state == known:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_path, filtered, fresh, joined_by_weight, list_names, move, new_path, text_or_empty, written
+from .shared import filtered, fresh, joined_by_weight, list_names, move, new_path, temporary, text_or_empty, written, written_at
 
 STATE_STORE = "spark.sql.streaming.stateStore"
 #: State on disk; each commit writes its changes only, and files take the room of their content (many partitions have little).
@@ -129,10 +129,9 @@ def exact_duplicates(
 ) -> DataFrame:
     """One row per input row: id, keep_id (smallest id among equal texts), group_size, kept, digest. The state is not kept."""
     spark = docs.sparkSession
-    root = new_path(spark, "dedup")
-    found = written(DedupState(spark, root, digest, batches).feed(docs, id_col, text_col), "dedup-verdicts")
-    drop_path(spark, root)
-    return found
+    with temporary(spark) as keep:
+        found = DedupState(spark, new_path(spark, "dedup"), digest, batches).feed(docs, id_col, text_col)
+        return written_at(found, keep(new_path(spark, "dedup-verdicts")))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import top_n_per_group
 from .components import components
-from .shared import drop_path, filtered, joined_by_weight, new_path, written, written_at
+from .shared import filtered, joined_by_weight, new_path, temporary, written, written_at
 from .words import U, mixed, shingle_set, stream
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -309,6 +309,11 @@ def _first_pairs(members: DataFrame, signatures: DataFrame, bucket_rows: int) ->
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bucket_rows: int = 1024) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest identifier linked, itself included), kept."""
+    with temporary(docs.sparkSession) as keep:
+        return written_at(_near_duplicates(docs, id_col, text_col, size, percent, bucket_rows), keep(new_path(docs.sparkSession, "near-duplicates")))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, bucket_rows: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = written(sketches(rows, size), "sketches")
     sets = sketched.filter("n_shingles > 0 and id is not null")
@@ -319,10 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signatures = classes.select("node", "signature")
     in_bands = classes.select("node", "size", F.explode("bands").alias("bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).filter("low.node <> high.node")
-    spark = docs.sparkSession
-    at = {x: new_path(spark, x) for x in ("bucket-members", "candidate-texts")}
-    members = written_at(in_bands.join(buckets, "bucket"), at["bucket-members"])  # of buckets with at least two classes
-    texts = written_at(rows.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), at["candidate-texts"])
+    members = written(in_bands.join(buckets, "bucket"), "bucket-members")  # of buckets with at least two classes
+    texts = written(rows.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "candidate-texts")
     # Star and ring round.
     first = written(_first_pairs(members, signatures, bucket_rows), "first-pairs")
     same_id = sets.join(classes.select("set_key", "node"), "set_key").groupBy("id").agg(F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")
@@ -340,8 +343,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = written(_across(crossing, placed, texts, size, percent), "links")
         if not more.isEmpty():
             found = written(components(links.unionByName(more)), "components")
-    for path in at.values():
-        drop_path(spark, path)
     of_class = classes.select("set_key", "node").join(found, "node", "left").select("set_key", component)
     out = sketched.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, written
+from .shared import fresh, temporary, written
 from .words import NOT_SPACE, U, mixed, word_hashes, word_spans
 
 BITS = 14
@@ -166,7 +166,8 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1024) -> float
 def resampled(docs: DataFrame, columns: list[str], labels: DataFrame, id_col: str, text_col: str, label_id_col: str, sample_rows: int, k: int | None) -> tuple[DataFrame, str, str, float]:
     """The stored ``columns`` of ``docs`` with their weights and keys, the names of both, and the least key drawn."""
     identifier, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    model = train(docs.select(identifier.alias("id"), text.alias("text")), labels.select(F.col(label_id_col).cast("long").alias("id"), "quality"), sample_rows)
+    with temporary(docs.sparkSession):
+        model = train(docs.select(identifier.alias("id"), text.alias("text")), labels.select(F.col(label_id_col).cast("long").alias("id"), "quality"), sample_rows)
     weight, key = fresh(docs, "__weight"), fresh(docs, "__key")
     scored = docs.withColumn(weight, log_weight(model, text)).withColumn(key, gumbel_key(F.col(weight), identifier))
     scored = written(scored.select(*columns, weight, key), "weights")

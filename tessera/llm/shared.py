@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stored import drop_path, list_names, move, new_path, shared_dir, written, written_at
+from ..sources.stored import drop_path, list_names, move, new_path, shared_dir, temporary, written, written_at
 
-__all__ = ["drop_path", "filtered", "fresh", "input_table", "joined_by_weight", "list_names", "move", "new_path", "shared_dir", "text_or_empty", "written", "written_at"]
+__all__ = ["drop_path", "filtered", "fresh", "input_table", "joined_by_weight", "list_names", "move", "new_path", "shared_dir", "temporary", "text_or_empty", "written", "written_at"]
 
 
 def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
