@@ -13,7 +13,7 @@ from tessera.llm.minhash import one_of_each_group
 from tessera.llm.packing import pack, token_pieces
 from tessera.llm.quality import good_documents
 from tessera.llm.queries import tokenizer_path
-from tessera.llm.shared import input_table, written
+from tessera.llm.shared import input_table, new_path, temporary, written, written_at
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with temporary(spark) as keep:  # what the stage stores on its way goes when its result is there
+            docs = written_at(stage(spark, docs, sf_dir), keep(new_path(spark, name)))
     return STAGES[-1][1](spark, docs, sf_dir)
