@@ -23,7 +23,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x, *_ = np.linalg.lstsq(a[:, cols], b, rcond=None)
             if (x >= 0).all():
                 e = a[:, cols] @ x - b
-                if e @ e < best - 1e-9:
+                if e @ e < best - 1e-12 * float(b @ b):
                     best, out = float(e @ e), np.zeros(a.shape[1])
                     out[list(cols)] = x
     return out
