@@ -14,6 +14,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator, Mapping
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,19 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = joins_no_words(json.load(f))
         self.tokenizer, self.limit, self.most_bytes, self.known, self.size = Tokenizer.from_file(path), limit, most_bytes, {}, 0
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark = next(((i, t.content) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Many words go to the library as one text, parted by a special token, which parts them in every way."""
+        if self.mark is None or any("<|" in w or self.mark[1] in w for w in words):
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            found = np.array(self.tokenizer.encode_batch_fast([self.mark[1].join(words[at : at + 1000])], add_special_tokens=False)[0].ids, np.uint32)
+            marks, data = np.flatnonzero(found == self.mark[0]) * 4, found.tobytes()
+            out += [data[lo:hi] for lo, hi in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(data)], strict=True)]
+        return out
 
     def words(self, text: str) -> list[str]:
         if text.isascii() and "<|" not in text:  # special tokens are matched before the tokenizer's own lower-casing
@@ -54,16 +68,15 @@ class WordEncoder:
         if not self.by_word:
             return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.words(x) for x in texts]
-        new = list({w for x in split for w in x}.difference(self.known))
+        new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > self.limit or self.size > self.most_bytes:
             self.known.clear()
             self.size = 0
-            new = list({w for x in split for w in x})
-        for found, word in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            self.known[word] = array("I", found.ids).tobytes()
-            self.size += 4 * len(word) + len(self.known[word])
-        known = self.known
-        return [b"".join([known[w] for w in x]) for x in split]
+            new = list(set().union(*split))
+        ids = self.ids(new)
+        self.known.update(zip(new, ids, strict=True))
+        self.size += 4 * sum(map(len, new)) + sum(map(len, ids))
+        return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
