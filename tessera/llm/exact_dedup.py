@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from .shared import filtered, fresh, joined_by_weight, list_names, move, new_path, temporary, text_or_empty, written, written_at
 
 STATE_STORE = "spark.sql.streaming.stateStore"
-#: State on disk; each commit writes its changes only, and files take the room of their content (many partitions have little).
+#: State on disk; each commit writes its changes only, and files and buffers take little room where a partition has little.
 SETTINGS = {
     f"{STATE_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{STATE_STORE}.rocksdb.allowFAllocate": "false",
+    f"{STATE_STORE}.rocksdb.writeBufferSizeMB": "16",
 }
 LOG = "id bigint, content string, digest string"
 #: ``origin``: the content that came first, found by the part of the log it is in and its identifier.

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import top_n_per_group
 from .components import components
-from .shared import filtered, joined_by_weight, new_path, temporary, written, written_at
+from .shared import filtered, joined_by_weight, new_path, slices, temporary, written, written_at
 from .words import U, mixed, shingle_set, stream
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -65,7 +65,7 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` (id, text): the set's size and key, band keys, and one byte of each signature value."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, size)

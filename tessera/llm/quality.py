@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, temporary, written
+from .shared import fresh, slices, temporary, written
 from .words import NOT_SPACE, U, mixed, word_hashes, word_spans
 
 BITS = 14
@@ -94,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, evidence:
         total, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         names = ["bucket", "n", "n_good", "quality", "found", "counts"]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = np.bincount(ngrams(text), minlength=BUCKETS)
@@ -132,11 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, evidence:
 
 
 def log_weight(model: QualityModel, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def weigh(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.weight(x) for x in texts], dtype="float64")
+    def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([model.weight(x) for part in slices(batch) for x in part.to_pylist()], pa.float64())
 
-    return weigh(text)
+    return F.arrow_udf(weigh, "double")(text)
 
 
 def gumbel_key(weight: Column, identifier: Column) -> Column:

@@ -22,6 +22,11 @@ def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col(weight) <= least).hint("merge"), key))
 
 
+def slices(batch, rows: int = 500):
+    """Parts of an Arrow batch or array, so that not all of its texts are Python objects at once."""
+    return (batch.slice(at, rows) for at in range(0, len(batch), rows)) if len(batch) else iter([batch])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
