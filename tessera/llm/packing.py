@@ -38,7 +38,7 @@ def joins_no_words(spec: dict) -> bool:
 class WordEncoder:
     """Token ids of texts. Where the tokenizer never joins words over white space, the ids of words are remembered, up to ``limit`` words and ``most_bytes``."""
 
-    def __init__(self, path: str, limit: int = 400_000, most_bytes: int = 128 << 20):
+    def __init__(self, path: str, limit: int = 1_500_000, most_bytes: int = 128 << 20):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
