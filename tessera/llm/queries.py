@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .compaction import sharded
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
+from .fill_in_middle import fill_in_middle, restored
 from .language_id import held_out, identified
 from .license_scan import license_scan
 from .minhash import near_duplicates
@@ -17,6 +18,7 @@ from .packing import pack, token_pieces
 from .pii import KINDS, personal_data
 from .quality import quality_verdicts
 from .shared import input_table, new_path, written
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 
 
@@ -99,8 +101,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(input_table(spark, sf_dir, "documents"), size=50)
+    kept = F.when(F.col("kept_text").isNull(), F.col("digest")).otherwise(F.sha2("kept_text", 256))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = restored(fill_in_middle(input_table(spark, sf_dir, "documents")))
+    digests = (F.sha2(name, 256).alias(f"{name}_sha256") for name in ("output", "restored"))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, op11_substring_dedup, op12_fill_in_middle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -109,4 +123,27 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
             g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+        "op11_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+            starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM d),
+            windows AS (SELECT doc_id, p, sha256(array_to_string(list_slice(words, p, p + 49), ' ')) AS w FROM starts),
+            least AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY 1),
+            hits AS (SELECT doc_id, p FROM windows JOIN least USING (w) WHERE low < doc_id),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM hits),
+            placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM d),
+            left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM placed ANTI JOIN gone USING (doc_id, k) GROUP BY 1),
+            removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
+        "op12_fill_in_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+            drawn AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (n + 1) AS b,
+                t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 >= 90 AS plain,
+                CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 < 20 AS suffix_first FROM d),
+            parts AS (SELECT *, substring(t, 1, CAST(least(a, b) AS BIGINT)) AS prefix, substring(t, CAST(least(a, b) AS BIGINT) + 1, CAST(greatest(a, b) - least(a, b) AS BIGINT)) AS middle,
+                substring(t, CAST(greatest(a, b) AS BIGINT) + 1) AS suffix FROM drawn)
+            SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+                CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+                sha256(CASE WHEN plain THEN t WHEN suffix_first THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+                sha256(t) AS restored_sha256 FROM parts""",
     }
