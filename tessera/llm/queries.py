@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .compaction import sharded
+from .conversation_repair import damaged, rows_of, verdicts
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
 from .fill_in_middle import fill_in_middle, restored
@@ -113,8 +114,59 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = verdicts(damaged(rows_of(input_table(spark, sf_dir, "conversations"))))
+    return found.withColumnRenamed("digest", "repaired_sha256")
+
+
+def _after(x: str, wanted: str) -> str:
+    """SQL for what a row does as the wanted role after the state ``x``: kept, or with its role changed."""
+    changed = ""
+    if wanted != "s":
+        role = "user" if wanted == "u" else "assistant"
+        changed = f"WHEN symbol <> 'x' THEN {{'c': {x}.c + 2 + cut, 'a': {x}.a || 'R', 't': list_append({x}.t, '{role}:' || text)}}"
+    kept = f"WHEN symbol = '{wanted}' THEN {{'c': {x}.c + cut, 'a': {x}.a || 'K', 't': list_append({x}.t, role || ':' || text)}}"
+    return f"CASE WHEN {x} IS NULL THEN NULL {kept} {changed} END"
+
+
+def _gone(state: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + 3, 'a': {state}.a || 'D', 't': {state}.t}} END"
+
+
+def _put(state: str, role: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + 2, 'a': {state}.a || 'I', 't': list_append({state}.t, '{role}:')}} END"
+
+
+#: One step a row: the cheapest (cost, audit, rows) that end with nothing (e), a system row (s), a user row (o) or an assistant row (d).
+_REPAIR_SQL = rf"""
+    WITH RECURSIVE base AS (SELECT row_number() OVER () AS row_id, conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+    bits AS (SELECT *, list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(conv || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda k: CAST(256 AS BIGINT)))))) AS b FROM base),
+    drawn AS (SELECT *, xor(list_reduce(b, lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 20 AS f FROM bits),
+    hurt AS (SELECT row_id, conv, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+    placed AS (SELECT *, row_number() OVER w AS k, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ink, substr(role, 1, 1) AS initial,
+        lag(substr(role, 1, 1)) OVER w AS before FROM hurt WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, row_id, copy)),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 AS again FROM placed),
+    faults AS (SELECT *, ink = '' AS blank, ink <> '' AND again AS duplicate, ink <> '' AND NOT again AND right(ink, 1) NOT IN ('.', '!', '?') AS truncated FROM seen),
+    symbols AS (SELECT conv, k, role, text, CAST(truncated AS BIGINT) AS cut, CASE WHEN blank OR duplicate THEN 'x' WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS symbol FROM faults),
+    way AS (
+        SELECT conv, CAST(0 AS BIGINT) AS k, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS e, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS s,
+            {{'c': CAST(2 AS BIGINT), 'a': 'I', 't': ['user:']}} AS o, {{'c': CAST(4 AS BIGINT), 'a': 'II', 't': ['user:', 'assistant:']}} AS d FROM (SELECT DISTINCT conv FROM base)
+        UNION ALL
+        SELECT conv, k, e, s, o, list_min([d0, {_put("o", "assistant")}]) AS d FROM (
+            SELECT conv, k, e, s, list_min([o0, {_put("e", "user")}, {_put("s", "user")}, {_put("d0", "user")}]) AS o, d0 FROM (
+                SELECT conv, y.k AS k, {_gone("e")} AS e, list_min([{_gone("s")}, {_after("e", "s")}]) AS s,
+                    list_min([{_gone("o")}, {_after("e", "u")}, {_after("s", "u")}, {_after("d", "u")}]) AS o0, list_min([{_gone("d")}, {_after("o", "a")}]) AS d0
+                FROM way JOIN symbols y USING (conv) WHERE y.k = way.k + 1))),
+    counts AS (SELECT conv, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+        count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv),
+    ended AS (SELECT conv, list_min([e, d]) AS r FROM way LEFT JOIN counts USING (conv) WHERE k = coalesce(n, 0))
+    SELECT CASE WHEN conv <> ' ' THEN CAST(conv AS BIGINT) END AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, r.c AS cost, r.a AS audit, sha256(array_to_string(r.t, chr(10))) AS repaired_sha256 FROM ended LEFT JOIN counts USING (conv)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, op11_substring_dedup, op12_fill_in_middle, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_language_id, op3_minhash_near_dedup, op4_best_fit_packing, op5_license_scan, op6_decontamination, op7_sharding, op8_quality_classifier, op9_exact_dedup, op10_token_counts, op11_substring_dedup, op12_fill_in_middle, op13_conversation_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -146,4 +198,5 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
                 sha256(CASE WHEN plain THEN t WHEN suffix_first THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
                 sha256(t) AS restored_sha256 FROM parts""",
+        "op13_conversation_repair": _REPAIR_SQL,
     }
