@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -88,39 +87,6 @@ def spliced(channels: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def level_state(series: list[float]) -> tuple[float, bool, float]:
-    """Of a history: its variation (deviation over mean of the last four), whether it spikes, and the level that a multiplier applies to."""
-    last, tail = series[-1], np.array(series[-4:])
-    recent = np.array(series[-BASELINE_WEEKS:])
-    base = float(np.median(recent)) if len(recent) >= BASELINE_LEAST else 0.0
-    mean4, mean12 = float(np.mean(series[-4:])), float(np.mean(series[-12:]))
-    anomaly = (last / mean4 if mean4 > 0 else 1.0) > 1.5 and (last / mean12 if mean12 > 0 else 1.0) > 2.0
-    known = base >= NOTHING
-    spike = anomaly or (known and last / base > SPIKE_RATIO)
-    cv = float(tail.std() / tail.mean()) if len(tail) > 1 and tail.mean() > 1e-9 else 0.0
-    return cv, spike, max(last if spike or not known else base, NOTHING)
-
-
-def autoregression(series: list[float], age: int, steps: int, head: Callable[[float, float, float, int], float]) -> list[float]:
-    """``steps`` values after a history, each from those before. head: the multiplier from last value, means of 4 and 12, and week number.
-
-    Old or large titles that are steady do not fall by more than a hundredth a week, and their level is not above the last value.
-    """
-    past, out = list(series), []
-    for step in range(1, steps + 1):
-        last = past[-1]
-        cv, spike, level = level_state(past)
-        raw = head(last, float(np.mean(past[-4:])), float(np.mean(past[-12:])), age + step)
-        protected = age + step > OLD_WEEKS or last > LARGE_VOLUME
-        if protected and cv < STEADY_CV:
-            raw = max(raw, STEADY_LEAST)
-        if protected and level > last and not spike:
-            level = max(last, NOTHING)
-        out.append(max(0.0, min(max(raw, 0.0), MOST) * level))
-        past.append(out[-1])
-    return out
-
-
 def ridge_fit(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
     """Coefficients and intercept (last) of ridge regression, the intercept without penalty, from centred moments."""
     mx, my = x.mean(0), y.mean()

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.boosting import Settings
 from ..functions.curves import gamma_curve, nnls
+from ..operators.boosted import fit, predicted
 from ..sources.tables import Tables
 from .features import LIFE_SQL, life
 from .registry import query
@@ -163,17 +165,16 @@ def kmeans_archetypes(t: Tables) -> DataFrame:
 
 
 @query()
-def gbt_catalog_decay(t: Tables) -> DataFrame:
-    """Boosted trees for the log change to the next week, with absolute loss; predictions of the last known week."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+def gbt_catalog_decay(t: Tables, trees: int = 500, most_rows: int = 50_000) -> DataFrame:
+    """Boosted trees for the median log change to the next week; predictions of the last known week. They learn from at most ``most_rows`` weeks, large ones more often."""
     w = Window.partitionBy("title_id").orderBy("k")
     x = life(t).withColumn("l1", F.lag("ae").over(w)).withColumn("m4", W.rolling_mean(F.col("ae"), w, 4)).withColumn("next", F.lead("ae").over(w))
-    x = x.filter("m4 is not null and l1 > 0").select("title_id", "k", F.log1p("ae").alias("a"), F.log1p("l1").alias("b"), F.log1p("m4").alias("c"), F.log(F.col("k").cast(DOUBLE)).alias("age"), F.when(F.col("next").isNotNull(), F.least(F.greatest(F.log1p("next") - F.log1p("ae"), F.lit(-5.0)), F.lit(5.0))).alias("label"))
-    rows = VectorAssembler(inputCols=["a", "b", "c", "age"], outputCol="features").transform(x)
-    model = GBTRegressor(maxIter=10, maxDepth=3, lossType="absolute", seed=42).fit(rows.filter("label is not null"))
-    return model.transform(rows.filter("label is null")).select("title_id", F.round("prediction", 6).alias("log_change"))
+    change = F.when(F.col("next").isNotNull(), F.least(F.greatest(F.log1p("next") - F.log1p("ae"), F.lit(-5.0)), F.lit(5.0)))
+    x = x.filter("m4 is not null and l1 > 0").select("title_id", F.xxhash64("title_id", "k").alias("row"), F.log1p("ae").alias("a"), F.log1p("l1").alias("b"), F.log1p("m4").alias("c"), F.log(F.col("k").cast(DOUBLE)).alias("age"), change.alias("label"))
+    rows, features = t.stored("log-changes", lambda: x), ["a", "b", "c", "age"]
+    settings = Settings("quantile", 0.5, trees, leaves=8, shrink=0.0, columns=1.0)
+    model = fit(rows, features, {"log_change": ("label", None)}, settings, most_rows, "a", "row")
+    return predicted(rows.filter("label is null"), features, model).select("title_id", F.round("log_change", 6).alias("log_change"))
 
 
 @query(f"""WITH {LIFE_SQL}, h AS (SELECT title_id, week_end, ae, CAST('history' AS VARCHAR) AS kind, 0 AS pri FROM life),

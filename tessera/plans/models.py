@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import curves as V
 from ..functions import windows as W
+from ..functions.boosting import Settings
+from ..operators.boosted import fit, predicted
 from ..sources.tables import Tables
 from .attribution import OWNER_OF_LABEL
+from .catalogue import ar_paths
 from .domain import LARGE
 from .features import LIFE_SQL, PEAK_BINS, life
 from .forecast import SCENARIOS, gamma_curves
@@ -151,14 +154,14 @@ def share_seasonal(t: Tables) -> DataFrame:
 
 @query()
 def share_ensemble(t: Tables, trees: int = 100) -> DataFrame:
-    """The mean of boosted trees over all labels (absolute loss fits the median) and each label's seasonal model."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = StringIndexer(inputCol="label", outputCol="label_number", stringOrderType="alphabetAsc").fit(x := t.stored("share-rows", lambda: share_rows(t))).transform(x)
-    rows = VectorAssembler(inputCols=["label_number", "lag_own", "lag_rest", "mean_own", "mean_rest"], outputCol="features").transform(rows)
-    model = GBTRegressor(labelCol="share", maxIter=trees, maxDepth=3, stepSize=0.05, lossType="absolute", seed=42).fit(rows)
-    both = model.transform(rows).select("label", "week_end", "share", F.round("prediction", 6).alias("trees")).join(share_seasonal(t), ["label", "week_end"])
+    """The mean of boosted trees for the median over all labels, and each label's seasonal model."""
+    rows = t.stored("share-rows", lambda: share_rows(t))
+    labels = sorted(r[0] for r in rows.select("label").distinct().collect())  # as many as there are labels
+    rows = rows.withColumns({f"is_{k}": (F.col("label") == x).cast(DOUBLE) for k, x in enumerate(labels)})
+    features = [*(f"is_{k}" for k in range(len(labels))), "lag_own", "lag_rest", "mean_own", "mean_rest"]
+    settings = Settings("quantile", 0.5, trees, leaves=31, shrink=0.0, columns=1.0)
+    models = fit(rows.withColumn("row", F.xxhash64("label", "week_end")), features, {"trees": ("share", None)}, settings, key="row")
+    both = predicted(rows, features, models).select("label", "week_end", "share", F.round("trees", 6).alias("trees")).join(share_seasonal(t), ["label", "week_end"])
     return both.select("*", F.round((F.col("trees") + F.col("seasonal")) / 2, 6).alias("ensemble"))
 
 
@@ -252,50 +255,7 @@ def component_curves(t: Tables) -> DataFrame:
     return rows.groupBy("title_id").applyInPandas(fit, "title_id bigint, week bigint, streams double, sales double, songs double, total double")
 
 
-# Autoregression of the catalogue.
-
-HEAD_FEATURES = ("a", "b", "c", "age", "season_sin", "season_cos")
-
-
-def head_features(x: DataFrame) -> DataFrame:
-    return x.select("title_id", "week_end", "k", "ae", F.log1p("l1").alias("a"), F.log1p("m4").alias("b"), F.log1p("m12").alias("c"), F.log(F.col("k").cast(DOUBLE)).alias("age"),
-                    F.sin(2 * np.pi * F.col("k") / 52).alias("season_sin"), F.cos(2 * np.pi * F.col("k") / 52).alias("season_cos"), F.least(F.col("ae") / F.col("l1"), F.lit(V.MOST)).alias("multiplier"))
-
-
-def multiplier_head(t: Tables) -> np.ndarray:
-    """A ridge model of a week over the one before, over all titles' weeks, from sums."""
-    w = Window.partitionBy("title_id").orderBy("k")
-    upto = lambda n: F.avg("ae").over(w.rowsBetween(-n, -1))
-    x = t.stored("life", lambda: life(t)).withColumns({"l1": F.lag("ae").over(w), "m4": upto(4), "m12": upto(12)}).filter("l1 > 0")
-    return ridge_by_sums(t.stored("head-rows", lambda: head_features(x)), HEAD_FEATURES, "multiplier", 1.0)
-
-
-def apply_head(weights: np.ndarray):
-    def head(last: float, mean4: float, mean12: float, age: int) -> float:
-        x = (np.log1p(last), np.log1p(mean4), np.log1p(mean12), np.log(age), np.sin(2 * np.pi * age / 52), np.cos(2 * np.pi * age / 52))
-        return float(np.dot(weights[:-1], x) + weights[-1])
-
-    return head
-
-
-def ar_paths(t: Tables, steps: int, least: int = 8) -> DataFrame:
-    """title_id, step, ar: every title of ``least`` weeks or more."""
-    weights = multiplier_head(t)
-    rows = t.stored("life", lambda: life(t))
-    enough = rows.groupBy("title_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("title_id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        out = V.autoregression(pdf["ae"].tolist(), int(pdf["k"].max()), steps, apply_head(weights))
-        return pd.DataFrame({"title_id": pdf["title_id"].iloc[0], "step": np.arange(1, steps + 1), "ar": np.round(out, 4)})
-
-    return rows.select("title_id", "k", "ae").join(enough, "title_id", "left_semi").groupBy("title_id").applyInPandas(run, "title_id bigint, step bigint, ar double")
-
-
-@query()
-def catalog_ar_forecast(t: Tables) -> DataFrame:
-    """A year of weeks ahead of every title, each from those before."""
-    return ar_paths(t, 52)
+# The catalogue: targets, and series that go on to the end of the year.
 
 
 @query()
@@ -306,7 +266,7 @@ def eoy_series(t: Tables) -> DataFrame:
     actual = rows.select("title_id", "week_end", "ae", F.lit("actual").alias("source"), F.lit(0).alias("pri"))
     bridge = backfill_forecast(t).join(last, "title_id").filter((F.col("week") > F.col("n")) & (F.col("week") <= F.col("n") + BRIDGE_WEEKS))
     bridge = bridge.select("title_id", F.date_add("last", ((F.col("week") - F.col("n")) * 7).cast("int")).alias("week_end"), F.col("base").alias("ae"), F.lit("bridge").alias("source"), F.lit(1).alias("pri"))
-    ahead = ar_paths(t, 52).join(last, "title_id").select("title_id", F.date_add("last", (F.col("step") * 7).cast("int")).alias("week_end"), F.col("ar").alias("ae"), F.lit("autoregression").alias("source"), F.lit(2).alias("pri"))
+    ahead = ar_paths(t, 52).select("title_id", "week_end", F.col("hybrid").alias("ae"), F.lit("autoregression").alias("source"), F.lit(2).alias("pri"))
     return W.top_n_per_group(actual.unionByName(bridge).unionByName(ahead), ["title_id", "week_end"], [F.col("pri")]).select("title_id", "week_end", F.round("ae", 4).alias("ae"), "source")
 
 
@@ -333,39 +293,6 @@ def targets(weeks: DataFrame) -> DataFrame:
     return x.withColumns({"multiplier": clipped(F.col("ae") / F.col("l1"), 0.0), "residual": clipped(F.col("ae") / F.col("base") - 1, -0.98), "hybrid": clipped(F.col("ae") / F.col("level"), 0.0)})
 
 
-@query()
-def catalog_decay_heads(t: Tables, trees: int = 20) -> DataFrame:
-    """Boosted trees for each of the three targets; predictions for the last known week of each title, turned into volumes."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    x = targets(t.stored("life", lambda: life(t))).select("title_id", "k", "ae", "l1", "base", "level", *TARGETS, F.log1p("l1").alias("a"), F.log1p("m4").alias("b"), F.log1p("m12").alias("c"), F.log(F.col("k").cast(DOUBLE)).alias("age"), F.sin(2 * np.pi * F.col("k") / 52).alias("season_sin"), F.cos(2 * np.pi * F.col("k") / 52).alias("season_cos"))
-    rows = VectorAssembler(inputCols=["a", "b", "c", "age", "season_sin", "season_cos"], outputCol="features").transform(t.stored("targets", lambda: x))
-    last = W.top_n_per_group(rows, ["title_id"], [F.col("k").desc()])
-    for target in TARGETS:
-        model = GBTRegressor(labelCol=target, predictionCol=f"{target}_hat", maxIter=trees, maxDepth=4, stepSize=0.1, lossType="absolute", seed=42).fit(rows.filter(F.col(target).isNotNull()))
-        last = model.transform(last)
-    base = F.coalesce("base", "l1")
-    volumes = {"multiplier": F.col("multiplier_hat") * F.col("l1"), "residual": base * (1 + F.col("residual_hat")), "hybrid": F.col("hybrid_hat") * F.col("level")}
-    return last.select("title_id", F.col("ae").alias("actual"), *[F.round(F.greatest(v, F.lit(0.0)), 4).alias(n) for n, v in volumes.items()])
-
-
-@query()
-def backtest_horizon(t: Tables) -> DataFrame:
-    """Errors of the autoregression by step: the last eight weeks of titles with 24 or more, forecast from those before."""
-    weights, steps = multiplier_head(t), 8
-    rows = t.stored("life", lambda: life(t))
-    enough = rows.groupBy("title_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 24").select("title_id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("k")["ae"].to_numpy(float)
-        p = np.array(V.autoregression(y[:-steps].tolist(), len(y) - steps, steps, apply_head(weights)))
-        return pd.DataFrame({"step": np.arange(1, steps + 1), "actual": y[-steps:], "error": np.abs(y[-steps:] - p)})
-
-    errors = rows.select("title_id", "k", "ae").join(enough, "title_id", "left_semi").groupBy("title_id").applyInPandas(run, "step bigint, actual double, error double")
-    return errors.groupBy("step").agg(F.count(F.lit(1)).alias("titles"), F.round(F.avg("error"), 4).alias("mae"), F.round(F.sum("error") / F.sum("actual"), 6).alias("wape"), F.round(F.median(F.col("error") / F.col("actual")), 6).alias("median_ape"))
-
-
 @query()
 def backtest_certification(t: Tables, known: int = 8, level: float = 500_000) -> DataFrame:
     """In which week titles reach a volume in all, as it was and as their first weeks say; null where it is not reached."""

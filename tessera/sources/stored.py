@@ -5,15 +5,20 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 #: The paths made inside each open ``temporary``.
 _open: list[list[str]] = []
+#: Shared tables by key, the oldest first: frame, path and time. How long they stand, and how many.
+_shared: dict[Hashable, tuple[DataFrame, str, float]] = {}
+SHARED_SECONDS, SHARED_MOST = 6 * 3600, 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +75,34 @@ def written_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def signature(spark: SparkSession, paths: Sequence[str]) -> tuple[int, int, int]:
+    """What tells the files under some paths from others: their number, bytes, and a sum over path, length and time. Tasks list them, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    one = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("hash")).first()
+    return one["n"], one["size"] or 0, one["hash"] or 0
+
+
+def shared_table(spark: SparkSession, key: tuple, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """A derived table, made once for a key and kept as Parquet in the shared folder for all that ask for it in this application.
+
+    The key must say all that the table depends on, the signature of its inputs among it. Tables go when they are ``SHARED_SECONDS`` old or ``SHARED_MOST`` younger ones
+    are there; what still reads one then has to be made anew.
+    """
+    key = (spark.sparkContext.applicationId, shared_dir(spark), *key)
+    now = time.monotonic()
+    for k, (_, path, made) in list(_shared.items()):
+        if now - made > SHARED_SECONDS or len(_shared) > SHARED_MOST:
+            del _shared[k]
+            if k[0] == key[0]:
+                drop_path(spark, path)
+    found = _shared.get(key)
+    if found and "_SUCCESS" in list_names(spark, found[1]):
+        return found[0]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"  # not one of a ``temporary`` around
+    _shared[key] = (written_at(make(), path), path, now)
+    return _shared[key][0]
+
+
 def file_system(spark: SparkSession, path: str):
     """A path and its file system, as Hadoop objects."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

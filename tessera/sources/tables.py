@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import week_end
 from ..functions.windows import top_n_per_group
-from .stored import written
+from .stored import list_names, shared_table, signature
 
 ANCHOR = "BUILDING"
 #: Codes of the source by category; all other rows, those without a code too, are of the last.
 CATEGORY_CODES, OTHER_CATEGORY = {"Streams": "A", "ProductSales": "N"}, "RecordingSales"
+#: The tables that relations are made of.
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 LABELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -34,11 +36,19 @@ class Tables:
         self._stored: dict[str, DataFrame] = {}
 
     def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A derived table that several parts of a report read: made once and kept as Parquet in the shared folder."""
+        """A derived table that several parts of a report read, or several reports: made once and kept as Parquet in the shared folder, until a file of the sources changes.
+
+        ``name`` stands for what ``make`` makes, with all that it depends on besides the sources.
+        """
         if name not in self._stored:
-            self._stored[name] = written(make(), name)
+            self._stored[name] = shared_table(self.spark, (self.directory, self.signature, name), make, name)
         return self._stored[name]
 
+    @cached_property
+    def signature(self) -> tuple[int, int, int]:
+        there = set(list_names(self.spark, self.directory))
+        return signature(self.spark, [f"{self.directory}/{x}.parquet" for x in SOURCES if f"{x}.parquet" in there])
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 

@@ -49,33 +49,6 @@ def test_splice_goes_on_from_the_last_known_total():
     assert np.array_equal(out, [[9, 1], [3, 3], [1.5, 1.5], [1.5, 0]])
 
 
-@pytest.mark.parametrize(("series", "age"), [([100.0] * 20, 200), ([50.0, 60, 40, 55, 400], 10), ([10.0, 9, 8], 5), ([6e6] * 12, 8)])
-def test_autoregression_step_by_step(series, age):
-    head = lambda last, m4, m12, k: 0.9 + 0.01 * (m4 > m12)
-    past = list(series)
-    for step in range(1, 6):
-        last, recent = past[-1], past[-52:]
-        base = np.median(recent) if len(recent) >= 8 else None
-        m4, m12 = np.mean(past[-4:]), np.mean(past[-12:])
-        spike = (last / m4 > 1.5 and last / m12 > 2) or (base is not None and last / base > 1.5)
-        level = last if spike or base is None else base
-        raw = head(last, m4, m12, age + step)
-        if age + step > 156 or last > 5_000_000:
-            if np.std(past[-4:]) / m4 < 0.15:
-                raw = max(raw, 0.99)
-            if level > last and not spike:
-                level = last
-        past.append(min(max(raw, 0), 5) * level)
-    assert np.allclose(V.autoregression(series, age, 5, head), past[len(series) :])
-
-
-def test_multiplier_head_equals_a_direct_fit(spark, sf):
-    t = Tables(spark, sf)
-    w = M.multiplier_head(t)
-    rows = t.stored("head-rows", lambda: None).toPandas()
-    assert np.allclose(w, V.ridge_fit(rows[list(M.HEAD_FEATURES)].to_numpy(float), rows["multiplier"].to_numpy(float), 1.0), atol=1e-8)
-
-
 def test_component_curves_keep_what_is_known_and_add_up(spark, sf):
     got = QUERIES["component_curves"](spark, sf).toPandas()
     weeks = Tables(spark, sf).title_weeks.toPandas().sort_values(["title_id", "week_end"])
@@ -140,8 +113,3 @@ def test_share_recurrence_step_by_step(spark, sf):
             nxt = 0.5 * (w[:4] @ past[:-5:-1] + w[4]) + 0.5 * y[-8:].mean()
             past.append(min(max(nxt, 0.0), 1.0))
             assert got[label, step] == pytest.approx(past[-1], abs=1e-7)
-
-
-def test_heads_agree_with_what_they_learn(spark, sf):
-    got = QUERIES["catalog_decay_heads"](spark, sf).toPandas()
-    assert (got[["multiplier", "residual", "hybrid"]] >= 0).all().all() and len(got) > 100
