@@ -177,6 +177,65 @@ def test_the_dedup_state_goes_on_from_feed_to_feed(spark, tmp_path, weak):
         assert sorted(((r["id"], r["keep_id"], r["group_size"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def fed(spark, state, rows, feed_id=None):
+    got = state.feed(spark.createDataFrame(rows, "doc_id bigint, text string"), feed_id=feed_id).collect()
+    return sorted((r["id"], r["keep_id"], r["group_size"]) for r in got)
+
+
+def one_digest(content):
+    return F.substring(exact_dedup.sha256(content), 1, 0)
+
+
+def test_contents_of_a_clash_in_an_earlier_feed_are_not_forgotten(spark, tmp_path):
+    state = exact_dedup.DedupState(spark, str(tmp_path / "state"), one_digest)
+    assert fed(spark, state, [(1, "A"), (5, "B")]) == [(1, 1, 1), (5, 5, 1)]
+    assert fed(spark, state, [(7, "A")]) == [(7, 1, 2)]
+    assert fed(spark, state, [(8, "B"), (2, "C")]) == [(2, 2, 1), (8, 5, 2)]
+    assert fed(spark, exact_dedup.DedupState(spark, str(tmp_path / "state"), one_digest), [(0, "B")]) == [(0, 0, 3)]
+
+
+@pytest.mark.parametrize(("step", "digest"), [("move", exact_dedup.sha256), ("_stream", exact_dedup.sha256), ("_record", exact_dedup.sha256), ("_verdicts", one_digest)])
+def test_a_feed_that_died_is_taken_up_again(spark, tmp_path, monkeypatch, step, digest):
+    """A failure before and after each step: the same feed again, or another one first, gives what one try would have given."""
+    first, second, third = [(3, "a"), (4, "b"), (4, "b")], [(1, "a"), (9, "c")], [(2, "b"), (8, "c")]
+    owner = exact_dedup if step == "move" else exact_dedup.DedupState
+    right = getattr(owner, step)
+    for k, after in enumerate((False, True)):
+        root = str(tmp_path / f"state{k}")
+        assert fed(spark, exact_dedup.DedupState(spark, root, digest), first, "first") == [(3, 3, 1), (4, 4, 2), (4, 4, 2)]
+
+        def dies(*given):
+            if after:
+                right(*given)
+            raise OSError("lost")
+
+        monkeypatch.setattr(owner, step, dies)
+        with pytest.raises(OSError, match="lost"):
+            fed(spark, exact_dedup.DedupState(spark, root, digest), second, "second")
+        monkeypatch.setattr(owner, step, right)
+        if k:  # another feed comes in between: what is in the log by then counts before it
+            there = step != "move" or after
+            assert fed(spark, exact_dedup.DedupState(spark, root, digest), third, "third") == [(2, 2, 3), (8, 8, 2 if there else 1)]
+        else:
+            assert fed(spark, exact_dedup.DedupState(spark, root, digest), second, "second") == [(1, 1, 2), (9, 9, 1)]
+            assert fed(spark, exact_dedup.DedupState(spark, root, digest), third, "third") == [(2, 2, 3), (8, 8, 2)]
+        again = fed(spark, exact_dedup.DedupState(spark, root, digest), second, "second")
+        assert again == [(1, 1, 2), (9, 9, 1)]
+        assert fed(spark, exact_dedup.DedupState(spark, root, digest), [(7, "a")], "last") == [(7, 1, 3)]
+    with pytest.raises(ValueError, match="identifier"):
+        exact_dedup.DedupState(spark, root, digest).feed(spark.createDataFrame(first, "doc_id bigint, text string"), feed_id="a/b")
+
+
+def test_a_feed_reads_only_what_locators_name(spark, tmp_path, monkeypatch):
+    read, right = [], exact_dedup.DedupState._parts
+    monkeypatch.setattr(exact_dedup.DedupState, "_parts", lambda self, names: read.append(names) or right(self, names))
+    state = exact_dedup.DedupState(spark, str(tmp_path / "state"))
+    for k, rows in enumerate(([(1, "a")], [(2, "b")], [(3, "c")], [(4, "d")])):
+        fed(spark, state, rows, f"f{k}")
+    assert not read
+    assert fed(spark, state, [(5, "b"), (6, "e")], "f4") == [(5, 2, 2), (6, 6, 1)] and read == [["part=000000001-f1"]]
+
+
 def test_decontamination_equals_a_scan(spark):
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(300)]
