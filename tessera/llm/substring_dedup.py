@@ -6,9 +6,11 @@ Consecutive windows of a document that share one are a super-k-mer, and travel t
 1. Texts with equal words are one: of all but the smallest identifier's every window is known to start earlier.
 2. Of the others only places are stored: minimiser, first window, number of windows. Minimisers of one document alone
    send nothing.
-3. Buckets whose windows have up to ``bucket_bytes`` are one group of a task, where sorting the windows' bytes puts equal ones together.
-   The windows of larger buckets travel one by one as 128-bit digests, of which Spark keeps the smallest identifier before the shuffle already,
-   so no bucket is one task's whatever its size. No window is left out on either way.
+3. Buckets of up to ``bucket_bytes`` of strings are one group of a task. Its words become numbers, and windows are sorted by ranks that double their length:
+   equal ranks are equal words, not only equal digests.
+   The windows of larger buckets are sorted by all tasks together, as 128-bit digests dealt by ranges of (window, identifier), so no bucket and no window is
+   one task's whatever its size; of a window that begins in an earlier range the smallest identifier is looked up, one window a range. No window is left out
+   on either way.
 4. A document's found windows come back as spans of words, and its words outside them remain.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts have none, and texts of fewer than ``size`` words no window. Rows without identifier come after
@@ -23,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import joined_by_weight, new_path, slices, temporary, text_or_empty, written, written_at
@@ -101,8 +103,7 @@ def _scan(size: int, seed_words: int):
                 minimiser, at, n = super_kmers(word_hashes(data, first, end), owner, size, seed_words)
                 whose = owner[at] if len(at) else np.zeros(0, np.int64)
                 cuts = np.searchsorted(whose, np.arange(len(texts) + 1))
-                # at least the bytes of its windows, each taken as long as the string
-                n_bytes = n * (end[at + n + size - 2] - first[at]) if len(at) else n
+                n_bytes = end[at + n + size - 2] - first[at] if len(at) else n
                 columns = (pa.array(minimiser, pa.int64()), pa.array(at - before[whose], pa.int32()), pa.array(n, pa.int32()), pa.array(n_bytes, pa.int64()))
                 places = pa.StructArray.from_arrays(columns, names=["minimiser", "first", "n", "bytes"])
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), places)
@@ -140,54 +141,64 @@ def _sent(size: int):
 SPAN_TYPES = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
 
 
-def _found_in(group: list[tuple], size: int) -> Iterator[tuple]:
-    """Spans of words that windows of smaller identifiers cover: of one bucket's super-k-mers (id, digest, first, packed)."""
-    windows = []
-    for k, (id_, _, _, packed) in enumerate(group):
-        first, end = word_places(np.frombuffer(packed, np.uint8))
-        rank = (id_ is None, id_ or 0)
-        windows += ((w, rank, k, j) for j, w in enumerate(_windows(packed, first, end, 0, len(first) - size + 1, size)))
-    windows.sort()
-    hits: list[list[int]] = [[] for _ in group]
-    known = least = None
-    for w, rank, k, j in windows:
-        if w != known:
-            known, least = w, rank
-        elif least < rank and not least[0]:
-            hits[k].append(j)
-    for (id_, digest, at, _), found in zip(group, hits):
-        found.sort()
-        begin = 0
-        for k in range(1, len(found) + 1):
-            if k == len(found) or found[k] != found[k - 1] + 1:
-                yield id_, digest, at + found[begin], at + found[k - 1] + size
-                begin = k
-
-
-def _buckets(size: int):
-    """Spans found in the rows of a task, sorted by minimiser; one bucket is in memory at a time."""
+def window_ranks(codes: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` codes, the same for equal runs only: lengths double, and the binary digits of ``size`` say which are joined."""
+
+    def joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+        n = len(b) - shift
+        return np.unique(a[:n] * (int(b.max()) + 1) + b[shift:], return_inverse=True)[1]
+
+    power, length, out, have = codes, 1, None, 0
+    while True:
+        if size & length:
+            out, have = (power, length) if out is None else (joined(out, power, have), have + length)
+        if have == size:
+            return out
+        power, length = joined(power, power, length), 2 * length
+
+
+def _found_in(rows: list[tuple], size: int) -> list[tuple]:
+    """Spans of words that windows of smaller identifiers cover: of super-k-mers (id, digest, first, packed) of whole buckets."""
+    words = b" ".join([r[3] for r in rows]).split(b" ")
+    numbers: dict[bytes, int] = {}
+    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    length = np.array([r[3].count(b" ") + 1 for r in rows])
+    begin = np.cumsum(length) - length
+    rank = window_ranks(codes, size)
+    n = length - size + 1
+    owner = np.repeat(np.arange(len(rows)), n)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    rank = rank[begin[owner] + within]
+    known = sorted({r[0] for r in rows if r[0] is not None})
+    place = {x: k for k, x in enumerate(known)}
+    order = np.array([place.get(r[0], len(known)) for r in rows])[owner]  # rows without identifier come last
+    least = np.full(int(rank.max()) + 1, len(known))
+    np.minimum.at(least, rank, order)
+    hit = np.flatnonzero(least[rank] < order)
+    if not len(hit):
+        return []
+    new = np.ones(len(hit), bool)
+    new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(hit)) - 1
+    return [(*rows[k][:2], rows[k][2] + a, rows[k][2] + b + size) for k, a, b in zip(owner[hit[starts]].tolist(), within[hit[starts]].tolist(), within[hit[ends]].tolist())]
+
+
+def _buckets(size: int, together: int = 1 << 20):
+    """Spans found in the rows of a task, sorted by minimiser; whole buckets are taken together up to some bytes."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[list[tuple]]:
-            now, held = None, []
-            for batch in batches:
-                for part in slices(batch, 2000):
-                    for minimiser, *row in zip(*(c.to_pylist() for c in part.columns)):
-                        if minimiser != now and held:
-                            yield held
-                            held = []
-                        now = minimiser
-                        held.append(tuple(row))
-            if held:
-                yield held
-
-        out: list[tuple] = []
-        for group in groups():
-            out.extend(_found_in(group, size))
-            if len(out) > 20_000:
-                yield _spans(out)
-                out = []
-        yield _spans(out)
+        held, n_bytes, now = [], 0, None
+        for batch in batches:
+            for part in slices(batch, 2000):
+                for minimiser, *row in zip(*(c.to_pylist() for c in part.columns)):
+                    if minimiser != now and n_bytes >= together:
+                        yield _spans(_found_in(held, size))
+                        held, n_bytes = [], 0
+                    now = minimiser
+                    held.append(tuple(row))
+                    n_bytes += len(row[3])
+        yield _spans(_found_in(held, size) if held else [])
 
     return spans
 
@@ -218,6 +229,26 @@ def _digests(size: int):
     return windows
 
 
+def _found_by_sorting(found: DataFrame, size: int) -> DataFrame:
+    """Spans of the windows (id, digest, first, window) that a smaller identifier has too."""
+    dealt = written(found.repartitionByRange("window", "id").withColumn("range", F.spark_partition_id()), "kmer-ranges")
+    begun = dealt.groupBy("range").agg(F.min("window").alias("window")).select("window").distinct()  # one a range
+    lows = dealt.join(F.broadcast(begun), "window", "left_semi").groupBy("window").agg(F.min("id").alias("low")).collect()
+    known = {bytes(x["window"]): x["low"] for x in lows if x["low"] is not None}
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for id_, digest, first, window, low in zip(*(c.to_pylist() for c in batch.columns)):
+                least = known.get(window, low)  # over all ranges where a window is in several
+                if least is not None and (id_ is None or least < id_):
+                    out.append((id_, digest, first, first + size))
+            yield _spans(out)
+
+    in_range = F.min("id").over(Window.partitionBy("range", "window"))
+    return dealt.select("id", "digest", "first", "window", in_range.alias("low")).mapInArrow(later, "id long, digest binary, first int, end int")
+
+
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of texts whose spans are known."""
     for batch in batches:
@@ -236,7 +267,7 @@ def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(
-    docs: DataFrame, size: int = 50, seed_words: int = 8, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = 50, seed_words: int = 8, bucket_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (its words, joined by one space; null where nothing was removed, empty where all was), digest
     (SHA-256 of all its words so joined)."""
@@ -270,9 +301,7 @@ def repeated_passages(
         single = asked.filter(F.size("large") > 0).select("id", "digest", "text", "large")
         if not single.isEmpty():
             found = written(single.mapInArrow(_digests(size), "id long, digest binary, first int, window binary"), "kmer-windows")
-            least = found.groupBy("window").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")).filter("times > 1 AND low IS NOT NULL")
-            hits = joined_by_weight(found, least, "window", "times").filter("id IS NULL OR low < id")
-            spans = spans.unionByName(hits.select("id", "digest", "first", (F.col("first") + size).alias("end")))
+            spans = spans.unionByName(_found_by_sorting(found, size))
         spans = spans.groupBy("id", "digest").agg(F.collect_list(F.struct("first", "end")).alias("spans")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "spans")
         left = asked.select("id", "digest", "text").join(spans, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
         left = left.select("id", "digest", "text", "spans").mapInArrow(_remaining, "id long, digest binary, n_removed long, kept_text string")
