@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 
 #: Weeks of the baseline's median and the least of them; what counts as nothing; the ratio from which a series spikes.
@@ -15,17 +13,29 @@ BLEND_RELEASES, FLOOR_CAP = 4.0, 0.95
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Non-negative least squares with few columns: the best of the unconstrained fits on each subset of columns."""
-    best, out = float(b @ b), np.zeros(a.shape[1])
-    for r in range(1, a.shape[1] + 1):
-        for cols in combinations(range(a.shape[1]), r):
-            x, *_ = np.linalg.lstsq(a[:, cols], b, rcond=None)
-            if (x >= 0).all():
-                e = a[:, cols] @ x - b
-                if e @ e < best - 1e-12 * float(b @ b):
-                    best, out = float(e @ e), np.zeros(a.shape[1])
-                    out[list(cols)] = x
-    return out
+    """Non-negative least squares by an active set: the column that helps most joins, and those that would turn negative leave."""
+    n = a.shape[1]
+    scale = np.linalg.norm(a, axis=0)
+    least = 1e-10 * np.maximum(scale, 1e-300) * np.linalg.norm(b)
+    used, x = np.zeros(n, bool), np.zeros(n)
+    for _ in range(3 * n):
+        slope = a.T @ (b - a @ x)
+        waiting = np.where(~used & (slope > least), slope / np.maximum(scale, 1e-300), -np.inf)
+        if not np.isfinite(waiting).any():
+            break
+        used[waiting.argmax()] = True
+        while used.any():
+            fit = np.zeros(n)
+            fit[used], *_ = np.linalg.lstsq(a[:, used], b, rcond=None)
+            if (fit[used] > 0).all():
+                x = fit
+                break
+            out = used & (fit <= 0)
+            step = np.min(x[out] / np.maximum(x[out] - fit[out], 1e-300))
+            x = np.maximum(x + step * (fit - x), 0)
+            used &= ~(out & (x <= 1e-14 * max(1.0, x.max())))
+            x[~used] = 0
+    return x
 
 
 def gamma_curve(t: np.ndarray, peak: float, a: float | np.ndarray) -> np.ndarray:
@@ -99,3 +109,66 @@ def seasonal_terms(day: np.ndarray, order: int, first: float, span: float) -> np
     """Trend and yearly waves of days (numbers): 1, t, and sine and cosine for each order."""
     turn = 2 * np.pi * day / 365.25
     return np.stack([np.ones(len(day)), (day - first) / span, *(f(k * turn) for k in range(1, order + 1) for f in (np.sin, np.cos))], 1)
+
+
+#: Change points of a trend, in which first part of the series they lie, the scale of rate changes and of waves.
+CHANGE_POINTS, CHANGE_PART, CHANGE_SCALE, WAVE_SCALE = 25, 0.8, 0.05, 10.0
+
+
+def penalised(gram: np.ndarray, moment: np.ndarray, absolute: np.ndarray, square: np.ndarray, close: float = 1e-11, sweeps: int = 20_000) -> np.ndarray:
+    """The least of w' gram w / 2 - moment' w + sum of absolute |w| + sum of square w^2 / 2, by coordinate descent on sums.
+
+    Coefficients without an absolute penalty follow from the others in closed form, so the descent goes over the others only.
+    """
+    free = absolute == 0
+    whole = gram + np.diag(square)
+    left = np.linalg.lstsq(whole[np.ix_(free, free)], np.column_stack([whole[np.ix_(free, ~free)], moment[free]]), rcond=None)[0]
+    across, alone = left[:, :-1], left[:, -1]
+    inner = whole[np.ix_(~free, ~free)] - whole[np.ix_(~free, free)] @ across
+    wanted = moment[~free] - whole[np.ix_(~free, free)] @ alone
+    w, slope, penalty, diagonal = np.zeros(len(wanted)), -wanted, absolute[~free], np.diag(inner)  # slope: inner w - wanted
+    for _ in range(sweeps if len(w) else 0):
+        most = 0.0
+        for j in np.flatnonzero((w != 0) | (np.abs(slope) > penalty)):
+            pull = diagonal[j] * w[j] - slope[j]
+            new = np.sign(pull) * max(abs(pull) - penalty[j], 0.0) / max(diagonal[j], 1e-300)
+            if new != w[j]:
+                slope = slope + inner[:, j] * (new - w[j])
+                most, w[j] = max(most, abs(new - w[j]) * np.sqrt(diagonal[j])), new
+        if most <= close:
+            break
+    out = np.zeros(len(moment))
+    out[~free], out[free] = w, alone - across @ w
+    return out
+
+
+def trend_terms(day: np.ndarray, order: int) -> np.ndarray:
+    """Level, trend, what a change of its rate at each change point adds, and yearly waves; days ascending."""
+    t = (day - day[0]) / max(1.0, day[-1] - day[0])
+    known = t[: max(1, int(np.floor(len(t) * CHANGE_PART)))]
+    n = min(CHANGE_POINTS, len(known) - 1)
+    points = known[np.round(np.linspace(0, len(known) - 1, n + 1)).astype(int)[1:]] if n > 0 else np.zeros(0)
+    waves = seasonal_terms(day, order, day[0], 1.0)[:, 2:]
+    return np.column_stack([np.ones(len(t)), t, np.maximum(t[:, None] - points, 0), waves])
+
+
+def trend_fit(day: np.ndarray, y: np.ndarray, order: int = 2, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, fitted values, and the penalty on rate changes: a piecewise linear trend whose changes have a Laplace prior, and waves with a normal one.
+
+    The values are scaled by the greatest; the variance of the noise, on which the penalties depend, is that of the last round's residuals.
+    """
+    scale = max(float(np.abs(y).max()), 1e-300)
+    z, x = y / scale, trend_terms(day, order)
+    changes = np.zeros(x.shape[1], bool)
+    changes[2 : x.shape[1] - 2 * order] = True
+    waves = np.arange(x.shape[1]) >= x.shape[1] - 2 * order
+    gram, moment = x.T @ x, x.T @ z
+    plain = ~changes
+    w = np.zeros(x.shape[1])
+    w[plain], *_ = np.linalg.lstsq(x[:, plain], z, rcond=None)
+    absolute = np.zeros(len(w))
+    for _ in range(rounds):
+        variance = max(float(np.mean((z - x @ w) ** 2)), 1e-12)
+        absolute = np.where(changes, variance / CHANGE_SCALE, 0.0)
+        w = penalised(gram, moment, absolute, np.where(waves, variance / WAVE_SCALE**2, 0.0))
+    return w * scale, x @ w * scale, absolute

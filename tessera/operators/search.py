@@ -1,14 +1,15 @@
-"""Typeahead: all words of the query must begin a word of the text, else the text must contain the query; then ranked."""
+"""Typeahead: all words of the query must begin a word of the text, else the text must contain the query; then ranked. And names that are nearly known."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import like_literal, search_text
 from ..functions.text import sequence_ratio, similarity
+from ..sources.stored import written
 
 #: Least score, least length of a word, most candidates that are scored.
 LEAST_SCORE, LEAST_LENGTH, CANDIDATES = 0.30, 2, 500
@@ -31,19 +32,73 @@ def typeahead(df: DataFrame, column: str, asked: str, rank: str, limit: int = 20
     return scored.orderBy(F.col("score").desc(), *order).limit(limit).drop("__text")
 
 
-def closest_name(names: DataFrame, asked: DataFrame, cutoff: float = 0.8, salts: int = 16) -> DataFrame:
-    """For each asked name the most similar known one, if it reaches the cutoff. names, asked: (name).
+def _characters(name: str):
+    """A name's characters, each with how often it stood before: a set whose overlap with another's is that of both multisets of characters."""
+    letters = F.transform(F.sequence(F.lit(1), F.char_length(name)), lambda k: F.substr(F.col(name), k, F.lit(1)))
+    return F.transform(letters, lambda x, k: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), k + 1), lambda y: y == x)).cast("string")))
 
-    All names that can reach it are compared: similarity is at most 2 min / (sum) of both lengths, so the join is on the length of the
-    known name, with each asked name at all lengths that it allows; known names of one length are dealt over ``salts`` blocks.
+
+def _indexed(names: DataFrame, order: DataFrame, cutoff: float) -> DataFrame:
+    """name, length, characters (the rarest first), and as many of the first as a pair that reaches the cutoff must share one of."""
+    each = names.select("name", F.explode(_characters("name")).alias("character")).join(order, "character")
+    one = each.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "character"))), lambda x: x["character"]).alias("characters"))
+    size = F.size("characters")
+    shared = F.ceil(size * cutoff / (2 - cutoff) - 1e-9).cast("int")
+    return one.select("name", size.alias("length"), "characters", F.slice("characters", F.lit(1), size - shared + 1).alias("first"))
+
+
+def close_pairs(known: DataFrame, asked: DataFrame, cutoff: float, salts: int = 8) -> DataFrame:
+    """Pairs (known, asked) of names whose similarity can reach the cutoff, with the most that it can be (``bound``).
+
+    Similarity is twice the matched characters over all, so at most twice the common characters, as multisets. An index of each name's rarest characters
+    finds every pair that can have enough in common, once: at the first character that both indices share.
+    """
+    known, asked = (x.select("name").filter("name <> ''").distinct() for x in (known, asked))
+    order = known.unionByName(asked).select(F.explode(_characters("name")).alias("character")).groupBy("character").agg(F.count(F.lit(1)).alias("n"))
+    k = _indexed(known, order, cutoff).select(F.col("name").alias("known"), F.col("length").alias("known_length"), F.col("characters").alias("of_known"), F.col("first").alias("first_known"))
+    k = k.withColumn("block", F.pmod(F.xxhash64("known"), F.lit(salts)).cast("int")).withColumn("character", F.explode("first_known"))
+    a = _indexed(asked, order, cutoff).select(F.col("name").alias("asked"), F.col("length").alias("asked_length"), F.col("characters").alias("of_asked"), F.col("first").alias("first_asked"))
+    a = a.withColumn("block", F.explode(F.array(*map(F.lit, range(salts))))).withColumn("character", F.explode("first_asked"))
+    total = F.col("known_length") + F.col("asked_length")
+    alike = 2 * F.least("known_length", "asked_length") >= cutoff * total - 1e-9
+    here = F.get(F.array_intersect("first_known", "first_asked"), F.lit(0)) == F.col("character")
+    pairs = k.join(a, ["block", "character"]).filter(alike & here).withColumn("bound", 2 * F.size(F.array_intersect("of_known", "of_asked")) / total)
+    return pairs.filter(F.col("bound") >= cutoff - 1e-9).select("known", "asked", "bound")
+
+
+def closest_names(known: DataFrame, asked: DataFrame, cutoff: float = 0.8, n: int = 1, first: int = 4) -> DataFrame:
+    """For each asked name the ``n`` most similar known ones that reach the cutoff, the greater name first among equals: asked, known, score, place. known, asked: (name).
+
+    Characters count as they are. Empty names match nothing. Of the pairs that can reach the cutoff the ``first`` of the highest bound are compared; of the others only
+    those whose bound is not below the n-th best score that these gave.
     """
     from ..functions.windows import top_n_per_group
 
-    known = names.select(F.col("name").alias("known"), search_text("name").alias("text")).distinct()
-    known = known.withColumn("length", F.length("text")).withColumn("block", F.pmod(F.xxhash64("known"), F.lit(salts)).cast("int"))
-    mine = asked.select(F.col("name").alias("asked"), search_text("name").alias("asked_text")).distinct().filter("asked_text <> ''")
-    size = F.length("asked_text")
-    lengths = F.sequence(F.ceil(size * cutoff / (2 - cutoff) - 1e-9).cast("int"), F.floor(size * (2 - cutoff) / cutoff + 1e-9).cast("int"))
-    mine = mine.withColumn("length", F.explode(lengths)).withColumn("block", F.explode(F.array(*map(F.lit, range(salts)))))
-    scored = known.join(mine, ["length", "block"]).withColumn("score", sequence_ratio(F.col("text"), F.col("asked_text"))).filter(F.col("score") >= cutoff)
-    return top_n_per_group(scored, ["asked"], [F.col("score").desc(), F.col("known")]).select("asked", "known", "score")
+    pairs = close_pairs(known, asked, cutoff)
+    order = Window.partitionBy("asked").orderBy(F.desc("bound"), F.desc("known"))
+    ranked = written(pairs.withColumn("rank", F.row_number().over(order)), "name-pairs")
+    score = sequence_ratio(F.col("known"), F.col("asked"))
+    tried = written(ranked.filter(F.col("rank") <= max(first, n)).withColumn("score", score).filter(F.col("score") >= cutoff).select("asked", "known", "score"), "name-scores")
+    reached = tried.groupBy("asked").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(n - 1)).alias("least"))  # of ``first`` numbers
+    rest = ranked.filter(F.col("rank") > max(first, n)).join(reached, "asked", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
+    rest = rest.withColumn("score", score).filter(F.col("score") >= cutoff).select("asked", "known", "score")
+    best = [F.col("score").desc(), F.col("known").desc()]
+    found = top_n_per_group(tried.unionByName(rest), ["asked"], best, n)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(*best)).cast("long"))
+
+
+def known_or_close(known: DataFrame, asked: DataFrame, cutoffs: tuple[float, float] = (0.8, 0.55), n: int = 10) -> DataFrame:
+    """asked, rung, place, known, score: a known name but for case and spaces around it stands for itself; else the most similar from the first cutoff on;
+    else up to ``n`` from the second on. Names that find nothing have one row, of rung ``none``."""
+    asked = asked.select("name").filter("name is not null").distinct()
+    same = known.select(F.lower(F.trim("name")).alias("key"), F.col("name").alias("known")).groupBy("key").agg(F.min("known").alias("known"))
+    exact = asked.join(same, F.lower(F.trim("name")) == F.col("key")).select(F.col("name").alias("asked"), F.lit("exact").alias("rung"), F.lit(1).cast("long").alias("place"), "known", F.lit(1.0).alias("score"))
+    rest, rows = asked, written(exact, "names-known")
+    found = [rows]
+    for rung, cutoff, most in (("close", cutoffs[0], 1), ("alike", cutoffs[1], n)):
+        rest = rest.join(rows.select(F.col("asked").alias("name")).distinct(), "name", "left_anti")
+        rows = written(closest_names(known, rest, cutoff, most).select("asked", F.lit(rung).alias("rung"), "place", "known", "score"), "names-close")
+        found.append(rows)
+    none = rest.join(rows.select(F.col("asked").alias("name")).distinct(), "name", "left_anti")
+    found.append(none.select(F.col("name").alias("asked"), F.lit("none").alias("rung"), F.lit(1).cast("long").alias("place"), F.lit(None).cast("string").alias("known"), F.lit(None).cast("double").alias("score")))
+    return reduce(DataFrame.unionByName, found)

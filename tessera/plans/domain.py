@@ -128,9 +128,37 @@ def q_10_weekly_streams(t: Tables) -> DataFrame:
 
 @query("SELECT nation_id, c_custkey, day FROM order_rows QUALIFY row_number() OVER (PARTITION BY nation_id ORDER BY day DESC, order_id) = 1")
 def q_11_canonical_name(t: Tables) -> DataFrame:
+    """The latest row of each nation; ``q_11_artist_names`` resolves names."""
     return W.latest_by(t.orders, ["nation_id"], "day", F.col("order_id")).select("nation_id", "c_custkey", "day")
 
 
+#: Names as sources have written them over the years: by the last digit of the order, in upper case, with spaces around, blank, or as they are.
+SPELLINGS_SQL = "CASE o_orderkey % 5 WHEN 0 THEN upper(s_name) WHEN 1 THEN '  ' || s_name || ' ' WHEN 2 THEN ' ' WHEN 3 THEN NULL ELSE s_name END"
+
+
+@query(f"""WITH v AS (SELECT ' ' || s_suppkey || ' ' AS artist_id, {SPELLINGS_SQL} AS artist_name, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS modified FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey UNION ALL SELECT '  ', 'nobody', NULL),
+    n AS (SELECT trim(artist_id) AS artist_id, trim(artist_name) AS artist_name FROM v WHERE trim(artist_id) <> '' AND trim(artist_name) <> '' QUALIFY row_number() OVER (PARTITION BY trim(artist_id) ORDER BY modified DESC NULLS LAST, artist_name) = 1),
+    l AS (SELECT CAST(s_suppkey AS VARCHAR) AS artist_id, s_name AS billed FROM supplier)
+    SELECT artist_id, coalesce(artist_name, billed) AS artist_name, artist_name IS NOT NULL AS canonical FROM l LEFT JOIN n USING (artist_id)""")
+def q_11_artist_names(t: Tables) -> DataFrame:
+    """The name that each supplier goes by: of those that sources gave, without spaces around, the latest that is not blank (undated last, then the first in order); else the one that is billed."""
+    spelt = F.col("o_orderkey") % 5
+    name = F.when(spelt == 0, F.upper("s_name")).when(spelt == 1, F.concat(F.lit("  "), "s_name", F.lit(" "))).when(spelt == 2, " ").when(spelt == 4, F.col("s_name"))
+    orders = t.raw("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate").cast("date")).alias("modified"))
+    given = t.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).join(orders, "o_orderkey").join(t.raw("supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    given = given.select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("artist_id"), name.alias("artist_name"), "modified")
+    given = given.unionByName(t.spark.createDataFrame([("  ", "nobody", None)], "artist_id string, artist_name string, modified date"))
+    names = canonical_names(given)
+    billed = t.raw("supplier").select(F.col("s_suppkey").cast("string").alias("artist_id"), F.col("s_name").alias("billed"))
+    return billed.join(names, "artist_id", "left").select("artist_id", F.coalesce("artist_name", "billed").alias("artist_name"), F.col("artist_name").isNotNull().alias("canonical"))
+
+
+def canonical_names(given: DataFrame) -> DataFrame:
+    """artist_id, artist_name, modified -> one name an artist; blank ones and those without an artist do not count."""
+    known = given.withColumns({"artist_id": F.trim("artist_id"), "plain": F.trim("artist_name")}).filter("artist_id <> '' AND plain <> ''")
+    return W.latest_by(known, ["artist_id"], "modified", F.col("artist_name")).select("artist_id", F.col("plain").alias("artist_name"))
+
+
 FOUR = {"Streams": "streaming", "ProductSales": "product_sales", "RecordingSales": "song_sales"}
 
 

@@ -19,8 +19,9 @@ from ..sources.tables import Tables
 from .attribution import OWNER_OF_LABEL
 from .catalogue import ar_paths
 from .domain import LARGE
-from .features import LIFE_SQL, PEAK_BINS, life
-from .forecast import SCENARIOS, gamma_curves
+from .features import LIFE_SQL, life
+from .forecast import SCENARIOS, gamma_curves, ridge
+from .peers import CLASS_SQL, HISTORY_SQL, history, join_range_widening, peer_floors
 from .registry import query
 from .shares import BAND, FORECAST_FROM, forecast_rows, panel
 
@@ -138,12 +139,10 @@ def share_rows(t: Tables) -> DataFrame:
 
 
 def seasonal_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A trend and yearly waves of order two, by least squares."""
+    """A trend with change points and yearly waves of order two."""
     pdf = pdf.sort_values("week_end")
     day = np.array([d.toordinal() for d in pdf["week_end"]], float)
-    x = V.seasonal_terms(day, 2, day[0], max(1.0, day[-1] - day[0]))
-    w, *_ = np.linalg.lstsq(x, pdf["share"].to_numpy(float), rcond=None)
-    return pd.DataFrame({"label": pdf["label"], "week_end": pdf["week_end"], "seasonal": np.round(x @ w, 8)})
+    return pd.DataFrame({"label": pdf["label"], "week_end": pdf["week_end"], "seasonal": np.round(V.trend_fit(day, pdf["share"].to_numpy(float))[1], 8)})
 
 
 @query()
@@ -175,17 +174,11 @@ def kinds(t: Tables) -> tuple[list[str], np.ndarray]:
 
 
 def title_priors(t: Tables) -> DataFrame:
-    """By title: how often its artist's titles are of each kind, and the part of a peak that stays, of the kind and size, else of the kind, else of all."""
+    """By title: how often its artist's titles are of each kind, and its floor by the ladder of its peers (capped by the last known week where it is used)."""
     n = t.titles.groupBy("artist", "release_type").agg(F.count(F.lit(1)).alias("n"))
     mix = n.groupBy("artist").agg(F.map_from_entries(F.collect_list(F.struct("release_type", F.col("n").cast(DOUBLE)))).alias("mix"))  # a number for each kind
-    late = life(t).groupBy("title_id", "release_type").agg(F.max("ae").alias("peak"), (F.avg(F.when(F.col("k") > 8, F.col("ae"))) / F.max("ae")).alias("kept"))
-    late = late.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, PEAK_BINS)), lambda e: e <= F.col("peak"))))
-    some = late.filter("kept <= 0.8")
-    by_bin = some.groupBy("release_type", "bin").agg(F.median("kept").alias("of_bin"), F.count(F.lit(1)).alias("n")).filter("n >= 5").drop("n")
-    by_kind, every = some.groupBy("release_type").agg(F.median("kept").alias("of_kind")), some.agg(F.median("kept").alias("of_all"))
-    x = late.join(by_bin, ["release_type", "bin"], "left").join(by_kind, "release_type", "left").crossJoin(F.broadcast(every))  # one row
-    floor = F.coalesce("of_bin", "of_kind", "of_all", F.lit(0.0)) * F.col("peak")
-    return x.select("title_id", floor.alias("floor")).join(t.titles.select("title_id", "artist"), "title_id").join(mix, "artist").select("title_id", "floor", "mix")
+    floors = t.stored("peer-floors", lambda: peer_floors(t)).select("title_id", "artist", "floor")
+    return floors.join(mix, "artist").select("title_id", "floor", "mix")
 
 
 def known_weeks(t: Tables, least: int) -> DataFrame:
@@ -378,12 +371,15 @@ def metric_archetypes(t: Tables) -> DataFrame:
     return mean.groupBy("category", "release_type").applyInPandas(fit, "category string, release_type string, peak double, sharpness double")
 
 
-@query("""WITH life AS (SELECT title_id, release_type, CAST(ae AS DOUBLE) AS ae, row_number() OVER (PARTITION BY title_id ORDER BY week_end) AS k FROM title_weeks JOIN titles USING (title_id)),
+JOINT_SQL = """life AS (SELECT title_id, release_type, CAST(ae AS DOUBLE) AS ae, row_number() OVER (PARTITION BY title_id ORDER BY week_end) AS k FROM title_weeks JOIN titles USING (title_id)),
     s AS (SELECT title_id, release_type, min(k) FILTER (WHERE ae = peak) AS peak_week FROM (SELECT *, max(ae) OVER (PARTITION BY title_id) AS peak FROM life) GROUP BY 1, 2),
     c AS (SELECT s.title_id, s.release_type, level_1, CASE WHEN peak_week <= 4 THEN 0 WHEN peak_week <= 12 THEN 1 WHEN peak_week <= 24 THEN 2 ELSE 3 END AS cluster FROM s LEFT JOIN owners USING (title_id)),
     g AS (SELECT release_type, cluster, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY release_type) AS p FROM c GROUP BY 1, 2), l AS (SELECT level_1, cluster, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY level_1) AS p FROM c WHERE level_1 IS NOT NULL GROUP BY 1, 2),
-    k AS (SELECT release_type, level_1, cluster, coalesce(g.p, 0.0) * coalesce(l.p, 0.0) AS p FROM (SELECT * FROM (SELECT DISTINCT release_type, level_1 FROM c WHERE level_1 IS NOT NULL), (VALUES (0), (1), (2), (3)) v(cluster)) x LEFT JOIN g USING (release_type, cluster) LEFT JOIN l USING (level_1, cluster))
-    SELECT release_type, level_1, CAST(cluster AS BIGINT) AS cluster FROM k QUALIFY row_number() OVER (PARTITION BY release_type, level_1 ORDER BY round(p, 9) DESC, cluster) = 1""")
+    k AS (SELECT release_type, level_1, cluster, coalesce(g.p, 0.0) * coalesce(l.p, 0.0) AS p FROM (SELECT * FROM (SELECT DISTINCT release_type, level_1 FROM c WHERE level_1 IS NOT NULL), (VALUES (0), (1), (2), (3)) v(cluster)) x LEFT JOIN g USING (release_type, cluster) LEFT JOIN l USING (level_1, cluster)),
+    joint AS (SELECT release_type, level_1, CAST(cluster AS BIGINT) AS cluster FROM k QUALIFY row_number() OVER (PARTITION BY release_type, level_1 ORDER BY round(p, 9) DESC, cluster) = 1)"""
+
+
+@query(f"WITH {JOINT_SQL} SELECT * FROM joint")
 def joint_clusters(t: Tables) -> DataFrame:
     """The archetype to expect of a kind at an owner: the greatest product of both shares of it; of equals, the first."""
     w = Window.partitionBy("title_id")
@@ -400,38 +396,102 @@ def joint_clusters(t: Tables) -> DataFrame:
     return pairs.select("release_type", "level_1", F.get(ranked, 0)["cluster"].alias("cluster"))
 
 
-#: Weeks of the tail after the first, and the exponent of its archetype. Fixed value.
-TAIL_WEEKS, TAIL_EXPONENT = 77, -0.5058
+#: Weeks of the tail after the first; of each archetype, the exponent of a power of the week or the rate of an exponential.
+TAIL_WEEKS, POWERS, RATES = 77, {0: -0.5058, 2: -0.6484}, {1: -0.2258, 3: -0.0482}
+#: Titles that a cluster's slope must rest on, the penalty, and the slope of smaller clusters.
+SLOPE_TITLES, SLOPE_PENALTY, COMMON_SLOPE = 25, 2.0, -0.61
+
+
+def archetype_shapes() -> np.ndarray:
+    """Weeks from the first (rows) of the four archetypes (columns), 1 in the first."""
+    t = np.arange(TAIL_WEEKS + 1.0)
+    return np.stack([(t + 1) ** POWERS[c] if c in POWERS else np.exp(RATES[c] * t) for c in range(4)], 1)
+
 
+def tail_weight(mix: list[Column], week: int) -> Column:
+    """The part of a tail that a week of it (from 1) has, of a mix of the four archetypes; of no mix, the first archetype alone."""
+    shapes = archetype_shapes()[1:]
+    alone = sum(mix[1:], mix[0]) <= 0
+    mix = [F.when(alone, 1.0).otherwise(mix[0]), *mix[1:]]
+    over = lambda values: sum((m * float(v) for m, v in zip(mix[1:], values[1:])), mix[0] * float(values[0]))
+    return over(shapes[week - 1]) / over(shapes.sum(0))
 
-def reweighted_tail(weights: Column, mass: Column, own_ratio: Column, releases: Column) -> Column:
-    """Weights of a tail (sum 1) whose first is drawn towards an artist's own second week over the first; its mass stays.
+
+def redrawn_first(first: Column, mass: Column, own_ratio: Column, releases: Column) -> Column:
+    """The first week's part of a tail, drawn towards an artist's own second week over the first; the tail's mass stays.
 
     mass: the tail's volume over the first week's. The own ratio counts by the number of releases, from four on alone.
     """
     alpha = F.least(F.lit(1.0), F.greatest(F.lit(0.0), releases / V.BLEND_RELEASES))
-    wanted = (1 - alpha) * mass * F.get(weights, 0) + alpha * own_ratio
-    first = F.least(F.greatest(F.least(F.greatest(wanted, F.lit(1e-12)), mass * 0.999) / mass, F.lit(1e-12)), F.lit(0.999))
-    rest = F.slice(weights, 2, TAIL_WEEKS - 1)
-    total = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
-    return F.when(own_ratio.isNull() | (mass <= 1e-12), weights).otherwise(F.concat(F.array(first), F.transform(rest, lambda x: x / total * (1 - first))))
-
-
-@query(f"""WITH life AS (SELECT title_id, artist, CAST(ae AS DOUBLE) AS ae, row_number() OVER (PARTITION BY title_id ORDER BY week_end) AS k FROM title_weeks JOIN titles USING (title_id)),
-    r AS (SELECT title_id, artist, max(CASE WHEN k = 1 THEN ae END) AS w1, max(CASE WHEN k = 2 THEN ae END) AS w2, sum(CASE WHEN k > 1 THEN ae END) AS tail FROM life GROUP BY ALL), a AS (SELECT artist, median(w2 / w1) AS own, count(w2 / w1) AS n FROM r WHERE w1 > 0 GROUP BY 1),
-    s AS (SELECT sum(pow(g + 1, {TAIL_EXPONENT})) AS total FROM range(1, {TAIL_WEEKS + 1}) x(g)), z AS (SELECT title_id, tail / w1 AS m, own, least(1.0, n / 4.0) AS alpha, pow(2, {TAIL_EXPONENT}) / total AS t0 FROM r JOIN a USING (artist), s WHERE w1 > 0 AND tail > 0),
-    f AS (SELECT *, least(greatest(least(greatest((1 - alpha) * m * t0 + alpha * own, 1e-12), m * 0.999) / m, 1e-12), 0.999) AS f FROM z)
-    SELECT title_id, round(coalesce(f, t0), 8) AS first_weight, round(CASE WHEN own IS NULL THEN pow(3, {TAIL_EXPONENT}) / total ELSE pow(3, {TAIL_EXPONENT}) / total / (1 - t0) * (1 - f) END, 8) AS second_weight FROM f, s""")
-def tail_weights(t: Tables) -> DataFrame:
-    """The first two weights of each title's tail after it was drawn towards its artist's second weeks."""
+    wanted = (1 - alpha) * mass * first + alpha * own_ratio
+    drawn = F.least(F.greatest(F.least(F.greatest(wanted, F.lit(1e-12)), mass * 0.999) / mass, F.lit(1e-12)), F.lit(0.999))
+    return F.when(own_ratio.isNull() | (mass <= 1e-12), first).otherwise(drawn)
+
+
+def first_weeks_of(t: Tables) -> DataFrame:
+    """Titles that go on after their first week: tail over it, and their artist's second week over the first with the number of titles that it rests on."""
     x = life(t).join(t.titles.select("title_id", "artist"), "title_id")
     at = lambda k: F.max(F.when(F.col("k") == k, F.col("ae")))
-    r = x.groupBy("title_id", "artist").agg(at(1).alias("w1"), at(2).alias("w2"), F.sum(F.when(F.col("k") > 1, F.col("ae"))).alias("tail")).filter("w1 > 0")
+    r = x.groupBy("title_id", "release_type", "artist").agg(at(1).alias("w1"), at(2).alias("w2"), F.sum(F.when(F.col("k") > 1, F.col("ae"))).alias("tail")).filter("w1 > 0")
     a = r.groupBy("artist").agg(F.median(F.col("w2") / F.col("w1")).alias("own"), F.count(F.col("w2") / F.col("w1")).alias("n"))
-    shape = np.arange(2, TAIL_WEEKS + 2.0) ** TAIL_EXPONENT
-    shape = F.array(*[F.lit(float(v)) for v in shape / shape.sum()])
-    x = r.filter("tail > 0").join(a, "artist").withColumn("weights", reweighted_tail(shape, F.col("tail") / F.col("w1"), F.col("own"), F.col("n")))
-    return x.select("title_id", F.round(F.get("weights", 0), 8).alias("first_weight"), F.round(F.get("weights", 1), 8).alias("second_weight"))
+    return r.filter("tail > 0").join(a, "artist").select("title_id", "release_type", (F.col("tail") / F.col("w1")).alias("mass"), "own", "n")
+
+
+def with_tail(x: DataFrame, mix: list[Column], *columns: str) -> DataFrame:
+    at = {"first_weight": 1, "second_weight": 2, "tenth_weight": 10, "last_weight": TAIL_WEEKS}
+    x = x.select("mass", "own", "n", "title_id", *columns, *[tail_weight(mix, k).alias(n) for n, k in at.items()])
+    x = x.withColumn("drawn", redrawn_first(F.col("first_weight"), F.col("mass"), F.col("own"), F.col("n")))
+    rest = (1 - F.col("drawn")) / (1 - F.col("first_weight"))
+    later = [F.round(F.col(n) * rest, 8).alias(n) for n in at if n != "first_weight"]
+    return x.select("title_id", *columns, F.round("drawn", 8).alias("first_weight"), *later)
+
+
+SHAPES_SQL = f"""shapes AS (SELECT g, CASE c {" ".join(f"WHEN {c} THEN pow(g + 1, {p})" for c, p in POWERS.items())} {" ".join(f"WHEN {c} THEN exp({r} * g)" for c, r in RATES.items())} END AS v, c FROM range(1, {TAIL_WEEKS + 1}) x(g), (VALUES (0), (1), (2), (3)) y(c))"""
+#: Of a relation ``z`` (title_id, m, own, n, p0 to p3): the weights of the tail's first, second, tenth and last week.
+REWEIGHTED_SQL = f"""raw AS (SELECT title_id, g, sum(v * CASE c WHEN 0 THEN CASE WHEN p0 + p1 + p2 + p3 > 0 THEN p0 ELSE 1 END WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) AS v FROM z, shapes GROUP BY 1, 2),
+    w AS (SELECT title_id, max(v) FILTER (WHERE g = 1) / sum(v) AS t0, max(v) FILTER (WHERE g = 2) / sum(v) AS t1, max(v) FILTER (WHERE g = 10) / sum(v) AS t9, max(v) FILTER (WHERE g = {TAIL_WEEKS}) / sum(v) AS t76 FROM raw GROUP BY 1),
+    f AS (SELECT *, least(greatest(least(greatest((1 - least(1.0, n / 4.0)) * m * t0 + least(1.0, n / 4.0) * own, 1e-12), m * 0.999) / m, 1e-12), 0.999) AS f FROM z JOIN w USING (title_id)),
+    o AS (SELECT *, CASE WHEN own IS NULL THEN 1 ELSE (1 - f) / (1 - t0) END AS rest FROM f)"""
+FIRST_SQL = """flife AS (SELECT title_id, release_type, artist, CAST(ae AS DOUBLE) AS ae, row_number() OVER (PARTITION BY title_id ORDER BY week_end) AS k FROM title_weeks JOIN titles USING (title_id)),
+    r AS (SELECT title_id, release_type, artist, max(CASE WHEN k = 1 THEN ae END) AS w1, max(CASE WHEN k = 2 THEN ae END) AS w2, sum(CASE WHEN k > 1 THEN ae END) AS tail FROM flife GROUP BY ALL), art AS (SELECT artist, median(w2 / w1) AS own, count(w2 / w1) AS n FROM r WHERE w1 > 0 GROUP BY 1)"""
+WEIGHTS_SQL = "round(CASE WHEN own IS NULL THEN t0 ELSE f END, 8) AS first_weight, round(t1 * rest, 8) AS second_weight, round(t9 * rest, 8) AS tenth_weight, round(t76 * rest, 8) AS last_weight"
+
+
+@query(f"""WITH {JOINT_SQL}, {FIRST_SQL}, {SHAPES_SQL},
+    z AS (SELECT r.title_id, tail / w1 AS m, own, art.n, coalesce(j.cluster, 0) AS cluster, CAST(coalesce(j.cluster, 0) = 0 AS INTEGER) AS p0, CAST(coalesce(j.cluster, 0) = 1 AS INTEGER) AS p1, CAST(coalesce(j.cluster, 0) = 2 AS INTEGER) AS p2, CAST(coalesce(j.cluster, 0) = 3 AS INTEGER) AS p3
+        FROM r JOIN art USING (artist) LEFT JOIN owners USING (title_id) LEFT JOIN joint j ON j.release_type = r.release_type AND j.level_1 = owners.level_1 WHERE w1 > 0 AND tail > 0), {REWEIGHTED_SQL}
+    SELECT title_id, CAST(cluster AS BIGINT) AS cluster, {WEIGHTS_SQL} FROM o""")
+def tail_weights(t: Tables) -> DataFrame:
+    """Weights of each title's tail: the shape of the archetype that its kind and owner stand for, drawn towards its artist's second weeks."""
+    x = first_weeks_of(t).join(t.owners.select("title_id", "level_1"), "title_id", "left").join(joint_clusters(t), ["release_type", "level_1"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(0).cast("long")))
+    return with_tail(x, [(F.col("cluster") == c).cast(DOUBLE) for c in range(4)], "cluster")
+
+
+@query()
+def tail_blends(t: Tables) -> DataFrame:
+    """The same of a blend of all four archetypes: as they are spread over the artist's titles of a like peak."""
+    mix = join_range_widening(t).select("title_id", *[f"p{c}" for c in range(4)])
+    return with_tail(first_weeks_of(t).join(mix, "title_id"), [F.col(f"p{c}") for c in range(4)])
+
+
+@query(f"""WITH {HISTORY_SQL}, x AS (SELECT title_id, {CLASS_SQL} AS c FROM history), w AS (SELECT title_id, ae, week_end, row_number() OVER (PARTITION BY title_id ORDER BY week_end) AS k FROM title_weeks),
+    f AS (SELECT w.title_id, sum(w.ae) AS m52, max(w.ae) FILTER (WHERE k = 1) AS w1, min(week_end) AS first FROM w WHERE k <= 52 GROUP BY 1),
+    s AS (SELECT title_id, sum(ae) FILTER (WHERE category = 'ProductSales') AS sales FROM daily_fact JOIN f USING (title_id) WHERE week_end = first GROUP BY 1),
+    y AS (SELECT c, least(greatest(CAST(coalesce(sales, 0) AS DOUBLE) / CAST(w1 AS DOUBLE), 0), 1) AS x, CAST(m52 AS DOUBLE) / CAST(w1 AS DOUBLE) AS y FROM f JOIN x USING (title_id) JOIN s USING (title_id) WHERE w1 > 0),
+    g AS (SELECT c, count(*) AS n, covar_pop(y, x) AS sxy, var_pop(x) AS sxx FROM y GROUP BY 1)
+    SELECT CAST(v.c AS BIGINT) AS cluster, CAST(coalesce(n, 0) AS BIGINT) AS titles, round(CASE WHEN n >= {SLOPE_TITLES} THEN sxy * n / (sxx * n + {SLOPE_PENALTY}) ELSE {COMMON_SLOPE} END, 6) AS slope FROM (VALUES (0), (1), (2), (3)) v(c) LEFT JOIN g ON g.c = v.c""")
+def cluster_product_slopes(t: Tables) -> DataFrame:
+    """By archetype, how a year over the first week falls with the part of product sales in the first week; a common slope for clusters of few titles."""
+    at = F.col("peak_week")
+    clusters = t.stored("history", lambda: history(t)).select("title_id", F.when(at <= 4, 0).when(at <= 12, 1).when(at <= 24, 2).otherwise(3).alias("cluster"))
+    weeks = t.title_weeks.withColumn("k", F.row_number().over(Window.partitionBy("title_id").orderBy("week_end"))).filter("k <= 52")
+    year = weeks.groupBy("title_id").agg(F.sum("ae").cast(DOUBLE).alias("year"), F.max(F.when(F.col("k") == 1, F.col("ae"))).cast(DOUBLE).alias("w1"), F.min("week_end").alias("week_end")).filter("w1 > 0")
+    sales = t.facts("ProductSales").groupBy("title_id", "week_end").agg(F.sum("ae").cast(DOUBLE).alias("sales"))
+    x = year.join(sales, ["title_id", "week_end"], "left").join(clusters, "title_id")
+    x = x.select("cluster", F.least(F.greatest(F.coalesce("sales", F.lit(0.0)) / F.col("w1"), F.lit(0.0)), F.lit(1.0)).alias("x"), (F.col("year") / F.col("w1")).alias("y"))
+    every = t.spark.createDataFrame([(c,) for c in range(4)], "cluster int")
+    fitted = every.join(ridge(x, "cluster", "x", "y", SLOPE_PENALTY), "cluster", "left")
+    return fitted.select(F.col("cluster").cast("long").alias("cluster"), F.coalesce("n", F.lit(0)).cast("long").alias("titles"), F.round(F.when(F.col("n") >= SLOPE_TITLES, F.col("slope")).otherwise(COMMON_SLOPE), 6).alias("slope"))
 
 
 # Credits of several artists.

@@ -64,21 +64,22 @@ def q_23_group_month_growth(t: Tables) -> DataFrame:
     return with_growth(x, "fm")
 
 
-#: Labels as they come, with the fiscal year: whole quarters, marked ones, other spellings, and some that name nothing.
+#: Labels as they come, and how many fiscal years after the first of the data: whole quarters, marked ones, other spellings, and some that name nothing.
 LABELS_GIVEN = (
-    (1996, "Q2 (Dec-Feb)"), (1997, "Q2 (Dec-Feb)"), (1997, "q2"), (1998, "Q1 (Sep-Nov)"), (1998, "Q3 (Mar-May)"), (1998, "Q4 (Jun-Aug)"), (1999, "Q1 (Sep-Nov) - (END Oct 07)"), (1999, "Q2 (Dec-Feb) - (END Dec 31)"),
-    (2000, "Q2 (Dec-Feb) - (END Feb 29)"), (2001, "Q2 (Dec-Feb) - (END Feb 29)"), (2000, "Q5"), (2000, ""), (2000, "Q3 - (END Foo 3)"),
+    "Q2 (Dec-Feb)", "q2", "Q1 (Sep-Nov)", "Q3 (Mar-May)", "Q4 (Jun-Aug)", "Q1 (Sep-Nov) - (END Oct 07)", "Q2 (Dec-Feb) - (END Dec 31)", "Q2 (Dec-Feb) - (END Feb 29)", "Q5", "", "Q3 - (END Foo 3)",
 )
-_LABELS_SQL = ", ".join(f"({fy}, '{x}')" for fy, x in LABELS_GIVEN)
+_LABELS_SQL = ", ".join(f"('{x}')" for x in LABELS_GIVEN)
 
 
-@query(f"""WITH g AS (SELECT CAST(fy AS BIGINT) AS fy, label, TRY_CAST(regexp_extract(label, '(?i)Q\\s*([1-4])', 1) AS INTEGER) AS q, regexp_extract(label, '(?i)END\\s+([A-Za-z]{{3}})', 1) AS mon, regexp_extract(label, '(?i)END\\s+[A-Za-z]{{3}}\\s+([0-9]{{1,2}})', 1) AS dd FROM (VALUES {_LABELS_SQL}) v(fy, label)),
+@query(f"""WITH {QUARTERS_SQL}, g AS (SELECT fy, label, TRY_CAST(regexp_extract(label, '(?i)Q\\s*([1-4])', 1) AS INTEGER) AS q, regexp_extract(label, '(?i)END\\s+([A-Za-z]{{3}})', 1) AS mon, regexp_extract(label, '(?i)END\\s+[A-Za-z]{{3}}\\s+([0-9]{{1,2}})', 1) AS dd FROM (SELECT DISTINCT fy FROM quarters), (VALUES {_LABELS_SQL}) v(label)),
     m AS (SELECT *, list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(mon)) AS mm FROM g)
     SELECT fy, label, CASE q WHEN 1 THEN make_date(fy - 1, 9, 1) WHEN 2 THEN make_date(fy - 1, 12, 1) WHEN 3 THEN make_date(fy, 3, 1) WHEN 4 THEN make_date(fy, 6, 1) END AS first_day,
     CASE WHEN mon <> '' THEN TRY_CAST(CAST(CASE WHEN mm >= 9 THEN fy - 1 ELSE fy END AS VARCHAR) || '-' || lpad(CAST(mm AS VARCHAR), 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) ELSE CASE q WHEN 1 THEN make_date(fy - 1, 11, 30) WHEN 2 THEN make_date(fy, 2, 28) WHEN 3 THEN make_date(fy, 5, 31) WHEN 4 THEN make_date(fy, 8, 31) END END AS final_day FROM m""")
 def date_fiscal_windows(t: Tables) -> DataFrame:
+    """First and last day that labels name, in every fiscal year of the data."""
     first, final = C.fiscal_window("fy", "label")
-    return t.spark.createDataFrame(list(LABELS_GIVEN), "fy bigint, label string").select("fy", "label", first.alias("first_day"), final.alias("final_day"))
+    years = quarters(t).select("fy").distinct().withColumn("label", F.explode(F.array(*map(F.lit, LABELS_GIVEN))))
+    return years.select("fy", "label", first.alias("first_day"), final.alias("final_day"))
 
 
 @query(f"""WITH {QUARTERS_SQL}, d AS (SELECT fy, fiscal_quarter, CASE WHEN fiscal_quarter LIKE '%END%' THEN p_day WHEN fq = 2 THEN make_date(fy, 2, 28) WHEN fq = 1 THEN make_date(fy - 1, 11, 30) WHEN fq = 3 THEN make_date(fy, 5, 31) ELSE make_date(fy, 8, 31) END AS final_day FROM quarters UNION ALL SELECT 2000, 'no period', NULL)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import incremental as I
 from ..operators import search
+from ..sources.models import ModelStore
 from ..sources.files import csv_lines, json_records
 from ..sources.stored import new_path
 from ..sources.tables import Tables
@@ -172,10 +173,38 @@ def typeahead_titles(t: Tables) -> DataFrame:
     return search.typeahead(names, "title", "Red  wid", "releases")
 
 
+@query("""WITH y AS (SELECT title_id, CAST(size AS DOUBLE) AS x, ln(1 + CAST(sum(ae) AS DOUBLE)) AS y FROM title_weeks JOIN titles USING (title_id) GROUP BY ALL), m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM y)
+    SELECT title_id, CAST(1 AS BIGINT) AS version, round(b + a * x, 6) AS expected FROM y, m""")
+def sink_model(t: Tables) -> DataFrame:
+    """A fitted pipeline that is stored, and what it says to every title when it is loaded again."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = t.title_weeks.groupBy("title_id").agg(F.log1p(F.sum("ae").cast(DOUBLE)).alias("y")).join(t.titles.select("title_id", F.col("size").cast(DOUBLE).alias("x")), "title_id")
+    stages = [VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y", solver="normal")]
+    store = ModelStore(t.spark, new_path(t.spark, "models"))
+    version = store.save(Pipeline(stages=stages).fit(rows), rows, query="sink_model")
+    return store.predict(rows).select("title_id", F.lit(version).cast("long").alias("version"), F.round("prediction", 6).alias("expected"))
+
+
+def misspelt(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Names of suppliers and brands, and what people might write for them: as they are, in upper case, short of a letter, with two exchanged, shortened, or others."""
+    suppliers = t.raw("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("n"))
+    brands = t.raw("part").select(F.col("p_brand").alias("name")).distinct().withColumn("n", F.substring("name", -1, 1).cast("long") * 3 + 2)
+    known = suppliers.unionByName(brands)
+    name, kind = F.col("name"), F.col("n") % 7
+    cut = lambda first, size=None: F.substr(name, F.lit(first), F.lit(size) if size else F.char_length("name"))
+    written_so = F.when(kind == 0, name).when(kind == 1, F.upper("name")).when(kind == 2, F.concat(cut(1, 3), cut(5))).when(kind == 3, F.concat(cut(1, 1), cut(3, 1), cut(2, 1), cut(4)))
+    written_so = written_so.when(kind == 4, F.concat(F.lit("The "), name, F.lit(" Ltd."))).when(kind == 5, F.concat(F.reverse(name), F.lit("?"))).otherwise(F.concat(F.lit("x"), cut(2, 2), cut(6)))
+    return known.select("name"), known.select(written_so.alias("name"))
+
+
 @query()
 def fuzzy_names(t: Tables) -> DataFrame:
-    asked = t.spark.createDataFrame([("Suplier 000000007",), ("supplier#000000012",)], "name string")
-    return search.closest_name(t.suppliers.select(F.col("level_3").alias("name")), asked)
+    """What each misspelt name stands for: itself, the most similar, up to ten that are alike, or nothing."""
+    known, asked = misspelt(t)
+    return search.known_or_close(known, asked).withColumn("score", F.round("score", 9))
 
 
 def blocks(t: Tables, *columns: str, size: int = 1000) -> DataFrame:

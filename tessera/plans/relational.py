@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import windows as W
+from ..functions.folding import folded
 from ..operators import relational as R
 from ..sources.tables import LABELS, Tables
 from .registry import query
@@ -483,8 +484,8 @@ def str_normalize(t: Tables) -> DataFrame:
 
 @query()
 def str_normalize_whole(t: Tables) -> DataFrame:
-    """The same as ``str_normalize``, kept under its older name."""
-    return t.raw("documents").select("doc_id", C.search_text("text").alias("search"))
+    """The same with exact decomposition of every character, in the JVM."""
+    return t.raw("documents").select("doc_id", folded("text").alias("search"))
 
 
 @query(r"""WITH k AS (SELECT title_id, artist, list_distinct(list_filter(string_split(title, ' '), lambda x: length(x) >= 2)) AS words FROM titles)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_split import read_split
 from .stored import write_text
 
 
@@ -20,9 +21,9 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], aliases
     """Columns of a CSV file by name, whatever the case, with white space and a byte order mark in the header ignored.
 
     ``columns``: type by name; ``aliases``: older names by name. Values that do not fit their type become null. ``multi_line``: values may
-    hold line breaks in quotes; then a file is one task, else it is split.
+    hold line breaks in quotes; files are split either way.
     """
-    raw = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"', **options).csv(path)
+    raw = read_split(spark, path, **options) if multi_line else spark.read.options(header="true", escape='"', **options).csv(path)
     found = {c.replace("﻿", "").strip().lower(): c for c in raw.columns}
     out, missing = [], []
     for name, kind in columns.items():
@@ -36,10 +37,15 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], aliases
     return raw.select(*out)
 
 
-def csv_to_parquet(spark: SparkSession, source: str, target: str, compression: str = "snappy", schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
-    """Without a schema all columns are text. ``multi_line``: values may hold line breaks in quotes; then a file is one task, else it is split."""
-    reader = spark.read.options(header="true", multiLine=str(multi_line).lower(), escape='"')
-    (reader.schema(schema) if schema else reader).csv(source).write.mode("overwrite").option("compression", compression).parquet(target)
+def csv_to_parquet(
+    spark: SparkSession, source: str, target: str, compression: str = "snappy", schema: T.StructType | str | None = None, multi_line: bool = False, row_group_bytes: int | None = None, range_bytes: int | None = None
+) -> DataFrame:
+    """Without a schema all columns are text. ``multi_line``: values may hold line breaks in quotes; files are split either way, then in ranges of ``range_bytes``.
+    ``row_group_bytes``: size of a row group before compression."""
+    reader = spark.read.options(header="true", escape='"')
+    rows = read_split(spark, source, schema, range_bytes) if multi_line else (reader.schema(schema) if schema else reader).csv(source)
+    writer = rows.write.mode("overwrite").option("compression", compression)
+    (writer.option("parquet.block.size", row_group_bytes) if row_group_bytes else writer).parquet(target)
     return spark.read.parquet(target)
 
 

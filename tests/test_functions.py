@@ -1,13 +1,18 @@
 """Columns and windows on rows made by hand."""
 
 import datetime as dt
+import re
+import sys
+import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions import windows as W
+from tessera.functions.folding import code_class, folded
 from tessera.functions.text import search_text_exact, similarity
 
 D = dt.date
@@ -93,3 +98,23 @@ def test_categories_are_filtered_in_the_scan(spark, sf):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "EqualTo(l_returnflag,A)" in plan and "EqualTo(l_linestatus,F)" in plan
     assert t.panel_since("1998-01-01").exceptAll(t.panel.filter("week_end >= '1998-01-01'")).isEmpty() and t.panel_since("1998-01-01").count() == t.panel.filter("week_end >= '1998-01-01'").count()
+
+
+def plain_search_text(s):
+    plain = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return " ".join(re.sub(r"[^\w]|_", " ", plain.lower()).split())
+
+
+def test_folding_equals_the_unicode_tables_for_every_assigned_code_point(spark):
+    assert code_class([1, 2, 3, 7, 65]) == "\\x{1}-\\x{3}\\x{7}\\x{41}"
+    points = [p for p in range(sys.maxunicode + 1) if not 0xD800 <= p < 0xE000 and unicodedata.category(chr(p)) not in ("Cn", "Co")]
+    rows = spark.createDataFrame(pd.DataFrame({"p": points, "x": [f"a{chr(p)}b {chr(p)}" for p in points]}))
+    got = rows.select("p", folded("x").alias("y")).toPandas()
+    want = [plain_search_text(f"a{chr(p)}b {chr(p)}") for p in got.p]
+    assert len(got) > 140_000 and [p for p, a, b in zip(got.p, got.y, want) if a != b] == []
+
+
+def test_folding_of_every_document_and_of_nothing(spark, sf):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["", None, " _ ", "\u0301", "ﬁ Ω ²½ İ ẞ ΑΣ Σ"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", folded("x").alias("y")).collect()
+    assert {r["i"]: r["y"] for r in got} == {i: None if t is None else plain_search_text(t) for i, t in enumerate(texts)}

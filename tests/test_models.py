@@ -20,14 +20,33 @@ def test_spike_engine_equals_a_direct_fit(spark, sf):
     assert len(both) == len(rows) and len(got) > len(rows) and np.abs(both["share"] - want).max() < 1e-6 and 0 < (both.zone == 1).sum() < len(both)
 
 
-def test_seasonal_model_equals_least_squares(spark, sf):
+def test_seasonal_model_is_the_least_of_its_penalties(spark, sf):
+    """The conditions of the minimum hold for every label: gradients are nothing, or of the size of the penalty where a rate changes, or less where it does not."""
     rows = M.share_rows(Tables(spark, sf)).toPandas().merge(QUERIES["share_seasonal"](spark, sf).toPandas(), on=["label", "week_end"])
     for _, g in rows.groupby("label"):
         g = g.sort_values("week_end")
-        day = np.array([d.toordinal() for d in g.week_end], float)
-        turn = 2 * np.pi * day / 365.25
-        x = np.stack([np.ones(len(g)), day - day[0], np.sin(turn), np.cos(turn), np.sin(2 * turn), np.cos(2 * turn)], 1)
-        assert np.abs(x @ np.linalg.lstsq(x, g["share"].to_numpy(float), rcond=None)[0] - g.seasonal).max() < 1e-6
+        day, y = np.array([d.toordinal() for d in g.week_end], float), g["share"].to_numpy(float)
+        w, fit, penalty = V.trend_fit(day, y)
+        assert np.abs(fit - g.seasonal).max() < 1e-6
+        scale, x = np.abs(y).max(), V.trend_terms(day, 2)
+        slope = x.T @ (x @ w - y) / scale
+        slope[-4:] += w[-4:] / scale * penalty.max() * V.CHANGE_SCALE / V.WAVE_SCALE**2
+        changes = penalty > 0
+        assert np.abs(slope[~changes]).max() < 1e-6
+        assert (np.abs(slope[changes]) <= penalty[changes] + 1e-6).all()
+        moved = changes & (np.abs(w) > 1e-9 * scale)
+        assert np.abs(slope + penalty * np.sign(w))[moved].max(initial=0) < 1e-6
+
+
+def test_a_bend_is_found():
+    day = 730_000 + 7.0 * np.arange(300)
+    t = (day - day[0]) / (day[-1] - day[0])
+    y = 20 + 5 * t - 12 * np.maximum(t - 0.4, 0) + 2 * np.sin(2 * np.pi * day / 365.25)
+    w, fit, penalty = V.trend_fit(day, y)
+    assert np.abs(fit - y).max() < 0.2 and w[1] > 3 and w[2:27].sum() < -8
+    straight = V.trend_fit(day, 3 + 2 * t)[0]
+    assert np.abs(straight[2:27]).max() < 1e-6 and straight[:2] == pytest.approx([3, 2])
+    assert len(V.trend_fit(np.array([1.0]), np.array([2.0]))[1]) == 1
 
 
 def test_backfill_recovers_a_curve_and_goes_on_from_what_is_known():
@@ -113,3 +132,76 @@ def test_share_recurrence_step_by_step(spark, sf):
             nxt = 0.5 * (w[:4] @ past[:-5:-1] + w[4]) + 0.5 * y[-8:].mean()
             past.append(min(max(nxt, 0.0), 1.0))
             assert got[label, step] == pytest.approx(past[-1], abs=1e-7)
+
+
+def least_error(t, y):
+    """The least squared error of a curve on a fine grid."""
+    peak, a = np.meshgrid(np.linspace(1, 52, 205), np.geomspace(0.01, 3, 120))
+    return ((V.gamma_curve(t[:, None, None], peak, a) - y[:, None, None]) ** 2).sum(0).min()
+
+
+def assert_curves_fit(curves, mean):
+    for r in curves.itertuples():
+        g = mean[(mean[[c for c in mean.columns if c in ("category", "release_type")]] == [getattr(r, c) for c in mean.columns if c in ("category", "release_type")]).all(axis=1)]
+        t, y = g.k.to_numpy(float), g.level.to_numpy(float) / g.level.max()
+        assert ((V.gamma_curve(t, r.peak, r.sharpness) - y) ** 2).sum() <= 1.02 * least_error(t, y) + 1e-6
+
+
+def test_curves_of_kinds_and_channels_have_the_least_error(spark, sf):
+    t = Tables(spark, sf)
+    kinds = t.titles.select("title_id", "release_type").toPandas()
+    weeks = t.title_weeks.toPandas().merge(kinds).sort_values(["title_id", "week_end"])
+    weeks["level"], weeks["k"] = weeks.ae.astype(float), weeks.groupby("title_id").cumcount() + 1
+    mean = weeks[weeks.k <= 52].groupby(["release_type", "k"], as_index=False)["level"].mean()
+    assert_curves_fit(QUERIES["gamma_curves"](spark, sf).toPandas(), mean)
+    days = t.daily_fact.groupBy("category", "title_id", "week_end").agg({"ae": "sum"}).toPandas().merge(kinds).sort_values(["category", "title_id", "week_end"])
+    days["level"], days["k"] = days["sum(ae)"].astype(float), days.groupby(["category", "title_id"]).cumcount() + 1
+    mean = days[days.k <= 52].groupby(["category", "release_type", "k"], as_index=False)["level"].mean()
+    got = QUERIES["metric_archetypes"](spark, sf).toPandas()
+    assert len(got) == mean[["category", "release_type"]].drop_duplicates().shape[0]
+    assert_curves_fit(got, mean)
+
+
+def test_every_title_is_in_the_cluster_of_the_nearest_centre(spark, sf):
+    from tessera.plans.forecast import shape_vectors
+
+    x = shape_vectors(Tables(spark, sf)).toPandas().merge(QUERIES["kmeans_archetypes"](spark, sf).toPandas(), on="title_id").set_index("title_id")
+    points, cluster = x[[f"w{k}" for k in range(1, 53)]].to_numpy(), x.cluster.to_numpy()
+    centres = np.stack([points[cluster == c].mean(0) for c in range(4)])
+    nearest = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+    assert (nearest == cluster).mean() > 0.95 and list(np.argsort(-centres[:, 0], kind="stable")) == [0, 1, 2, 3]
+
+
+def test_forecasts_of_titles_as_queries(spark, sf):
+    """What is known as it is, and the curve of each title's own weeks, priors and floor in three scenarios; when it reaches a volume in all."""
+    t = Tables(spark, sf)
+    names, sharpness = M.kinds(t)
+    known = M.known_weeks(t, 8).toPandas()
+    floors = {r["title_id"]: r["floor"] for r in M.peer_floors(t).collect()}
+    got = QUERIES["backfill_forecast"](spark, sf).toPandas().set_index("title_id").sort_values("week")
+    certified = QUERIES["backtest_certification"](spark, sf).toPandas().set_index("title_id")
+    counts = t.titles.groupBy("artist", "release_type").count().toPandas()
+    artists = {r["title_id"]: r["artist"] for r in t.titles.collect()}
+    for title, g in known.groupby("title_id"):
+        g = g.sort_values("k")
+        y, mine = g.ae.to_numpy(float), counts[counts.artist == artists[title]].set_index("release_type")["count"]
+        priors = np.array([float(mine.get(x, 0)) for x in names])
+        for scenario, by in (("bear", 0.9), ("base", 1.0), ("bull", 1.1)):
+            assert np.allclose(got.loc[title][scenario], V.backfill(y, priors, sharpness, floors[title], len(y) + 78, by), atol=1e-3)
+        if len(y) >= 12:
+            path = np.cumsum(V.backfill(y[:8], priors, sharpness, floors[title], len(y)))
+            week = lambda total: int(np.argmax(total >= 500_000)) + 1 if total[-1] >= 500_000 else None
+            r = certified.loc[title]
+            for have, want in ((r.actual_week, week(np.cumsum(y))), (r.expected_week, week(path))):
+                assert (have is None or have != have) if want is None else have == want
+
+
+def test_tails_of_blends_are_between_those_of_archetypes(spark, sf):
+    shapes = M.archetype_shapes()[1:]
+    shapes = shapes / shapes.sum(0)
+    x = M.first_weeks_of(Tables(spark, sf)).toPandas().merge(QUERIES["tail_blends"](spark, sf).toPandas(), on="title_id").merge(QUERIES["join_range_widening"](spark, sf).toPandas(), on="title_id")
+    raw = M.archetype_shapes()[1:] @ x[["p0", "p1", "p2", "p3"]].to_numpy().T
+    weights = raw / raw.sum(0)
+    alpha, mass = np.clip(x.n / 4, 0, 1), x["mass"].to_numpy()
+    first = np.clip(np.clip((1 - alpha) * mass * weights[0] + alpha * x.own, 1e-12, mass * 0.999) / mass, 1e-12, 0.999)
+    assert len(x) > 100 and np.allclose(x.first_weight, first, atol=1e-7) and np.allclose(x.tenth_weight, weights[9] / (1 - weights[0]) * (1 - first), atol=1e-7)

@@ -1,6 +1,8 @@
 """Incremental operators, sources and plans on rows made by hand."""
 
 import datetime as dt
+import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import incremental as I
 from tessera.operators import relational as R
+from tessera.operators.search import close_pairs, closest_names
 from tessera.plans.attribution import week_market
+from tessera.plans.catalog import QUERIES
 from tessera.functions.curves import nnls
 from tessera.plans.shares import first_weeks
 from tessera.sources import files
@@ -66,23 +70,56 @@ def test_the_week_in_progress_is_left_out(spark, as_of, weeks):
     assert I.without_partial_week(series, ["k"], "week_end", F.lit(as_of)).count() == weeks
 
 
-def test_closest_names_equal_a_scan(spark):
-    from difflib import SequenceMatcher
+def names(seed, n):
+    draw = random.Random(seed)
+    letters = draw.choice(["ab", "abcdefgh ", "aé😀ß1#", "abcdefghijklmnopqrstuvwxyz 0123456789"])
+    return ["".join(draw.choice(letters) for _ in range(draw.randrange(0, 14))) for _ in range(n)]
+
 
-    from tessera.operators.search import closest_name
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize(("cutoff", "n"), [(0.8, 1), (0.55, 10), (1.0, 2)])
+def test_closest_names_equal_a_scan(spark, seed, cutoff, n):
+    from difflib import SequenceMatcher
 
-    known = ["Ann Lee", "Anne Leigh", "The Band", "Band, The", "Bjork", "Björk Ensemble", "x", "ab", "abc", "abcd"]
-    asked = ["ann lee", "anne lee", "the bands", "bjoerk", "y", "abcde", "", "abc"]
-    plain = lambda x: x.lower().replace("ö", "o").replace(",", "")
-    for cutoff in (0.5, 0.8):
-        want = {}
-        for a in filter(None, asked):
-            scores = [(SequenceMatcher(None, plain(k), plain(a)).ratio(), k) for k in known]
-            best = max(s for s, _ in scores)
-            if best >= cutoff:
-                want[a] = min(k for s, k in scores if s == best)
-        got = closest_name(spark.createDataFrame([(k,) for k in known], "name string"), spark.createDataFrame([(a,) for a in asked], "name string"), cutoff)
-        assert {r["asked"]: r["known"] for r in got.collect()} == want
+    known, asked = names(seed, 70), names(seed + 100, 40)
+    asked += [k[:4] + k[5:] for k in known[:20]] + known[:5]
+    got = {}
+    for r in closest_names(*(spark.createDataFrame([(x,) for x in [*some, None, some[0]]], "name string") for some in (known, asked)), cutoff, n, first=2).collect():
+        got.setdefault(r["asked"], {})[r["place"]] = (r["score"], r["known"])
+    for a in {*asked} - {""}:
+        scores = sorted(((SequenceMatcher(None, k, a).ratio(), k) for k in {*known} - {""}), reverse=True)
+        want = [x for x in scores if x[0] >= cutoff][:n]
+        assert [got.get(a, {})[k] for k in sorted(got.get(a, {}))] == want
+
+
+def test_only_pairs_that_can_pass_are_compared(spark):
+    known, asked = names(3, 300), names(7, 300)
+    frames = [spark.createDataFrame([(x,) for x in some], "name string") for some in (known, asked)]
+    got = [(r["known"], r["asked"]) for r in close_pairs(*frames, 0.8).collect()]
+    assert len(got) == len(set(got)) and all(SequenceMatcher(None, k, a).quick_ratio() >= 0.8 - 1e-9 for k, a in got)
+    assert {(k, a) for k in known for a in asked if k and a and SequenceMatcher(None, k, a).quick_ratio() >= 0.8} <= set(got)
+
+
+def test_every_misspelt_supplier_and_brand_equals_a_scan(spark, sf):
+    from tessera.plans.refresh import misspelt
+
+    known, asked = ([r["name"] for r in x.collect()] for x in misspelt(Tables(spark, sf)))
+    got = {}
+    for r in QUERIES["fuzzy_names"](spark, sf).collect():
+        got.setdefault(r["asked"], []).append((r["place"], r["rung"], r["known"], r["score"]))
+    rungs = set()
+    for a in set(asked):
+        same = min((k for k in known if k.strip().lower() == a.strip().lower()), default=None)
+        scores = sorted(((SequenceMatcher(None, k, a).ratio(), k) for k in set(known)), reverse=True)
+        if same is not None:
+            want = [(1, "exact", same, 1.0)]
+        elif scores[0][0] >= 0.8:
+            want = [(1, "close", scores[0][1], round(scores[0][0], 9))]
+        else:
+            want = [(p, "alike", k, round(s, 9)) for p, (s, k) in enumerate(scores[:10], 1) if s >= 0.55] or [(1, "none", None, None)]
+        assert sorted(got[a]) == want
+        rungs.add(want[0][1])
+    assert rungs == {"exact", "close", "alike", "none"}
 
 
 def test_fill_missing_takes_only_blank_values(spark):
@@ -165,3 +202,13 @@ def test_temporary_tables_go_and_kept_ones_stay(spark):
         written(spark.range(5), "four")
         raise KeyError
     assert not any(x.startswith("four") for x in list_names(spark, shared_dir(spark)))
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(60, 40), (40, 60), (30, 3)])
+def test_nnls_of_many_columns_is_at_its_minimum(rows, columns):
+    draw = np.random.default_rng(rows)
+    a = np.abs(draw.normal(size=(rows, columns)))
+    for b in (a @ np.maximum(draw.normal(size=columns), 0), draw.normal(size=rows), np.zeros(rows)):
+        x = nnls(a, b)
+        slope = a.T @ (b - a @ x)
+        assert (x >= 0).all() and slope.max() <= 1e-7 * max(1, np.abs(b).max()) and np.abs(slope[x > 0]).max(initial=0) <= 1e-7 * max(1, np.abs(b).max())
