@@ -104,14 +104,15 @@ def gamma_fit(pdf: pd.DataFrame) -> pd.DataFrame:
     """Peak week and sharpness of a kind's mean curve, by a grid that is refined around its best point."""
     t, y = pdf["k"].to_numpy(float), pdf["level"].to_numpy(float)
     y = y / y.max()
-    lo, hi = np.array([1.0, 0.01]), np.array([52.0, 3.0])
-    best = (lo + hi) / 2
+    first, last = np.array([1.0, np.log(0.01)]), np.array([52.0, np.log(3.0)])  # sharpness by its logarithm
+    lo, hi, best = first, last, (first + last) / 2
     for _ in range(6):
-        p, a = np.meshgrid(np.linspace(lo[0], hi[0], 25), np.linspace(lo[1], hi[1], 25))
-        error = ((gamma_curve(t[:, None, None], p, a) - y[:, None, None]) ** 2).sum(0)
+        p, a = np.meshgrid(np.linspace(lo[0], hi[0], 52), np.linspace(lo[1], hi[1], 41))
+        error = ((gamma_curve(t[:, None, None], p, np.exp(a)) - y[:, None, None]) ** 2).sum(0)
         i = np.unravel_index(error.argmin(), error.shape)
         best, step = np.array([p[i], a[i]]), (hi - lo) / 12
-        lo, hi = np.maximum(best - step, [1.0, 0.01]), np.minimum(best + step, [52.0, 3.0])
+        lo, hi = np.maximum(best - step, first), np.minimum(best + step, last)
+    best[1] = np.exp(best[1])
     return pd.DataFrame({"release_type": [pdf["release_type"].iloc[0]], "peak": [round(best[0], 4)], "sharpness": [round(best[1], 4)]})
 
 
