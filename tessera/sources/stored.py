@@ -103,6 +103,12 @@ def shared_table(spark: SparkSession, key: tuple, make: Callable[[], DataFrame],
     return _shared[key][0]
 
 
+def forget_shared(spark: SparkSession) -> None:
+    """Delete the shared tables of this application."""
+    for key in [k for k in _shared if k[0] == spark.sparkContext.applicationId]:
+        drop_path(spark, _shared.pop(key)[1])
+
+
 def file_system(spark: SparkSession, path: str):
     """A path and its file system, as Hadoop objects."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
