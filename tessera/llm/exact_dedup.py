@@ -35,6 +35,8 @@ SETTINGS = {
     f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{STATE_STORE}.rocksdb.allowFAllocate": "false",
     f"{STATE_STORE}.rocksdb.writeBufferSizeMB": "16",
+    f"{STATE_STORE}.rocksdb.boundedMemoryUsage": "true",  # of all of an executor's partitions together
+    f"{STATE_STORE}.rocksdb.maxMemoryUsageMB": "192",
 }
 LOG = "id bigint, content string, digest string"
 #: ``origin``: the content that came first, found by the part of the log it is in and its identifier.
