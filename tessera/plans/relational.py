@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions import windows as W
 from ..functions.folding import folded
 from ..operators import relational as R
+from ..operators.ordered import counts_between
 from ..sources.tables import LABELS, Tables
 from .registry import query
 
@@ -189,18 +190,13 @@ def title_volumes(t: Tables) -> DataFrame:
     return t.daily_fact.groupBy("title_id").agg(F.sum("ae").cast(DOUBLE).alias("ae"))
 
 
-def within_factor(asked: DataFrame, tot: DataFrame, salts: int = 16) -> DataFrame:
-    """Other titles within a factor of 1.05: an equi-join on logarithmic bands and their neighbours, then the exact range.
-
-    A band's titles are dealt over ``salts`` blocks, each of which meets every title asked for, so that no task has a dense band.
-    """
-    width = 0.0211893  # log10(1.05), so that a range touches its own band and the two beside it
-    band = F.floor(F.log10("ae") / width)
-    asked = asked.select(F.col("title_id").alias("asked_id"), F.col("ae").alias("asked"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    asked = asked.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    dealt = tot.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("title_id"), F.lit(salts)).cast("int"))
-    hits = asked.join(dealt, ["band", "salt"]).filter((F.col("title_id") != F.col("asked_id")) & F.col("ae").between(F.col("asked") / 1.05, F.col("asked") * 1.05))
-    return hits.groupBy(F.col("asked_id").alias("title_id")).agg(F.count(F.lit(1)).alias("near"))
+def within_factor(asked: DataFrame, tot: DataFrame) -> DataFrame:
+    """Of titles how many others are within a factor of 1.05, without pairs: a range holds the titles up to its end less those before its start, less the title itself."""
+    asked, tot = (x.filter("ae >= 0 and title_id is not null") for x in (asked, tot))
+    known = tot.select("title_id", F.lit(0).alias("one_group"), F.col("ae").alias("value"))
+    at = asked.select("title_id", F.lit(0).alias("one_group"), (F.col("ae") / 1.05).alias("low"), (F.col("ae") * 1.05).alias("high"))
+    near = counts_between(known, at, "one_group", "value", "low", "high", "title_id")
+    return near.select("title_id", (F.col("n") - 1).alias("near")).filter("near > 0")
 
 
 # Aggregations.
