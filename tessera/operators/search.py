@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,38 +37,105 @@ def typeahead(df: DataFrame, column: str, asked: str, rank: str, limit: int = 20
     return scored.orderBy(F.col("score").desc(), *order).limit(limit).drop("__text")
 
 
-def _characters(name: str):
-    """A name's characters, each with how often it stood before: a set whose overlap with another's is that of both multisets of characters."""
-    letters = F.transform(F.sequence(F.lit(1), F.char_length(name)), lambda k: F.substr(F.col(name), k, F.lit(1)))
-    return F.transform(letters, lambda x, k: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), k + 1), lambda y: y == x)).cast("string")))
+def _characters(names: list[str], column: dict[tuple[str, int], int]) -> np.ndarray:
+    """Names as rows of ones: a column for each character with how often it stood before, so that products of rows count common characters as multisets."""
+    places = []
+    for name in names:
+        seen: dict[str, int] = {}
+        for c in name:
+            seen[c] = seen.get(c, 0) + 1
+            if (c, seen[c]) in column:
+                places.append(column[c, seen[c]])
+        places.append(-1)
+    places = np.array(places)
+    out = np.zeros((len(names), len(column)), np.float32)
+    inside = places >= 0
+    out[np.cumsum(~inside)[inside], places[inside]] = 1
+    return out
 
 
-def _indexed(names: DataFrame, order: DataFrame, cutoff: float) -> DataFrame:
-    """name, length, characters (the rarest first), and as many of the first as a pair that reaches the cutoff must share one of."""
-    each = names.select("name", F.explode(_characters("name")).alias("character")).join(order, "character")
-    one = each.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "character"))), lambda x: x["character"]).alias("characters"))
-    size = F.size("characters")
-    shared = F.ceil(size * cutoff / (2 - cutoff) - 1e-9).cast("int")
-    return one.select("name", size.alias("length"), "characters", F.slice("characters", F.lit(1), size - shared + 1).alias("first"))
+def _bounds(known: list[str], asked: list[str]) -> np.ndarray:
+    """(asked, known) -> the most that the similarity can be: twice the common characters over all."""
+    column: dict[tuple[str, int], int] = {}
+    for name in asked:
+        seen: dict[str, int] = {}
+        for c in name:
+            seen[c] = seen.get(c, 0) + 1
+            column.setdefault((c, seen[c]), len(column))
+    common = _characters(asked, column) @ _characters(known, column).T
+    return 2.0 * common / np.add.outer([len(x) for x in asked], [len(x) for x in known])
 
 
-def close_pairs(known: DataFrame, asked: DataFrame, cutoff: float, salts: int = 8) -> DataFrame:
+#: Names of a block; a task compares one block of asked names with one of known ones.
+BLOCK = 2048
+
+
+def _blocks(names: DataFrame, *columns: str) -> DataFrame:
+    """Names and what belongs to them in arrays of about ``BLOCK``."""
+    n = max(1, -(-names.count() // BLOCK))
+    each = F.sort_array(F.collect_list(F.struct("name", *columns)), asc=False)
+    return names.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).alias("block")).agg(each.alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in ("name", *columns)])
+
+
+def _meeting(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every block of known names beside every one of asked names, a row each, over all tasks."""
+    pairs = known.withColumnRenamed("name", "known").crossJoin(asked)
+    return pairs.repartition(4 * known.sparkSession.sparkContext.defaultParallelism)
+
+
+def _named(names: DataFrame) -> DataFrame:
+    return names.select("name").filter("name <> ''").distinct()
+
+
+def close_pairs(known: DataFrame, asked: DataFrame, cutoff: float, most: int | None = None) -> DataFrame:
     """Pairs (known, asked) of names whose similarity can reach the cutoff, with the most that it can be (``bound``).
 
-    Similarity is twice the matched characters over all, so at most twice the common characters, as multisets. An index of each name's rarest characters
-    finds every pair that can have enough in common, once: at the first character that both indices share.
+    Similarity is twice the matched characters over all, so at most twice the common characters, as multisets: products of matrices, a block of names by a block.
+    most: of each asked name and block of known ones only so many, those of the highest bound, the greater name first among equals.
     """
-    known, asked = (x.select("name").filter("name <> ''").distinct() for x in (known, asked))
-    order = known.unionByName(asked).select(F.explode(_characters("name")).alias("character")).groupBy("character").agg(F.count(F.lit(1)).alias("n"))
-    k = _indexed(known, order, cutoff).select(F.col("name").alias("known"), F.col("length").alias("known_length"), F.col("characters").alias("of_known"), F.col("first").alias("first_known"))
-    k = k.withColumn("block", F.pmod(F.xxhash64("known"), F.lit(salts)).cast("int")).withColumn("character", F.explode("first_known"))
-    a = _indexed(asked, order, cutoff).select(F.col("name").alias("asked"), F.col("length").alias("asked_length"), F.col("characters").alias("of_asked"), F.col("first").alias("first_asked"))
-    a = a.withColumn("block", F.explode(F.array(*map(F.lit, range(salts))))).withColumn("character", F.explode("first_asked"))
-    total = F.col("known_length") + F.col("asked_length")
-    alike = 2 * F.least("known_length", "asked_length") >= cutoff * total - 1e-9
-    here = F.get(F.array_intersect("first_known", "first_asked"), F.lit(0)) == F.col("character")
-    pairs = k.join(a, ["block", "character"]).filter(alike & here).withColumn("bound", 2 * F.size(F.array_intersect("of_known", "of_asked")) / total)
-    return pairs.filter(F.col("bound") >= cutoff - 1e-9).select("known", "asked", "bound")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bounds = _bounds(row["known"], row["name"])  # known names come in descending order
+                if most is None or most >= bounds.shape[1]:
+                    a, k = np.nonzero(bounds >= cutoff - 1e-9)
+                else:
+                    k = np.argsort(-bounds, axis=1, kind="stable")[:, :most]
+                    a = np.repeat(np.arange(len(k)), most)
+                    k = k.ravel()
+                    use = bounds[a, k] >= cutoff - 1e-9
+                    a, k = a[use], k[use]
+                yield pa.RecordBatch.from_arrays([pa.array([row["known"][j] for j in k], pa.string()), pa.array([row["name"][i] for i in a], pa.string()), pa.array(bounds[a, k], pa.float64())], names=["known", "asked", "bound"])
+
+    return _meeting(_blocks(_named(known)), _blocks(_named(asked))).mapInArrow(run, "known string, asked string, bound double")
+
+
+def _best_of_blocks(known: DataFrame, asked: DataFrame, cutoff: float, n: int) -> DataFrame:
+    """For each asked name and block of known ones the ``n`` most similar: asked, known, score. asked: (name, least), a score below which nothing is wanted.
+
+    Pairs are compared by falling bound, until none can come among the n best.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bounds, found = _bounds(row["known"], row["name"]), []
+                for name, least, bound in zip(row["name"], row["least"], bounds):
+                    near = np.flatnonzero(bound >= max(least, cutoff) - 1e-9)
+                    matcher, best = SequenceMatcher(None, "", name), []
+                    for j in near[np.argsort(-bound[near], kind="stable")]:
+                        if len(best) == n and bound[j] < best[0][0] - 1e-9:
+                            break
+                        matcher.set_seq1(row["known"][j])
+                        score = matcher.ratio()
+                        if score >= cutoff:
+                            (heapq.heappush if len(best) < n else heapq.heappushpop)(best, (score, row["known"][j]))
+                    found += [(name, k, score) for score, k in best]
+                columns = list(zip(*found)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["asked", "known", "score"])
+
+    return _meeting(_blocks(_named(known)), _blocks(asked, "least")).mapInArrow(run, "asked string, known string, score double")
 
 
 def closest_names(known: DataFrame, asked: DataFrame, cutoff: float = 0.8, n: int = 1, first: int = 4) -> DataFrame:
@@ -74,16 +146,13 @@ def closest_names(known: DataFrame, asked: DataFrame, cutoff: float = 0.8, n: in
     """
     from ..functions.windows import top_n_per_group
 
-    pairs = close_pairs(known, asked, cutoff)
-    order = Window.partitionBy("asked").orderBy(F.desc("bound"), F.desc("known"))
-    ranked = written(pairs.withColumn("rank", F.row_number().over(order)), "name-pairs")
-    score = sequence_ratio(F.col("known"), F.col("asked"))
-    tried = written(ranked.filter(F.col("rank") <= max(first, n)).withColumn("score", score).filter(F.col("score") >= cutoff).select("asked", "known", "score"), "name-scores")
-    reached = tried.groupBy("asked").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(n - 1)).alias("least"))  # of ``first`` numbers
-    rest = ranked.filter(F.col("rank") > max(first, n)).join(reached, "asked", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
-    rest = rest.withColumn("score", score).filter(F.col("score") >= cutoff).select("asked", "known", "score")
+    first = max(first, n)
+    pairs = top_n_per_group(close_pairs(known, asked, cutoff, first), ["asked"], [F.desc("bound"), F.desc("known")], first)
+    tried = pairs.withColumn("score", sequence_ratio(F.col("known"), F.col("asked")))
+    reached = tried.groupBy("asked").agg(F.get(F.sort_array(F.collect_list(F.when(F.col("score") >= cutoff, F.col("score"))), asc=False), F.lit(n - 1)).alias("least"))  # of ``first`` numbers
+    wanted = written(reached.select(F.col("asked").alias("name"), F.coalesce("least", F.lit(cutoff)).alias("least")), "names-asked")
     best = [F.col("score").desc(), F.col("known").desc()]
-    found = top_n_per_group(tried.unionByName(rest), ["asked"], best, n)
+    found = top_n_per_group(_best_of_blocks(known, wanted, cutoff, n), ["asked"], best, n)
     return found.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(*best)).cast("long"))
 
 

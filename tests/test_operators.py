@@ -212,3 +212,16 @@ def test_nnls_of_many_columns_is_at_its_minimum(rows, columns):
         x = nnls(a, b)
         slope = a.T @ (b - a @ x)
         assert (x >= 0).all() and slope.max() <= 1e-7 * max(1, np.abs(b).max()) and np.abs(slope[x > 0]).max(initial=0) <= 1e-7 * max(1, np.abs(b).max())
+
+
+def test_names_meet_in_blocks(spark, monkeypatch):
+    """A block of names beside a block, whose products bound all pairs; no row for each character that two names share."""
+    from tessera.operators import search
+
+    known, asked = names(11, 60), names(12, 60)
+    assert (search._bounds(known[:0] + ["abca"], ["aab", "x"]) == [[2 * 3 / 7], [0.0]]).all()
+    monkeypatch.setattr(search, "BLOCK", 16)
+    frames = [spark.createDataFrame([(x,) for x in some], "name string") for some in (known, asked)]
+    assert search._blocks(search._named(frames[0])).count() > 1
+    best = {a: max((SequenceMatcher(None, k, a).ratio(), k) for k in known if k) for a in asked if a}
+    assert {(r["asked"], r["score"], r["known"]) for r in closest_names(*frames, 0.6).collect()} == {(a, *x) for a, x in best.items() if x[0] >= 0.6}
