@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import lru_cache
+
 import numpy as np
 
 #: Weeks of the baseline's median and the least of them; what counts as nothing; the ratio from which a series spikes.
@@ -12,8 +15,12 @@ OLD_WEEKS, LARGE_VOLUME, STEADY_CV, STEADY_LEAST, MOST = 156, 5_000_000, 0.15, 0
 BLEND_RELEASES, FLOOR_CAP = 4.0, 0.95
 
 
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Non-negative least squares by an active set: the column that helps most joins, and those that would turn negative leave."""
+def nnls(a: np.ndarray, b: np.ndarray, solve: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Non-negative least squares by an active set: the column that helps most joins, and those that would turn negative leave.
+
+    solve: least squares on some of the columns, where the matrix is that of many fits.
+    """
+    solve = solve or (lambda used, b: np.linalg.lstsq(a[:, used], b, rcond=None)[0])
     n = a.shape[1]
     scale = np.linalg.norm(a, axis=0)
     least = 1e-10 * np.maximum(scale, 1e-300) * np.linalg.norm(b)
@@ -26,7 +33,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         used[waiting.argmax()] = True
         while used.any():
             fit = np.zeros(n)
-            fit[used], *_ = np.linalg.lstsq(a[:, used], b, rcond=None)
+            fit[used] = solve(used, b)
             if (fit[used] > 0).all():
                 x = fit
                 break
@@ -43,6 +50,58 @@ def gamma_curve(t: np.ndarray, peak: float, a: float | np.ndarray) -> np.ndarray
     return (t / peak) ** a * np.exp(-a * (t / peak - 1))
 
 
+class Basis:
+    """A matrix that many series are fitted to: the inverses of its choices of columns are made once each. inverses: those of other matrices too, which ``key`` tells apart."""
+
+    #: Fixed value: inverses that are kept.
+    MOST = 50_000
+
+    def __init__(self, a: np.ndarray, key: tuple = (), inverses: dict | None = None):
+        self.a, self.key, self.inverses = a, key, {} if inverses is None else inverses
+
+    def solve(self, used: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (*self.key, used.tobytes())
+        found = self.inverses.get(key)
+        if found is None:
+            if len(self.inverses) >= self.MOST:
+                self.inverses.clear()
+            chosen = self.a[:, used]
+            found = self.inverses[key] = np.linalg.pinv(chosen, rcond=np.finfo(float).eps * max(chosen.shape))
+        return found @ b
+
+    def fit(self, b: np.ndarray) -> np.ndarray:
+        return nnls(self.a, b, self.solve)
+
+
+class Curves:
+    """The archetypes' curves (weeks x archetypes) by week of the peak, made once each."""
+
+    #: Fixed value: peaks that are kept.
+    MOST = 1024
+
+    def __init__(self, sharpness: Sequence[float]):
+        self.sharpness, self.known, self.inverses = sharpness, {}, {}
+
+    def at(self, weeks: int, peak: int) -> np.ndarray:
+        """Weeks 1 to ``weeks``."""
+        known = self.known.get(peak)
+        if known is None or len(known) < weeks:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            t = np.arange(1, max(weeks, 160) + 1.0)
+            known = self.known[peak] = np.stack([gamma_curve(t, float(peak), a) for a in self.sharpness], 1)
+        return known[:weeks]
+
+    def basis(self, weeks: int, peak: int) -> Basis:
+        return Basis(self.at(weeks, peak), (weeks, peak), self.inverses)
+
+
+@lru_cache(maxsize=4)
+def curves_of(sharpness: tuple[float, ...]) -> Curves:
+    """The curves of a worker, whatever the number of its tasks."""
+    return Curves(sharpness)
+
+
 def backfill(
     y: np.ndarray, priors: np.ndarray, sharpness: np.ndarray, floor: float, end_week: int, multiplier: float = 1.0, fit_weight: float = 0.5, margin: int = 3
 ) -> np.ndarray:
@@ -52,19 +111,24 @@ def backfill(
     non-negative mix that fits is blended with the priors and scaled; the week with the least squared error of logarithms is
     taken. The curve is then anchored to the floor and to the last known week; ``multiplier`` changes what is above the floor later on.
     """
+    return backfills(y, priors, Curves(sharpness), floor, end_week, (multiplier,), fit_weight, margin)[0]
+
+
+def backfills(
+    y: np.ndarray, priors: np.ndarray, curves: Curves, floor: float, end_week: int, multipliers: Sequence[float] = (1.0,), fit_weight: float = 0.5, margin: int = 3
+) -> list[np.ndarray]:
+    """``backfill`` for several multipliers, from one fit."""
     k = len(y)
     y = np.maximum(y, 0.0)
     if not k or y.max() <= 0:
-        return np.concatenate([y, np.full(max(0, end_week - k), floor)])
+        return [np.concatenate([y, np.full(max(0, end_week - k), floor)]) for _ in multipliers]
     observed = int(y.argmax()) + 1
     latest = observed if observed < k else min(end_week, observed + margin)
-    t, weeks = np.arange(1, k + 1.0), np.arange(1, end_week + 1.0)
-    curves = lambda at, peak: np.stack([gamma_curve(at, peak, a) for a in sharpness], 1)
     priors = priors / priors.sum()
-    best, error = (float(observed), priors, float(y.max())), np.inf
+    best, error = (observed, priors, float(y.max())), np.inf
     for peak in range(observed, latest + 1):
-        g = curves(t, float(peak))
-        raw = nnls(g, y / y.max())
+        basis = curves.basis(k, peak)
+        g, raw = basis.a, basis.fit(y / y.max())
         if raw.sum() <= 0:
             continue
         mix = (1 - fit_weight) * priors + fit_weight * raw / raw.sum()
@@ -72,17 +136,17 @@ def backfill(
         volume = max(0.0, float(y @ shape / (shape @ shape)))
         sse = float(((np.log1p(y) - np.log1p(volume * shape)) ** 2).sum())
         if sse < error:
-            best, error = (float(peak), mix, volume), sse
+            best, error = (peak, mix, volume), sse
     peak, mix, volume = best
     floor = min(floor, FLOOR_CAP * y[-1]) if y[-1] > 0 else floor
-    path = np.maximum(max(volume - floor, 0.0) * (curves(weeks, peak) @ mix) + floor, 0.0)
+    path = np.maximum(max(volume - floor, 0.0) * (curves.at(end_week, peak) @ mix) + floor, 0.0)
     above = path[k - 1] - floor
     if above > 1e-12 and y[-1] >= floor:
         path = np.maximum(floor + (y[-1] - floor) / above * (path - floor), floor)
     elif path[k - 1] > 1e-12 and floor <= 1e-12:
         path = np.maximum(path * y[-1] / path[k - 1], 0.0)
-    path[k:] = floor + np.maximum(path[k:] - floor, 0.0) * multiplier if multiplier != 1.0 else path[k:]
-    return np.concatenate([y, path[k:]])
+    ahead = path[k:]
+    return [np.concatenate([y, floor + np.maximum(ahead - floor, 0.0) * m if m != 1.0 else ahead]) for m in multipliers]
 
 
 def spliced(channels: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -34,6 +34,17 @@ def life(t: Tables) -> DataFrame:
     return rows.select("title_id", "release_type", "week_end", F.col("ae").cast(DOUBLE).alias("ae"), F.row_number().over(Window.partitionBy("title_id").orderBy("week_end")).alias("k"))
 
 
+def series(rows: DataFrame, least: int, *columns: str) -> DataFrame:
+    """One row a title of ``least`` weeks or more: its ``columns`` as arrays in the order of weeks (``k``), at most a few hundred numbers each.
+
+    As many tasks as the cluster has use for: what is fitted takes long for its size, by which AQE would join tasks.
+    """
+    n = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    weeks = rows.repartition(max(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "title_id").groupBy("title_id")
+    one = weeks.agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias("weeks")).filter(F.size("weeks") >= least)
+    return one.select("title_id", *[F.col(f"weeks.{c}").alias(c) for c in columns])
+
+
 @query(f"""WITH {LIFE_SQL}, r AS (SELECT title_id, release_type, max(ae) AS peak, avg(ae) FILTER (WHERE k > 8) / max(ae) AS ret FROM life GROUP BY ALL), q AS (SELECT *, {BIN_SQL} AS bin FROM r WHERE ret IS NOT NULL AND ret <= 0.8)
     SELECT bin, release_type, CAST(count(*) AS BIGINT) AS n, round(median(ret), 6) AS med, round(quantile_cont(ret, 0.1), 6) AS p10, round(quantile_cont(ret, 0.9), 6) AS p90 FROM q GROUP BY ALL HAVING count(*) >= 5""")
 def floor_priors(t: Tables) -> DataFrame:
