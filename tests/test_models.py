@@ -205,3 +205,19 @@ def test_tails_of_blends_are_between_those_of_archetypes(spark, sf):
     alpha, mass = np.clip(x.n / 4, 0, 1), x["mass"].to_numpy()
     first = np.clip(np.clip((1 - alpha) * mass * weights[0] + alpha * x.own, 1e-12, mass * 0.999) / mass, 1e-12, 0.999)
     assert len(x) > 100 and np.allclose(x.first_weight, first, atol=1e-7) and np.allclose(x.tenth_weight, weights[9] / (1 - weights[0]) * (1 - first), atol=1e-7)
+
+
+def test_scenarios_share_a_fit_and_a_row_holds_a_title(spark, sf):
+    """Fits of many series on one matrix equal single ones; a title's priors and floor stand beside its weeks once."""
+    draw = np.random.default_rng(5)
+    curves, sharpness = V.Curves((0.2, 0.5, 1.0)), np.array([0.2, 0.5, 1.0])
+    for _ in range(20):
+        y, priors = draw.gamma(2.0, 100.0, draw.integers(3, 30)), draw.uniform(0.1, 1, 3)
+        basis = curves.basis(len(y), 2)
+        assert np.allclose(basis.fit(y), V.nnls(basis.a, y), rtol=1e-9, atol=1e-9)
+        for path, by in zip(V.backfills(y, priors, curves, 20.0, 60, (0.9, 1.0)), (0.9, 1.0)):
+            assert np.allclose(path, V.backfill(y, priors, sharpness, 20.0, 60, by))
+    t = Tables(spark, sf)
+    names, _ = M.kinds(t)
+    one, weeks = M.known_series(t, 8, names).collect(), M.known_weeks(t, 8).count()
+    assert len({r["title_id"] for r in one}) == len(one) and sum(len(r["ae"]) for r in one) == weeks and all(len(r["mix"]) == len(names) for r in one)
