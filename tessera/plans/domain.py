@@ -43,7 +43,7 @@ def q_19_lite(t: Tables) -> DataFrame:
 
 def title_floor(t: Tables) -> DataFrame:
     rows = t.title_weeks.filter(F.col("ae") >= FLOOR)
-    return rows.join(t.titles, "title_id").filter("week_end >= first_sale_date").join(t.owners, "title_id", "left").select("week_end", "title_id", "title", "artist", "first_sale_date", "ae", F.coalesce("level_1", F.lit("Unknown")).alias("owner"), "level_2", "level_3")
+    return rows.join(t.dealt_titles, "title_id").filter("week_end >= first_sale_date").join(t.owners, "title_id", "left").select("week_end", "title_id", "title", "artist", "first_sale_date", "ae", F.coalesce("level_1", F.lit("Unknown")).alias("owner"), "level_2", "level_3")
 
 
 FLOOR_SQL = "title_floor AS (SELECT w.week_end, title_id, title, artist, first_sale_date, w.ae, coalesce(level_1, 'Unknown') AS owner, level_2, level_3 FROM title_weeks w JOIN titles USING (title_id) LEFT JOIN owners USING (title_id) WHERE w.ae >= 50000 AND w.week_end >= first_sale_date)"

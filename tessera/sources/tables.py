@@ -23,6 +23,8 @@ ANCHOR = "BUILDING"
 CATEGORY_CODES, OTHER_CATEGORY = {"Streams": "A", "ProductSales": "N"}, "RecordingSales"
 #: The tables that relations are made of.
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Fixed value: bytes of the sources for each task that holds titles.
+TITLE_TASK_BYTES = 4 << 20
 LABELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -79,9 +81,25 @@ class Tables:
     def daily_fact(self) -> DataFrame:
         return self.facts()
 
+    @cached_property
+    def title_facts(self) -> DataFrame:
+        """Sales dealt by title, once: weeks, products and windows of a title need no other shuffle, and its joins by title none of this side.
+
+        The number of tasks grows with the sources, so that what a task holds does not.
+        """
+        return self.daily_fact.repartition(max(self.spark.sparkContext.defaultParallelism, -(-self.signature[1] // TITLE_TASK_BYTES)), "title_id")
+
     @cached_property
     def titles(self) -> DataFrame:
-        first = self.daily_fact.groupBy("title_id").agg(F.min("report_date").alias("first_sale_date"))
+        return self._titles(self.daily_fact)
+
+    @cached_property
+    def dealt_titles(self) -> DataFrame:
+        """The same rows, dealt as ``title_facts`` are: for joins with what comes from them."""
+        return self._titles(self.title_facts)
+
+    def _titles(self, facts: DataFrame) -> DataFrame:
+        first = facts.groupBy("title_id").agg(F.min("report_date").alias("first_sale_date"))
         part = self.raw("part").select(F.col("p_partkey").alias("title_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("release_type"), F.col("p_size").cast("long").alias("size"))
         return part.join(first, "title_id", "left")
 
@@ -108,7 +126,7 @@ class Tables:
 
     @cached_property
     def title_weeks(self) -> DataFrame:
-        return self.daily_fact.groupBy("week_end", "title_id").agg(F.sum("ae").alias("ae"), F.sum("quantity").alias("quantity"))
+        return self.title_facts.groupBy("week_end", "title_id").agg(F.sum("ae").alias("ae"), F.sum("quantity").alias("quantity"))
 
     @cached_property
     def orders(self) -> DataFrame:
