@@ -122,7 +122,12 @@ class Tables:
     @cached_property
     def owners(self) -> DataFrame:
         """The distributor with most units of each title."""
-        return top_n_per_group(self.ownership, ["title_id"], [F.col("units").desc_nulls_last(), F.col("product_id")]).select("title_id", "product_id", "level_1", "level_2", "level_3")
+        region = self.raw("region").select(F.col("r_regionkey").alias("n_regionkey"))
+        nation = self.raw("nation").join(region, "n_regionkey", "left_semi").select(F.col("n_nationkey").alias("s_nationkey"))
+        known = self.raw("supplier").join(nation, "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("product_id"))
+        units = self.title_facts.groupBy("title_id", "product_id").agg(F.sum("quantity").alias("units")).join(known, "product_id", "left_semi")
+        most = top_n_per_group(units, ["title_id"], [F.col("units").desc_nulls_last(), F.col("product_id")])  # names come after the ranks: a row for each title
+        return most.join(self.suppliers.dropDuplicates(["product_id"]), "product_id").select("title_id", "product_id", "level_1", "level_2", "level_3")
 
     @cached_property
     def title_weeks(self) -> DataFrame:
