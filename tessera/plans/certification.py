@@ -22,7 +22,7 @@ def panel_weeks(t: Tables) -> DataFrame:
     """title_id, week_end, week (1 in the first week of sales), streams, sales, songs, total, cumulative."""
     zero = F.lit(0).cast("decimal(18,4)")
     channels = [F.sum(F.when(F.col("category") == c, F.col("ae")).otherwise(zero)).alias(n) for n, c in CHANNELS.items()]
-    x = t.daily_fact.groupBy("title_id", "week_end").agg(*channels, F.sum("ae").alias("total"))
+    x = t.title_facts.groupBy("title_id", "week_end").agg(*channels, F.sum("ae").alias("total"))
     w = Window.partitionBy("title_id")
     x = x.withColumn("week", (F.datediff("week_end", F.min("week_end").over(w)) / 7).cast("long") + 1).filter(F.col("week") <= HORIZON)
     return x.withColumn("cumulative", W.running_sum(F.col("total"), w.orderBy("week")))
@@ -57,6 +57,11 @@ def title_shapes(panel: DataFrame) -> DataFrame:
     return one.withColumn("cluster", F.when(at <= 4, 0).when(at <= 12, 1).when(at <= 24, 2).otherwise(3).cast("long"))
 
 
+def stored_shapes(t: Tables) -> DataFrame:
+    """A row for each title, which its floor reads three times."""
+    return t.stored("certification-shapes", lambda: title_shapes(t.stored("certification-panel", lambda: panel_weeks(t))))
+
+
 def with_floor(shapes: DataFrame) -> DataFrame:
     """The floor of a title of its own, else the median of its archetype's, else of all; and which."""
     limited = lambda c: F.least(F.greatest(c, F.lit(FLOOR_LOW)), F.lit(FLOOR_HIGH))
@@ -84,7 +89,7 @@ SHAPES_SQL = f"""s0 AS (SELECT title_id, week, streams, sales, songs, total, CAS
     round(streams_ratio, 6) AS streams_ratio, round(sales_ratio, 6) AS sales_ratio, round(songs_ratio, 6) AS songs_ratio, CAST(cluster AS BIGINT) AS cluster, round(floor_rate, 6) AS floor_rate, floor_source FROM cert_titles""")
 def certification_titles(t: Tables) -> DataFrame:
     """Shape, channels of the first week, archetype and floor of every title of the panel."""
-    x = with_floor(title_shapes(t.stored("certification-panel", lambda: panel_weeks(t))))
+    x = with_floor(stored_shapes(t))
     return x.select("title_id", F.round("peak", 4).alias("peak"), "peak_week", "weeks", F.col("rows").alias("n"), *[F.round(c, 6).alias(c) for c in ("first", "last")], "half_week",
                     *[F.round(c, 6).alias(c) for c in ("decay", "area", "streams_ratio", "sales_ratio", "songs_ratio")], "cluster", F.round("floor_rate", 6).alias("floor_rate"), "floor_source")
 
@@ -94,7 +99,7 @@ def certification_titles(t: Tables) -> DataFrame:
 def certification_panel(t: Tables) -> DataFrame:
     """Every week with its title's features: what the certification model learns from. ``part``: the running total over all weeks, the cumulative shape."""
     panel = t.stored("certification-panel", lambda: panel_weeks(t))
-    titles = with_floor(title_shapes(panel)).select("title_id", "peak", "cluster", "floor_rate", "floor_source")
+    titles = with_floor(stored_shapes(t)).select("title_id", "peak", "cluster", "floor_rate", "floor_source")
     x = panel.join(titles, "title_id").withColumn("all", F.sum("total").over(Window.partitionBy("title_id")))
     volumes = [F.col(c).cast(DOUBLE).alias(c) for c in ("streams", "sales", "songs", "total", "cumulative")]
     return x.select("title_id", "week_end", "week", *volumes, F.round(F.col("cumulative").cast(DOUBLE) / F.col("all").cast(DOUBLE), 6).alias("part"), F.round(F.col("total").cast(DOUBLE) / F.col("peak"), 6).alias("norm"),
