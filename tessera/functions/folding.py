@@ -56,6 +56,7 @@ def folded(column: str) -> Column:
     more, less = _letters(SparkSession.getActiveSession().sparkContext.applicationId)
     text = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.col(column), F.lit(True))
     text = F.lower(F.regexp_replace(text, f"(?=[\\p{{M}}\\p{{Cn}}])[{marks()}]", ""))
-    other = f"[^\\p{{L}}\\p{{N}}{more}]" + (f"|[{less}]" if less else "")
-    text = F.regexp_replace(text, other, " ")
-    return F.when(F.col(column).isNotNull(), F.trim(F.regexp_replace(text, " +", " ")))
+    other = f"[^\\p{{L}}\\p{{N}}{more}]"
+    other = f"[{other}[{less}]]" if less else other
+    text = F.regexp_replace(text, f"(?! [a-z0-9])(?![a-z0-9]){other}+", " ")  # whole runs; a lone space before a plain letter stays as it is
+    return F.when(F.col(column).isNotNull(), F.trim(text))
