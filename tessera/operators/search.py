@@ -66,6 +66,58 @@ def _bounds(known: list[str], asked: list[str]) -> np.ndarray:
     return 2.0 * common / np.add.outer([len(x) for x in asked], [len(x) for x in known])
 
 
+#: Names that are looked at together, and characters of a name that fit a word of bits.
+TOGETHER, WORD = 32, 64
+
+
+def _points(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(name, place) -> code point and one more, 0 behind the end; and the lengths."""
+    length = np.array([len(x) for x in names])
+    width = max(int(length.max(initial=0)), 1)
+    points = np.array(names, f"<U{width}").view(np.uint32).reshape(len(names), width).astype(np.int64) + 1
+    return np.where(np.arange(width) < length[:, None], points, 0), length
+
+
+class InOrder:
+    """The most that similarity to known names can be: matched blocks stand in one order on both sides, so they are no more than the longest common subsequence.
+
+    Subsequences are counted in words of bits, one for an asked name, which step through the known names' characters; known names come sorted, and a beginning that
+    neighbours share is stepped through once. Of asked names longer than a word the rest counts as common.
+    """
+
+    def __init__(self, known: list[str]):
+        points, self.length = _points(known)
+        new, at, self.steps = np.zeros(len(known), bool), np.zeros(len(known), np.intp), []
+        new[:1] = True
+        for j in range(points.shape[1]):
+            new[1:] |= points[1:, j] != points[:-1, j]
+            first = np.flatnonzero(new)
+            self.steps.append((at[first], points[first, j]))  # of each beginning: the one that is shorter by a character, and that character
+            at = np.cumsum(new) - 1
+        self.last = at
+
+    def bounds(self, asked: list[str]) -> Iterator[np.ndarray]:
+        """(asked, known) -> bound, for ``TOGETHER`` asked names at a time."""
+        points, length = _points(asked)
+        own = np.unique(points)
+        own = own[own > 0]
+        places = [np.where(own[np.minimum(np.searchsorted(own, p), len(own) - 1)] == p, np.searchsorted(own, p), len(own)) for _, p in self.steps] if len(own) else [np.zeros(len(p), np.intp) for _, p in self.steps]
+        for k in range(0, len(asked), TOGETHER):
+            some, long = points[k : k + TOGETHER, :WORD], length[k : k + TOGETHER]
+            bits, rows = np.zeros((len(some), len(own) + 1), np.uint64), np.arange(len(some))
+            for j in range(some.shape[1]):
+                inside = some[:, j] > 0
+                bits[rows[inside], np.searchsorted(own, some[inside, j])] |= np.uint64(1 << j)
+            open_ = np.full((len(some), 1), 2**64 - 1, np.uint64)
+            for (before, _), place in zip(self.steps, places):
+                open_ = open_.take(before, 1)
+                hit = open_ & bits.take(place, 1)
+                open_ = (open_ + hit) | (open_ - hit)
+            low = np.array([(1 << min(int(n), WORD)) - 1 for n in long], np.uint64)
+            common = np.bitwise_count(~open_ & low[:, None]).take(self.last, 1) + np.maximum(long - WORD, 0)[:, None]
+            yield 2.0 * np.minimum(common, self.length) / np.maximum(np.add.outer(long, self.length), 1)
+
+
 #: Names of a block; a task compares one block of asked names with one of known ones.
 BLOCK = 2048
 
@@ -87,30 +139,44 @@ def _named(names: DataFrame) -> DataFrame:
     return names.select("name").filter("name <> ''").distinct()
 
 
-def close_pairs(known: DataFrame, asked: DataFrame, cutoff: float, most: int | None = None) -> DataFrame:
+def close_pairs(known: DataFrame, asked: DataFrame, cutoff: float) -> DataFrame:
     """Pairs (known, asked) of names whose similarity can reach the cutoff, with the most that it can be (``bound``).
 
     Similarity is twice the matched characters over all, so at most twice the common characters, as multisets: products of matrices, a block of names by a block.
-    most: of each asked name and block of known ones only so many, those of the highest bound, the greater name first among equals.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bounds = _bounds(row["known"], row["name"])  # known names come in descending order
-                if most is None or most >= bounds.shape[1]:
-                    a, k = np.nonzero(bounds >= cutoff - 1e-9)
-                else:
-                    k = np.argsort(-bounds, axis=1, kind="stable")[:, :most]
-                    a = np.repeat(np.arange(len(k)), most)
-                    k = k.ravel()
-                    use = bounds[a, k] >= cutoff - 1e-9
-                    a, k = a[use], k[use]
+                bounds = _bounds(row["known"], row["name"])
+                a, k = np.nonzero(bounds >= cutoff - 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array([row["known"][j] for j in k], pa.string()), pa.array([row["name"][i] for i in a], pa.string()), pa.array(bounds[a, k], pa.float64())], names=["known", "asked", "bound"])
 
     return _meeting(_blocks(_named(known)), _blocks(_named(asked))).mapInArrow(run, "known string, asked string, bound double")
 
 
+def _likely(known: DataFrame, asked: DataFrame, cutoff: float, most: int) -> DataFrame:
+    """Of each asked name and block of known ones the ``most`` whose similarity can be highest, if it can reach the cutoff, the greater name first among equals: known, asked, bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, asked_names, found = row["known"], row["name"], []  # known names come in descending order
+                first = 0
+                for bounds in InOrder(names).bounds(asked_names):
+                    rows = np.arange(len(bounds))
+                    for _ in range(min(most, len(names))):
+                        best = bounds.argmax(1)
+                        found.append((rows + first, best, bounds[rows, best]))
+                        bounds[rows, best] = -1.0
+                    first += len(bounds)
+                a, k, bound = (np.concatenate(x) for x in zip(*found))
+                use = bound >= cutoff - 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in k[use]], pa.string()), pa.array([asked_names[i] for i in a[use]], pa.string()), pa.array(bound[use], pa.float64())], names=["known", "asked", "bound"])
+
+    return _meeting(_blocks(_named(known)), _blocks(_named(asked))).mapInArrow(run, "known string, asked string, bound double")
+
+
 def _best_of_blocks(known: DataFrame, asked: DataFrame, cutoff: float, n: int) -> DataFrame:
     """For each asked name and block of known ones the ``n`` most similar: asked, known, score. asked: (name, least), a score below which nothing is wanted.
 
@@ -120,9 +186,12 @@ def _best_of_blocks(known: DataFrame, asked: DataFrame, cutoff: float, n: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bounds, found = _bounds(row["known"], row["name"]), []
-                for name, least, bound in zip(row["name"], row["least"], bounds):
-                    near = np.flatnonzero(bound >= max(least, cutoff) - 1e-9)
+                least, found = np.maximum(row["least"], cutoff) - 1e-9, []
+                bounds = (bound for some in InOrder(row["known"]).bounds(row["name"]) for bound in some)
+                for name, enough, bound in zip(row["name"], least, bounds):
+                    near = np.flatnonzero(bound >= enough)
+                    if not len(near):
+                        continue
                     matcher, best = SequenceMatcher(None, "", name), []
                     for j in near[np.argsort(-bound[near], kind="stable")]:
                         if len(best) == n and bound[j] < best[0][0] - 1e-9:
@@ -147,7 +216,7 @@ def closest_names(known: DataFrame, asked: DataFrame, cutoff: float = 0.8, n: in
     from ..functions.windows import top_n_per_group
 
     first = max(first, n)
-    pairs = top_n_per_group(close_pairs(known, asked, cutoff, first), ["asked"], [F.desc("bound"), F.desc("known")], first)
+    pairs = top_n_per_group(_likely(known, asked, cutoff, first), ["asked"], [F.desc("bound"), F.desc("known")], first)
     tried = pairs.withColumn("score", sequence_ratio(F.col("known"), F.col("asked")))
     reached = tried.groupBy("asked").agg(F.get(F.sort_array(F.collect_list(F.when(F.col("score") >= cutoff, F.col("score"))), asc=False), F.lit(n - 1)).alias("least"))  # of ``first`` numbers
     wanted = written(reached.select(F.col("asked").alias("name"), F.coalesce("least", F.lit(cutoff)).alias("least")), "names-asked")

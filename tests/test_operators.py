@@ -100,6 +100,29 @@ def test_only_pairs_that_can_pass_are_compared(spark):
     assert {(k, a) for k in known for a in asked if k and a and SequenceMatcher(None, k, a).quick_ratio() >= 0.8} <= set(got)
 
 
+def common_in_order(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_names_of_the_same_characters_in_another_order_are_not_compared():
+    """Every asked name has the characters of every known one, so common characters alone would let each pair through."""
+    from tessera.operators.search import InOrder
+
+    known = sorted((f"Supplier#{x:09d}" for x in (12345, 12354, 13245, 54321, 51432)), reverse=True)
+    asked = [x[::-1] + "?" for x in known] + [known[2], "", "é" * 70 + "Supplier", "Supplier#0000" * 8]
+    got = np.concatenate(list(InOrder(known).bounds(asked)))
+    assert (got[:5] < 0.55).all() and got[5].argmax() == 2 and (got[5] == 1).sum() == 1
+    for a, row in zip(asked, got):
+        for k, bound in zip(known, row):
+            most = min(common_in_order(a[:64], k) + max(len(a) - 64, 0), len(k))
+            assert bound == pytest.approx(2 * most / (len(a) + len(k))) and bound >= SequenceMatcher(None, k, a).ratio() - 1e-9
+
+
 def test_every_misspelt_supplier_and_brand_equals_a_scan(spark, sf):
     from tessera.plans.refresh import misspelt
 
